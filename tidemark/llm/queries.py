@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe_automaton, mixing, quality_rules, url_filter
+from tidemark.llm import bpe_automaton, jaccard_join, mixing, quality_rules, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
             quality_rules.op3_quality_rules,
             bpe_automaton.op4_bpe_automaton,
             mixing.op5_mixing,
+            jaccard_join.op8_jaccard_join,
         )
     }
 
