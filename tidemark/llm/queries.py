@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe_automaton, jaccard_join, mixing, quality_rules, url_filter
+from tidemark.llm import bpe_automaton, jaccard_join, mixing, quality_rules, rabitq, url_filter
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
             bpe_automaton.op4_bpe_automaton,
             mixing.op5_mixing,
             jaccard_join.op8_jaccard_join,
+            rabitq.op10_rabitq,
         )
     }
 
