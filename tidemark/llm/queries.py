@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe_automaton, jaccard_join, mixing, quality_rules, rabitq, url_filter
+from tidemark.llm import bpe_automaton, jaccard_join, line_dedup, mixing, quality_rules, rabitq, url_filter
 
 
 def queries() -> dict:
@@ -14,10 +14,11 @@ def queries() -> dict:
             bpe_automaton.op4_bpe_automaton,
             mixing.op5_mixing,
             jaccard_join.op8_jaccard_join,
+            line_dedup.op9_line_dedup,
             rabitq.op10_rabitq,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.OP1_SQL, "op3_quality_rules": quality_rules.OP3_SQL}
+    return {"op1_url_filter": url_filter.OP1_SQL, "op3_quality_rules": quality_rules.OP3_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
