@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe_automaton, jaccard_join, line_dedup, mixing, quality_rules, rabitq, url_filter
+from tidemark.llm import bpe_automaton, jaccard_join, kneser_ney, line_dedup, mixing, quality_classifier, quality_rules, quote_links, rabitq, url_filter
 
 
 def queries() -> dict:
@@ -10,9 +10,12 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             url_filter.op1_url_filter,
+            quote_links.op2_quote_links,
             quality_rules.op3_quality_rules,
             bpe_automaton.op4_bpe_automaton,
             mixing.op5_mixing,
+            quality_classifier.op6_quality_classifier,
+            kneser_ney.op7_kneser_ney,
             jaccard_join.op8_jaccard_join,
             line_dedup.op9_line_dedup,
             rabitq.op10_rabitq,
