@@ -1,9 +1,18 @@
 """Registered queries."""
 
+from __future__ import annotations
+
+from tidemark.plans import bar_queries
+from tidemark.plans.bar_queries import flagship
+from tidemark.plans.registry import QUERIES, SQL
+
+__all__ = ["flagship", "queries", "oracle_sql"]
+MODULES = (bar_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
