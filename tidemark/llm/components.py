@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable
+from tidemark.llm.common import discard, durable
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, F.col("u") == F.col("at")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), "m")
         small = large.join(least, F.col("u") == F.col("at")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = durable(small.filter("u <> v").distinct())
+        last, edges = edges, durable(small.filter("u <> v").distinct())
+        discard(last)
         now = print_of(edges)
         if now == seen:
             break

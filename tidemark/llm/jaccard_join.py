@@ -17,7 +17,11 @@ Joining. Equal sets are one node. In each bucket (documents with one signature)
 compared with its smallest node only, and links joined to components. Pairs of one bucket whose
 ends are still in different components, and only those, are then compared too, after more
 rounds with other centres if they are many. So no link between components is lost, and groups of
-near copies cost their size, not its square. Comparison is exact, on whole sets.
+near copies cost their size, not its square. A pair counts in the instance of its larger set only.
+
+Sketches. Each node has the parities of its shingles in SKETCH cells. Two sketches differ in no
+more bits than their sets differ in shingles, so pairs that differ in more bits than linked sets
+may are left out as the buckets are joined. What is left is compared exactly, on whole sets.
 
 Edge cases: null, empty and blank texts have an empty set and link with nothing; with fewer words
 than a shingle has, the whole sequence is the one shingle; rows with a null doc_id link with
@@ -34,17 +38,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, lower_words, read
+from tidemark.llm.common import discard, durable, lower_words, read
 from tidemark.llm.components import connected_components
 
 SHINGLE = 5
 PERCENT = 80
 #: Pairs left for direct comparison, as a multiple of the nodes in buckets, above which buckets get another centre.
 MANY = 4
-MAX_ROUNDS = 6
+MAX_ROUNDS = 2
+#: Bits of a sketch, 64 in a column; the last bits of a signature name its instance.
+SKETCH = 1024
+INSTANCE_BITS = 12
 
 _U = np.uint64
 PRIMES = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], _U)
@@ -109,6 +116,7 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     tops = bands(percent, 1 << int(sizes.max()).bit_length())
     own = np.searchsorted(tops, sizes)
     found: list[tuple[np.ndarray, np.ndarray]] = []
+    done: list[tuple[np.ndarray, np.ndarray]] = []
     every = np.concatenate(sets)
     for band in (own, own + 1):
         salt = mix(band.astype(_U) * PRIMES[1] + _U(percent))
@@ -141,7 +149,10 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
             less = total[p].sum(1, dtype=_U) - value[inside]
             found.append((part_owner[weak], mix(total[weak].sum(1, dtype=_U) + name[weak] + _U(9))))
             found.append((part_owner[p], mix(less + name[p] + _U(9))))
-    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+        instance = band.astype(_U)
+        found = [*done, *((a, (b >> _U(INSTANCE_BITS) << _U(INSTANCE_BITS)) | instance[a]) for a, b in found)]
+        done, found = found, []
+    return np.concatenate([a for a, _ in done]), np.concatenate([b for _, b in done])
 
 
 def set_table(docs: DataFrame, shingle: int) -> DataFrame:
@@ -188,8 +199,17 @@ def signature_table(docs: DataFrame, shingle: int, percent: int, words_at_once:
     return docs.filter("doc_id is not null").select("text").mapInArrow(run, "sig long, node long")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """node, features (sorted 64-bit hashes as binary) of the wanted (doc_id, node)."""
+SKETCH_COLUMNS = [f"s{j}" for j in range(SKETCH // 64)]
+
+
+def sketch(features: np.ndarray) -> list[int]:
+    """Parities of the shingles in SKETCH cells, as signed 64-bit numbers."""
+    cells = (mix(features + PRIMES[4]) >> _U(32)) * _U(SKETCH) >> _U(32)
+    return np.packbits(np.bincount(cells.astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).view(np.int64).tolist()
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """node, features (sorted 64-bit hashes as binary), size, band and sketch of the wanted (doc_id, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -197,10 +217,31 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             for text, node in zip(batch.column("text"), batch.column("node"), strict=True):
                 features = shingles(lower_words(text.as_py()), shingle, hasher)
                 if len(features) and node_of(features) == node.as_py():
-                    yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.int64()), pa.array([features.tobytes()], pa.binary())], names=["node", "features"])
+                    band = int(np.searchsorted(bands(percent, 1 << len(features).bit_length()), len(features)))
+                    numbers = [node.as_py(), len(features), band, *sketch(features)]
+                    yield pa.RecordBatch.from_arrays([pa.array([features.tobytes()], pa.binary()), *(pa.array([x], pa.int64()) for x in numbers)], names=["features", "node", "size", "band", *SKETCH_COLUMNS])
 
     joined = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
-    return joined.mapInArrow(run, "node long, features binary").dropDuplicates(["node"])
+    return joined.mapInArrow(run, "features binary, node long, size long, band long, " + ", ".join(f"{c} long" for c in SKETCH_COLUMNS)).dropDuplicates(["node"])
+
+
+def sketches(sets: DataFrame, prefix: str) -> DataFrame:
+    """The sets without their features, columns renamed."""
+    return sets.select(*(F.col(c).alias(prefix + c) for c in ("node", "size", "band", *SKETCH_COLUMNS)))
+
+
+def may_link(a: str, b: str, percent: int) -> Column:
+    """False for pairs whose sketches show that they don't link."""
+    bits = sum((F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c))) for c in SKETCH_COLUMNS), F.lit(0))
+    return (100 + percent) * bits <= (100 - percent) * (F.col(a + "size") + F.col(b + "size"))
+
+
+def instance_of(a: str, b: str) -> Column:
+    return F.greatest(a + "band", b + "band")
+
+
+def in_instance(sig: str) -> Column:
+    return F.col(sig).bitwiseAND(F.lit((1 << INSTANCE_BITS) - 1))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -227,6 +268,13 @@ def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _sifted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) of (sig, a, b) that lie in the instance of their larger set and may link."""
+    pairs = pairs.select(in_instance("sig").alias("instance"), "a", "b").distinct()
+    near = pairs.join(sketches(sets, "x_"), F.col("a") == F.col("x_node")).join(sketches(sets, "y_"), (F.col("b") == F.col("y_node")) & (F.col("instance") == instance_of("x_", "y_")) & may_link("x_", "y_", percent))
+    return near.select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
     table = durable(set_table(docs, shingle))
@@ -235,8 +283,8 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     # repeated (sig, node) rows of copies go here, where rows are few
     buckets = durable(buckets.filter("centre <> last_").drop("last_").distinct())
     wanted = table.join(buckets.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = durable(sets_of(docs, wanted, shingle))
-    tested = durable(buckets.filter("node <> centre").select(*_pair("centre", "node")).distinct())
+    sets = durable(sets_of(docs, wanted, shingle, percent))
+    tested = durable(_sifted(buckets.filter("node <> centre").select("sig", *_pair("centre", "node")), sets, percent))
     links = durable(verified(tested, sets, percent))
     rounds = 0
     while True:
@@ -249,21 +297,28 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
         mixed = durable(mixed.filter("n > 2").select("sig", ((F.col("n") * F.col("n") - F.col("nn")) / 2).alias("pairs"), F.col("small.first").alias("centre"), F.col("small.root").alias("centre_root")))
         left = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
         if not left:
+            discard(mixed)
             break
         open_rows = placed.join(mixed, "sig")
         final = rounds >= MAX_ROUNDS or left <= MANY * table.count()
         if final:
-            other = open_rows.select(F.col("sig").alias("sig2"), F.col("node").alias("node2"), F.col("root").alias("root2"))
-            fresh = open_rows.join(other, (F.col("sig") == F.col("sig2")) & (F.col("root") < F.col("root2"))).select(*_pair("node", "node2"))
+            rows = open_rows.select("sig", "node", "root").join(sketches(sets, "x_"), F.col("node") == F.col("x_node"))
+            other = open_rows.select(F.col("sig").alias("sig2"), F.col("node").alias("node2"), F.col("root").alias("root2")).join(sketches(sets, "y_"), F.col("node2") == F.col("y_node"))
+            near = (F.col("sig") == F.col("sig2")) & (F.col("root") < F.col("root2")) & (in_instance("sig") == instance_of("x_", "y_")) & may_link("x_", "y_", percent)
+            fresh = rows.join(other, near).select(*_pair("node", "node2")).distinct()
         else:
-            fresh = open_rows.filter("root <> centre_root").select(*_pair("centre", "node"))
-        fresh = durable(fresh.distinct().join(tested, ["a", "b"], "left_anti"))
-        links = durable(links.unionByName(verified(fresh, sets, percent)))
+            fresh = _sifted(open_rows.filter("root <> centre_root").select("sig", *_pair("centre", "node")), sets, percent)
+        fresh = durable(fresh.join(tested, ["a", "b"], "left_anti"))
+        old, links = links, durable(links.unionByName(verified(fresh, sets, percent)))
+        discard(old, mixed)
         if final:
-            roots = durable(connected_components(links))
+            old, roots = roots, durable(connected_components(links))
+            discard(old, fresh)
             break
-        tested = durable(tested.unionByName(fresh))
+        old, tested = tested, durable(tested.unionByName(fresh))
+        discard(old, fresh, roots)
         rounds += 1
+    discard(buckets, sets, tested, links)
     nodes = table.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first_doc"))
     nodes = durable(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     ids = nodes.groupBy("root").agg(F.min("first_doc").alias("component_id"))
