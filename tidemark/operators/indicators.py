@@ -128,7 +128,7 @@ def volume_skew(df: DataFrame, n: int = 20) -> DataFrame:
     df = df.withColumn("tot_", total).withColumn("mean_", mean)
     moment = lambda k: F.aggregate("win_", F.lit(0.0), lambda a, x: a + F.pow(x["p"] - F.col("mean_"), F.lit(float(k))) * x["v"]) / F.nullif("tot_", F.lit(0.0))
     df = df.withColumns({"m2_": moment(2), "m3_": moment(3)})
-    sd = F.when(F.col("m2_") > 0, F.sqrt("m2_")).otherwise(F.lit(1.0))
+    sd = F.when(F.col("m2_") > 1e-12, F.sqrt("m2_")).otherwise(F.lit(1.0))
     return df.withColumn("volume_skew", F.coalesce(F.col("m3_") / F.pow(sd, F.lit(3.0)), F.lit(0.0))).drop("tp_", "win_", "tot_", "mean_", "m2_", "m3_")
 
 

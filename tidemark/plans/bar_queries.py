@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import pct_from
 from tidemark.functions.series import average_rank, ordered, pearson
 from tidemark.operators import bars as op
-from tidemark.plans.registry import BARS_SQL, MARKET_SQL, ORDER_SQL, RAW_SQL, query
+from tidemark.plans.registry import BARS_SQL, MARKET_SQL, ORDER_SQL, RAW_SQL, query, r6
 from tidemark.sources import tables
 
-R6 = lambda c: (F.round(c, 6) + 0.0).alias(c)
-
 
 def flagship(spark, sf_dir: str, min_symbols: int = 8):
     """Daily rank correlation of five-bar momentum with the next five bars' return."""
@@ -20,7 +18,7 @@ def flagship(spark, sf_dir: str, min_symbols: int = 8):
     b = b.filter("past is not null and next is not null").select("day", pct_from("past", "close").alias("momentum"), pct_from("close", "next").alias("label"))
     ranked = b.withColumns({"a": average_rank("momentum", ["day"]), "b": average_rank("label", ["day"])})
     out = ranked.groupBy("day").agg(F.count("*").alias("symbols"), pearson(F.col("a"), F.col("b")).alias("rank_ic")).filter(F.col("symbols") >= min_symbols)
-    return out.select("day", "symbols", (F.round("rank_ic", 6) + 0.0).alias("rank_ic"))
+    return out.select("day", "symbols", r6("rank_ic"))
 
 
 @query(f"""WITH {BARS_SQL},
@@ -28,7 +26,7 @@ s AS (SELECT symbol, day, close, lag(close, 5) OVER w AS past, lead(close, 5) OV
 m AS (SELECT day, (close / past - 1) * 100 AS momentum, (next / close - 1) * 100 AS label FROM s WHERE past IS NOT NULL AND next IS NOT NULL),
 r AS (SELECT day, rank() OVER (PARTITION BY day ORDER BY momentum) + (count(*) OVER (PARTITION BY day, momentum) - 1) / 2.0::DOUBLE AS a,
              rank() OVER (PARTITION BY day ORDER BY label) + (count(*) OVER (PARTITION BY day, label) - 1) / 2.0::DOUBLE AS b FROM m)
-SELECT day, count(*) AS symbols, round(coalesce(covar_pop(a, b) / nullif(sqrt(var_pop(a) * var_pop(b)), 0), 0), 6) + 0 AS rank_ic FROM r GROUP BY day HAVING count(*) >= 8""")
+SELECT day, count(*) AS symbols, round(coalesce(covar_pop(a, b) / nullif(sqrt(var_pop(a) * var_pop(b)), 0), 0) + 1e-9, 6) + 0 AS rank_ic FROM r GROUP BY day HAVING count(*) >= 8""")
 def daily_rank_ic(spark, sf_dir):
     return flagship(spark, sf_dir)
 
@@ -119,16 +117,16 @@ q3 AS (SELECT *, least(100, greatest(5, 100 - CASE WHEN close <= 0 OR open <= 0
          CASE WHEN v20 > 0 THEN volume / greatest(1, v20) ELSE 0 END AS vr FROM q2)"""
 
 
-@query(f"WITH {QUALITY_SQL} SELECT symbol, day, score, round(greatest(0.12, least(1, score / 100)), 6) AS sample_weight, round(chg, 6) AS return_pct, round(vr, 6) AS volume_ratio20 FROM q3")
+@query(f"WITH {QUALITY_SQL} SELECT symbol, day, score, round(greatest(0.12, least(1, score / 100)) + 1e-9, 6) AS sample_weight, round(chg + 1e-9, 6) AS return_pct, round(vr + 1e-9, 6) AS volume_ratio20 FROM q3")
 def candle_quality(spark, sf_dir):
-    return op.quality(tables.bars(spark, sf_dir), ["symbol"]).select("symbol", "day", "score", R6("sample_weight"), R6("return_pct"), R6("volume_ratio20"))
+    return op.quality(tables.bars(spark, sf_dir), ["symbol"]).select("symbol", "day", "score", r6("sample_weight"), r6("return_pct"), r6("volume_ratio20"))
 
 
 @query(f"""WITH {QUALITY_SQL}, g AS (SELECT market, count(*) AS row_count, avg(score) AS a, min(score) AS min_score, count_if(score >= 82) * 100.0::DOUBLE / count(*) AS h, count_if(score < 65) * 100.0::DOUBLE / count(*) AS d FROM q3 GROUP BY market)
-SELECT market, row_count, round(a, 6) AS avg_score, min_score, round(h, 6) AS high_quality_pct, round(d, 6) AS degraded_pct, CASE WHEN a >= 88 AND d <= 4 THEN 'high' WHEN a >= 74 THEN 'usable' ELSE 'degraded' END AS grade FROM g""")
+SELECT market, row_count, round(a + 1e-9, 6) AS avg_score, min_score, round(h + 1e-9, 6) AS high_quality_pct, round(d + 1e-9, 6) AS degraded_pct, CASE WHEN a >= 88 AND d <= 4 THEN 'high' WHEN a >= 74 THEN 'usable' ELSE 'degraded' END AS grade FROM g""")
 def candle_quality_summary(spark, sf_dir):
     scored = op.quality(tables.bars(spark, sf_dir), ["symbol"])
-    return op.quality_summary(scored, ["market"]).select("market", "row_count", R6("avg_score"), "min_score", R6("high_quality_pct"), R6("degraded_pct"), "grade")
+    return op.quality_summary(scored, ["market"]).select("market", "row_count", r6("avg_score"), "min_score", r6("high_quality_pct"), r6("degraded_pct"), "grade")
 
 
 @query(f"""WITH {QUALITY_SQL}, f AS (SELECT market, unnest([CASE WHEN abs(chg) >= 35 AND prev IS NOT NULL THEN 'possible_split_or_provider_jump' WHEN abs(chg) >= 18 AND prev IS NOT NULL THEN 'extreme_return' END,

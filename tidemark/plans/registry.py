@@ -4,12 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def r6(column: str | Column, name: str | None = None, digits: int = 6) -> Column:
+    """Rounded, without negative zeros; the nudge makes both engines agree on exact ties."""
+    c = F.col(column) if isinstance(column, str) else column
+    return (F.round(c + 1e-9, digits) + 0.0).alias(name or column)
+
+
+def r(*names: str, **exprs: str) -> str:
+    """The same as r6(), as SQL select items."""
+    return ", ".join(f"round({e} + 1e-9, 6) + 0 AS {n}" for n, e in [*((n, n) for n in names), *exprs.items()])
+
+
 def query(sql: str | None = None):
     """Registers a function under its own name."""
 
