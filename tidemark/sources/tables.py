@@ -62,7 +62,7 @@ def raw_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades of ten symbols from the events: timestamp, price, size, exchange, trade_id."""
     return table(spark, sf_dir, "events").select(
-        F.concat(F.lit("T"), F.pmod("user_id", F.lit(10)).cast("string")).alias("symbol"), "ts", F.col("value").alias("price"),
+        F.concat(F.lit("T"), F.pmod("user_id", F.lit(10)).cast("string")).alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"),
         F.get_json_object("props", "$.k").cast("double").alias("size"), F.col("event_type").alias("exchange"), F.col("event_id").alias("trade_id"),
     )
 
