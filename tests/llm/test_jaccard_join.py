@@ -45,10 +45,9 @@ def corpus(seed, n):
     return out
 
 
-@pytest.mark.parametrize(("size", "percent", "many"), [(3, 90, 4), (5, 80, 4), (3, 90, 0), (1, 70, 0)])
-def test_components_equal_brute_force(spark, monkeypatch, size, percent, many):
-    monkeypatch.setattr(jj, "MANY", many)
-    rows = corpus(size * percent + many, 240) + [(1, ""), (2, "  \n "), (4, "one"), (5, "ONE"), (7, "a b")]
+@pytest.mark.parametrize(("size", "percent", "seed"), [(3, 90, 4), (5, 80, 4), (3, 90, 0), (1, 70, 0)])
+def test_components_equal_brute_force(spark, size, percent, seed):
+    rows = corpus(size * percent + seed, 240) + [(1, ""), (2, "  \n "), (4, "one"), (5, "ONE"), (7, "a b")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {tuple(r) for r in jj.jaccard_components(df, size, percent).collect()}
     assert got == brute(rows, size, percent)
@@ -85,3 +84,18 @@ def test_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (900, 900)], "a long, b long")
     got = {tuple(r) for r in connected_components(links).collect()}
     assert got == {(i, 0) for i in range(201)} | {(500, 500), (501, 500), (900, 900)}
+
+
+def test_sketches_never_part_linked_sets():
+    rng = np.random.default_rng(2)
+    for percent in (80, 90):
+        for n in (10, 60, 500, 3000):
+            for _ in range(10):
+                a = rng.integers(0, 1 << 60, n).astype(np.uint64)
+                b = np.concatenate([a[int(rng.integers(0, n // 15 + 1)) :], rng.integers(1 << 60, 1 << 62, int(rng.integers(0, n // 15 + 1))).astype(np.uint64)])
+                common = len(np.intersect1d(a, b))
+                apart = len(a) + len(b) - 2 * common
+                bits = sum(((x ^ y) & ((1 << 64) - 1)).bit_count() for x, y in zip(jj.sketch(a), jj.sketch(b), strict=True))
+                assert bits <= apart
+                if 100 * common >= percent * (len(a) + len(b) - common):
+                    assert (100 + percent) * bits <= (100 - percent) * (len(a) + len(b))

@@ -14,10 +14,10 @@ the signatures of the partition's shingles, whole and with each one left out, wh
 that differ in the third cell alone share as well. For k = 0 the set is the signature.
 
 Joining. Equal sets are one node. In each bucket (documents with one signature) all nodes are
-compared with its smallest node only, and links joined to components. Pairs of one bucket whose
-ends are still in different components, and only those, are then compared too, after more
-rounds with other centres if they are many. So no link between components is lost, and groups of
-near copies cost their size, not its square. A pair counts in the instance of its larger set only.
+compared with its smallest and its largest node only, and links joined to components. Pairs of
+one bucket whose ends are still in different components, and only those, are then compared too.
+So no link between components is lost, and groups of near copies cost their size, not its
+square. A pair counts in the instance of its larger set only.
 
 Sketches. Each node has the parities of its shingles in SKETCH cells. Two sketches differ in no
 more bits than their sets differ in shingles, so pairs that differ in more bits than linked sets
@@ -46,9 +46,6 @@ from tidemark.llm.components import connected_components
 
 SHINGLE = 5
 PERCENT = 80
-#: Pairs left for direct comparison, as a multiple of the nodes in buckets, above which buckets get another centre.
-MANY = 4
-MAX_ROUNDS = 2
 #: Bits of a sketch, 64 in a column; the last bits of a signature name its instance.
 SKETCH = 1024
 INSTANCE_BITS = 12
@@ -74,7 +71,7 @@ class Hasher:
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         known, digest = self.known, xxhash.xxh3_64_intdigest
-        if len(known) > 500_000:
+        if len(known) > 100_000:
             known.clear()
         out = [known.get(w) for w in words]
         for i, h in enumerate(out):
@@ -279,46 +276,26 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
     table = durable(set_table(docs, shingle))
     by_sig = Window.partitionBy("sig")
-    buckets = signature_table(docs, shingle, percent).withColumns({"centre": F.min("node").over(by_sig), "last_": F.max("node").over(by_sig)})
+    buckets = signature_table(docs, shingle, percent).withColumns({"first": F.min("node").over(by_sig), "last": F.max("node").over(by_sig)})
     # repeated (sig, node) rows of copies go here, where rows are few
-    buckets = durable(buckets.filter("centre <> last_").drop("last_").distinct())
+    buckets = durable(buckets.filter("first <> last").distinct())
     wanted = table.join(buckets.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = durable(sets_of(docs, wanted, shingle, percent))
-    tested = durable(_sifted(buckets.filter("node <> centre").select("sig", *_pair("centre", "node")), sets, percent))
+    centres = F.explode(F.array("first", "last")).alias("centre")
+    tested = durable(_sifted(buckets.select("sig", "node", centres).filter("node <> centre").select("sig", *_pair("centre", "node")), sets, percent))
     links = durable(verified(tested, sets, percent))
-    rounds = 0
-    while True:
-        roots = durable(connected_components(links))
-        placed = buckets.select("sig", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        # of every bucket with several components, what is left to compare
-        groups = placed.groupBy("sig", "root").agg(F.count("*").alias("n"), F.min("node").alias("first"))
-        mixed = groups.groupBy("sig").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.min(F.struct("n", "first", "root")).alias("small")).filter("parts > 1")
-        # a bucket of two was compared by its centre
-        mixed = durable(mixed.filter("n > 2").select("sig", ((F.col("n") * F.col("n") - F.col("nn")) / 2).alias("pairs"), F.col("small.first").alias("centre"), F.col("small.root").alias("centre_root")))
-        left = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
-        if not left:
-            discard(mixed)
-            break
-        open_rows = placed.join(mixed, "sig")
-        final = rounds >= MAX_ROUNDS or left <= MANY * table.count()
-        if final:
-            rows = open_rows.select("sig", "node", "root").join(sketches(sets, "x_"), F.col("node") == F.col("x_node"))
-            other = open_rows.select(F.col("sig").alias("sig2"), F.col("node").alias("node2"), F.col("root").alias("root2")).join(sketches(sets, "y_"), F.col("node2") == F.col("y_node"))
-            near = (F.col("sig") == F.col("sig2")) & (F.col("root") < F.col("root2")) & (in_instance("sig") == instance_of("x_", "y_")) & may_link("x_", "y_", percent)
-            fresh = rows.join(other, near).select(*_pair("node", "node2")).distinct()
-        else:
-            fresh = _sifted(open_rows.filter("root <> centre_root").select("sig", *_pair("centre", "node")), sets, percent)
-        fresh = durable(fresh.join(tested, ["a", "b"], "left_anti"))
-        old, links = links, durable(links.unionByName(verified(fresh, sets, percent)))
-        discard(old, mixed)
-        if final:
-            old, roots = roots, durable(connected_components(links))
-            discard(old, fresh)
-            break
-        old, tested = tested, durable(tested.unionByName(fresh))
-        discard(old, fresh, roots)
-        rounds += 1
-    discard(buckets, sets, tested, links)
+    roots = durable(connected_components(links))
+    placed = buckets.select("sig", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # buckets that still hold several components, but for those of two nodes
+    open_sigs = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high and n > 2").select("sig")
+    open_rows = durable(placed.join(open_sigs, "sig"))
+    left = open_rows.join(sketches(sets, "x_"), F.col("node") == F.col("x_node"))
+    right = open_rows.select(F.col("sig").alias("sig2"), F.col("node").alias("node2"), F.col("root").alias("root2")).join(sketches(sets, "y_"), F.col("node2") == F.col("y_node"))
+    near = (F.col("sig") == F.col("sig2")) & (F.col("root") < F.col("root2")) & (in_instance("sig") == instance_of("x_", "y_")) & may_link("x_", "y_", percent)
+    fresh = durable(left.join(right, near).select(*_pair("node", "node2")).distinct().join(tested, ["a", "b"], "left_anti"))
+    more = durable(verified(fresh, sets, percent))
+    old, roots = roots, durable(connected_components(links.unionByName(more)))
+    discard(old, buckets, sets, tested, links, open_rows, fresh, more)
     nodes = table.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first_doc"))
     nodes = durable(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     ids = nodes.groupBy("root").agg(F.min("first_doc").alias("component_id"))
