@@ -37,9 +37,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, decoded of every document of the mix."""
-    path = bpe_automaton.default_path()
-    encoded = bpe_automaton.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text")
-    return bpe_automaton.decode(encoded, path).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+    out = bpe_automaton.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), bpe_automaton.default_path())
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", near_copies), ("mixing", mixture), ("BPE", tokens)]

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.common import read
 
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 120_000
 NEVER = 1 << 60
 INSIDE, AT_END = 0, 1  # keys of a node's token; all other keys are symbols
 #: Pieces whose normal form and words need no general rules: Latin letters, then at most punctuation.
@@ -241,6 +241,21 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     return encoded.mapInArrow(add, schema)
 
 
+def encode_and_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """Adds ids and decoded to every row, in one pass by one worker."""
+    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
+    docs = docs.select(*kept)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", ids array<int>, decoded string"
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(tokenizer_path)
+        for batch in batches:
+            ids = [bpe.encode(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())], names=[*kept, "ids", "decoded"])
+
+    return docs.mapInArrow(add, schema)
+
+
 def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded and decoded in one pass."""
 
