@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,15 +51,14 @@ CACHE_WORDS = 400_000
 TOKENS_AT_ONCE = 1_000_000
 AGAIN = 0
 
-RUNS = re.compile(r"([A-Z]+)|([a-z]+)|([0-9]+)|([^\x00-\x7f]+)|(.)\5*", re.S)
+CLASSES = bytes.maketrans(bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B)) + bytes(range(0x30, 0x3A)) + bytes(range(0x80, 0x100)), b"A" * 26 + b"a" * 26 + b"0" * 10 + b"a" * 128)
+RUNS = re.compile(rb"(.)\1+", re.S)
 EDGES = bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
 
 
-def shape_of(word: bytes) -> str:
-    """'Thnd***' -> 'Aa*'."""
-    text = word.decode()
-    found = "".join("A" if m[1] else "a" if m[2] else "0" if m[3] else ("A" if m[4].isupper() else "a") if m[4] else m[5] for m in RUNS.finditer(text))
-    return re.sub(r"(A|a)\1+", r"\1", found)[:12]
+def shape_of(word: bytes) -> bytes:
+    """'Thnd***' -> 'Aa*'. Letters outside ASCII count as small."""
+    return RUNS.sub(rb"\1", word.translate(CLASSES))[:12]
 
 
 class WordRows(dict):
@@ -67,7 +67,7 @@ class WordRows(dict):
     def __missing__(self, word: bytes) -> int:
         core = word.strip(EDGES).lower() or word
         row = xxhash.xxh3_64_intdigest(core) % CORE_ROWS
-        value = self[word] = row * SHAPE_ROWS + 1 + xxhash.xxh3_64_intdigest(shape_of(word).encode()) % (SHAPE_ROWS - 1)
+        value = self[word] = row * SHAPE_ROWS + 1 + xxhash.xxh3_64_intdigest(shape_of(word)) % (SHAPE_ROWS - 1)
         return value
 
     def of(self, text: str | None) -> np.ndarray:
@@ -84,6 +84,12 @@ class WordRows(dict):
         return found
 
 
+@lru_cache(maxsize=1)
+def word_rows() -> WordRows:
+    """One for each worker, as words recur from task to task."""
+    return WordRows()
+
+
 def index_vectors(rows: int = ROWS, width: int = WIDTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """(places, signs) of the nonzero entries of each row's index vector."""
     rng = np.random.default_rng(seed)
@@ -118,7 +124,7 @@ def count_vectors(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, signs = index_vectors()
-        words, total = WordRows(), np.zeros(ROWS * WIDTH)
+        words, total = word_rows(), np.zeros(ROWS * WIDTH)
         held: list[np.ndarray] = []
         n = 0
         for batch in batches:
@@ -161,7 +167,7 @@ def document_vectors(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordRows()
+        words = word_rows()
         for batch in batches:
             packed = [pool(words.of(t.as_py()), shared.value).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pc.cast(batch.column("doc_id"), pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "features"])
@@ -221,6 +227,9 @@ def fit(features: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Net
     width = 2 * WIDTH + 1
     marks = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     own = F.col("doc_id").cast("string")
+    # a share of all labelled ids by their hash, so that no task sends more than its part
+    share = min(1.0, max_rows / max(1, marks.count()))
+    marks = marks.filter(F.pmod(F.xxhash64(F.concat(F.lit("share"), own)), F.lit(1 << 30)) < int(share * (1 << 30)))
     chosen = (
         features.join(marks, "doc_id")
         .select("features", "quality", (F.xxhash64(F.concat(F.lit("calibration"), own)) % CALIBRATION == 0).alias("apart"), F.xxhash64(F.concat(F.lit("choice"), own)).alias("nth"), "doc_id")
