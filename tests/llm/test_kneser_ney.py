@@ -47,7 +47,7 @@ def test_equals_brute_force(spark, monkeypatch, at_once, shard_bytes):
     monkeypatch.setattr(kn, "SHARD_BYTES", shard_bytes)
     rng = random.Random(5)
     word = lambda: rng.choice("the the the of of And an a thing Thing x1 y2 z3 q".split() + [f"r{rng.randrange(300)}"])
-    rows = [(i, " ".join(word() for _ in range(rng.randrange(40)))) for i in range(150)] + [(500, None), (501, ""), (502, "unseen words only"), (None, "the thing"), (3, "the of the")]
+    rows = [(i, " ".join(word() for _ in range(rng.randrange(40)))) for i in range(150)] + [(500, None), (501, ""), (502, "unseen words only"), (None, "the thing"), (3, "the of the"), (4, "the the " * 900)]
     docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, score string")
     model = kn.train(docs.filter(crc_mod(F.col("doc_id"), 5) != 1))
     got = sorted(map(tuple, kn.score(docs, model).collect()), key=str)

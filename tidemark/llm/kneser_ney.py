@@ -2,13 +2,15 @@
 
 Tokens are the lower-cased words and one end token; the first token's context is a start mark.
 
-Counting. Each task counts the bigrams of a few million tokens at a time and sends them, as
-packed arrays, to shards by the hash of the bigram, so a frequent word's contexts spread over all
-shards. A shard adds up its bigrams and writes them as a sorted array of 64-bit hashes with
-counts. What it knows of each word (occurrences, different left neighbours; as a context: tokens
-and bigrams seen once, twice, more) goes to shards by the word's hash, which write sorted arrays
-of word hashes with these sums. The number of shards follows the size of the text, and nothing but
-totals (one row) reaches the driver.
+Counting. The vocabulary comes first: each task sends its distinct word hashes to shards by
+ranges of the hash, which write them as sorted arrays; a word's number is its shard and place.
+Then each task counts the bigrams of a few million tokens at a time and sends them, as sorted and
+packed pairs of numbers, to shards by a hash of the bigram, so a frequent word's contexts spread
+over all shards. A shard adds up its bigrams and writes them as a sorted array of 64-bit hashes
+with counts (one byte; counts of 255 and more in a short list). What it knows of each word
+(occurrences, different left neighbours; as a context: tokens and bigrams seen once, twice, more)
+goes to the word's shard, which writes these sums beside its hashes. The number of shards follows
+the size of the text, and nothing but totals (one row) reaches the driver.
 
 Model. p(v | u) = (c(uv) - D(c(uv))) / c(u.) + g(u) p1(v), with the discounts D of Chen and
 Goodman from the counts of counts and g(u) the mass they free; p1 is the same over the numbers of
@@ -41,14 +43,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, lower_words, read, shared_dir
+from tidemark.llm.common import crc_mod, dropping_shuffles, lower_words, read, shared_dir
 from tidemark.llm.jaccard_join import mix
 
 START, END = b" start", b" end"  # no word holds a space
-TOKENS_AT_ONCE = 4_000_000
+TOKENS_AT_ONCE = 2_500_000
 SHARD_BYTES = 24_000_000
 SHARDS_TO_WORD_SHARDS = 6
 _U = np.uint64
+_LOW = np.uint64(0xFFFFFFFF)
 WORD_SUMS = ("occurrences", "left_neighbours", "as_context", "once", "twice", "more")
 
 
@@ -125,6 +128,13 @@ class SharedFiles:
                 os.replace(part, path)
         return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
 
+    def map_or_empty(self, name: str, dtype: str) -> np.ndarray:
+        """Shards into which no hash fell have no file."""
+        try:
+            return self.map(name, dtype)
+        except FileNotFoundError:
+            return np.empty(0, dtype)
+
 
 class Tokens:
     """Token numbers of a piece of a task's texts."""
@@ -150,25 +160,81 @@ class Tokens:
         return every[:-1][~first[1:]], every[~first]
 
 
-def count_bigrams(docs: DataFrame, shards: int) -> DataFrame:
-    """shard, data: packed (word hashes; context, token, count) of pieces of the texts."""
+def write_vocabulary(docs: DataFrame, uri: str, word_shards: int) -> int:
+    """Writes each word shard's sorted distinct hashes; returns the bits that places in a shard take."""
+
+    def flush(words: set[bytes]) -> pa.RecordBatch:
+        h = np.unique(hashes(list(words)))
+        ends = np.searchsorted(shard_of(h, word_shards), np.arange(word_shards + 1))
+        rows = [(w, pack(np.diff(h[a:b], prepend=_U(0)))) for w, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["word_shard", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: set[bytes] = set()
+        for batch in batches:
+            if batch.num_rows:
+                words |= {START, END}
+            for text in batch.column("text"):
+                words.update(lower_words(text.as_py()))
+                if len(words) > TOKENS_AT_ONCE // 2:
+                    yield flush(words)
+                    words = set()
+        if words:
+            yield flush(words)
+
+    def merge(table: pa.Table) -> pa.Table:
+        h = np.unique(np.concatenate([np.cumsum(unpack(d.as_py())[0], dtype=_U) for d in table.column("data")]))
+        SharedFiles(uri).write(f"word-hash-{table.column('word_shard')[0].as_py()}", h)
+        return pa.table({"n": pa.array([len(h)], pa.int64())})
+
+    parts = docs.select("text").mapInArrow(run, "word_shard int, data binary")
+    most = parts.groupBy("word_shard").applyInArrow(merge, "n long").agg(F.max("n")).first()[0] or 1
+    return max(1, int(most - 1).bit_length())
+
+
+class Vocabulary:
+    """Numbers of word hashes: shard * 2^bits + place."""
+
+    def __init__(self, uri: str, word_shards: int, bits: int) -> None:
+        files = SharedFiles(uri)
+        self.bits = bits
+        self.hashes = [files.map_or_empty(f"word-hash-{w}", "<u8") for w in range(word_shards)]
+
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        """-1 for unknown hashes."""
+        out = np.full(len(h), -1, np.int64)
+        order = np.argsort(h)
+        ends = np.searchsorted(shard_of(h[order], len(self.hashes)), np.arange(len(self.hashes) + 1))
+        for w, keys in enumerate(self.hashes):
+            at = order[ends[w] : ends[w + 1]]
+            if len(at) and len(keys):
+                place = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
+                hit = keys[place] == h[at]
+                out[at[hit]] = (w << self.bits) + place[hit]
+        return out
+
+
+@lru_cache(maxsize=2)
+def load_vocabulary(uri: str, word_shards: int, bits: int) -> Vocabulary:
+    return Vocabulary(uri, word_shards, bits)
+
+
+def count_bigrams(docs: DataFrame, uri: str, shards: int, word_shards: int, bits: int) -> DataFrame:
+    """shard, data: packed sorted bigrams (context number * 2^32 + token number) and counts of pieces of the texts."""
 
     def flush(tokens: Tokens) -> pa.RecordBatch:
+        number = load_vocabulary(uri, word_shards, bits).numbers(hashes(list(tokens.ids))).astype(_U)
         u, v = tokens.bigrams()
-        size = len(tokens.ids)
-        pairs, counts = np.unique(u * size + v, return_counts=True)
-        u, v, h = pairs // size, pairs % size, hashes(list(tokens.ids))
-        shard = shard_of(pair_hash(h[u], h[v]), shards)
+        pairs, counts = np.unique((number << _U(32))[u] | number[v], return_counts=True)
+        shard = shard_of(pair_hash(pairs >> _U(32), pairs & _LOW), shards)
         order = np.argsort(shard, kind="stable")
         ends = np.searchsorted(shard[order], np.arange(shards + 1))
         rows = []
         for s in range(shards):
             at = order[ends[s] : ends[s + 1]]
             if len(at):
-                used = np.zeros(size, bool)
-                used[u[at]] = used[v[at]] = True
-                place = np.cumsum(used) - 1
-                rows.append((s, pack(h[used], np.diff(place[u[at]], prepend=0).astype("<u4"), place[v[at]].astype("<u4"), counts[at].astype("<u4"))))
+                # contexts rise, so their steps are small; tokens are packed apart from them
+                rows.append((s, pack(np.diff(pairs[at] >> _U(32), prepend=_U(0)).astype("<u4"), (pairs[at] & _LOW).astype("<u4"), counts[at].astype("<u4"))))
         return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["shard", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,66 +259,59 @@ def _sums_by(h: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list
     return h[starts], [np.add.reduceat(c[order], starts) if len(h) else c for c in columns]
 
 
-def merge_bigrams(blobs: DataFrame, uri: str, word_shards: int) -> DataFrame:
+def merge_bigrams(blobs: DataFrame, uri: str, word_shards: int, bits: int) -> DataFrame:
     """Writes each shard's sorted bigrams; word_shard, data: packed sums of its words, and counts of counts."""
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        us, vs, cs = [], [], []
+        keys, counts = [], []
         for data in table.column("data"):
-            words, du, v, c = unpack(data.as_py())
-            us.append(words[np.cumsum(du, dtype=np.int64)])
-            vs.append(words[v])
-            cs.append(c.astype(np.int64))
-        u, v, c = np.concatenate(us), np.concatenate(vs), np.concatenate(cs)
-        del us, vs, cs
+            du, v, c = unpack(data.as_py())
+            keys.append(np.cumsum(du, dtype=_U) << _U(32) | v)
+            counts.append(c.astype(np.int64))
+        pairs, (c,) = _sums_by(np.concatenate(keys), [np.concatenate(counts)])
+        u, v = pairs >> _U(32), pairs & _LOW
         h = pair_hash(u, v)
-        order = np.argsort(h, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-        c = np.add.reduceat(c[order], starts)
-        at = order[starts]
-        h, u, v = h[at], u[at], v[at]
+        order = np.argsort(h)
         files = SharedFiles(uri)
-        files.write(f"pair-hash-{shard}", h)
-        files.write(f"pair-count-{shard}", c.astype("<u4" if c.max() < 1 << 32 else "<u8"))
-        one = np.ones(len(c), np.int64)
-        as_token, left = _sums_by(v, [c, one])
+        files.write(f"pair-hash-{shard}", h[order])
+        files.write(f"pair-count-{shard}", np.minimum(c[order], 255).astype("<u1"))
+        large = np.flatnonzero(c[order] >= 255)
+        files.write(f"pair-large-{shard}", np.concatenate([large, c[order][large]]).astype("<i8"))
+        as_token, left = _sums_by(v, [c, np.ones(len(c), np.int64)])
         as_context, right = _sums_by(u, [c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64)])
+        starts = np.arange(word_shards + 1, dtype=np.uint64) << _U(bits)
+        t, x = np.searchsorted(as_token, starts), np.searchsorted(as_context, starts)
+        step = lambda ids: np.diff(ids, prepend=_U(0)).astype("<u4")
         rows = []
         for w in range(word_shards):
-            x, y = shard_of(as_token, word_shards) == w, shard_of(as_context, word_shards) == w
-            if x.any() or y.any():
-                rows.append((w, pack(as_token[x], *(s[x].astype("<u8") for s in left), as_context[y], *(s[y].astype("<u8") for s in right))))
-        totals = np.array([(c == k).sum() for k in (1, 2, 3, 4)], "<u8")
-        rows.append((0, pack(totals)))
+            i, j = slice(t[w], t[w + 1]), slice(x[w], x[w + 1])
+            if t[w + 1] > t[w] or x[w + 1] > x[w]:
+                rows.append((w, pack(step(as_token[i]), *(s[i].astype("<u8") for s in left), step(as_context[j]), *(s[j].astype("<u8") for s in right))))
+        rows.append((0, pack(np.array([(c == k).sum() for k in (1, 2, 3, 4)], "<u8"))))
         return pa.table({"word_shard": pa.array([w for w, _ in rows], pa.int32()), "data": pa.array([d for _, d in rows], pa.binary())})
 
     return blobs.groupBy("shard").applyInArrow(run, "word_shard int, data binary")
 
 
-def merge_words(blobs: DataFrame, uri: str) -> DataFrame:
-    """Writes each word shard's sorted hashes and sums; one row of totals for each."""
+def merge_words(blobs: DataFrame, uri: str, bits: int) -> DataFrame:
+    """Writes each word shard's sums, in the order of its hashes; one row of totals for all."""
     names = ["vocabulary", "tokens", "types", *(f"pairs{k}" for k in (1, 2, 3, 4)), *(f"words{k}" for k in (1, 2, 3, 4))]
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("word_shard")[0].as_py()
-        h, sums, pairs = [np.empty(0, _U)], [np.empty((0, 6), np.int64)], np.zeros(4, np.int64)
+        files = SharedFiles(uri)
+        sums, pairs = np.zeros((len(files.map_or_empty(f"word-hash-{shard}", "<u8")), 6), np.int64), np.zeros(4, np.int64)
         for data in table.column("data"):
             found = unpack(data.as_py())
             if len(found) == 1:
                 pairs += found[0].astype(np.int64)
                 continue
-            as_token, as_context = found[0], found[3]
-            both = np.zeros((len(as_token) + len(as_context), 6), np.int64)
-            both[: len(as_token), :2] = np.stack(found[1:3], 1)
-            both[len(as_token) :, 2:] = np.stack(found[4:8], 1)
-            h += [as_token, as_context]
-            sums.append(both)
-        words, columns = _sums_by(np.concatenate(h), list(np.concatenate(sums).T))
-        files = SharedFiles(uri)
-        files.write(f"word-hash-{shard}", words)
-        files.write(f"word-sums-{shard}", np.stack(columns, 1).astype("<i8"))
-        c, left = columns[0], columns[1]
+            place = lambda steps: (np.cumsum(steps, dtype=_U) - (_U(shard) << _U(bits))).astype(np.int64)
+            sums[place(found[0]), :2] += np.stack(found[1:3], 1).astype(np.int64)
+            sums[place(found[3]), 2:] += np.stack(found[4:8], 1).astype(np.int64)
+        files.write(f"word-sums-{shard}", sums.astype("<i8"))
+        c, left = sums[:, 0], sums[:, 1]
         totals = [int((c > 0).sum()), int(c.sum()), int(left.sum()), *pairs.tolist(), *(int((left == k).sum()) for k in (1, 2, 3, 4))]
         return pa.table({n: pa.array([x], pa.int64()) for n, x in zip(names, totals, strict=True)})
 
@@ -273,79 +332,87 @@ def train(docs: DataFrame) -> dict:
     shards = -(-size // SHARD_BYTES) or 1
     word_shards = -(-shards // SHARDS_TO_WORD_SHARDS)
     uri = shared_dir(docs.sparkSession)
-    blobs = merge_bigrams(count_bigrams(docs, shards), uri, word_shards)
-    return merge_words(blobs, uri).first().asDict() | {"uri": uri, "shards": shards, "word_shards": word_shards}
+    with dropping_shuffles(docs.sparkSession):
+        bits = write_vocabulary(docs, uri, word_shards)
+        if bits + (word_shards - 1).bit_length() > 32:
+            raise ValueError("more words than 32-bit numbers hold")
+        blobs = merge_bigrams(count_bigrams(docs, uri, shards, word_shards, bits), uri, word_shards, bits)
+        totals = merge_words(blobs, uri, bits).first().asDict()
+    return totals | {"uri": uri, "shards": shards, "word_shards": word_shards, "bits": bits}
 
 
 class Model:
     """The arrays of a trained model, mapped into memory."""
 
-    def __init__(self, uri: str, shards: int, word_shards: int, totals: tuple) -> None:
+    def __init__(self, uri: str, shards: int, word_shards: int, bits: int, totals: tuple) -> None:
         files, t = SharedFiles(uri), dict(totals)
-        self.vocabulary, self.tokens, self.types = t["vocabulary"], t["tokens"], t["types"]
+        self.tokens, self.types, self.seen = t["tokens"], t["types"], t["vocabulary"]
         self.pair_discounts = discounts([t[f"pairs{k}"] for k in (1, 2, 3, 4)])
         self.word_discounts = discounts([t[f"words{k}"] for k in (1, 2, 3, 4)])
-        self.words, self.pairs = [], []
-        if self.tokens:
-            self.words = [(self._map(files, f"word-hash-{w}", "<u8"), self._map(files, f"word-sums-{w}", "<i8").reshape(-1, 6)) for w in range(word_shards)]
-            for s in range(shards):
-                h = self._map(files, f"pair-hash-{s}", "<u8")
-                c = self._map(files, f"pair-count-{s}", "<u4")
-                self.pairs.append((h, c if len(c) == len(h) else self._map(files, f"pair-count-{s}", "<u8")))
+        self.vocabulary = Vocabulary(uri, word_shards, bits)
+        self.sums = [files.map_or_empty(f"word-sums-{w}", "<i8").reshape(-1, 6) for w in range(word_shards)]
+        self.pairs = [tuple(files.map_or_empty(f"pair-{kind}-{s}", dtype) for kind, dtype in (("hash", "<u8"), ("count", "<u1"), ("large", "<i8"))) for s in range(shards)]
         freed = sum(t[f"words{k}"] * self.word_discounts[k] for k in (1, 2))
-        words_seen = self.vocabulary - t["words1"] - t["words2"]
+        words_seen = self.seen - t["words1"] - t["words2"]
         self.rest = (freed + words_seen * self.word_discounts[3]) / self.types if self.types else 1.0
 
-    @staticmethod
-    def _map(files: SharedFiles, name: str, dtype: str) -> np.ndarray:
-        try:
-            return files.map(name, dtype)
-        except FileNotFoundError:  # no hash fell into this shard
-            return np.empty(0, dtype)
+    def word_sums(self, number: np.ndarray) -> np.ndarray:
+        """WORD_SUMS of word numbers; zeros for -1."""
+        out = np.zeros((len(number), 6))
+        for w, sums in enumerate(self.sums):
+            at = np.flatnonzero(number >> self.vocabulary.bits == w)
+            if len(at) and len(sums):
+                out[at] = sums[number[at] & ((1 << self.vocabulary.bits) - 1)]
+        return out
 
-    @staticmethod
-    def _look_up(shards: list, h: np.ndarray, width: int) -> np.ndarray:
-        """Rows of the hashes h (any order); zeros where unknown."""
-        out = np.zeros((len(h), width), np.int64)
+    def pair_counts(self, h: np.ndarray) -> np.ndarray:
+        """Counts of bigram hashes (any order); 0 where unknown."""
+        out = np.zeros(len(h), np.int64)
         order = np.argsort(h)
-        ends = np.searchsorted(shard_of(h[order], max(1, len(shards))), np.arange(len(shards) + 1))
-        for s, (keys, values) in enumerate(shards):
+        ends = np.searchsorted(shard_of(h[order], len(self.pairs)), np.arange(len(self.pairs) + 1))
+        for s, (keys, counts, large) in enumerate(self.pairs):
             at = order[ends[s] : ends[s + 1]]
             if len(at) and len(keys):
                 place = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
                 hit = keys[place] == h[at]
-                out[at[hit]] = values[place[hit]].reshape(-1, width)
+                found = counts[place].astype(np.int64)
+                many = np.flatnonzero(hit & (found == 255))
+                if len(many):
+                    half = len(large) // 2
+                    found[many] = large[half:][np.searchsorted(large[:half], place[many])]
+                out[at[hit]] = found[hit]
         return out
 
     def score(self, tokens: Tokens) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base_score and score of each text."""
         u, v = tokens.bigrams()
         size, h = len(tokens.ids), hashes(list(tokens.ids))
-        sums = self._look_up(self.words, h, 6).astype(float)
-        uniform = 1.0 / (self.vocabulary + 1)
+        number = self.vocabulary.numbers(h)
+        sums = self.word_sums(number)
+        uniform = 1.0 / (self.seen + 1)
         n = sums[:, 1]
         p1 = np.maximum(n - self.word_discounts[np.minimum(n, 3).astype(int)], 0) / max(self.types, 1) + self.rest * uniform
         freed = (sums[:, 3:6] @ self.pair_discounts[1:]) / np.maximum(sums[:, 2], 1)
         pairs, inverse = np.unique(u * size + v, return_inverse=True)
         a, b = pairs // size, pairs % size
-        c = self._look_up(self.pairs, pair_hash(h[a], h[b]), 1)[:, 0]
+        c = np.where((number[a] >= 0) & (number[b] >= 0), self.pair_counts(pair_hash(number[a].astype(_U), number[b].astype(_U))), 0)
         seen = sums[a, 2] > 0
         direct = (c - self.pair_discounts[np.minimum(c, 3)]) / np.maximum(sums[a, 2], 1)
         p = np.log10(np.where(seen, direct + freed[a] * p1[b], p1[b]))[inverse]
-        base = np.log10((sums[:, 0] + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1)))[v]
+        base = np.log10((sums[:, 0] + 0.5) / (self.tokens + 0.5 * (self.seen + 1)))[v]
         lengths = np.array(tokens.lengths)
         starts = np.cumsum(lengths) - lengths
         return lengths, np.add.reduceat((sums[:, 0] > 0)[v].astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(p, starts)
 
 
 @lru_cache(maxsize=2)
-def load(uri: str, shards: int, word_shards: int, totals: tuple) -> Model:
-    return Model(uri, shards, word_shards, totals)
+def load(uri: str, shards: int, word_shards: int, bits: int, totals: tuple) -> Model:
+    return Model(uri, shards, word_shards, bits, totals)
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score (log10 probability) of every text."""
-    where = (model["uri"], model["shards"], model["word_shards"], tuple((k, v) for k, v in model.items() if isinstance(v, int)))
+    where = (model["uri"], model["shards"], model["word_shards"], model["bits"], tuple((k, v) for k, v in model.items() if isinstance(v, int)))
     train_tokens = model["tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,7 +428,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             for doc_id, text in zip(pc.cast(batch.column("doc_id"), pa.int64()), batch.column("text"), strict=True):
                 tokens.add(text.as_py())
                 ids.append(doc_id.as_py())
-                if tokens.held > TOKENS_AT_ONCE // 2:
+                if tokens.held > TOKENS_AT_ONCE // 3:
                     yield flush(tokens, ids)
                     tokens, ids = Tokens(), []
         if ids:
@@ -376,5 +443,3 @@ def op7_kneser_ney(spark, sf_dir: str) -> DataFrame:
     model = train(docs.filter(crc_mod(F.col("doc_id"), 5) != 1))
     out = score(docs, model)
     return out.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
-
-
