@@ -228,3 +228,27 @@ def test_coverage_and_empty_inputs(spark, candles):
         assert f(none).count() == 0
     assert trades.totals(spark.createDataFrame([], "symbol string, ts timestamp, price double, size double, exchange string, trade_id long"), ["symbol"]).count() == 0
     assert portfolio.POLICY["stop_loss"] == 4.0
+
+
+def test_alpha_expressions(spark, candles):
+    from tidemark.operators import alpha
+
+    e = ("neg", ("zscore", ("delta", ("col", "close"), 3), 20))
+    got = alpha.with_expressions(candles, [e, ("rank", ("col", "close"), 30)]).toPandas().sort_values(["symbol", "day"])
+    step = got.groupby("symbol").close.transform(lambda x: x.diff(3).fillna(0))
+    mean = step.groupby(got.symbol).transform(lambda x: x.rolling(20, min_periods=1).mean())
+    sd = step.groupby(got.symbol).transform(lambda x: x.rolling(20, min_periods=1).std(ddof=0)).where(lambda x: x > 1e-12, 1.0)
+    assert np.allclose(got[alpha.name_of(e)], -((step - mean) / sd).clip(-6, 6), atol=1e-6)
+    assert alpha.text(e) == "neg(zscore(delta(close, 3), 20))" and alpha.depth(e) == 3 and alpha.size(e) == 4
+    kids = alpha.breed(list(alpha.SEEDS.values()), random.Random(1))
+    assert len(kids) == 12 and len({alpha.text(k) for k in kids}) == 12
+
+
+def test_registries(spark):
+    from tidemark.operators import scoring
+
+    old = spark.createDataFrame([(1, "a", 1), (2, "b", None)], "id int, x string, y int")
+    new = spark.createDataFrame([(2, None, 5), (3, "c", None)], "id int, x string, y int")
+    assert sorted(map(tuple, scoring.upsert_keeping(old, new, ["id"]).collect())) == [(1, "a", 1), (2, "b", 5), (3, "c", None)]
+    names = spark.createDataFrame([("Apple Inc. Common Stock", "stock"), ("Example Acquisition Inc. - Warrants", "stock"), ("Example 7% Preferred Stock", "stock"), ("Bear ETF", "ETF"), ("BHP Group Ltd", "Common Stock")], "n string, k string")
+    assert [r[0] for r in names.select(scoring.eligible(F.col("n"), F.col("k"))).collect()] == [True, False, False, False, True]

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.plans import bar_queries, indicator_queries, structure_queries, metric_queries, event_queries, panel_queries, model_queries
+from tidemark.plans import bar_queries, indicator_queries, structure_queries, metric_queries, event_queries, panel_queries, model_queries, scoring_queries
 from tidemark.plans.bar_queries import flagship
 from tidemark.plans.registry import QUERIES, SQL
 
 __all__ = ["flagship", "queries", "oracle_sql"]
-MODULES = (bar_queries, indicator_queries, structure_queries, metric_queries, event_queries, panel_queries, model_queries)
+MODULES = (bar_queries, indicator_queries, structure_queries, metric_queries, event_queries, panel_queries, model_queries, scoring_queries)
 
 
 def queries() -> dict:
