@@ -95,7 +95,7 @@ def test_sketches_never_part_linked_sets():
                 b = np.concatenate([a[int(rng.integers(0, n // 15 + 1)) :], rng.integers(1 << 60, 1 << 62, int(rng.integers(0, n // 15 + 1))).astype(np.uint64)])
                 common = len(np.intersect1d(a, b))
                 apart = len(a) + len(b) - 2 * common
-                bits = sum(((x ^ y) & ((1 << 64) - 1)).bit_count() for x, y in zip(jj.sketch(a), jj.sketch(b), strict=True))
+                bits = sum(((x ^ y) & ((1 << 64) - 1)).bit_count() for x, y in zip(jj.sketch(a).tolist(), jj.sketch(b).tolist(), strict=True))
                 assert bits <= apart
                 if 100 * common >= percent * (len(a) + len(b) - common):
                     assert (100 + percent) * bits <= (100 - percent) * (len(a) + len(b))

@@ -31,8 +31,8 @@ Shingles and sets are known by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Bits of a sketch, 64 in a column; the last bits of a signature name its instance.
 SKETCH = 1024
+#: Parts in which candidate pairs are sifted.
+SLICES = 4
 INSTANCE_BITS = 12
 
 _U = np.uint64
@@ -152,20 +154,32 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     return np.concatenate([a for a, _ in done]), np.concatenate([b for _, b in done])
 
 
-def set_table(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, node (null for empty sets) of every row."""
+SKETCH_COLUMNS = [f"s{j}" for j in range(SKETCH // 64)]
+
+
+def sketch(features: np.ndarray) -> np.ndarray:
+    """Parities of the shingles in SKETCH cells, as signed 64-bit numbers."""
+    cells = (mix(features + PRIMES[4]) >> _U(32)) * _U(SKETCH) >> _U(32)
+    return np.packbits(np.bincount(cells.astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).view(np.int64)
+
+
+def set_table(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, node (null for empty sets), band and sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            n, node = [], []
-            for text in batch.column("text"):
+            n, node, prints = [], [], np.zeros((batch.num_rows, len(SKETCH_COLUMNS)), np.int64)
+            for i, text in enumerate(batch.column("text")):
                 features = shingles(lower_words(text.as_py()), shingle, hasher)
                 n.append(len(features))
                 node.append(node_of(features) if len(features) else None)
-            yield pa.RecordBatch.from_arrays([pc.cast(batch.column("doc_id"), pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=["doc_id", "n_shingles", "node"])
+                prints[i] = sketch(features)
+            band = np.searchsorted(bands(percent, 1 << max(n, default=1).bit_length()), np.array(n, np.int64))
+            columns = [pc.cast(batch.column("doc_id"), pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(band, pa.int64()), *(pa.array(x) for x in prints.T)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node", "band", *SKETCH_COLUMNS])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, band long, " + ", ".join(f"{c} long" for c in SKETCH_COLUMNS))
 
 
 def signature_table(docs: DataFrame, shingle: int, percent: int, words_at_once: int = 400_000) -> DataFrame:
@@ -196,17 +210,8 @@ def signature_table(docs: DataFrame, shingle: int, percent: int, words_at_once:
     return docs.filter("doc_id is not null").select("text").mapInArrow(run, "sig long, node long")
 
 
-SKETCH_COLUMNS = [f"s{j}" for j in range(SKETCH // 64)]
-
-
-def sketch(features: np.ndarray) -> list[int]:
-    """Parities of the shingles in SKETCH cells, as signed 64-bit numbers."""
-    cells = (mix(features + PRIMES[4]) >> _U(32)) * _U(SKETCH) >> _U(32)
-    return np.packbits(np.bincount(cells.astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).view(np.int64).tolist()
-
-
-def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """node, features (sorted 64-bit hashes as binary), size, band and sketch of the wanted (doc_id, node)."""
+def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """node, features (sorted 64-bit hashes as binary) of the wanted (doc_id, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -214,17 +219,14 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int, percent: int) -> D
             for text, node in zip(batch.column("text"), batch.column("node"), strict=True):
                 features = shingles(lower_words(text.as_py()), shingle, hasher)
                 if len(features) and node_of(features) == node.as_py():
-                    band = int(np.searchsorted(bands(percent, 1 << len(features).bit_length()), len(features)))
-                    numbers = [node.as_py(), len(features), band, *sketch(features)]
-                    yield pa.RecordBatch.from_arrays([pa.array([features.tobytes()], pa.binary()), *(pa.array([x], pa.int64()) for x in numbers)], names=["features", "node", "size", "band", *SKETCH_COLUMNS])
+                    yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.int64()), pa.array([features.tobytes()], pa.binary())], names=["node", "features"])
 
     joined = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
-    return joined.mapInArrow(run, "features binary, node long, size long, band long, " + ", ".join(f"{c} long" for c in SKETCH_COLUMNS)).dropDuplicates(["node"])
+    return joined.mapInArrow(run, "node long, features binary").dropDuplicates(["node"])
 
 
-def sketches(sets: DataFrame, prefix: str) -> DataFrame:
-    """The sets without their features, columns renamed."""
-    return sets.select(*(F.col(c).alias(prefix + c) for c in ("node", "size", "band", *SKETCH_COLUMNS)))
+def sketches(nodes: DataFrame, prefix: str) -> DataFrame:
+    return nodes.select(*(F.col(c).alias(prefix + c) for c in ("node", "size", "band", *SKETCH_COLUMNS)))
 
 
 def may_link(a: str, b: str, percent: int) -> Column:
@@ -241,8 +243,8 @@ def in_instance(sig: str) -> Column:
     return F.col(sig).bitwiseAND(F.lit((1 << INSTANCE_BITS) - 1))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link."""
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that link, by their whole sets, which are made for these nodes only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,47 +257,64 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(a) + len(b) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = durable(sets_of(docs, nodes.select("doc_id", "node").join(used, "node"), shingle))
     a = sets.select(F.col("node").alias("na"), F.col("features").alias("fa"))
     b = sets.select(F.col("node").alias("nb"), F.col("features").alias("fb"))
     joined = pairs.join(a, F.col("a") == F.col("na")).join(b, F.col("b") == F.col("nb")).select("a", "b", "fa", "fb")
-    return joined.mapInArrow(run, "a long, b long")
+    out = durable(joined.mapInArrow(run, "a long, b long"))
+    discard(sets)
+    return out
 
 
 def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _sifted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _sifted(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b) of (sig, a, b) that lie in the instance of their larger set and may link."""
     pairs = pairs.select(in_instance("sig").alias("instance"), "a", "b").distinct()
-    near = pairs.join(sketches(sets, "x_"), F.col("a") == F.col("x_node")).join(sketches(sets, "y_"), (F.col("b") == F.col("y_node")) & (F.col("instance") == instance_of("x_", "y_")) & may_link("x_", "y_", percent))
+    near = pairs.join(sketches(nodes, "x_"), F.col("a") == F.col("x_node")).join(sketches(nodes, "y_"), (F.col("b") == F.col("y_node")) & (F.col("instance") == instance_of("x_", "y_")) & may_link("x_", "y_", percent))
     return near.select("a", "b")
 
 
+def in_slices(rows: DataFrame, sift: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The distinct results of sift over SLICES parts of the signatures, one after another: that much less disk at a time."""
+    found = [durable(sift(rows.filter(F.pmod(F.shiftright("sig", INSTANCE_BITS), F.lit(SLICES)) == i))) for i in range(SLICES)]
+    out = durable(reduce(DataFrame.unionByName, found).distinct())
+    discard(*found)
+    return out
+
+
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
-    table = durable(set_table(docs, shingle))
+    table = durable(set_table(docs, shingle, percent))
+    first = F.min(F.struct("doc_id", F.col("n_shingles").alias("size"), "band", *SKETCH_COLUMNS)).alias("x")
+    sets = durable(table.filter("node is not null and doc_id is not null").groupBy("node").agg(first).select("node", "x.*"))
     by_sig = Window.partitionBy("sig")
     buckets = signature_table(docs, shingle, percent).withColumns({"first": F.min("node").over(by_sig), "last": F.max("node").over(by_sig)})
     # repeated (sig, node) rows of copies go here, where rows are few
     buckets = durable(buckets.filter("first <> last").distinct())
-    wanted = table.join(buckets.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = durable(sets_of(docs, wanted, shingle, percent))
     centres = F.explode(F.array("first", "last")).alias("centre")
-    tested = durable(_sifted(buckets.select("sig", "node", centres).filter("node <> centre").select("sig", *_pair("centre", "node")), sets, percent))
-    links = durable(verified(tested, sets, percent))
+    tested = in_slices(buckets, lambda part: _sifted(part.select("sig", "node", centres).filter("node <> centre").select("sig", *_pair("centre", "node")), sets, percent))
+    links = verified(tested, docs, sets, shingle, percent)
     roots = durable(connected_components(links))
     placed = buckets.select("sig", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # buckets that still hold several components, but for those of two nodes
     open_sigs = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high and n > 2").select("sig")
     open_rows = durable(placed.join(open_sigs, "sig"))
-    left = open_rows.join(sketches(sets, "x_"), F.col("node") == F.col("x_node"))
-    right = open_rows.select(F.col("sig").alias("sig2"), F.col("node").alias("node2"), F.col("root").alias("root2")).join(sketches(sets, "y_"), F.col("node2") == F.col("y_node"))
-    near = (F.col("sig") == F.col("sig2")) & (F.col("root") < F.col("root2")) & (in_instance("sig") == instance_of("x_", "y_")) & may_link("x_", "y_", percent)
-    fresh = durable(left.join(right, near).select(*_pair("node", "node2")).distinct().join(tested, ["a", "b"], "left_anti"))
-    more = durable(verified(fresh, sets, percent))
+    discard(buckets)
+
+    def across(part: DataFrame) -> DataFrame:
+        left = part.join(sketches(sets, "x_"), F.col("node") == F.col("x_node"))
+        right = part.select(F.col("sig").alias("sig2"), F.col("node").alias("node2"), F.col("root").alias("root2")).join(sketches(sets, "y_"), F.col("node2") == F.col("y_node"))
+        near = (F.col("sig") == F.col("sig2")) & (F.col("root") < F.col("root2")) & (in_instance("sig") == instance_of("x_", "y_")) & may_link("x_", "y_", percent)
+        return left.join(right, near).select(*_pair("node", "node2")).distinct()
+
+    fresh = in_slices(open_rows, across)
+    more = verified(fresh.join(tested, ["a", "b"], "left_anti"), docs, sets, shingle, percent)
     old, roots = roots, durable(connected_components(links.unionByName(more)))
-    discard(old, buckets, sets, tested, links, open_rows, fresh, more)
+    discard(old, sets, tested, links, open_rows, fresh, more)
     nodes = table.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first_doc"))
     nodes = durable(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     ids = nodes.groupBy("root").agg(F.min("first_doc").alias("component_id"))
