@@ -161,3 +161,36 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     sized = durable(with_sizes(read(spark, sf_dir, "documents")))
     return mix(sized).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         substr(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 16) AS order_key
+  FROM documents),
+src AS (SELECT source, count(*) AS n_docs, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM src),
+w AS (SELECT *, CASE (nth - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM ranked),
+f AS (SELECT *, 2.0::DOUBLE * source_size / weight AS fill_at FROM w),
+g AS (SELECT *, row_number() OVER (ORDER BY fill_at, nth) AS place,
+             coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY fill_at, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+             sum(weight) OVER (ORDER BY fill_at, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM f),
+level AS (SELECT first((total - filled) / open ORDER BY place) AS level FROM g WHERE (total - filled) / open <= fill_at),
+t AS (SELECT nth, source, n_docs, source_size, least(2.0::DOUBLE * source_size, coalesce(level, 0) * weight) AS target, greatest(1, CAST(ceil(n_docs / 4096.0) AS BIGINT)) AS n_shards FROM g, level),
+house AS (SELECT CAST(floor(sum(target) / 8 + 0.5) AS BIGINT) AS seats, sum(target) AS mass FROM t),
+q AS (SELECT nth, target / (2 * k + 1) AS quotient FROM (SELECT nth, target, seats, unnest(range(CAST(floor(target * seats / mass) AS BIGINT) + 2)) AS k FROM t, house WHERE target > 0)),
+won AS (SELECT nth, count(*) AS quota FROM (SELECT nth, row_number() OVER (ORDER BY quotient DESC, nth) AS r FROM q), house WHERE r <= seats GROUP BY nth),
+laid AS (SELECT d.*, t.nth, t.source_size, t.target, coalesce(won.quota, 0) AS source_quota, coalesce('=' || d.source, 'null') AS key, CAST('0x' || substr(reverse(order_key), 1, 8) AS BIGINT) % n_shards AS shard
+         FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN won ON won.nth = t.nth),
+sh AS (SELECT nth, key, shard, any_value(source_quota) AS seats, CAST(sum(size) AS BIGINT) AS shard_size FROM laid GROUP BY nth, key, shard),
+sq AS (SELECT nth, shard, seats, shard_size / (2.0::DOUBLE * k + 1) AS quotient FROM (SELECT nth, shard, seats, shard_size, unnest(range(CAST(floor(shard_size * seats / mass) AS BIGINT) + 2)) AS k FROM (SELECT *, sum(shard_size) OVER (PARTITION BY nth) AS mass FROM sh) WHERE shard_size > 0)),
+sw AS (SELECT nth, shard, count(*) AS quota FROM (SELECT *, row_number() OVER (PARTITION BY nth ORDER BY quotient DESC, shard) AS r FROM sq) WHERE r <= seats GROUP BY nth, shard),
+b AS (SELECT sh.nth, sh.shard, CAST(ceil(shard_size / 8.0) AS BIGINT) AS m, least(coalesce(quota, 0), 2 * CAST(ceil(shard_size / 8.0) AS BIGINT)) AS quota,
+             CAST('0x' || substr(md5('mix-1|' || key || '|' || CAST(sh.shard AS VARCHAR)), 1, 8) AS BIGINT) % greatest(1, CAST(ceil(shard_size / 8.0) AS BIGINT)) AS start
+      FROM sh LEFT JOIN sw ON sh.nth = sw.nth AND sh.shard = sw.shard),
+c AS (SELECT *, CASE WHEN m > 0 THEN quota // greatest(m, 1) ELSE 0 END AS rounds, CASE WHEN m > 0 THEN start + quota % greatest(m, 1) ELSE start END AS stop FROM b),
+p AS (SELECT *, sum(size) OVER (PARTITION BY key, shard ORDER BY order_key, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS last FROM laid)
+SELECT p.doc_id, p.size, p.source_size, p.target,
+       CAST(rounds * size + greatest(0, least(last, least(stop, m) * 8) - greatest(last - size, start * 8)) + greatest(0, least(last, greatest(stop - m, 0) * 8) - (last - size)) AS BIGINT) AS taken
+FROM p JOIN c ON p.nth = c.nth AND p.shard = c.shard
+"""

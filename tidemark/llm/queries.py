@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.OP1_SQL, "op3_quality_rules": quality_rules.OP3_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
+    return {"op1_url_filter": url_filter.OP1_SQL, "op3_quality_rules": quality_rules.OP3_SQL, "op5_mixing": mixing.OP5_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
