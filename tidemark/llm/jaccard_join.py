@@ -13,9 +13,10 @@ subset without shingles says nothing and would gather unrelated documents, so it
 the signatures of the partition's shingles, whole and with each one left out, which linked sets
 that differ in the third cell alone share as well. For k = 0 the set is the signature.
 
-Joining. Equal sets are one node. In each bucket (documents with one signature) all nodes are
-compared with its smallest and its largest node only, and links joined to components. Pairs of
-one bucket whose ends are still in different components, and only those, are then compared too.
+Joining. Equal sets are one node. In each bucket (documents with one signature) all nodes meet
+its smallest and its largest node only; each node is compared with the first of those it may link
+with, and links are joined to components. Pairs of one bucket whose ends are still in different
+components, and only those, are then compared too.
 So no link between components is lost, and groups of near copies cost their size, not its
 square. A pair counts in the instance of its larger set only.
 
@@ -296,12 +297,15 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     # repeated (sig, node) rows of copies go here, where rows are few
     buckets = durable(buckets.filter("first <> last").distinct())
     centres = F.explode(F.array("first", "last")).alias("centre")
-    tested = in_slices(buckets, lambda part: _sifted(part.select("sig", "node", centres).filter("node <> centre").select("sig", *_pair("centre", "node")), sets, percent))
+    stars = in_slices(buckets, lambda part: _sifted(part.select("sig", "node", centres).filter("node <> centre").select("sig", *_pair("centre", "node")), sets, percent))
+    # one pair of each node first: most other pairs then lie inside a component
+    tested = durable(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    discard(stars)
     links = verified(tested, docs, sets, shingle, percent)
     roots = durable(connected_components(links))
     placed = buckets.select("sig", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # buckets that still hold several components, but for those of two nodes
-    open_sigs = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high and n > 2").select("sig")
+    # buckets that still hold several components
+    open_sigs = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("sig")
     open_rows = durable(placed.join(open_sigs, "sig"))
     discard(buckets)
 
