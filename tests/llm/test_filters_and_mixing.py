@@ -170,6 +170,51 @@ def test_line_dedup_equals_direct_definition(spark):
     assert got == lines_by_hand(rows, 20) and any(got[i] != t for i, t in rows)
 
 
+def runs_by_hand(rows, n):
+    """Deletes every line of any run of n words or more that stands at an earlier place."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        raw = t.split("\n")
+        at = [k for k, x in enumerate(raw) if x.split()]
+        gone = set()
+        for a in range(len(at)):
+            held, run = 0, ()
+            for b in range(a, len(at)):
+                held += len(raw[at[b]].split())
+                run += (" ".join(raw[at[b]].split()),)
+                if held >= n:
+                    if run in seen:
+                        gone.update(at[a : b + 1])
+                    seen.add(run)
+        out[i] = "\n".join(x for k, x in enumerate(raw) if k not in gone)
+    return out
+
+
+def test_line_dedup_deletes_whole_runs(spark):
+    rng = random.Random(16)
+    line = lambda n: " ".join(str(rng.randrange(10**9)) for _ in range(n))
+    rows = []
+    for sizes in ((20, 15, 15, 10), (45, 5, 40), (10, 60, 3), (3, 60, 49)):
+        passage = [line(n) for n in sizes]
+        rows += [(len(rows) + j, "\n".join([line(7), *passage, line(7)])) for j in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    assert got == runs_by_hand(rows, 50)
+    assert [len(got[i].split()) for i in (1, 3, 5, 7)] == [14] * 4
+
+
+def test_line_dedup_equals_runs_by_hand(spark):
+    rng = random.Random(26)
+    line = lambda: " ".join(f"w{rng.randrange(3)}" for _ in range(rng.choice([1, 2, 3, 8, 20])))
+    passages = [[line() for _ in range(rng.choice([2, 5, 9]))] for _ in range(6)]
+    rows = []
+    for i in range(150):
+        text = [line() for _ in range(rng.randrange(4))] + [x for p in rng.sample(passages, 2) for x in p[rng.randrange(3) :]]
+        rows.append((i, "\n".join([*text, "", line()])))
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 20).collect()}
+    assert got == runs_by_hand(rows, 20) and any(got[i] != t for i, t in rows)
+
+
 def test_line_dedup_edges(spark):
     schema = "doc_id long, text string"
     assert line_dedup.dedup_lines(spark.createDataFrame([], schema)).count() == 0

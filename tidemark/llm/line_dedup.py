@@ -1,17 +1,19 @@
 """Line dedup by winnowing over line hashes.
 
 A text is its \\n-split lines that hold a word; a line counts as its words. From every line a
-window reaches to the first line with which it holds min_words words (none, if the text ends
-before). The window's minimum - the line with the most words, ties to the smaller hash - is its
-fingerprint. A repeated run of min_words words or more holds all of the window at its start, so
-whatever stands around it, that window's minimum is selected in both places: the guarantee.
-
-Fingerprints are joined with the first place where the same window selected them (first by doc_id,
-then by line), so each costs one row, however often it repeats. Matches of a document are then
-extended both ways: matches with the same first document and distance grow together to maximal
-runs. Later runs are deleted, the first stays. The join key is the window around the fingerprint,
-not its line alone, so a line that is common elsewhere can't hide a run: a line goes exactly if it
-lies in a stretch of min_words or more that stands, as a window, at an earlier place.
+window reaches forwards to the first line with which it holds min_words words (none, if the text
+ends before), and another backwards likewise; those that are equal count once. The window's
+minimum - the line with the most words, ties to the smaller hash - is its fingerprint. Whether a
+stretch of lines is a window depends on these lines alone, so whatever stands around a repeated
+run, the windows inside are selected in both places. They cover a run of min_words words or more
+wholly: of the words up to a line's end, those from its start, or all of the run, one holds a
+window with that line. This is what extending matches both ways, line by line, gives.
+
+Windows are joined with the first place of the same window (first by doc_id, then by line), so each
+costs one row, however often it repeats. Matches with the same first document and distance grow
+together to maximal runs. Later runs are deleted, the first stays. The join key is the window around
+the fingerprint, not its line alone, so a line that is common elsewhere can't hide a run: a line
+goes exactly if it lies in a run of min_words or more that also stands at an earlier place.
 
 Edge cases: null and empty texts have no lines and come back as they are; texts without repeated
 runs are untouched; else the lines left (blank ones too) are joined by \\n, and the text may become
@@ -46,17 +48,31 @@ def word_lines(text: str | None) -> list[tuple[int, int, bytes]]:
 
 def windows(lines: list[tuple[int, int, bytes]], min_words: int) -> list[tuple[int, int, int, bytes]]:
     """(first, last, fingerprint, key) of each window, as places in lines; key: hash of the window and its minimum."""
-    out, stop, held = [], 0, 0
+    out = []
+
+    def add(start: int, stop: int) -> None:
+        least = min(range(start, stop), key=lambda i: (-lines[i][1], lines[i][2], i))
+        key = xxhash.xxh3_128_digest(lines[least][2] + b"".join(x[2] for x in lines[start:stop]))
+        out.append((start, stop - 1, least, key))
+
+    stop, held = 0, 0
     for start in range(len(lines)):
         while stop < len(lines) and held < min_words:
             held += lines[stop][1]
             stop += 1
         if held < min_words:
             break
-        least = min(range(start, stop), key=lambda i: (-lines[i][1], lines[i][2], i))
-        key = xxhash.xxh3_128_digest(lines[least][2] + b"".join(x[2] for x in lines[start:stop]))
-        out.append((start, stop - 1, least, key))
+        add(start, stop)
         held -= lines[start][1]
+    start, held = 0, 0
+    for last in range(len(lines)):
+        held += lines[last][1]
+        while held - lines[start][1] >= min_words:
+            held -= lines[start][1]
+            start += 1
+        # else the window is one of those above
+        if held - lines[last][1] >= min_words:
+            add(start, last + 1)
     return out
 
 
