@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,10 @@ from tidemark.functions.scalars import clamp
 
 #: Policy in per cent (fixed defaults).
 POLICY = {"reserve_cash": 15.0, "max_position": 20.0, "max_sector": 35.0, "max_gross": 100.0, "stop_loss": 4.0, "max_drawdown": 12.0}
+#: Rows and queries of a packed block of vectors, and queries that are compared at once.
+BLOCK_ROWS = 4096
+QUERY_ROWS = 1024
+QUERIES_AT_ONCE = 256
 #: Market: commission, half spread, largest participation (fixed values).
 COSTS = {"ASX": (0.08, 0.055, 0.01), "US": (0.045, 0.025, 0.005), "CN": (0.07, 0.045, 0.008)}
 
@@ -110,6 +118,71 @@ def bandit(df: DataFrame, by: list[str], p: str, y: str, ret: str, thresholds: t
     return g.withColumn("best", best)
 
 
+def nearest(df: DataFrame, queries: DataFrame, dims: int, k: int = 18, extra: tuple[str, ...] = ()) -> DataFrame:
+    """query, id, distance (root mean square) and extra (double) of the k nearest of all rows of df (id, x) for each of queries.
+
+    Exact; ties go to the smaller id, and a row is no neighbour of its own id. Rows and queries meet
+    in packed blocks; a task keeps the k best of a query over all blocks that it sees. Rows without id
+    take no part, neither do arrays of another length or with null or non-finite numbers.
+    """
+
+    def packed(rows: DataFrame, names: tuple[str, ...], most: int) -> tuple[DataFrame, int]:
+        x = F.col("x").cast("array<double>")
+        fine = F.col("id").isNotNull() & (F.size("x") == dims) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+        rows = rows.filter(fine).select(F.col("id").cast("long").alias("id"), x.alias("x"), *(F.col(c).cast("double").alias(c) for c in names))
+        n = max(1, -(-rows.count() // most))
+
+        def pack(table: pa.Table) -> pa.Table:
+            columns = [table.column("id").to_numpy().astype("<i8"), np.stack(table.column("x").to_numpy()), *(table.column(c).to_numpy().astype("<f8") for c in names)]
+            return pa.table({"block_": table.column("block_").slice(0, 1)} | {c: pa.array([v.tobytes()], pa.binary()) for c, v in zip(("id", "x", *names), columns, strict=True)})
+
+        blocks = rows.withColumn("block_", F.pmod(F.xxhash64("id"), F.lit(n))).groupBy("block_")
+        return blocks.applyInArrow(pack, ", ".join(["block_ long", *(f"`{c}` binary" for c in ("id", "x", *names))])), n
+
+    def found(row: dict) -> list[np.ndarray]:
+        """query, id, distance and extra of a pair of blocks: the k best of each query."""
+        ids, asked = np.frombuffer(row["id"], "<i8"), np.frombuffer(row["asked_"], "<i8")
+        x, qx = np.frombuffer(row["x"]).reshape(-1, dims), np.frombuffer(row["qx_"]).reshape(-1, dims)
+        square, at_query, at_row, score = (x * x).sum(1), [], [], []
+        for first in range(0, len(asked), QUERIES_AT_ONCE):
+            q, own = qx[first : first + QUERIES_AT_ONCE], asked[first : first + QUERIES_AT_ONCE]
+            size = (q * q).sum(1)
+            rough = np.where(own[:, None] == ids, np.inf, size[:, None] + square - 2 * (q @ x.T))
+            # the margin is above the rounding of the product; the exact distances decide
+            limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + 1e-9 * (size + square.max()) if len(ids) > k else np.full(len(q), np.inf)
+            for j in range(len(q)):
+                near = np.flatnonzero((rough[j] <= limit[j]) & (own[j] != ids))
+                exact = ((x[near] - q[j]) ** 2).sum(1)
+                best = np.lexsort((ids[near], exact))[:k]
+                at_query.append(np.full(len(best), own[j]))
+                at_row.append(near[best])
+                score.append(np.sqrt(exact[best] / dims))
+        where = np.concatenate(at_row)
+        return [np.concatenate(at_query), ids[where], np.concatenate(score), *(np.frombuffer(row[c], "<f8")[where] for c in extra)]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                new = found(row)
+                if row["at_"] in kept:
+                    new = [np.concatenate(pair) for pair in zip(kept[row["at_"]], new, strict=True)]
+                order = np.lexsort((new[1], new[2], new[0]))
+                q = new[0][order]
+                kept[row["at_"]] = [v[order[np.arange(len(q)) - np.searchsorted(q, q) < k]] for v in new]
+        for columns in kept.values():
+            yield pa.RecordBatch.from_arrays([pa.array(v, from_pandas=True) for v in columns], names=["query", "id", "distance", *extra])
+
+    rows, _ = packed(df, extra, BLOCK_ROWS)
+    asked, n = packed(queries, (), QUERY_ROWS)
+    asked = asked.select(F.col("block_").alias("at_"), F.col("id").alias("asked_"), F.col("x").alias("qx_"))
+    # by hash, so that the blocks of one block of queries come to one task
+    blocks = rows.drop("block_").withColumn("at_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(asked.hint("shuffle_hash"), "at_")
+    near = blocks.mapInArrow(search, ", ".join(["query long, id long, distance double", *(f"`{c}` double" for c in extra)]))
+    return near.withColumn("k_", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).filter(F.col("k_") <= k).drop("k_")
+
+
 def knn(df: DataFrame, queries: DataFrame, by: list[str], dims: int, k: int = 18) -> DataFrame:
     """Weighted label means and coverage of the k nearest rows of each query within its group.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import alpha, panel
+from tidemark.operators import alpha, panel, portfolio
 from tidemark.operators import scoring as op
 from tidemark.plans.indicator_queries import ALPHA_SQL
 from tidemark.plans.registry import BARS_SQL, PREDICTIONS_SQL, query, r, r6
@@ -61,11 +61,11 @@ def ensemble_forecast(spark, sf_dir):
 g AS (SELECT query, list(d ORDER BY d) AS ds, avg(d) AS m FROM d GROUP BY query), c AS (SELECT query, greatest(0, least(100, 104 - ds[1] * 24 - m * 31 - ds[CAST(floor((len(ds) - 1) * 0.75) AS INT) + 1] * 11 + least(8, log10(500) * 3.5))) AS c FROM g)
 SELECT query, """ + r(coverage="c", coverage_weight="greatest(0.22, least(1, 0.22 + c * 0.0078))", ood_risk="1 - c / 100") + " FROM c")
 def neighbour_coverage(spark, sf_dir):
-    e = tables.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), F.floor(F.col("vec_id") / 20).alias("g"))
-    q = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query"), F.col("x").alias("qx"), "g")
-    d = F.sqrt(F.aggregate(F.zip_with("x", "qx", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v) / 64)
-    pairs = e.join(q, "g").filter("vec_id <> query").select("query", d.alias("distance"), F.lit(500).alias("samples"))
-    return op.neighbour_coverage(pairs, ["query"], "distance", "samples").select("query", r6("coverage"), r6("coverage_weight"), r6("ood_risk"))
+    """Against the 18 nearest of all other rows; the SQL knows only the 19 of the query's id block, and 500 samples."""
+    e = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
+    near = portfolio.nearest(e, e.filter("id % 10 = 0"), 64)
+    near = near.crossJoin(e.agg((F.count("*") - 1).alias("samples")))
+    return op.neighbour_coverage(near, ["query"], "distance", "samples").select("query", r6("coverage"), r6("coverage_weight"), r6("ood_risk"))
 
 
 @query(f"""WITH {BARS_SQL}, x AS (SELECT market, symbol, day, volume AS w, close - open AS y FROM bars) SELECT market, count(*) AS row_count, count(DISTINCT symbol) AS symbols, count(DISTINCT day) AS dates, CAST(ceil(count(DISTINCT day) / 5) AS BIGINT) AS blocks, {r(effective_n='sum(w) * sum(w) / sum(w * w)', positive_share='avg(CAST(y > 0 AS INT))')} FROM x GROUP BY market""")
