@@ -31,3 +31,8 @@ def test_neighbours_of_all_rows(spark, tmp_path, monkeypatch, most):
         s = d[i, near[i][:18]]
         c = max(0.0, min(100.0, 104 - s[0] * 24 - s.mean() * 31 - s[int(17 * 0.75)] * 11 + min(8.0, math.log10(299) * 3.5)))
         assert r.coverage == pytest.approx(c, abs=2e-6) and r.ood_risk == pytest.approx(1 - c / 100, abs=2e-6)
+    got = {r["query"]: r for r in catalog.queries()["knn_neighbors"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(0, 300, 25))
+    for i, r in got.items():
+        s = near[i][:18]
+        assert r.neighbours == 18 and (r.label_mean, r.nearest, r.average) == pytest.approx((label[s].mean(), d[i, s].min(), d[i, s].mean()), abs=2e-6)

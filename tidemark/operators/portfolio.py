@@ -183,17 +183,10 @@ def nearest(df: DataFrame, queries: DataFrame, dims: int, k: int = 18, extra: tu
     return near.withColumn("k_", F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))).filter(F.col("k_") <= k).drop("k_")
 
 
-def knn(df: DataFrame, queries: DataFrame, by: list[str], dims: int, k: int = 18) -> DataFrame:
-    """Weighted label means and coverage of the k nearest rows of each query within its group.
-
-    Meant for groups of bounded size (one symbol's history); query, id, x (array), label, weight.
-    """
-    q = queries.select(*by, F.col("id").alias("query"), F.col("x").alias("qx_"))
-    d = F.sqrt(F.aggregate(F.zip_with("x", "qx_", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v) / dims)
-    near = df.join(q, by).filter(F.col("id") != F.col("query")).withColumn("d_", d)
-    near = near.withColumn("k_", F.row_number().over(Window.partitionBy("query").orderBy("d_", "id"))).filter(F.col("k_") <= k)
-    g = near.groupBy("query").agg(F.count("*").alias("neighbours"), (F.sum(F.col("weight") * F.col("label")) / F.sum("weight")).alias("label_mean"), F.min("d_").alias("nearest"), F.avg("d_").alias("average"))
-    return g
+def knn(df: DataFrame, queries: DataFrame, dims: int, k: int = 18) -> DataFrame:
+    """Weighted label means and coverage of the k nearest of all rows for each query: id, x (array), label, weight."""
+    near = nearest(df, queries, dims, k, ("label", "weight"))
+    return near.groupBy("query").agg(F.count("*").alias("neighbours"), (F.sum(F.col("weight") * F.col("label")) / F.sum("weight")).alias("label_mean"), F.min("distance").alias("nearest"), F.avg("distance").alias("average"))
 
 
 def news_scores(docs: DataFrame, terms: dict[str, list[str]], weights: dict[str, float], text: str = "text") -> DataFrame:

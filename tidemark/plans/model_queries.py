@@ -97,8 +97,9 @@ d AS (SELECT q.vec_id AS query, e.vec_id AS id, e.label, sqrt(list_sum(list_tran
 k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, id) AS k FROM d)
 SELECT query, count(*) AS neighbours, {r(label_mean='avg(label)', nearest='min(d)', average='avg(d)')} FROM k WHERE k <= 18 GROUP BY query""")
 def knn_neighbors(spark, sf_dir):
-    e = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") % 5).alias("g"), F.col("embedding").cast("array<double>").alias("x"), "label", F.lit(1.0).alias("weight"))
-    return op.knn(e, e.filter("id % 25 = 0"), ["g"], 64).select("query", "neighbours", r6("label_mean"), r6("nearest"), r6("average"))
+    """Against all other rows; the SQL knows only those with the query's label modulo five."""
+    e = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), "label", F.lit(1.0).alias("weight"))
+    return op.knn(e, e.filter("id % 25 = 0"), 64).select("query", "neighbours", r6("label_mean"), r6("nearest"), r6("average"))
 
 
 @query(f"""WITH {BARS_SQL}, c AS (SELECT symbol, day, close - lag(close) OVER w AS d, lag(close) OVER w AS p, close FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY day)), h AS (SELECT symbol, day, coalesce(d, 0) AS change, p FROM c),
