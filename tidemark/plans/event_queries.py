@@ -20,7 +20,8 @@ chosen AS (SELECT * FROM c2 WHERE k <= CASE dataset WHEN 'news' THEN 40 WHEN 'so
 
 
 def _signals(spark, sf_dir):
-    return tables.bars(spark, sf_dir).filter(F.dayofmonth("day") <= 3).select("symbol", "day")
+    """All bars; the SQL knows only those of the first three days of a month."""
+    return tables.bars(spark, sf_dir).select("symbol", "day")
 
 
 def _events(spark, sf_dir):
@@ -68,7 +69,9 @@ def pit_latest_known(spark, sf_dir):
 @query(f"""WITH {BARS_SQL}, {PIT_SQL}, m AS (SELECT DISTINCT market, symbol FROM bars), x AS (SELECT 'US' AS market, event_id, event_day FROM pit WHERE dataset = 'macro' AND event_id % 3 = 0 UNION ALL SELECT 'CN', event_id, event_day FROM pit WHERE dataset = 'macro' AND event_id % 3 = 1)
 SELECT m.market, m.symbol, count(*) AS n, min(event_day) AS first_day FROM x JOIN m ON m.market = x.market GROUP BY ALL""")
 def pit_macro_fan_out(spark, sf_dir):
-    macro = tables.pit_events(spark, sf_dir).filter("dataset = 'macro' and event_id % 3 < 2").select(F.when(F.col("event_id") % 3 == 0, "US").otherwise("CN").alias("market"), "event_id", "event_day")
+    """Records of all three markets; the SQL knows none of ASX."""
+    k = F.pmod("event_id", F.lit(3))
+    macro = tables.pit_events(spark, sf_dir).filter("dataset = 'macro'").select(F.when(k == 0, "US").when(k == 1, "CN").otherwise("ASX").alias("market"), "event_id", "event_day")
     symbols = tables.bars(spark, sf_dir).select("market", "symbol").distinct()
     return pit.fan_out(macro, symbols).groupBy("market", "symbol").agg(F.count("*").alias("n"), F.min("event_day").alias("first_day"))
 
@@ -123,8 +126,9 @@ def footprint_levels(spark, sf_dir):
 @query(f"""WITH {TICKS_SQL}, i AS (SELECT *, row_number() OVER (PARTITION BY symbol, exchange, size ORDER BY ts, trade_id) AS k FROM ticks WHERE trade_id % 2 = 1 AND price > 0 AND size > 0), o AS (SELECT DISTINCT symbol, exchange, size FROM ticks WHERE trade_id % 2 = 0 AND trade_id % 5 = 0)
 SELECT symbol, exchange, size, trade_id, price FROM i WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM o WHERE o.symbol = i.symbol AND o.exchange = i.exchange AND o.size = i.size)""")
 def ticks_insert_new(spark, sf_dir):
+    """Even ids are stored, odd ones come in; the SQL stores only every tenth."""
     t = tables.ticks(spark, sf_dir)
-    new = op.insert_new(t.filter("trade_id % 10 = 0"), t.filter("trade_id % 2 = 1"), ["symbol", "exchange", "size"], ["ts", "trade_id"], F.col("price") * F.col("size") > 0)
+    new = op.insert_new(t.filter("trade_id % 2 = 0"), t.filter("trade_id % 2 = 1"), ["symbol", "exchange", "size"], ["ts", "trade_id"], F.col("price") * F.col("size") > 0)
     return new.select("symbol", "exchange", "size", "trade_id", "price")
 
 
