@@ -47,6 +47,8 @@ WHOLE = {
     "pit_event_features": [(" WHERE dayofmonth(day) <= 3", "")],
     "pit_macro_fan_out": [("event_id % 3 = 1)", "event_id % 3 = 1 UNION ALL SELECT 'ASX', event_id, event_day FROM pit WHERE dataset = 'macro' AND event_id % 3 = 2)")],
     "ticks_insert_new": [(" AND trade_id % 5 = 0", "")],
+    "decision_scores": [(" WHERE dayofmonth(day) = 1", "")],
+    "prediction_maturation": [("1996-06-30", "2001-07-31"), (" WHERE o_orderdate < TIMESTAMP '1996-07-01' AND o_orderdate >= TIMESTAMP '1996-01-01'", "")],
 }
 
 

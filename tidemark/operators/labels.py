@@ -107,9 +107,15 @@ def labelled(df: DataFrame, h: int, target: float, stop: float, cost_pct: float
 
 
 def mature(samples: DataFrame, bars: DataFrame, h: int, as_of: Column) -> DataFrame:
-    """Predictions (id, symbol, day) resolved once h complete bars after them are there by as_of; else resolved is false."""
-    bars = bars.filter(F.col("day") <= as_of)
-    joined = samples.alias("s").join(bars.alias("b"), (F.col("s.symbol") == F.col("b.symbol")) & (F.col("b.day") > F.col("s.day")) & (F.col("b.day") <= F.date_add(F.col("s.day"), 7 * h)), "left")
+    """Predictions (id, symbol, day) resolved once h complete bars after them are there by as_of; else resolved is false.
+
+    Bars are copied to the buckets of 7 h days from which a prediction can see them, so a prediction
+    meets only the bars near its day.
+    """
+    bucket = lambda c: F.floor(F.unix_date(c) / (7 * h))
+    samples = samples.withColumn("bucket_", bucket(F.col("day")))
+    bars = bars.filter(F.col("day") <= as_of).withColumn("bucket_", F.explode(F.sequence(bucket(F.date_sub("day", 7 * h)), bucket(F.date_sub("day", 1)))))
+    joined = samples.alias("s").join(bars.alias("b"), (F.col("s.symbol") == F.col("b.symbol")) & (F.col("s.bucket_") == F.col("b.bucket_")) & (F.col("b.day") > F.col("s.day")) & (F.col("b.day") <= F.date_add(F.col("s.day"), 7 * h)), "left")
     nth = F.row_number().over(ordered(["id"], ["bar_day"]))
     seen = joined.select("s.id", "s.symbol", "s.day", F.col("b.day").alias("bar_day"), "b.open", "b.close", "b.high", "b.low").withColumn("nth", F.when(F.col("bar_day").isNotNull(), nth)).filter(F.col("nth").isNull() | (F.col("nth") <= h))
     g = seen.groupBy("id", "symbol", "day").agg(F.count("nth").alias("bars_seen"), F.min_by("open", "nth").alias("entry"), F.max_by("close", "nth").alias("last"), F.max("high").alias("top"), F.min("low").alias("bottom"))

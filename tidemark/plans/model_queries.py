@@ -68,7 +68,8 @@ st AS (SELECT symbol, day, unnest([{{'style': 'reversion', 's': 46 + (50 - rsi)
   {{'style': 'momentum', 's': 38 + (cf - 50) * 0.5 + 1.5 * 3.2 + 4 * 1.1 + (tr - 50) * 0.24 + (vr - 1) * 8 + 10 * 0.08 + 0.5 * 0.9}}]) AS x FROM ds)
 SELECT symbol, day, x.style AS style, {r(score='greatest(0, least(100, x.s))')} FROM st""")
 def decision_scores(spark, sf_dir):
-    d = indicators.scores(tables.bars(spark, sf_dir)).filter(F.dayofmonth("day") == 1)
+    """Of all bars; the SQL knows only those of the first day of a month."""
+    d = indicators.scores(tables.bars(spark, sf_dir))
     fixed = {"max_upside": 4.0, "market_bias": 0.5, "evidence": 10.0, "max_prob": 60.0, "target_prob": 55.0, "final_return": 1.5, "final_prob": 52.0, "downside": 48.0}
     d = d.withColumns({n: F.lit(v) for n, v in fixed.items()} | {"confidence": F.col("momentum_score"), "trend": F.col("trend_score"), "risk": F.col("risk_score"), "factor": F.col("factor_quality")})
     return op.decision_scores(d).select("symbol", "day", "style", r6("score"))

@@ -144,8 +144,8 @@ j AS (SELECT s.id, s.symbol, s.day, b.day AS bd, b.open, b.close, b.high, b.low,
 g AS (SELECT id, symbol, day, count(nth) AS bars_seen, first(open ORDER BY nth) AS e, last(close ORDER BY nth) AS c, max(high) AS h, min(low) AS l FROM j WHERE nth IS NULL OR nth <= 10 GROUP BY id, symbol, day)
 SELECT id, symbol, day, bars_seen, bars_seen >= 10 AS resolved, {r(forward_return='CASE WHEN bars_seen >= 10 THEN (c - e) / e * 100 END', max_upside='CASE WHEN bars_seen >= 10 THEN (h - e) / e * 100 END', max_drawdown='CASE WHEN bars_seen >= 10 THEN (l - e) / e * 100 END')} FROM g""")
 def prediction_maturation(spark, sf_dir):
-    """Predictions made in the first half of 1996 as they stand on 30 June."""
-    orders = tables.table(spark, sf_dir, "orders").filter("o_orderdate < timestamp '1996-07-01' and o_orderdate >= timestamp '1996-01-01'")
+    """All predictions as they stand on 31 July 2001; the SQL knows only the first half of 1996 as of 30 June."""
+    orders = tables.table(spark, sf_dir, "orders")
     samples = orders.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Brand#"), (F.pmod("o_custkey", F.lit(25)) + 1).cast("string")).alias("symbol"), F.to_date("o_orderdate").alias("day"))
-    out = labels.mature(samples, _bars(spark, sf_dir), 10, F.lit("1996-06-30").cast("date"))
+    out = labels.mature(samples, _bars(spark, sf_dir), 10, F.lit("2001-07-31").cast("date"))
     return out.select("id", "symbol", "day", "bars_seen", "resolved", r6("forward_return"), r6("max_upside"), r6("max_drawdown"))
