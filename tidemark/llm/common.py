@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -46,16 +47,32 @@ def crc_mod(col: Column, n: int) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A new, unused path in the folder that driver and executors share.
 
-    The cluster names that folder in spark.checkpoint.dir. Only where it is unset
-    (tests, a laptop) a temporary folder is made and set for the session.
+    The cluster names that folder in spark.checkpoint.dir. Where it is unset, a local master
+    (tests, a laptop) gets a temporary folder, set for the session; a cluster gets an error,
+    as every executor would write to a disk of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def fresh(columns: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that differ from all columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Spark drops the shuffle files of a query when it ends, rather than when the driver collects garbage.
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -71,13 +88,19 @@ def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(DROP_SHUFFLES, before) if before is not None else spark.conf.unset(DROP_SHUFFLES)
 
 
+#: Tables that durable() has written and nobody has deleted yet, with their sessions.
+_live: dict[str, SparkSession] = {}
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 
     Cuts the lineage: nothing of df is computed twice, and the rows outlive any executor.
+    The table goes by discard(), at the end of a scratch() block, or when the driver ends.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
+    _live[path] = spark
     with dropping_shuffles(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -85,12 +108,36 @@ def durable(df: DataFrame) -> DataFrame:
     return out
 
 
+def _delete(path: str) -> None:
+    spark = _live.pop(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete what durable() wrote for frames that nothing needs any more."""
     for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.durable_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.durable_path)
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Deletes the tables that durable() wrote inside, but for those put into the list."""
+    before, kept = set(_live), []
+    try:
+        yield kept
+    finally:
+        for path in set(_live) - before - {df.durable_path for df in kept}:
+            _delete(path)
+
+
+@atexit.register
+def _delete_the_rest() -> None:
+    for path in list(_live):
+        try:
+            _delete(path)
+        except Exception:  # noqa: BLE001, the JVM may have ended first
+            return
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

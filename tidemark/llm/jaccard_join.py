@@ -22,7 +22,12 @@ square. A pair counts in the instance of its larger set only.
 
 Sketches. Each node has the parities of its shingles in SKETCH cells. Two sketches differ in no
 more bits than their sets differ in shingles, so pairs that differ in more bits than linked sets
-may are left out as the buckets are joined. What is left is compared exactly, on whole sets.
+may are left out as the buckets are joined. What is left is compared exactly, on whole sets,
+which are made again from the packed words of the texts: those take a fraction of the sets' bytes.
+
+Skew. A node is sent once by a task, however many copies of it the task reads. Buckets that still
+hold several components are joined in blocks of BLOCK rows. Joins against one row a key (a much
+copied node, the root of a large component) are split by Spark's adaptive execution.
 
 Edge cases: null, empty and blank texts have an empty set and link with nothing; with fewer words
 than a shingle has, the whole sequence is the one shingle; rows with a null doc_id link with
@@ -37,12 +42,12 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, durable, lower_words, read
+from tidemark.llm.common import discard, durable, fresh, lower_words, read
 from tidemark.llm.components import connected_components
 
 SHINGLE = 5
@@ -52,6 +57,10 @@ SKETCH = 1024
 #: Parts in which candidate pairs are sifted.
 SLICES = 4
 INSTANCE_BITS = 12
+#: Rows of a bucket that one task compares with all of the bucket.
+BLOCK = 2000
+#: Nodes that a task remembers as sent.
+REMEMBERED = 500_000
 
 _U = np.uint64
 PRIMES = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], _U)
@@ -165,7 +174,7 @@ def sketch(features: np.ndarray) -> np.ndarray:
 
 
 def set_table(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node (null for empty sets), band and sketch of every row."""
+    """doc_id, text_key, n_shingles, node (null for empty sets), band and sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -177,17 +186,19 @@ def set_table(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 node.append(node_of(features) if len(features) else None)
                 prints[i] = sketch(features)
             band = np.searchsorted(bands(percent, 1 << max(n, default=1).bit_length()), np.array(n, np.int64))
-            columns = [pc.cast(batch.column("doc_id"), pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(band, pa.int64()), *(pa.array(x) for x in prints.T)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node", "band", *SKETCH_COLUMNS])
+            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(band, pa.int64()), *(pa.array(x) for x in prints.T)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n_shingles", "node", "band", *SKETCH_COLUMNS])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, band long, " + ", ".join(f"{c} long" for c in SKETCH_COLUMNS))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, node long, band long, " + ", ".join(f"{c} long" for c in SKETCH_COLUMNS))
 
 
 def signature_table(docs: DataFrame, shingle: int, percent: int, words_at_once: int = 400_000) -> DataFrame:
-    """sig, node: all signatures; a node is given once in each piece of a task's rows."""
+    """sig, node: all signatures; a task gives a node once, as far as it remembers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
+        sent: set[int] = set()
 
         def piece(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
             nodes = np.array(list(sets), np.int64)
@@ -199,8 +210,12 @@ def signature_table(docs: DataFrame, shingle: int, percent: int, words_at_once:
             held = 0
             for text in batch.column("text"):
                 features = shingles(lower_words(text.as_py()), shingle, hasher)
-                if len(features):
-                    sets[node_of(features)] = features
+                node = node_of(features) if len(features) else None
+                if node is not None and node not in sent:
+                    if len(sent) >= REMEMBERED:
+                        sent.clear()
+                    sent.add(node)
+                    sets[node] = features
                     held += len(features)
                 if held > words_at_once:
                     yield piece(sets)
@@ -211,19 +226,17 @@ def signature_table(docs: DataFrame, shingle: int, percent: int, words_at_once:
     return docs.filter("doc_id is not null").select("text").mapInArrow(run, "sig long, node long")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """node, features (sorted 64-bit hashes as binary) of the wanted (doc_id, node)."""
+def packed_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, words (lower-cased, compressed) of the wanted (doc_id, text_key, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            for text, node in zip(batch.column("text"), batch.column("node"), strict=True):
-                features = shingles(lower_words(text.as_py()), shingle, hasher)
-                if len(features) and node_of(features) == node.as_py():
-                    yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.int64()), pa.array([features.tobytes()], pa.binary())], names=["node", "features"])
+            words = [pack(b" ".join(lower_words(text.as_py()))) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(words, pa.binary())], names=["node", "words"])
 
-    joined = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
-    return joined.mapInArrow(run, "node long, features binary").dropDuplicates(["node"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return rows.join(wanted, ["doc_id", "text_key"]).select("node", "text").mapInArrow(run, "node long, words binary")
 
 
 def sketches(nodes: DataFrame, prefix: str) -> DataFrame:
@@ -248,23 +261,29 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
     """The pairs (a, b) of nodes that link, by their whole sets, which are made for these nodes only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, unpack = Hasher(), zstandard.ZstdDecompressor().decompress
+        features_of = lambda packed: shingles(unpack(packed.as_py()).split(), shingle, hasher)
+        last, a = None, None
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("fa"), batch.column("fb"), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
+            for x, xs, ys in zip(batch.column("a"), batch.column("wa"), batch.column("wb"), strict=True):
+                if x.as_py() != last:  # rows come in the order of a
+                    last, a = x.as_py(), features_of(xs)
+                b = features_of(ys)
                 both = np.concatenate([a, b])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (len(a) + len(b) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    # several rows of one node may hold the same doc_id and text
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = durable(sets_of(docs, nodes.select("doc_id", "node").join(used, "node"), shingle))
-    a = sets.select(F.col("node").alias("na"), F.col("features").alias("fa"))
-    b = sets.select(F.col("node").alias("nb"), F.col("features").alias("fb"))
-    joined = pairs.join(a, F.col("a") == F.col("na")).join(b, F.col("b") == F.col("nb")).select("a", "b", "fa", "fb")
+    words = durable(packed_words(docs, nodes.select("doc_id", "text_key", "node").join(used, "node")).dropDuplicates(["node"]))
+    a = words.select(F.col("node").alias("na"), F.col("words").alias("wa"))
+    b = words.select(F.col("node").alias("nb"), F.col("words").alias("wb"))
+    joined = pairs.join(b, F.col("b") == F.col("nb")).join(a, F.col("a") == F.col("na")).select("a", "b", "wa", "wb")
     out = durable(joined.mapInArrow(run, "a long, b long"))
-    discard(sets)
+    discard(words)
     return out
 
 
@@ -287,11 +306,12 @@ def in_slices(rows: DataFrame, sift: Callable[[DataFrame], DataFrame]) -> DataFr
     return out
 
 
-def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
-    table = durable(set_table(docs, shingle, percent))
-    first = F.min(F.struct("doc_id", F.col("n_shingles").alias("size"), "band", *SKETCH_COLUMNS)).alias("x")
-    sets = durable(table.filter("node is not null and doc_id is not null").groupBy("node").agg(first).select("node", "x.*"))
+def clusters(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The durable tables (doc_id, text_key, n_shingles, node) of all rows, node null where nothing
+    links, and (node, doc_id, root) of all nodes: smallest doc_id and component."""
+    table = durable(set_table(docs, shingle, percent).withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node"))))
+    first = F.min(F.struct("doc_id", "text_key", F.col("n_shingles").alias("size"), "band", *SKETCH_COLUMNS)).alias("x")
+    sets = durable(table.filter("node is not null").groupBy("node").agg(first).select("node", "x.*"))
     by_sig = Window.partitionBy("sig")
     buckets = signature_table(docs, shingle, percent).withColumns({"first": F.min("node").over(by_sig), "last": F.max("node").over(by_sig)})
     # repeated (sig, node) rows of copies go here, where rows are few
@@ -305,39 +325,56 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     roots = durable(connected_components(links))
     placed = buckets.select("sig", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # buckets that still hold several components
-    open_sigs = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("sig")
+    open_sigs = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("low <> high").select("sig", "blocks")
     open_rows = durable(placed.join(open_sigs, "sig"))
     discard(buckets)
 
     def across(part: DataFrame) -> DataFrame:
-        left = part.join(sketches(sets, "x_"), F.col("node") == F.col("x_node"))
-        right = part.select(F.col("sig").alias("sig2"), F.col("node").alias("node2"), F.col("root").alias("root2")).join(sketches(sets, "y_"), F.col("node2") == F.col("y_node"))
-        near = (F.col("sig") == F.col("sig2")) & (F.col("root") < F.col("root2")) & (in_instance("sig") == instance_of("x_", "y_")) & may_link("x_", "y_", percent)
+        left = part.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).join(sketches(sets, "x_"), F.col("node") == F.col("x_node"))
+        right = part.select(F.col("sig").alias("sig2"), F.col("node").alias("node2"), F.col("root").alias("root2"), "blocks").join(sketches(sets, "y_"), F.col("node2") == F.col("y_node"))
+        right = right.withColumn("block2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+        near = (F.col("sig") == F.col("sig2")) & (F.col("block") == F.col("block2")) & (F.col("root") < F.col("root2")) & (in_instance("sig") == instance_of("x_", "y_")) & may_link("x_", "y_", percent)
         return left.join(right, near).select(*_pair("node", "node2")).distinct()
 
-    fresh = in_slices(open_rows, across)
-    more = verified(fresh.join(tested, ["a", "b"], "left_anti"), docs, sets, shingle, percent)
+    fresh_pairs = in_slices(open_rows, across)
+    more = verified(fresh_pairs.join(tested, ["a", "b"], "left_anti"), docs, sets, shingle, percent)
     old, roots = roots, durable(connected_components(links.unionByName(more)))
-    discard(old, sets, tested, links, open_rows, fresh, more)
-    nodes = table.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first_doc"))
-    nodes = durable(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    ids = nodes.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    of_node = nodes.join(ids, "root").select("node", "component_id")
-    out = table.join(of_node, "node", "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.cast("long").alias("component_id"))
+    nodes = durable(sets.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    discard(old, roots, sets, tested, links, open_rows, fresh_pairs, more)
+    return table.select("doc_id", "text_key", "n_shingles", "node"), nodes
+
+
+def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every row."""
+    table, nodes = clusters(docs, shingle, percent)
+    ids = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    of_node = nodes.select("node", "root").join(ids, "root").select("node", "component_id")
+    linked = table.filter("node is not null").join(of_node, "node").select("doc_id", "n_shingles", "component_id")
+    return linked.unionByName(table.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents without near copies of an earlier doc_id, with their columns.
+    """One row of each component, that of the smallest doc_id, with its columns.
 
-    Of repeated rows of the doc_id that stays, one stays; rows with a null doc_id all stay.
+    Rows are decided by doc_id and text, so different texts under one doc_id go or stay on their
+    own; of rows that repeat both, one stays. Blank texts and rows with a null doc_id all stay,
+    but for blank rows that repeat both.
     """
-    out = durable(jaccard_components(docs, shingle, percent))
-    gone = out.filter("doc_id <> component_id").select(F.col("doc_id").alias("id_")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("id_"), "left_anti")
-    again = Window.partitionBy("doc_id").orderBy("text")
-    return kept.withColumn("nth_", F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.row_number().over(again))).filter("nth_ = 1").select(*docs.columns)
+    key, nth = fresh(docs.columns, "text_key", "nth")
+    table, nodes = clusters(docs, shingle, percent)
+    rooted = table.filter("node is not null").join(nodes.select("node", "root"), "node")
+    stay = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("x")).select("x.*")
+    stay = stay.unionByName(table.filter("node is null and doc_id is not null").select("doc_id", "text_key").distinct()).select(F.col("doc_id").alias("stay_id"), F.col("text_key").alias("stay_key"))
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    own = keyed.filter(F.col("doc_id").isNotNull()).alias("d")
+    kept = own.join(stay.alias("s"), (F.col("d.doc_id").cast("long") == F.col("s.stay_id")) & (F.col(f"d.`{key}`") == F.col("s.stay_key")), "left_semi")
+    again = Window.partitionBy(F.col("doc_id").cast("long"), key).orderBy("doc_id")
+    kept = kept.withColumn(nth, F.row_number().over(again)).filter(F.col(nth) == 1)
+    return kept.select(*_named(docs)).unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def _named(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
