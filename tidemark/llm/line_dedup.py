@@ -2,23 +2,32 @@
 
 A text is its \\n-split lines that hold a word; a line counts as its words. From every line a
 window reaches forwards to the first line with which it holds min_words words (none, if the text
-ends before), and another backwards likewise; those that are equal count once. The window's
-minimum - the line with the most words, ties to the smaller hash - is its fingerprint. Whether a
-stretch of lines is a window depends on these lines alone, so whatever stands around a repeated
-run, the windows inside are selected in both places. They cover a run of min_words words or more
-wholly: of the words up to a line's end, those from its start, or all of the run, one holds a
-window with that line. This is what extending matches both ways, line by line, gives.
-
-Windows are joined with the first place of the same window (first by doc_id, then by line), so each
-costs one row, however often it repeats. Matches with the same first document and distance grow
-together to maximal runs. Later runs are deleted, the first stays. The join key is the window around
-the fingerprint, not its line alone, so a line that is common elsewhere can't hide a run: a line
-goes exactly if it lies in a run of min_words or more that also stands at an earlier place.
+ends before), and another backwards likewise; those that are equal count once. The minimum of a
+window - the line with the most words, ties to the smaller hash - is its fingerprint. Windows
+that overlap mostly share it, so fingerprints are sparse. Whether a stretch of lines is a window
+and which line is its minimum depends on these lines alone, so a run of min_words words or more
+that stands in two places has the same fingerprints in both: they are guaranteed.
+
+1. Fingerprints are counted by place; those that stand in one place only can't be in a repeated
+   run and go, with their windows.
+2. The positions that are left are joined: each window around a fingerprint that repeats meets
+   the first place (by doc_id, then by line) of the same window. A line that is common elsewhere
+   can't hide a run this way, and a window costs one row, however often it repeats.
+3. Matches are extended both ways. The windows forwards and backwards cover a run of min_words
+   words or more wholly: of the words up to a line's end, those from its start, or all of the
+   run, one holds a window with that line. So matches with the same first document and distance
+   that overlap or touch grow together to the maximal run, line by line.
+4. Later runs are deleted, the first stays: a line goes exactly if it lies in a run of min_words
+   words or more that also stands at an earlier place.
+
+A fingerprint found everywhere is one key of a join against one row; Spark's adaptive execution
+splits such keys. A document's matches are at most twice its lines.
 
 Edge cases: null and empty texts have no lines and come back as they are; texts without repeated
 runs are untouched; else the lines left (blank ones too) are joined by \\n, and the text may become
 empty; a run may repeat within one text; null doc_ids come last; rows with the same doc_id and
-text are the same place, so all of them keep or lose the same lines; other columns are passed through.
+text are the same place, so all of them keep or lose the same lines; other columns, whatever their
+names, are passed through.
 """
 
 from __future__ import annotations
@@ -26,12 +35,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, n_words, read
+from tidemark.llm.common import durable, fresh, n_words, read
 
 MIN_WORDS = 50
 
@@ -47,12 +55,12 @@ def word_lines(text: str | None) -> list[tuple[int, int, bytes]]:
 
 
 def windows(lines: list[tuple[int, int, bytes]], min_words: int) -> list[tuple[int, int, int, bytes]]:
-    """(first, last, fingerprint, key) of each window, as places in lines; key: hash of the window and its minimum."""
+    """(first, last, minimum, key) of each window, as places in lines; key: hash of the window."""
     out = []
 
     def add(start: int, stop: int) -> None:
         least = min(range(start, stop), key=lambda i: (-lines[i][1], lines[i][2], i))
-        key = xxhash.xxh3_128_digest(lines[least][2] + b"".join(x[2] for x in lines[start:stop]))
+        key = xxhash.xxh3_128_digest(b"".join(x[2] for x in lines[start:stop]))
         out.append((start, stop - 1, least, key))
 
     stop, held = 0, 0
@@ -77,87 +85,103 @@ def windows(lines: list[tuple[int, int, bytes]], min_words: int) -> list[tuple[i
 
 
 def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text_key, key, first, last, at: all windows; at: the fingerprint's line."""
+    """doc_id, text_key, mark, at, windows: one row for each line that is the minimum of a window.
+
+    mark: hash of that line; at: its place; windows: those that it is the minimum of, as (first,
+    last, key), where key is the hash of the window's lines.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(pc.cast(batch.column("doc_id"), pa.int64()), batch.column("text"), strict=True):
-                if text.as_py():
-                    found = windows(word_lines(text.as_py()), min_words)
-                    if found:
-                        own = xxhash.xxh3_64_intdigest(text.as_py().encode()) - (1 << 63)
-                        rows += [(doc_id.as_py(), own, key, first, last, at) for first, last, at, key in found]
-            columns = zip(*rows, strict=True) if rows else [()] * 6
-            types = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "text_key", "key", "first", "last", "at"])
+            for doc_id, own, text in zip(batch.column("doc_id"), batch.column("text_key"), batch.column("text"), strict=True):
+                lines = word_lines(text.as_py())
+                around: dict[int, list[dict]] = {}
+                for first, last, at, key in windows(lines, min_words):
+                    around.setdefault(at, []).append({"first": first, "last": last, "key": key})
+                rows += [(doc_id.as_py(), own.as_py(), lines[at][2], at, found) for at, found in around.items()]
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            window = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("key", pa.binary())])
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(window))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "text_key", "mark", "at", "windows"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").filter("text <> ''")
+    return rows.mapInArrow(run, "doc_id long, text_key long, mark binary, at int, windows array<struct<first:int,last:int,key:binary>>")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text_key long, key binary, first int, last int, at int")
+
+def _place(*inside: str) -> Column:
+    """Orders places: by doc_id, nulls last, then by text and line."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", *inside)
 
 
 def later_matches(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text_key, first, last, at and the earlier place: from_doc, from_text, from_at."""
+    """doc_id, text_key, first, last and the earlier place: from_doc, from_text, from_first."""
     prints = durable(fingerprints(docs, min_words))
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "first", "at")
-    firsts = prints.groupBy("key").agg(F.min(place).alias("at_first"), F.max(place).alias("at_last")).filter("at_first <> at_last").select("key", "at_first")
-    joined = prints.join(firsts, "key").filter(place != F.col("at_first"))
-    return joined.select("doc_id", "text_key", "first", "last", "at", F.col("at_first.doc_id").alias("from_doc"), F.col("at_first.text_key").alias("from_text"), F.col("at_first.at").alias("from_at"))
+    marks = prints.select("mark", _place("at").alias("place")).groupBy("mark").agg(F.min("place").alias("low"), F.max("place").alias("high")).filter("low <> high").select("mark")
+    around = durable(prints.join(marks, "mark").select("doc_id", "text_key", F.inline("windows")))
+    place = _place("first")
+    firsts = around.select("key", place.alias("place")).groupBy("key").agg(F.min("place").alias("low"), F.max("place").alias("high")).filter("low <> high").select("key", F.col("low").alias("place"))
+    joined = around.join(firsts, "key").filter(place != F.col("place"))
+    return joined.select("doc_id", "text_key", "first", "last", F.col("place.doc_id").alias("from_doc"), F.col("place.text_key").alias("from_text"), F.col("place.first").alias("from_first"))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text_key, runs: array of (first, last, from_doc, from_first), maximal runs by document.
+    """doc_id, text_key, first, last, from_doc, from_first: the maximal later runs, one row each.
 
-    Lines are counted among those that hold words. A document's matches are at most its lines.
+    Lines are counted among those that hold words.
     """
-    matches = later_matches(docs, min_words)
-    gathered = matches.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("from_doc", "from_text", (F.col("at") - F.col("from_at")).alias("shift"), "first", "last"))).alias("found"))
-    run = "array<struct<first:int,last:int,from_doc:bigint,from_text:bigint,shift:int>>"
-    last = lambda acc: F.element_at(acc, -1)
-    item = lambda first, x: F.struct(first.alias("first"), x["last"].alias("last"), x["from_doc"].alias("from_doc"), x["from_text"].alias("from_text"), x["shift"].alias("shift"))
-    joins = lambda acc, x: (F.size(acc) > 0) & F.try_element_at(acc, F.lit(-1))["from_doc"].eqNullSafe(x["from_doc"]) & (F.try_element_at(acc, F.lit(-1))["from_text"] == x["from_text"]) & (F.try_element_at(acc, F.lit(-1))["shift"] == x["shift"]) & (x["first"] <= F.try_element_at(acc, F.lit(-1))["last"] + 1)
-    grow = lambda acc, x: F.when(joins(acc, x), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(item(last(acc)["first"], x)))).otherwise(F.concat(acc, F.array(item(x["first"], x)))).cast(run)
-    runs = F.aggregate("found", F.array().cast(run), grow)
-    return gathered.select("doc_id", "text_key", F.transform(runs, lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), r["from_doc"].alias("from_doc"), (r["first"] - r["shift"]).alias("from_first"))).alias("runs"))
-
-
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the later runs' lines deleted, and n_deleted (lines) and deleted_words added."""
-    kept = [c for c in docs.columns if c not in ("n_deleted", "deleted_words", "id_", "text_key_", "runs_")]
-    runs = repeated_runs(docs, min_words).select(F.col("doc_id").alias("id_"), F.col("text_key").alias("text_key_"), F.transform("runs", lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"))).alias("runs_"))
-    # which runs belong to a row is decided by doc_id here and by the text's hash in the task
-    runs = runs.groupBy("id_").agg(F.map_from_entries(F.collect_list(F.struct("text_key_", "runs_"))).alias("runs_"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields) + ", n_deleted long, deleted_words long"
+    shift = (F.col("first") - F.col("from_first")).alias("shift")
+    matches = later_matches(docs, min_words).select("doc_id", "text_key", "from_doc", "from_text", shift, "first", "last").distinct()
+    line = Window.partitionBy("doc_id", "text_key", "from_doc", "from_text", "shift").orderBy("first", "last")
+    reach = F.max("last").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    grown = matches.withColumn("opens", F.coalesce((F.col("first") > reach + 1).cast("int"), F.lit(1))).withColumn("run", F.sum("opens").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = grown.groupBy("doc_id", "text_key", "from_doc", "from_text", "shift", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return runs.select("doc_id", "text_key", "first", "last", "from_doc", (F.col("first") - F.col("shift")).alias("from_first"))
+
+
+def without_runs(docs: DataFrame, min_words: int, n_deleted: str, deleted_words: str) -> DataFrame:
+    """docs with the later runs' lines deleted, and the numbers of lines and words deleted under these names."""
+    (key,) = fresh(docs.columns, "text_key")
+    runs = repeated_runs(docs, min_words).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    # columns go by number into the task, as names may hold any character
+    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields)) + ", lines long, words long"
+    text_at, n_columns = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lines_gone, words_gone = [], [], []
-            for text, found in zip(batch.column("text"), batch.column("runs_"), strict=True):
+            for text, found in zip(batch.column(text_at), batch.column(n_columns), strict=True):
                 text, found = text.as_py(), found.as_py()
-                own = dict(found).get(xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)) if found and text else None
-                gone: set[int] = set()
-                if own:
+                gone: dict[int, int] = {}
+                if found:
                     lines = word_lines(text)
-                    gone = {lines[i][0] for r in own for i in range(r["first"], r["last"] + 1)}
-                    words_gone.append(sum(n for number, n, _ in lines if number in gone))
+                    gone = {lines[i][0]: lines[i][1] for r in found for i in range(r["first"], r["last"] + 1)}
                     text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
-                else:
-                    words_gone.append(0)
                 texts.append(text)
                 lines_gone.append(len(gone))
-            new = {"text": pa.array(texts, pa.string()), "n_deleted": pa.array(lines_gone, pa.int64()), "deleted_words": pa.array(words_gone, pa.int64())}
-            names = [*kept, "n_deleted", "deleted_words"]
-            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names=names)
+                words_gone.append(sum(gone.values()))
+            columns = [pa.array(texts, pa.string()) if i == text_at else batch.column(i) for i in range(n_columns)]
+            columns += [pa.array(lines_gone, pa.int64()), pa.array(words_gone, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:n_columns], "lines", "words"])
+
+    keyed = docs.withColumn(key, F.xxhash64("text")).alias("d")
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("r.doc_id")) & (F.col(f"d.`{key}`") == F.col("r.text_key"))
+    joined = keyed.join(runs.alias("r"), same, "left").select(*(F.col(f"d.`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), "r.runs")
+    return joined.mapInArrow(run, schema).toDF(*docs.columns, n_deleted, deleted_words)
 
-    joined = docs.select(*kept).join(runs, F.col("doc_id").eqNullSafe(F.col("id_")), "left").select(*kept, "runs_")
-    return joined.mapInArrow(run, schema)
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs with the later runs' lines deleted, and n_deleted (lines) and deleted_words added (in place of columns named so)."""
+    return without_runs(docs.drop("n_deleted", "deleted_words"), min_words, "n_deleted", "deleted_words")
 
 
 def cleaned_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """As dedup_lines(), with the columns of docs only; n_chars follows the text."""
-    out = dedup_lines(docs, min_words)
+    """docs with the later runs' lines deleted; n_chars follows the text; all other columns are untouched."""
+    lines, words = fresh(docs.columns, "n_deleted", "deleted_words")
+    out = without_runs(docs, min_words, lines, words)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.when(F.col("n_deleted") > 0, F.length("text")), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(lines) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop(lines, words)
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -170,7 +194,8 @@ WITH raw AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 split AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS number FROM raw),
 w AS (SELECT doc_id, number, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ') AS norm FROM split),
 l AS (SELECT doc_id, number, n, norm, row_number() OVER d AS i, sum(n) OVER d AS upto FROM w WHERE n > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY number)),
-s AS (SELECT a.doc_id, a.i AS first, min(b.i) AS last FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= 50 GROUP BY ALL),
+s AS (SELECT a.doc_id, a.i AS first, min(b.i) AS last FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= 50 GROUP BY a.doc_id, a.i
+      UNION SELECT b.doc_id, max(a.i) AS first, b.i AS last FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= 50 GROUP BY b.doc_id, b.i),
 k AS (SELECT s.doc_id, s.first, s.last, string_agg(l.norm, chr(10) ORDER BY l.i) AS key FROM s JOIN l ON l.doc_id = s.doc_id AND l.i BETWEEN s.first AND s.last GROUP BY ALL),
 later AS (SELECT doc_id, first, last FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, first) AS nth FROM k) WHERE nth > 1),
 gone AS (SELECT DISTINCT l.doc_id, l.number, l.n FROM l JOIN later ON l.doc_id = later.doc_id AND l.i BETWEEN later.first AND later.last),
