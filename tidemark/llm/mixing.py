@@ -5,20 +5,26 @@
    over the sources in order of the level at which they fill up).
 2. Quotas. All targets together are house = round(total / block_words) equal blocks of words. They are
    allocated to sources by highest quotients target / (2k + 1), and each source's quota in the
-   same way to its shards, whose size is the weight. A divisor gives each all but a few seats;
-   the seats that remain go to (or are taken from) the highest (lowest) next quotients. At most
-   |seats| * share + 1 quotients of each can matter, so the candidates stay in proportion.
+   same way to its shards, whose size is the weight. Of n weights with the sum S, the divisor
+   S / (house + n / 2) gives house seats or more, and S / (house - n / 2) gives no more than house,
+   as rounding changes a seat count by half a seat at most. So quotients beyond the second are won,
+   those below the first are lost, and only those between, 2n at most, are ranked.
 3. Blocks. A shard's documents are laid end to end in the order of a seeded hash and cut into
    blocks. A quota of q over m blocks takes every block q div m times and q mod m consecutive
    blocks (in a circle) once more, from a seeded start. As the order is random, so is the
-   choice, and all but two documents of a shard are taken whole.
+   choice, and all but a few documents of a shard are taken whole. The choice of a shard is
+   known by the places in the order where it begins and ends, so texts meet one row a shard
+   and are never shuffled for their place.
 
 A source has as many shards as it needs for shards of about shard_docs documents, so a source
-with a third of all rows is many groups. Only the tables of sources and shards meet in windows.
+with a third of all rows is many groups. Windows see the tables of sources and of shards, and
+within a shard its hashes and sizes.
 
 Edge cases: null texts have size 0; null is a source of its own, last in order; documents
-without words take nothing; repeated rows are laid out one after another, each with its own
-share; an empty table gives an empty result; other columns are ignored.
+without words take nothing; rows with a null doc_id are ordered by their texts; rows with one
+place in the order (repeated rows) share what is taken there in proportion to their sizes, each
+with its own share; an empty table gives an empty result; other columns, whatever their names,
+are ignored or passed through.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, n_words, read, WORD
+from tidemark.llm.common import WORD, durable, fresh, n_words, read
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -45,9 +51,15 @@ def _as_long(text: Column, length: int) -> Column:
     return F.conv(F.substring(text, 1, length), 16, 10).cast("long")
 
 
+def order_key(seed: str) -> Column:
+    """The seeded order of a row with doc_id and text."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    return _hash(F.concat(F.lit(seed + "|"), name))
+
+
 def with_sizes(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """doc_id, source, size and the seeded order key of every row."""
-    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _hash(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("order_key"))
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), order_key(seed).alias("order_key"))
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -74,88 +86,116 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 
 def apportion(rows: DataFrame, weight: Column, house: Column, group: list[str], order: list[Column]) -> DataFrame:
-    """Adds quota: house seats of each group by highest quotients weight / (2k + 1)."""
+    """Adds quota: house seats of each group by highest quotients weight / (2k + 1), ties in the given order.
+
+    A group whose weights are all zero gets no seats.
+    """
+    names = w, seats, total, n, even, floor_, tries, need = fresh([*rows.columns, "quota"], "w", "seats", "total", "n", "even", "won", "tries", "need")
+    k, quotient, place = fresh([*rows.columns, *names, "quota"], "k", "quotient", "place")
     every = Window.partitionBy(*group)
-    seats = F.floor(F.col("w_") * F.col("house_") / F.col("sum_") + 0.5)
-    df = (
-        rows.withColumns({"w_": weight.cast("double"), "house_": house.cast("long")})
-        .withColumn("sum_", F.sum("w_").over(every))
-        .withColumn("seats_", F.when(F.col("sum_") > 0, seats).otherwise(F.lit(0)).cast("long"))
-        .withColumn("lack_", F.col("house_") - F.sum("seats_").over(every))
-        .withColumn("tries_", F.when(F.col("sum_") > 0, F.ceil(F.abs("lack_") * F.col("w_") / F.col("sum_")) + 1).otherwise(F.lit(0)))
-        .withColumn("tries_", F.when(F.col("lack_") < 0, F.least("tries_", "seats_")).otherwise(F.col("tries_")).cast("long"))
-    )
-    k = F.explode(F.when(F.col("tries_") > 0, F.sequence(F.lit(0).cast("long"), F.col("tries_") - 1)).otherwise(F.array(F.lit(-1).cast("long"))))
-    quotient = F.when(F.col("lack_") > 0, -F.col("w_") / (2 * (F.col("seats_") + F.col("k_")) + 1)).otherwise(F.col("w_") / (2 * (F.col("seats_") - F.col("k_")) - 1))
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.col("k_") < 0, "q_", *order))
-    moved = F.sum(F.when((F.col("k_") >= 0) & (F.col("place_") <= F.abs("lack_")), F.signum("lack_")).otherwise(F.lit(0)))
-    kept = [c for c in rows.columns]
-    return (
-        df.withColumn("k_", k).withColumn("q_", quotient).withColumn("place_", place)
-        .groupBy(*kept, "seats_").agg(moved.cast("long").alias("moved_"))
-        .withColumn("quota", F.col("seats_") + F.col("moved_")).drop("seats_", "moved_")
+    c = F.col
+    at = lambda divisor: F.floor(c(w) / divisor + 0.5).cast("long")
+    divisor = c(total) / c(seats)
+    low = F.when(c(even) >= c(seats), divisor).otherwise(c(total) / (c(seats) + c(n) / 2))
+    high = F.when(c(even) <= c(seats), divisor).when(2 * c(seats) > c(n), c(total) / (c(seats) - c(n) / 2) * (1 + 1e-9))
+    counted = (
+        rows.withColumns({w: weight.cast("double"), seats: house.cast("long")})
+        .withColumns({total: F.sum(w).over(every), n: F.count_if(c(w) > 0).over(every)})
+        .withColumn(seats, F.when(c(total) > 0, c(seats)).otherwise(F.lit(0)).cast("long"))
+        .withColumn(even, F.sum(F.when(c(seats) > 0, at(divisor)).otherwise(F.lit(0))).over(every))
+        .withColumn(floor_, F.when((c(seats) > 0) & high.isNotNull(), at(high)).otherwise(F.lit(0)).cast("long"))
+        .withColumn(tries, F.when(c(seats) > 0, at(low)).otherwise(F.lit(0)) - c(floor_))
+        .withColumn(need, c(seats) - F.sum(floor_).over(every))
     )
+    ranked = counted.withColumn(k, F.explode_outer(F.when(c(tries) > 0, F.sequence(F.lit(0).cast("long"), c(tries) - 1))))
+    ranked = ranked.withColumn(quotient, c(w) / (2 * (c(floor_) + c(k)) + 1))
+    ranked = ranked.withColumn(place, F.row_number().over(Window.partitionBy(*group).orderBy(c(quotient).desc_nulls_last(), *order)))
+    won = F.count_if(c(k).isNotNull() & (c(place) <= c(need)))
+    return ranked.groupBy(*rows.columns, floor_).agg(won.alias("quota")).withColumn("quota", c("quota") + c(floor_)).drop(floor_)
 
 
-def overlap(a: Column, b: Column) -> Column:
-    """Words of the document [first, last) in the range [a, b)."""
-    return F.greatest(F.lit(0).cast("long"), F.least(F.col("last"), b) - F.greatest(F.col("first"), a))
+def shard_of(key: Column, n_shards: Column) -> Column:
+    return F.pmod(_as_long(F.reverse(key), 8), n_shards)
 
 
-def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: str = SEED) -> DataFrame:
-    """For each row of with_sizes(): source_size, target, taken, and what is taken of it.
+def choose(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
+    """The durable tables of sources (source, n_shards) and of shards with what the mix takes of them.
 
-    rounds: how often it is taken whole; then the words [a, b) and [c, d) of it, counted from 0.
+    A shard's documents are taken `rounds` times, and once more from its start to `wrap` and
+    from `low` to `high`, given as (order_key, words into the documents there, their words); a
+    null reaches to the shard's end.
     """
     targets = source_targets(sized, weights, share, most)
     house = F.floor(F.sum("target").over(Window.partitionBy()) / block_words + 0.5)
     sources = apportion(targets, F.col("target"), house, [], [F.col("source").asc_nulls_last()]).withColumnsRenamed({"quota": "source_quota"})
-    sources = sources.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / shard_docs)))
-    laid = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "source_size", "target", "source_quota", "n_shards")
-    laid = laid.withColumn("shard", F.pmod(_as_long(F.reverse("order_key"), 8), F.col("n_shards")))
-    by_source = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
-    laid = laid.withColumn("key", by_source)
-    shards = laid.groupBy("key", "shard", "source_size", "source_quota").agg(F.sum("size").alias("shard_size"))
-    shards = apportion(shards, F.col("shard_size"), F.col("source_quota"), ["key"], [F.col("shard")])
-    m = F.ceil(F.col("shard_size") / block_words).cast("long")
-    start = F.pmod(_as_long(_hash(F.concat(F.lit(seed + "|"), "key", F.lit("|"), F.col("shard").cast("string"))), 8), F.greatest(m, F.lit(1)))
-    shards = shards.withColumn("quota", F.least(F.col("quota"), m * F.lit(int(most)))).select(
-        F.col("key").alias("key_"), F.col("shard").alias("shard_"), "shard_size",
-        F.when(m > 0, F.floor(F.col("quota") / F.greatest(m, F.lit(1)))).otherwise(F.lit(0)).cast("long").alias("rounds"),
-        F.when(m > 0, F.pmod(F.col("quota"), F.greatest(m, F.lit(1)))).otherwise(F.lit(0)).cast("long").alias("extra"),
-        m.alias("blocks"), start.alias("start"),
-    )
-    in_order = Window.partitionBy("key", "shard").orderBy("order_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        laid.withColumn("last", F.sum("size").over(in_order)).withColumn("first", F.col("last") - F.col("size"))
-        .join(shards, (F.col("key") == F.col("key_")) & (F.col("shard") == F.col("shard_")))
+    sources = durable(sources.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / shard_docs)).cast("long")))
+    laid = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.source", "order_key", "size", shard_of(F.col("order_key"), F.col("n_shards")).alias("shard"))
+    in_order = Window.partitionBy("source", "shard").orderBy("order_key").rowsBetween(Window.unboundedPreceding, 0)
+    # one exchange for the sums and for the order
+    laid = laid.repartition("source", "shard").groupBy("source", "shard", "order_key").agg(F.sum("size").alias("of"))
+    laid = durable(laid.withColumn("last", F.sum("of").over(in_order)).withColumn("first", F.col("last") - F.col("of")))
+    shards = laid.groupBy("source", "shard").agg(F.sum("of").alias("shard_size")).alias("h")
+    shards = shards.join(sources.alias("s"), F.col("h.source").eqNullSafe(F.col("s.source"))).select("h.*", "source_size", "target", "source_quota")
+    shards = apportion(shards, F.col("shard_size"), F.col("source_quota"), ["source"], [F.col("shard")])
+    blocks = F.ceil(F.col("shard_size") / block_words).cast("long")
+    name = F.concat(F.lit(seed + "|"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")), F.lit("|"), F.col("shard").cast("string"))
+    shards = (
+        shards.withColumn("blocks", blocks)
+        .withColumn("some", F.greatest("blocks", F.lit(1)))
+        .withColumn("quota", F.least("quota", F.col("blocks") * F.lit(int(most))))
+        .withColumns({"rounds": F.floor(F.col("quota") / F.col("some")).cast("long"), "start": F.pmod(_as_long(_hash(name), 8), "some")})
+        .withColumn("stop", F.col("start") + F.pmod("quota", "some"))
+        .withColumns({"low": F.col("start") * block_words, "high": F.least("stop", "blocks") * block_words, "wrap": F.greatest(F.col("stop") - F.col("blocks"), F.lit(0)) * block_words})
+        .select("source", "shard", "source_size", "target", "rounds", "low", "high", "wrap")
     )
-    to = F.col("start") + F.col("extra")
-    low, high = F.col("start") * block_words, F.least(to, F.col("blocks")) * block_words
-    wrap = F.greatest(to - F.col("blocks"), F.lit(0)) * block_words
-    zero = F.lit(0).cast("long")
-    taken = F.col("rounds") * F.col("size") + overlap(low, high) + overlap(zero, wrap)
-    inside = lambda x: F.greatest(zero, F.least(F.col("size"), x - F.col("first")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "rounds", inside(zero).alias("a"), inside(wrap).alias("b"), inside(low).alias("c"), inside(high).alias("d"))
+    at = lambda x: F.min(F.when(F.col("last") > F.col(x), F.struct("order_key", (F.col(x) - F.col("first")).alias("into"), "of"))).alias(f"{x}_at")
+    met = laid.alias("l").join(shards.alias("h"), F.col("l.source").eqNullSafe(F.col("h.source")) & (F.col("l.shard") == F.col("h.shard"))).select("h.*", "order_key", "first", "last", "of")
+    met = met.groupBy("source", "shard", "source_size", "target", "rounds").agg(at("low"), at("high"), at("wrap"))
+    return sources.select("source", "n_shards"), durable(met)
+
+
+def decide(rows: DataFrame, size: str, key: str, chosen: tuple[DataFrame, DataFrame], how: str) -> DataFrame:
+    """Adds to rows (source, their size and order key) the struct `how`: source_size, target, rounds, b, c, d.
+
+    A row is taken whole `rounds` times; then its words [0, b) and [c, d), counted from 0.
+    """
+    sources, shards = chosen
+    own, its_size = F.col(f"d.`{key}`"), F.col(f"d.`{size}`")
+
+    def inside(x: str) -> Column:
+        at = F.col(f"h.{x}_at")
+        part = F.call_function("div", at["into"] * its_size, at["of"])
+        return F.when(at.isNull() | (own < at["order_key"]), its_size).when(own == at["order_key"], part).otherwise(F.lit(0)).cast("long")
+
+    met = rows.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+    met = met.join(shards.alias("h"), F.col("d.source").eqNullSafe(F.col("h.source")) & (shard_of(own, F.col("s.n_shards")) == F.col("h.shard")))
+    parts = F.struct("h.source_size", "h.target", "h.rounds", inside("wrap").alias("b"), inside("low").alias("c"), inside("high").alias("d"))
+    return met.select(*(F.col(f"d.`{c}`") for c in rows.columns), parts.alias(how))
+
+
+def mix(sized: DataFrame, **options) -> DataFrame:
+    """For each row of with_sizes(): source_size, target, and taken, the words that the mix takes; options as of choose()."""
+    out = decide(sized, "size", "order_key", choose(sized, **options), "how")
+    taken = F.col("how.rounds") * F.col("size") + F.col("how.b") + F.col("how.d") - F.col("how.c")
+    return out.select("doc_id", "source", "size", "how.source_size", "how.target", taken.cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: each row once for each time it is taken, texts cut where taken in part."""
-    same = Window.partitionBy("doc_id", "source", "size_").orderBy("text")
-    sized = docs.withColumn("size_", n_words(F.col("text"))).withColumn("nth_", F.row_number().over(same))
-    taken = mix(durable(with_sizes(docs)))
-    part = taken.withColumn("nth_", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("taken", "a", "b", "c", "d"))).select(F.col("doc_id").alias("id_"), F.col("source").alias("source_"), F.col("size").alias("of_"), F.col("nth_").alias("of_nth_"), "rounds", "a", "b", "c", "d").filter((F.col("rounds") > 0) | (F.col("b") > F.col("a")) | (F.col("d") > F.col("c"))).filter("of_ > 0")
-    joined = sized.join(part, F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("source_")) & (F.col("size_") == F.col("of_")) & (F.col("nth_") == F.col("of_nth_")))
+    size, key, how, whole = fresh(docs.columns, "size", "order_key", "how", "whole")
+    chosen = choose(durable(with_sizes(docs)), **options)
+    rows = decide(docs.withColumn(size, n_words(F.col("text"))).withColumn(key, order_key(options.get("seed", SEED))), size, key, chosen, how)
+    part = lambda x: F.col(f"`{how}`.{x}")
     found = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
-    words_of = lambda x, y: F.slice(found, (F.col(x) + 1).cast("int"), (F.col(y) - F.col(x)).cast("int"))
-    n_part = F.col("b") - F.col("a") + F.col("d") - F.col("c")
-    cut = F.when(n_part == F.col("size_"), F.col("text")).when(n_part > 0, F.array_join(F.concat(words_of("a", "b"), words_of("c", "d")), " "))
-    times = F.flatten(F.array(F.array_repeat(F.lit(True), F.col("rounds").cast("int")), F.when(n_part > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>"))))
-    rows = joined.withColumn("cut_", cut).withColumn("whole_", F.explode(times))
-    rows = rows.withColumn("text", F.when(F.col("whole_"), F.col("text")).otherwise(F.col("cut_")))
+    words_of = lambda x, y: F.slice(found, (x + 1).cast("int"), (y - x).cast("int"))
+    n_part = part("b") + part("d") - part("c")
+    cut = F.when(n_part == F.col(size), F.col("text")).otherwise(F.array_join(F.concat(words_of(F.lit(0), part("b")), words_of(part("c"), part("d"))), " "))
+    no_more = F.array().cast("array<boolean>")
+    times = F.concat(F.array_repeat(F.lit(True), part("rounds").cast("int")), F.when(n_part > 0, F.array(F.lit(False))).otherwise(no_more))
+    rows = rows.filter(F.col(size) > 0).withColumn(whole, F.explode(times)).withColumn("text", F.when(F.col(whole), F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
@@ -166,7 +206,7 @@ def op5_mixing(spark, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS row_id, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         substr(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 16) AS order_key
+         substr(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 16) AS order_key
   FROM documents),
 src AS (SELECT source, count(*) AS n_docs, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM src),
@@ -177,20 +217,24 @@ g AS (SELECT *, row_number() OVER (ORDER BY fill_at, nth) AS place,
              sum(weight) OVER (ORDER BY fill_at, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM f),
 level AS (SELECT first((total - filled) / open ORDER BY place) AS level FROM g WHERE (total - filled) / open <= fill_at),
 t AS (SELECT nth, source, n_docs, source_size, least(2.0::DOUBLE * source_size, coalesce(level, 0) * weight) AS target, greatest(1, CAST(ceil(n_docs / 4096.0) AS BIGINT)) AS n_shards FROM g, level),
-house AS (SELECT CAST(floor(sum(target) / 8 + 0.5) AS BIGINT) AS seats, sum(target) AS mass FROM t),
-q AS (SELECT nth, target / (2 * k + 1) AS quotient FROM (SELECT nth, target, seats, unnest(range(CAST(floor(target * seats / mass) AS BIGINT) + 2)) AS k FROM t, house WHERE target > 0)),
+house AS (SELECT CAST(floor(sum(target) / 8 + 0.5) AS BIGINT) AS seats FROM t),
+q AS (SELECT nth, target / (2 * k + 1) AS quotient FROM (SELECT nth, target, unnest(range(seats)) AS k FROM t, house WHERE target > 0)),
 won AS (SELECT nth, count(*) AS quota FROM (SELECT nth, row_number() OVER (ORDER BY quotient DESC, nth) AS r FROM q), house WHERE r <= seats GROUP BY nth),
 laid AS (SELECT d.*, t.nth, t.source_size, t.target, coalesce(won.quota, 0) AS source_quota, coalesce('=' || d.source, 'null') AS key, CAST('0x' || substr(reverse(order_key), 1, 8) AS BIGINT) % n_shards AS shard
          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN won ON won.nth = t.nth),
 sh AS (SELECT nth, key, shard, any_value(source_quota) AS seats, CAST(sum(size) AS BIGINT) AS shard_size FROM laid GROUP BY nth, key, shard),
-sq AS (SELECT nth, shard, seats, shard_size / (2.0::DOUBLE * k + 1) AS quotient FROM (SELECT nth, shard, seats, shard_size, unnest(range(CAST(floor(shard_size * seats / mass) AS BIGINT) + 2)) AS k FROM (SELECT *, sum(shard_size) OVER (PARTITION BY nth) AS mass FROM sh) WHERE shard_size > 0)),
+sq AS (SELECT nth, shard, seats, shard_size / (2.0::DOUBLE * k + 1) AS quotient FROM (SELECT nth, shard, seats, shard_size, unnest(range(seats)) AS k FROM sh WHERE shard_size > 0)),
 sw AS (SELECT nth, shard, count(*) AS quota FROM (SELECT *, row_number() OVER (PARTITION BY nth ORDER BY quotient DESC, shard) AS r FROM sq) WHERE r <= seats GROUP BY nth, shard),
 b AS (SELECT sh.nth, sh.shard, CAST(ceil(shard_size / 8.0) AS BIGINT) AS m, least(coalesce(quota, 0), 2 * CAST(ceil(shard_size / 8.0) AS BIGINT)) AS quota,
              CAST('0x' || substr(md5('mix-1|' || key || '|' || CAST(sh.shard AS VARCHAR)), 1, 8) AS BIGINT) % greatest(1, CAST(ceil(shard_size / 8.0) AS BIGINT)) AS start
       FROM sh LEFT JOIN sw ON sh.nth = sw.nth AND sh.shard = sw.shard),
 c AS (SELECT *, CASE WHEN m > 0 THEN quota // greatest(m, 1) ELSE 0 END AS rounds, CASE WHEN m > 0 THEN start + quota % greatest(m, 1) ELSE start END AS stop FROM b),
-p AS (SELECT *, sum(size) OVER (PARTITION BY key, shard ORDER BY order_key, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS last FROM laid)
-SELECT p.doc_id, p.size, p.source_size, p.target,
-       CAST(rounds * size + greatest(0, least(last, least(stop, m) * 8) - greatest(last - size, start * 8)) + greatest(0, least(last, greatest(stop - m, 0) * 8) - (last - size)) AS BIGINT) AS taken
-FROM p JOIN c ON p.nth = c.nth AND p.shard = c.shard
+og AS (SELECT nth, shard, order_key, CAST(sum(size) AS BIGINT) AS of_key FROM laid GROUP BY nth, shard, order_key),
+p AS (SELECT *, CAST(sum(of_key) OVER (PARTITION BY nth, shard ORDER BY order_key ROWS UNBOUNDED PRECEDING) AS BIGINT) AS last FROM og),
+e AS (SELECT p.*, rounds, greatest(0, least(of_key, least(stop, m) * 8 - last + of_key)) AS high, greatest(0, least(of_key, start * 8 - last + of_key)) AS low,
+             greatest(0, least(of_key, greatest(stop - m, 0) * 8 - last + of_key)) AS wrap
+      FROM p JOIN c ON p.nth = c.nth AND p.shard = c.shard)
+SELECT laid.doc_id, laid.size, laid.source_size, laid.target,
+       CAST(rounds * size + wrap * size // greatest(of_key, 1) + high * size // greatest(of_key, 1) - low * size // greatest(of_key, 1) AS BIGINT) AS taken
+FROM laid JOIN e ON laid.nth = e.nth AND laid.shard = e.shard AND laid.order_key = e.order_key
 """
