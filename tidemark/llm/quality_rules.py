@@ -1,18 +1,23 @@
 """Quality rules with risk-controlled thresholds.
 
 A document's score is the largest of four shares (symbols, capitals, repeated words, repeated
-lines). For every stratum (language) and every cutoff of a fixed grid, the labelled documents
-are a holdout: n of them are clean, k of those score above the cutoff. A cutoff is certified if
-the exact binomial tail P(Bin(n, max_false_rejection) <= k) is at most error / (strata *
-cutoffs), which is the Bonferroni correction over all tests. The smallest certified cutoff of a
-stratum is used, so with probability 1 - error no stratum loses more than max_false_rejection
-of its clean documents to the cutoffs. Strata without a certified cutoff reject nothing by it.
-
-Strata are a fixed list and "other", so the table of cutoffs has a known size.
-
-Edge cases: a null or empty text has no words and fails the base rule; a null language is
-"other"; repeated rows are judged alike; of repeated labels for one document the lowest quality
-counts; without labels no cutoff is certified; other columns are ignored or passed through.
+lines). Strata are the languages of the labelled clean documents. In a stratum these documents
+are the holdout, each different text once, as copies are no independent draws: n of them, k of
+which score above a cutoff. The cutoff is certified if the exact binomial tail
+P(Bin(n, max_false_rejection) <= k) is at most the level. Cutoffs are tested from the most lenient
+one downwards until one fails (fixed-sequence testing, which needs no correction for their
+number), and strata share the error equally (Bonferroni): level = error / strata. The last
+certified cutoff of a stratum is used, so with probability 1 - error no stratum loses more than
+max_false_rejection of its clean documents to the cutoffs. Strata without a certified cutoff
+reject nothing by it.
+
+Counts by stratum are aggregates, tests run in tasks, and documents meet their stratum's cutoff
+in a join, so the number of strata is not limited.
+
+Edge cases: a null or empty text has no words and fails the base rule; a null language is that
+of the empty name; repeated rows are judged alike; of labels for one document or text the lowest
+quality counts, and null labels say nothing; without labels no cutoff is certified; other columns, whatever their names, are
+ignored or passed through.
 """
 
 from __future__ import annotations
@@ -21,16 +26,17 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ASCII_SPACE, durable, read
+from tidemark.llm.common import ASCII_SPACE, durable, fresh, read
 
 SYMBOLS = b"#*$%&|<>"
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-STRATA = ("de", "en", "es", "fr")
-CUTOFFS = (0.3, 0.4, 0.5, 0.6, 0.75, 0.9)
+#: In the order of the tests.
+CUTOFFS = (0.9, 0.75, 0.6, 0.5, 0.4, 0.3)
 MAX_FALSE_REJECTION = 0.01
 ERROR = 0.05
 MIN_WORDS = 50
@@ -73,78 +79,107 @@ def counts_of(text: str | None) -> tuple[int, ...]:
     )
 
 
-def with_counts(docs: DataFrame) -> DataFrame:
-    """docs (with a column text) and the columns of COUNTS, in the order of the input."""
-    kept = [c for c in docs.columns if c not in COUNTS]
-    docs = docs.select(*kept)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + "".join(f", {c} long" for c in COUNTS)
+def with_counts(docs: DataFrame, names: list[str]) -> DataFrame:
+    """docs (with a column text) and the values of COUNTS under these names, in the order of the input."""
+    # columns go by number into the task, as names may hold any character
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + "".join(f", {c} long" for c in COUNTS)
+    text_at = docs.columns.index("text")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([counts_of(t.as_py()) for t in batch.column("text")], np.int64).reshape(-1, len(COUNTS))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[:, j]) for j in range(len(COUNTS)))], names=[*kept, *COUNTS])
+            found = np.array([counts_of(t.as_py()) for t in batch.column(text_at)], np.int64).reshape(-1, len(COUNTS))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[:, j]) for j in range(len(COUNTS)))], names=[*batch.schema.names, *COUNTS])
 
-    return docs.mapInArrow(add, schema)
+    return rows.mapInArrow(add, schema).toDF(*docs.columns, *names)
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+def base_failed(of: dict[str, str]) -> Column:
+    """The base rule; of: the names that columns of COUNTS have."""
+    n_words = F.col(of["n_words"])
+    return (n_words < MIN_WORDS) | (100 * F.col(of["n_repeat_words"]) > MAX_REPEAT_PERCENT * n_words)
 
 
-def score() -> Column:
+def score(of: dict[str, str]) -> Column:
     """The largest share; 0 without words."""
-    per = lambda part, whole, times=1.0: times * F.col(part).cast("double") / F.greatest(F.col(whole), F.lit(1)).cast("double")
+    per = lambda part, whole, times=1.0: times * F.col(of[part]).cast("double") / F.greatest(F.col(of[whole]), F.lit(1)).cast("double")
     return F.greatest(per("n_symbols", "word_chars", 4.0), per("n_capitals", "word_chars"), per("n_repeat_words", "n_words"), per("n_dup_lines", "n_lines"))
 
 
 def stratum() -> Column:
-    return F.when(F.col("lang").isin(*STRATA), F.col("lang")).otherwise(F.lit("other"))
+    return F.coalesce("lang", F.lit(""))
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(Bin(n, p) <= k), summed exactly term by term."""
+    """P(Bin(n, p) <= k) for k <= n p, summed from its largest term downwards to the last that counts."""
     log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
-    return min(1.0, math.fsum(math.exp(log(i)) for i in range(k + 1)))
-
-
-def fit_cutoffs(counted: DataFrame, labels: DataFrame, risk: float = MAX_FALSE_REJECTION, error: float = ERROR) -> dict[str, float]:
-    """Certified cutoff by stratum, from all labelled documents. counted: doc_id, lang, COUNTS."""
-    clean = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select("doc_id")
-    scored = counted.select("doc_id", stratum().alias("stratum"), score().alias("score")).join(clean, "doc_id")
-    found = scored.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count_if(F.col("score") > c).alias(f"k{j}") for j, c in enumerate(CUTOFFS)))
-    level = error / ((len(STRATA) + 1) * len(CUTOFFS))
-    out: dict[str, float] = {}
-    for row in found.collect():  # one row a stratum
-        for j, cutoff in enumerate(CUTOFFS):
-            if 2 * row[f"k{j}"] <= row["n"] and binomial_tail(row[f"k{j}"], row["n"], risk) <= level:
-                out[row["stratum"]] = cutoff
-                break
-    return out
-
-
-def verdict(cutoffs: dict[str, float]) -> Column:
-    """True for documents that the base rule and the cutoffs keep."""
-    cutoff = F.lit(None).cast("double")
-    for name, value in cutoffs.items():
-        cutoff = F.when(stratum() == name, F.lit(value)).otherwise(cutoff)
-    return ~base_failed() & F.coalesce(score() <= cutoff, F.lit(True))
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[str, float]]:
-    """The counts of all documents, written once, and the certified cutoffs."""
-    counted = durable(with_counts(docs.select("doc_id", "lang", "text")).drop("text"))
+    total, term = 0.0, math.exp(log(k))
+    for i in range(k, -1, -1):
+        total += term
+        term *= i * (1 - p) / ((n - i + 1) * p)
+        if term < total * 1e-17:
+            break
+    return min(1.0, total)
+
+
+def certified(ks: list[int], n: int, risk: float, level: float) -> float | None:
+    """The last of CUTOFFS before the first that fails; ks: clean documents above each. A tail with k > risk * n is no small one."""
+    last = None
+    for cutoff, k in zip(CUTOFFS, ks, strict=True):
+        if k > risk * n or binomial_tail(k, n, risk) > level:
+            break
+        last = cutoff
+    return last
+
+
+def fit_cutoffs(counted: DataFrame, labels: DataFrame, risk: float = MAX_FALSE_REJECTION, error: float = ERROR) -> DataFrame:
+    """The durable table (stratum, cutoff) of strata with a certified cutoff, from all labelled documents.
+
+    counted: doc_id, lang, text_key and COUNTS.
+    """
+    own = dict(zip(COUNTS, COUNTS, strict=True))
+    quality = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    texts = counted.select("doc_id", "text_key", stratum().alias("stratum"), score(own).alias("score")).join(quality, "doc_id")
+    texts = texts.groupBy("stratum", "text_key").agg(F.min("quality").alias("quality"), F.max("score").alias("score")).filter("quality = 1")
+    found = texts.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count_if(F.col("score") > c).alias(f"k{j}") for j, c in enumerate(CUTOFFS)))
+    found = found.withColumn("strata", F.count("*").over(Window.partitionBy()))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            cutoffs = [certified([int(row[f"k{j}"]) for j in range(len(CUTOFFS))], int(row["n"]), risk, error / int(row["strata"])) for row in frame.to_dict("records")]
+            yield pd.DataFrame({"stratum": frame["stratum"], "cutoff": cutoffs}, columns=["stratum", "cutoff"]).dropna()
+
+    return durable(found.mapInPandas(run, "stratum string, cutoff double"))
+
+
+def judged(counted: DataFrame, of: dict[str, str], cutoffs: DataFrame, name: str) -> DataFrame:
+    """Adds the boolean `name`: true for documents that the base rule and the cutoffs keep."""
+    (cutoff,) = fresh([*counted.columns, name], "cutoff")
+    met = counted.alias("d").join(cutoffs.alias("c"), F.coalesce("d.lang", F.lit("")) == F.col("c.stratum"), "left")
+    met = met.select(*(F.col(f"d.`{c}`") for c in counted.columns), F.col("c.cutoff").alias(cutoff))
+    return met.withColumn(name, ~base_failed(of) & F.coalesce(score(of) <= F.col(cutoff), F.lit(True))).drop(cutoff)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The counts of all documents (doc_id, lang, text_key, COUNTS), written once, and the certified cutoffs."""
+    counted = with_counts(docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("text_key")), list(COUNTS)).drop("text")
+    counted = durable(counted)
     return counted, fit_cutoffs(counted, labels)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that stay, with their columns. Texts are read twice and never shuffled."""
     _, cutoffs = fit(docs, labels)
-    return with_counts(docs).filter(verdict(cutoffs)).select(*docs.columns)
+    *names, kept = fresh(docs.columns, *COUNTS, "kept")
+    out = judged(with_counts(docs, names), dict(zip(COUNTS, names, strict=True)), cutoffs, kept)
+    return out.filter(F.col(kept)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     counted, cutoffs = fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return counted.select("doc_id", *COUNTS[:5], base_failed().alias("base_failed"), score().alias("score"), verdict(cutoffs).alias("kept"))
+    own = dict(zip(COUNTS, COUNTS, strict=True))
+    out = judged(counted, own, cutoffs, "kept")
+    return out.select("doc_id", *COUNTS[:5], base_failed(own).alias("base_failed"), score(own).alias("score"), "kept")
 
 
 OP3_SQL = r"""
@@ -156,7 +191,7 @@ rep AS (SELECT row_id, count(DISTINCT i + s) AS n FROM dup, (VALUES (0), (1), (2
 ln AS (SELECT row_id, unnest(string_split(text, chr(10))) AS line FROM docs),
 lines AS (SELECT row_id, count(*) AS n, count(DISTINCT line) AS d FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row_id),
 c AS (
-  SELECT row_id, doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words,
+  SELECT row_id, doc_id, lang, text, CAST(len(ws) AS BIGINT) AS n_words,
          CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS BIGINT) AS n_capitals,
@@ -164,19 +199,21 @@ c AS (
          CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
   FROM docs JOIN w USING (row_id) LEFT JOIN lines USING (row_id) LEFT JOIN rep USING (row_id)),
 s AS (
-  SELECT *, CASE WHEN lang IN ('de', 'en', 'es', 'fr') THEN lang ELSE 'other' END AS stratum,
+  SELECT *, coalesce(lang, '') AS stratum,
          n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
          greatest(4.0::DOUBLE * n_symbols::DOUBLE / greatest(word_chars, 1)::DOUBLE, n_capitals::DOUBLE / greatest(word_chars, 1)::DOUBLE,
                   n_repeat_words::DOUBLE / greatest(n_words, 1)::DOUBLE, n_dup_lines::DOUBLE / greatest(n_lines, 1)::DOUBLE) AS score
   FROM c),
-clean AS (SELECT stratum, score FROM s JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1) USING (doc_id)),
+clean AS (
+  SELECT stratum, text, max(score) AS score FROM s JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id)
+  GROUP BY stratum, text HAVING min(quality) = 1),
 tests AS (
-  SELECT stratum, cutoff, count(*) AS n, count(*) FILTER (WHERE score > cutoff) AS k
-  FROM clean, (VALUES (0.3::DOUBLE), (0.4::DOUBLE), (0.5::DOUBLE), (0.6::DOUBLE), (0.75::DOUBLE), (0.9::DOUBLE)) v(cutoff) GROUP BY ALL),
+  SELECT stratum, cutoff, count(*) AS n, count(*) FILTER (WHERE score > cutoff) AS k, (SELECT count(DISTINCT stratum) FROM clean) AS strata
+  FROM clean, (VALUES (0.3::DOUBLE), (0.4::DOUBLE), (0.5::DOUBLE), (0.6::DOUBLE), (0.75::DOUBLE), (0.9::DOUBLE)) v(cutoff) GROUP BY stratum, cutoff),
 tails AS (
-  SELECT stratum, cutoff, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99))) AS tail
-  FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM tests WHERE 2 * k <= n) GROUP BY ALL),
-cut AS (SELECT stratum, min(cutoff) AS cutoff FROM tails WHERE tail <= 0.05 / 30 GROUP BY stratum)
+  SELECT stratum, cutoff, strata, CASE WHEN k > 0.01::DOUBLE * n THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))) END AS tail FROM tests),
+failed AS (SELECT stratum, max(cutoff) FILTER (WHERE tail > 0.05 / strata) AS cutoff FROM tails GROUP BY stratum),
+cut AS (SELECT tails.stratum, min(tails.cutoff) AS cutoff FROM tails JOIN failed USING (stratum) WHERE tails.cutoff > coalesce(failed.cutoff, 0) GROUP BY tails.stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score,
        NOT base_failed AND coalesce(score <= cutoff, TRUE) AS kept
 FROM s LEFT JOIN cut USING (stratum)
