@@ -2,8 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages the rows are
 written as Parquet into the shared folder and read again, so a lost executor costs one stage at
-most. All stages but the last return the columns of documents. Nulls, empty texts, repeated
-rows and empty tables go through as the operators' docstrings say.
+most. All stages but the last return the columns of documents, all of them untouched but for
+text, n_chars and the rows' number. Nulls, empty texts, repeated rows, empty tables and columns
+that documents may have besides go through as the operators' docstrings say; the last stage
+returns doc_id, lang, source and its own columns.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe_automaton, jaccard_join, line_dedup, mixing, quality_rules
-from tidemark.llm.common import durable, read
+from tidemark.llm.common import discard, durable, read, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; a stage's tables go when it is done, its input when the next one is."""
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = durable(stage(spark, docs, sf_dir))
+    for place, (_, stage) in enumerate(STAGES):
+        with scratch() as kept:
+            done = durable(stage(spark, docs, sf_dir))
+            kept.append(done)
+        if place:
+            discard(docs)
+        docs = done
     return docs
