@@ -2,10 +2,8 @@
 
 import math
 
-import duckdb
 import numpy as np
 import pytest
-from test_queries import SF, TABLES, rows_of
 
 from tidemark.operators import portfolio
 from tidemark.plans import catalog
@@ -38,31 +36,3 @@ def test_neighbours_of_all_rows(spark, tmp_path, monkeypatch, most):
     for i, r in got.items():
         s = near[i][:18]
         assert r.neighbours == 18 and (r.label_mean, r.nearest, r.average) == pytest.approx((label[s].mean(), d[i, s].min(), d[i, s].mean()), abs=2e-6)
-
-
-#: What the registered SQL leaves out, and the same SQL over the whole job.
-WHOLE = {
-    "pit_as_of": [(" WHERE dayofmonth(day) <= 3", "")],
-    "pit_capped": [(" WHERE dayofmonth(day) <= 3", "")],
-    "pit_event_features": [(" WHERE dayofmonth(day) <= 3", "")],
-    "pit_macro_fan_out": [("event_id % 3 = 1)", "event_id % 3 = 1 UNION ALL SELECT 'ASX', event_id, event_day FROM pit WHERE dataset = 'macro' AND event_id % 3 = 2)")],
-    "ticks_insert_new": [(" AND trade_id % 5 = 0", "")],
-    "decision_scores": [(" WHERE dayofmonth(day) = 1", "")],
-    "prediction_maturation": [("1996-06-30", "2001-07-31"), (" WHERE o_orderdate < TIMESTAMP '1996-07-01' AND o_orderdate >= TIMESTAMP '1996-01-01'", "")],
-}
-
-
-@pytest.mark.parametrize("name", WHOLE)
-def test_nothing_is_left_out(spark, name):
-    con = duckdb.connect()
-    con.execute("set TimeZone = 'UTC'")
-    for t in TABLES:
-        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    sql = catalog.oracle_sql()[name]
-    cut = len(con.execute(sql).df())
-    for part, whole in WHOLE[name]:
-        sql = sql.replace(part, whole)
-    want = rows_of(con.execute(sql).df())
-    got = rows_of(catalog.queries()[name](spark, SF).toPandas())
-    print(name, "rows by the registered SQL", cut, "now", len(got[1]))
-    assert got == want

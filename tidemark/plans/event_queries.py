@@ -10,7 +10,7 @@ from tidemark.operators import trades as op
 from tidemark.plans.registry import BARS_SQL, PIT_SQL, TICKS_SQL, query, r, r6
 from tidemark.sources import tables
 
-SIGNAL_SQL = f"""{BARS_SQL}, {PIT_SQL}, sig AS (SELECT market, symbol, day FROM bars WHERE dayofmonth(day) <= 3),
+SIGNAL_SQL = f"""{BARS_SQL}, {PIT_SQL}, sig AS (SELECT market, symbol, day FROM bars),
 usable AS (SELECT * FROM pit WHERE verified AND available_day >= event_day),
 pairs AS (SELECT s.symbol, s.day, e.event_id, e.dataset, e.series, e.event_day, e.available_day, e.sentiment, date_diff('day', e.available_day, s.day) AS age FROM sig s JOIN usable e ON s.symbol = e.symbol AND e.available_day <= s.day AND e.event_day <= s.day
   AND date_diff('day', e.available_day, s.day) <= CASE e.dataset WHEN 'news' THEN 180 WHEN 'social' THEN 21 WHEN 'macro' THEN 120 ELSE 400 END),
@@ -20,7 +20,6 @@ chosen AS (SELECT * FROM c2 WHERE k <= CASE dataset WHEN 'news' THEN 40 WHEN 'so
 
 
 def _signals(spark, sf_dir):
-    """All bars; the SQL knows only those of the first three days of a month."""
     return tables.bars(spark, sf_dir).select("symbol", "day")
 
 
@@ -66,10 +65,9 @@ def pit_latest_known(spark, sf_dir):
     return out.select("symbol", "day", F.coalesce("sentiment", F.lit(0.0)).alias("sentiment"), F.coalesce(F.date_diff("day", "available_day"), F.lit(-1)).cast("long").alias("age_days"))
 
 
-@query(f"""WITH {BARS_SQL}, {PIT_SQL}, m AS (SELECT DISTINCT market, symbol FROM bars), x AS (SELECT 'US' AS market, event_id, event_day FROM pit WHERE dataset = 'macro' AND event_id % 3 = 0 UNION ALL SELECT 'CN', event_id, event_day FROM pit WHERE dataset = 'macro' AND event_id % 3 = 1)
+@query(f"""WITH {BARS_SQL}, {PIT_SQL}, m AS (SELECT DISTINCT market, symbol FROM bars), x AS (SELECT 'US' AS market, event_id, event_day FROM pit WHERE dataset = 'macro' AND event_id % 3 = 0 UNION ALL SELECT 'CN', event_id, event_day FROM pit WHERE dataset = 'macro' AND event_id % 3 = 1 UNION ALL SELECT 'ASX', event_id, event_day FROM pit WHERE dataset = 'macro' AND event_id % 3 = 2)
 SELECT m.market, m.symbol, count(*) AS n, min(event_day) AS first_day FROM x JOIN m ON m.market = x.market GROUP BY ALL""")
 def pit_macro_fan_out(spark, sf_dir):
-    """Records of all three markets; the SQL knows none of ASX."""
     k = F.pmod("event_id", F.lit(3))
     macro = tables.pit_events(spark, sf_dir).filter("dataset = 'macro'").select(F.when(k == 0, "US").when(k == 1, "CN").otherwise("ASX").alias("market"), "event_id", "event_day")
     symbols = tables.bars(spark, sf_dir).select("market", "symbol").distinct()
@@ -123,10 +121,10 @@ def footprint_levels(spark, sf_dir):
     return out.select("symbol", F.col("start").cast("timestamp_ntz").alias("start"), r6("poc"), r6("imbalance"), "levels")
 
 
-@query(f"""WITH {TICKS_SQL}, i AS (SELECT *, row_number() OVER (PARTITION BY symbol, exchange, size ORDER BY ts, trade_id) AS k FROM ticks WHERE trade_id % 2 = 1 AND price > 0 AND size > 0), o AS (SELECT DISTINCT symbol, exchange, size FROM ticks WHERE trade_id % 2 = 0 AND trade_id % 5 = 0)
+@query(f"""WITH {TICKS_SQL}, i AS (SELECT *, row_number() OVER (PARTITION BY symbol, exchange, size ORDER BY ts, trade_id) AS k FROM ticks WHERE trade_id % 2 = 1 AND price > 0 AND size > 0), o AS (SELECT DISTINCT symbol, exchange, size FROM ticks WHERE trade_id % 2 = 0)
 SELECT symbol, exchange, size, trade_id, price FROM i WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM o WHERE o.symbol = i.symbol AND o.exchange = i.exchange AND o.size = i.size)""")
 def ticks_insert_new(spark, sf_dir):
-    """Even ids are stored, odd ones come in; the SQL stores only every tenth."""
+    """Even ids are stored, odd ones come in."""
     t = tables.ticks(spark, sf_dir)
     new = op.insert_new(t.filter("trade_id % 2 = 0"), t.filter("trade_id % 2 = 1"), ["symbol", "exchange", "size"], ["ts", "trade_id"], F.col("price") * F.col("size") > 0)
     return new.select("symbol", "exchange", "size", "trade_id", "price")

@@ -62,13 +62,12 @@ def order_intents(spark, sf_dir):
     return op.order_intents(o).groupBy("side", F.size("errors").alias("n_errors"), "status").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {SCORES_SQL}, ds AS (SELECT symbol, day, rsi, vr, change5, trend_score AS tr, risk_score AS rk, momentum_score AS cf, factor_quality AS fq FROM scores WHERE dayofmonth(day) = 1),
+@query(f"""WITH {SCORES_SQL}, ds AS (SELECT symbol, day, rsi, vr, change5, trend_score AS tr, risk_score AS rk, momentum_score AS cf, factor_quality AS fq FROM scores),
 st AS (SELECT symbol, day, unnest([{{'style': 'reversion', 's': 46 + (50 - rsi) * 0.75 + 4 * 2.4 + (cf - 55) * 0.22 + 0.5 * 0.55 + 10 * 0.08}}, {{'style': 'breakout', 's': 35 + (cf - 48) * 0.42 + 4 * 3.1 + (tr - 48) * 0.22 + (vr - 1) * 11 + greatest(0, change5) * 0.45 + 60 * 0.08 + 0.5 * 0.7}},
   {{'style': 'news-flow', 's': 34 + 10 * 0.34 + fq * 0.2 + 55 * 0.12 + 1.5 * 2.6 + (tr - 50) * 0.12 + 0.5 * 0.55}}, {{'style': 'risk-balanced', 's': 28 + cf * 0.24 + 55 * 0.18 + 52 * 0.1 + (rk - 45) * 0.28 + greatest(0, tr - 50) * 0.14 + 10 * 0.08 - greatest(0, 48 - 45) * 0.18}},
   {{'style': 'momentum', 's': 38 + (cf - 50) * 0.5 + 1.5 * 3.2 + 4 * 1.1 + (tr - 50) * 0.24 + (vr - 1) * 8 + 10 * 0.08 + 0.5 * 0.9}}]) AS x FROM ds)
 SELECT symbol, day, x.style AS style, {r(score='greatest(0, least(100, x.s))')} FROM st""")
 def decision_scores(spark, sf_dir):
-    """Of all bars; the SQL knows only those of the first day of a month."""
     d = indicators.scores(tables.bars(spark, sf_dir))
     fixed = {"max_upside": 4.0, "market_bias": 0.5, "evidence": 10.0, "max_prob": 60.0, "target_prob": 55.0, "final_return": 1.5, "final_prob": 52.0, "downside": 48.0}
     d = d.withColumns({n: F.lit(v) for n, v in fixed.items()} | {"confidence": F.col("momentum_score"), "trend": F.col("trend_score"), "risk": F.col("risk_score"), "factor": F.col("factor_quality")})
@@ -93,12 +92,12 @@ def news_scores(spark, sf_dir):
     return op.news_scores(d, TERMS, {"positive": 0.01, "negative": -0.02}).select("doc_id", "positive_hits", "negative_hits", r6("sentiment"), "stance")
 
 
-@query(f"""WITH e AS (SELECT vec_id, label % 5 AS g, embedding, label FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 25 = 0),
-d AS (SELECT q.vec_id AS query, e.vec_id AS id, e.label, sqrt(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) / 64) AS d FROM q JOIN e ON q.g = e.g AND q.vec_id <> e.vec_id),
+@query(f"""WITH e AS (SELECT vec_id, embedding, label FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 25 = 0),
+d AS (SELECT q.vec_id AS query, e.vec_id AS id, e.label, sqrt(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) / 64) AS d FROM q JOIN e ON q.vec_id <> e.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, id) AS k FROM d)
 SELECT query, count(*) AS neighbours, {r(label_mean='avg(label)', nearest='min(d)', average='avg(d)')} FROM k WHERE k <= 18 GROUP BY query""")
 def knn_neighbors(spark, sf_dir):
-    """Against all other rows; the SQL knows only those with the query's label modulo five."""
+    """Every 25th row against all other rows."""
     e = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), "label", F.lit(1.0).alias("weight"))
     return op.knn(e, e.filter("id % 25 = 0"), 64).select("query", "neighbours", r6("label_mean"), r6("nearest"), r6("average"))
 

@@ -57,11 +57,11 @@ def ensemble_forecast(spark, sf_dir):
     return op.ensemble(m, ["day"]).select("day", "models", r6("upside"), r6("agreement"), r6("confidence"))
 
 
-@query("""WITH e AS (SELECT vec_id, embedding FROM embeddings), d AS (SELECT q.vec_id AS query, sqrt(list_sum(list_transform(list_zip(q.embedding, x.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) / 64) AS d FROM e q JOIN e x ON q.vec_id // 20 = x.vec_id // 20 AND q.vec_id <> x.vec_id WHERE q.vec_id % 10 = 0),
-g AS (SELECT query, list(d ORDER BY d) AS ds, avg(d) AS m FROM d GROUP BY query), c AS (SELECT query, greatest(0, least(100, 104 - ds[1] * 24 - m * 31 - ds[CAST(floor((len(ds) - 1) * 0.75) AS INT) + 1] * 11 + least(8, log10(500) * 3.5))) AS c FROM g)
+@query("""WITH e AS (SELECT vec_id, embedding FROM embeddings), d AS (SELECT q.vec_id AS query, sqrt(list_sum(list_transform(list_zip(q.embedding, x.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) / 64) AS d FROM e q JOIN e x ON q.vec_id <> x.vec_id WHERE q.vec_id % 10 = 0),
+g AS (SELECT query, list(d ORDER BY d) AS ds, avg(d) AS m FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d) AS k FROM d) WHERE k <= 18 GROUP BY query), c AS (SELECT query, greatest(0, least(100, 104 - ds[1] * 24 - m * 31 - ds[CAST(floor((len(ds) - 1) * 0.75) AS INT) + 1] * 11 + least(8, log10((SELECT count(*) - 1 FROM e)) * 3.5))) AS c FROM g)
 SELECT query, """ + r(coverage="c", coverage_weight="greatest(0.22, least(1, 0.22 + c * 0.0078))", ood_risk="1 - c / 100") + " FROM c")
 def neighbour_coverage(spark, sf_dir):
-    """Against the 18 nearest of all other rows; the SQL knows only the 19 of the query's id block, and 500 samples."""
+    """Every tenth row against the 18 nearest of all other rows."""
     e = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
     near = portfolio.nearest(e, e.filter("id % 10 = 0"), 64)
     near = near.crossJoin(e.agg((F.count("*") - 1).alias("samples")))
