@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import rabitq
@@ -22,7 +23,9 @@ def result(df):
     return out
 
 
-def test_equals_brute_force_with_copies(spark, monkeypatch):
+@pytest.mark.parametrize("entries_a_pivot", [8192, 60])
+def test_equals_brute_force_with_copies(spark, monkeypatch, entries_a_pivot):
+    monkeypatch.setattr(rabitq, "ENTRIES_A_PIVOT", entries_a_pivot)
     monkeypatch.setattr(rabitq, "CODES_AT_ONCE", 100)
     monkeypatch.setattr(rabitq, "QUERIES_AT_ONCE", 16)
     rng = np.random.default_rng(3)
@@ -48,3 +51,24 @@ def test_edges(spark):
     assert result(rabitq.nearest(few, F.col("vec_id") % 10 == 0)) == {0: [(1, 2**0.5), (10, 2.0)], 10: [(0, 2.0), (1, 10**0.5)]}
     none = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], schema)
     assert rabitq.nearest(none, F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_recall_at_volume(spark, monkeypatch):
+    """400 queries over unclustered vectors, the hardest case for codes and pivots."""
+    monkeypatch.setattr(rabitq, "ENTRIES_A_PIVOT", 500)
+    x = np.random.default_rng(8).standard_normal((4000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = result(rabitq.nearest(df, F.col("vec_id") % 10 == 0))
+    x = x.astype(float)
+    hits = 0
+    for q in range(0, 4000, 10):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len(set(np.argsort(d, kind="stable")[:10].tolist()) & {i for i, _ in got[q]})
+    assert len(got) == 400 and hits >= 0.97 * 4000
+
+
+def test_vectors_of_each_length_are_searched(spark):
+    rows = [(i, [float(i + 1)] * (2 + i % 2)) for i in range(8)]
+    got = result(rabitq.nearest(spark.createDataFrame(rows, "vec_id int, embedding array<double>"), F.col("vec_id") < 2, k=2))
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {0: [2, 4], 1: [3, 5]}

@@ -1,24 +1,27 @@
 """Approximate nearest neighbours with randomly rotated one-bit codes.
 
-Index. Vectors are centred on the mean of all and rotated by a seeded random orthogonal matrix;
-of the unit direction o, only the signs are kept: with x = signs / sqrt(d), a vector's record is
-its packed bits, its norm and f = <x, o>. Vectors are grouped into blocks of packed records, so
-the index is a small table of binary rows, about 24 bytes a vector besides its id.
+Index. A bounded sample of vectors are pivots (one for ENTRIES_A_PIVOT vectors, MOST_PIVOTS at
+most); every vector belongs to its nearest pivot, is centred on it and rotated by a seeded random
+orthogonal matrix. Of the unit direction o, only the signs are kept: with x = signs / sqrt(d), a
+vector's record is its packed bits, its norm and f = <x, o>. A pivot's vectors are spread over
+blocks of packed records, so a pivot with a third of all vectors is many blocks.
 
 Search. For a query's unit direction q, <x, q> / f estimates <o, q>; the error lies within
 epsilon * sqrt((1 - f^2) / (f^2 (d - 1))) but for a probability that falls exponentially with
-epsilon^2. This gives bounds on every distance. In a first pass each query block meets each code
-block and keeps the smallest k upper bounds; the k-th over all blocks is the query's threshold.
-In a second pass the vectors with a lower bound under the threshold are chosen and reranked
-by their exact distance, block by block. Queries meet codes in blocks, never in pairs of rows.
+epsilon^2. This gives bounds on every distance. First the queries of a pivot visit that pivot's
+blocks; the k-th smallest upper bound tells which vectors are reranked by their exact distance,
+and the k-th exact distance found is the query's limit. Then they visit the blocks of other
+pivots, but for pivots that lie further than limit + radius (the triangle inequality, so nothing
+is lost there), and rerank the vectors whose lower bound is under the limit. Queries travel to
+blocks in packed rows, vectors never leave their block, and each visit sends on k + 1 results.
 
 Equal vectors are one entry with their k + 1 smallest ids, which is all that a result can hold,
 and equal queries are searched once, so groups of copies cost what one vector costs.
 
-Edge cases: vectors that are null, zero, hold null or non-finite components, or are not of the most
-common length take no part; null ids neither; ties go to the smaller id; repeated rows of one
-id count once for each different vector; fewer than k candidates give all of them; an empty
-table gives an empty result; other columns are ignored.
+Edge cases: vectors that are null, zero or hold null or non-finite components take no part; null
+ids neither; a query is searched among the vectors of its own length; ties go to the smaller id;
+repeated rows of one id count once for each different vector; fewer than k candidates give all of
+them; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import durable, read
 
 EPSILON = 2.5
+ENTRIES_A_PIVOT = 8192
+MOST_PIVOTS = 256
 CODES_AT_ONCE = 4096
 QUERIES_AT_ONCE = 256
 SEED = 20
@@ -71,21 +76,8 @@ def valid(df: DataFrame) -> DataFrame:
     """vec_id and embedding (array of double) of the vectors that take part."""
     v = F.col("embedding")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    ok = df.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & v.isNotNull()).filter(fine)
-    length = ok.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return ok.filter(F.size("embedding") == (length.d if length else 0))
-
-
-def _packed(rows: DataFrame, most: int) -> DataFrame:
-    """entry, embedding -> rows of about `most` of them, as binary arrays: block, entries, vectors."""
-    blocks = F.lit(max(1, -(-rows.count() // most)))
-
-    def pack(table: pa.Table) -> pa.Table:
-        vectors = np.stack(table.column("embedding").to_numpy())
-        entries = table.column("entry").to_numpy().astype("<i8")
-        return pa.table({"block": table.column("block").slice(0, 1), "entries": pa.array([entries.tobytes()], pa.binary()), "vectors": pa.array([vectors.tobytes()], pa.binary())})
-
-    return durable(rows.select(F.pmod(F.xxhash64("entry"), blocks).alias("block"), "entry", "embedding").groupBy("block").applyInArrow(pack, "block long, entries binary, vectors binary"))
+    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.filter(F.col("vec_id").isNotNull() & v.isNotNull()).filter(fine)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -94,82 +86,147 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
 
 
-def _index(blocks: DataFrame, d: int, centre: np.ndarray, seed: int) -> DataFrame:
-    """The blocks with codes, norm and f of their vectors."""
+class Index:
+    """Blocks of codes and vectors by pivot. Only pivots, their radii and numbers of blocks are known outside."""
+
+    def __init__(self, entries: DataFrame, d: int, epsilon: float, seed: int) -> None:
+        self.d, self.epsilon, self.seed = d, epsilon, seed
+        n_pivots = max(1, min(MOST_PIVOTS, -(-entries.count() // ENTRIES_A_PIVOT)))
+        sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(n_pivots).select("embedding").collect()
+        self.pivots = np.array([r.embedding for r in sample], float).reshape(-1, d)
+        self.placed = durable(self.place(entries))
+        found = {r.pivot: r for r in self.placed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}  # one row a pivot
+        self.radius = np.array([found[p].radius if p in found else 0.0 for p in range(len(self.pivots))])
+        n_blocks = np.array([-(-found[p].n // CODES_AT_ONCE) if p in found else 0 for p in range(len(self.pivots))])
+        self.first = np.concatenate([[0], np.cumsum(n_blocks)]).astype(int)
+        self.blocks = durable(self._coded(_packed(self.placed, self.first.tolist())))
+
+    def place(self, entries: DataFrame) -> DataFrame:
+        """entry, embedding, pivot and distance from it."""
+        pivots = self.pivots
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                vectors = _matrix(batch.column("embedding"))
+                near = ((pivots**2).sum(1) - 2 * vectors @ pivots.T).argmin(1) if len(vectors) else np.zeros(0, np.int64)
+                away = np.sqrt(((vectors - pivots[near]) ** 2).sum(1)) if len(vectors) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near), pa.array(away)], names=["entry", "embedding", "pivot", "away"])
+
+        return entries.select("entry", "embedding").mapInArrow(run, "entry long, embedding array<double>, pivot long, away double")
+
+    def _coded(self, packed: DataFrame) -> DataFrame:
+        """The blocks with codes, norm and f of their vectors."""
+        d, pivots, seed = self.d, self.pivots, self.seed
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in _rows(batches):
+                codes, norm, f = encode(np.frombuffer(row["vectors"]).reshape(-1, d), pivots[row["pivot"]], seed)
+                values = [row["entries"], row["vectors"], codes.tobytes(), norm.tobytes(), f.tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([row["pivot"]], pa.int64()), *(pa.array([v], pa.binary()) for v in values)], names=["block", "pivot", "entries", "vectors", "codes", "norm", "f"])
+
+        return packed.select("block", "pivot", "entries", "vectors").mapInArrow(add, "block long, pivot long, entries binary, vectors binary, codes binary, norm binary, f binary")
+
+    def visit(self, queries: DataFrame, k: int, home: bool) -> DataFrame:
+        """q, entry, score: the k + 1 nearest (with ties) that queries find in each block they visit.
+
+        queries: packed rows with pivot, entries, vectors, limits. home: the blocks of their own pivot, or all others.
+        """
+        d, pivots, radius, first, epsilon, seed = self.d, self.pivots, self.radius, self.first, self.epsilon, self.seed
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in _rows(batches):
+                vectors, limits = np.frombuffer(row["vectors"]).reshape(-1, d), np.frombuffer(row["limits"])
+                for p in range(len(pivots)):
+                    away = np.sqrt(((vectors - pivots[p]) ** 2).sum(1))
+                    if (p == row["pivot"]) == home and (home or (away - radius[p] <= limits * (1 + 1e-9) + 1e-9).any()):
+                        for block in range(first[p], first[p + 1]):
+                            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([row[c]], pa.binary()) for c in ("entries", "vectors", "limits"))], names=["block", "asked", "asked_vectors", "limits"])
+
+        def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in _rows(batches):
+                asked, vectors = np.frombuffer(row["asked"], "<i8"), np.frombuffer(row["asked_vectors"]).reshape(-1, d)
+                entry, own, norm = np.frombuffer(row["entries"], "<i8"), np.frombuffer(row["vectors"]).reshape(-1, d), np.frombuffer(row["norm"])
+                codes = np.frombuffer(row["codes"], np.uint8).reshape(len(norm), -1)
+                low, high = bounds((vectors - pivots[row["pivot"]]) @ rotation(d, seed), codes, norm, np.frombuffer(row["f"]), d, epsilon)
+                limit = np.frombuffer(row["limits"]) ** 2
+                if len(entry) > k:
+                    limit = np.minimum(limit, np.partition(high, k, axis=1)[:, k])
+                out: list[tuple] = []
+                for i in range(len(asked)):
+                    at = np.flatnonzero(low[i] <= limit[i])
+                    score = np.sqrt(((own[at] - vectors[i]) ** 2).sum(1))
+                    if len(at) > k + 1:  # all that tie with the k + 1-st stay: which of them counts is decided by id
+                        near = score <= np.partition(score, k)[k]
+                        at, score = at[near], score[near]
+                    out += zip(np.full(len(at), asked[i]).tolist(), entry[at].tolist(), score.tolist(), strict=True)
+                q, e, s = zip(*out, strict=True) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(e, pa.int64()), pa.array(s, pa.float64())], names=["q", "entry", "score"])
+
+        dealt = queries.select("pivot", "entries", "vectors", "limits").mapInArrow(deal, "block long, asked binary, asked_vectors binary, limits binary")
+        return self.blocks.join(dealt, "block").mapInArrow(rerank, "q long, entry long, score double")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.stack(column.to_numpy(zero_copy_only=False)) if len(column) else np.empty((0, 0))
+
+
+def _packed(rows: DataFrame, first: list[int]) -> DataFrame:
+    """entry, embedding, pivot (and limit) -> rows of many of them: block, pivot, and binary arrays entries, vectors, limits.
+
+    A pivot's rows are spread over the blocks first[pivot] to first[pivot + 1].
+    """
+
+    def pack(table: pa.Table) -> pa.Table:
+        entries = table.column("entry").to_numpy().astype("<i8")
+        limits = table.column("limit").to_numpy().astype("<f8")
+        values = [entries, _matrix(table.column("embedding").combine_chunks()), limits]
+        out = {"block": table.column("block").slice(0, 1), "pivot": table.column("pivot").slice(0, 1)}
+        return pa.table(out | {name: pa.array([v.tobytes()], pa.binary()) for name, v in zip(("entries", "vectors", "limits"), values, strict=True)})
+
+    if "limit" not in rows.columns:
+        rows = rows.withColumn("limit", F.lit(float("inf")))
+    starts = F.array(*map(F.lit, first))
+    at = F.element_at(starts, (F.col("pivot") + 1).cast("int"))
+    n = F.element_at(starts, (F.col("pivot") + 2).cast("int")) - at
+    rows = rows.select((at + F.pmod(F.xxhash64("entry", F.lit(1)), n)).cast("long").alias("block"), "pivot", "entry", "embedding", "limit")
+    return rows.groupBy("block").applyInArrow(pack, "block long, pivot long, entries binary, vectors binary, limits binary")
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            codes, norm, f = encode(np.frombuffer(row["vectors"]).reshape(-1, d), centre, seed)
-            values = [row["entries"], row["vectors"], codes.tobytes(), norm.tobytes(), f.tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), *(pa.array([v], pa.binary()) for v in values)], names=["block", "entries", "vectors", "codes", "norm", "f"])
 
-    return durable(blocks.mapInArrow(add, "block long, entries binary, vectors binary, codes binary, norm binary, f binary"))
+def _in_order(near: DataFrame, k: int) -> DataFrame:
+    """The k + 1 nearest entries of each query; rank() keeps all that tie with the last."""
+    return near.withColumn("nth", F.rank().over(Window.partitionBy("q").orderBy("score"))).filter(F.col("nth") <= k + 1)
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 10, epsilon: float = EPSILON, seed: int = SEED) -> DataFrame:
-    """query_id, rank, vec_id, score (Euclidean distance) of the k nearest of each query row."""
-    points = durable(valid(df).distinct())
-    first = points.first()
-    if first is None:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d = len(first.embedding)
-    centre = np.array(points.agg(*(F.avg(F.col("embedding")[i]) for i in range(d))).first(), float)
-    turned = rotation(d, seed)
+def _nearest_of_length(points: DataFrame, d: int, k: int, epsilon: float, seed: int) -> DataFrame:
+    """query_id, vec_id, score of points (vec_id, embedding, asked) of one length; k or more a query."""
     # the rank filter prunes groups of copies before the shuffle
     copies = points.withColumn("nth", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).filter(F.col("nth") <= k + 1)
     entries = copies.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     entries = durable(entries.withColumn("entry", F.xxhash64(F.col("ids")[0], "embedding")))
-    query_of = durable(points.filter(is_query).join(entries.select("embedding", "entry"), "embedding").select(F.col("vec_id").alias("query_id"), F.col("entry").alias("q")))
-    wanted = entries.join(query_of, F.col("entry") == F.col("q"), "left_semi").select("entry", "embedding")
-    index = _index(_packed(entries, CODES_AT_ONCE), d, centre, seed)
-    queries = _packed(wanted, QUERIES_AT_ONCE).withColumnsRenamed({"block": "at", "entries": "asked", "vectors": "asked_vectors"})
-    last = (queries.agg(F.max("at")).first()[0] or 0) if query_of.first() else 0
-    meets = lambda q, *columns: index.select("block", *columns).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))).join(q, "at")
-
-    def limits_of(row: dict) -> tuple:
-        asked = np.frombuffer(row["asked"], "<i8")
-        vectors = np.frombuffer(row["asked_vectors"]).reshape(len(asked), d)
-        norm = np.frombuffer(row["norm"])
-        codes = np.frombuffer(row["codes"], np.uint8).reshape(len(norm), -1)
-        return asked, vectors, *bounds((vectors - centre) @ turned, codes, norm, np.frombuffer(row["f"]), d, epsilon)
-
-    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            asked, _, _, high = limits_of(row)
-            best = np.sort(high, axis=1)[:, : k + 1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(best.size, row["at"])), pa.array(np.repeat(np.arange(len(asked)), best.shape[1])), pa.array(best.ravel())], names=["at", "pos", "high"])
-
-    # k + 1: the query's own entry is among them
-    in_order = Window.partitionBy("at", "pos").orderBy("high")
-    best = meets(queries, "codes", "norm", "f").mapInArrow(smallest, "at long, pos long, high double")
-    best = best.withColumn("nth", F.row_number().over(in_order)).filter(F.col("nth") <= k + 1)
-    limit = F.when(F.count("*") > k, F.max("high")).otherwise(F.lit(float("inf")))
-    limits = best.groupBy("at", "pos").agg(limit.alias("limit")).groupBy("at").agg(F.array_sort(F.collect_list(F.struct("pos", "limit")))["limit"].alias("limits"))
-
-    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            asked, vectors, low, _ = limits_of(row)
-            entry, own = np.frombuffer(row["entries"], "<i8"), np.frombuffer(row["vectors"]).reshape(-1, d)
-            chosen = low <= np.array(row["limits"])[:, None]
-            out: list[tuple] = []
-            for i in range(len(asked)):
-                at = np.flatnonzero(chosen[i])
-                score = np.sqrt(((own[at] - vectors[i]) ** 2).sum(1))
-                # all that tie with the k + 1-st stay: which of them counts is decided by id
-                near = at if len(at) <= k + 1 else at[score <= np.partition(score, k)[k]]
-                score = score if len(at) <= k + 1 else score[score <= np.partition(score, k)[k]]
-                out += zip(np.full(len(near), asked[i]).tolist(), entry[near].tolist(), score.tolist(), strict=True)
-            q, e, s = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(e, pa.int64()), pa.array(s, pa.float64())], names=["q", "entry", "score"])
-
-    near = meets(queries.join(limits, "at"), "entries", "vectors", "codes", "norm", "f").mapInArrow(rerank, "q long, entry long, score double")
-    by_distance = Window.partitionBy("q").orderBy("score")
-    # rank() keeps all entries that tie with the k + 1-st
-    near = near.withColumn("nth", F.rank().over(by_distance)).filter(F.col("nth") <= k + 1)
+    query_of = durable(points.filter("asked").join(entries.select("embedding", "entry"), "embedding").select(F.col("vec_id").alias("query_id"), F.col("entry").alias("q")))
+    index = Index(entries, d, epsilon, seed)
+    wanted = durable(index.placed.join(query_of, F.col("entry") == F.col("q"), "left_semi"))
+    n = {r.pivot: r.n for r in wanted.groupBy("pivot").agg(F.count("*").alias("n")).collect()}  # one row a pivot
+    spread = np.concatenate([[0], np.cumsum([-(-n.get(p, 0) // QUERIES_AT_ONCE) for p in range(len(index.pivots))])]).astype(int).tolist()
+    near = durable(_in_order(index.visit(_packed(wanted, spread), k, home=True), k).drop("nth"))
+    limits = near.groupBy("q").agg(F.when(F.count("*") > k, F.max("score")).otherwise(F.lit(float("inf"))).alias("limit"))
+    limited = wanted.join(limits, F.col("entry") == F.col("q"), "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
+    near = _in_order(near.unionByName(index.visit(_packed(limited, spread), k, home=False)), k)
     ids = near.join(entries.select("entry", "ids"), "entry").select("q", "score", F.explode("ids").alias("vec_id"))
     ids = ids.groupBy("q", "vec_id").agg(F.min("score").alias("score"))
     ids = ids.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).filter(F.col("nth") <= k + 1)
-    found = query_of.join(ids, "q").filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    return query_of.join(ids, "q").filter("vec_id <> query_id").select("query_id", "vec_id", "score")
+
+
+def nearest(df: DataFrame, is_query: Column, k: int = 10, epsilon: float = EPSILON, seed: int = SEED) -> DataFrame:
+    """query_id, rank, vec_id, score (Euclidean distance) of the k nearest of each query row."""
+    points = durable(valid(df).distinct().withColumn("asked", F.coalesce(is_query, F.lit(False))))
+    lengths = [r.d for r in points.groupBy(F.size("embedding").alias("d")).agg(F.count("*")).collect()]
+    parts = [_nearest_of_length(points.filter(F.size("embedding") == d), d, k, epsilon, seed) for d in sorted(lengths)]
+    found = df.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    for part in parts:
+        found = found.unionByName(part)
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
