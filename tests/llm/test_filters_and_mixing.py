@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -33,14 +34,36 @@ def judged(url):
     return host, path, best[2], best[3]
 
 
-@pytest.mark.parametrize("limit", [1000, 0])
+@pytest.mark.parametrize("limit", [10**6, 0])
 def test_url_rules(spark, limit):
-    df = spark.createDataFrame([(i, u, "clash", "x") for i, u in enumerate(URLS + URLS)], "page_id long, url string, host string, verdict string")
-    got = url_filter.judge(df, BLOCK, ALLOW, max_trie_rules=limit).orderBy("page_id").collect()
+    df = spark.createDataFrame([(i, u, "clash", "x", f"h{i}") for i, u in enumerate(URLS + URLS)], "page_id long, url string, host string, verdict string, hit_ string")
+    assert [r.hit_ for r in url_filter.judge(df, BLOCK, ALLOW, max_trie_bytes=limit).orderBy("page_id").collect()] == [f"h{i}" for i in range(2 * len(URLS))]
+    got = url_filter.judge(df, BLOCK, ALLOW, max_trie_bytes=limit).orderBy("page_id").collect()
     assert [(r.host, r.path, r.rule, r.verdict) for r in got] == [judged(u) for u in URLS + URLS]
     assert url_filter.judge(df.filter("false"), BLOCK, ALLOW).count() == 0
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_url_ties_and_long_urls(spark, limit):
+    deep = "http://" + "sub." * 5000 + "tie.org/" + "a/" * 20_000
+    df = spark.createDataFrame([(0, "http://tie.org/x"), (1, deep), (2, deep + "z"), (3, "http://tie.org/")], "page_id long, url string")
+    got = url_filter.judge(df, ["tie.org/", "tie.org/x"], ["tie.org/", "tie.org/" + "a/" * 20_000], max_trie_bytes=limit).orderBy("page_id").collect()
+    assert [r.verdict for r in got] == ["block", "allow", "allow", "block"] and got[0].rule == "tie.org/x"
+
+
+def test_trie_counts_its_bytes():
+    trie = url_filter.UrlTrie()
+    for i in range(2000):
+        trie.add(f"host{i}.example{i % 50}.com/p{i}/", "block")
+    tracemalloc.start()
+    again = url_filter.UrlTrie()
+    for i in range(2000):
+        again.add(f"host{i}.example{i % 50}.com/p{i}/", "block")
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert 0.7 * held < trie.bytes < 1.6 * held
+
+
 def test_binomial_tail():
     for k, n in ((0, 10), (2, 400), (3, 400), (9, 1000)):
         exact = sum(math.comb(n, i) * Fraction(1, 100) ** i * Fraction(99, 100) ** (n - i) for i in range(k + 1))

@@ -24,8 +24,21 @@ def test_quotes_link_and_order(spark):
     assert got[1, 4].reply_to is None and got[1, 4].n_quotes == 1 and got[1, 4].text == "Who said this?" and got[1, 4].thread_turn == 4
     assert got[2, 7].reply_to is None and got[2, 7].text == "Other conversation."
     assert got[1, 0].text == rows[0][3] and got[1, 0].n_quotes == 0
-    order = sorted((r.thread_turn, r.turn) for r in got.values() if r.conv_id == 1)
-    assert [t for _, t in order] == [0, 2, 3, 1, 4]
+    order = sorted((r.path, r.turn) for r in got.values() if r.conv_id == 1)
+    assert [t for _, t in order] == [0, 2, 3, 1, 4] and got[1, 3].path == [0, 2, 3]
+    built = ql.conversations(df.repartition(5)).collect()
+    assert [(r.conv_id, r.turn) for r in built] == [(1, 0), (1, 2), (1, 3), (1, 1), (1, 4), (2, 7)]
+
+
+def test_a_reply_stands_before_the_next_sibling(spark):
+    """Volume: every conversation is a comb of quotes, so branches interleave by turn."""
+    rows = []
+    for c in range(300):
+        rows += [(c, 0, f"the very first words of {c}"), (c, 1, f"> the very first words of {c}\nleft branch says {c}"), (c, 2, f"> the very first words of {c}\nright branch says {c}")]
+        rows += [(c, t, f"> {'left' if t % 2 else 'right'} branch says {c}\nleaf {t}") for t in range(3, 13)]
+    built = ql.conversations(spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(7)).collect()
+    assert len(built) == len(rows) and sum(r.n_linked for r in built) == 300 * 12
+    assert [r.turn for r in built] == [0, 1, 3, 5, 7, 9, 11, 2, 4, 6, 8, 10, 12] * 300
 
 
 def test_edges(spark):
@@ -54,10 +67,10 @@ def brute(rows):
             parent[c, t] = (min(best)[2], len(best))
     out = {}
     for c, t, _ in rows:
-        root, depth = t, 0
-        while (c, root) in parent:
-            root, depth = parent[c, root][0], depth + 1
-        out[c, t] = (*parent.get((c, t), (None, 0)), root, depth)
+        path = [t]
+        while (c, path[0]) in parent:
+            path.insert(0, parent[c, path[0]][0])
+        out[c, t] = (*parent.get((c, t), (None, 0)), path[0], len(path) - 1, tuple(path))
     return out
 
 
@@ -75,5 +88,5 @@ def test_equals_brute_force(spark):
             texts[c, t] = "\n".join(parts)
             rows.append((c, t, texts[c, t]))
     got = ql.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, text string"))
-    assert {(r.conv_id, r.turn): (r.reply_to, r.n_linked, r.thread_turn, r.depth) for r in got.collect()} == brute(rows)
+    assert {(r.conv_id, r.turn): (r.reply_to, r.n_linked, r.thread_turn, r.depth, tuple(r.path)) for r in got.collect()} == brute(rows)
     assert got.filter(F.col("text").contains(">")).count() == 0

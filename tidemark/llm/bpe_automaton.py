@@ -37,6 +37,8 @@ from pyspark.sql import DataFrame
 from tidemark.llm.common import read
 
 CACHE_ENTRIES = 120_000
+#: Bytes of the longest piece that is remembered, so a full cache has a known size.
+CACHED_BYTES = 64
 NEVER = 1 << 60
 INSIDE, AT_END = 0, 1  # keys of a node's token; all other keys are symbols
 #: Pieces whose normal form and words need no general rules: Latin letters, then at most punctuation.
@@ -161,6 +163,8 @@ class WordBpe:
     def _word(self, word: str) -> tuple[int, ...]:
         ids = self.words.get(word)
         if ids is None:
+            if len(word) > CACHED_BYTES:
+                return self.automaton.encode_word(word)
             if len(self.words) >= CACHE_ENTRIES:
                 self.words.clear()
             ids = self.words[word] = self.automaton.encode_word(word)
@@ -173,9 +177,11 @@ class WordBpe:
         """ids of one word that is in normal form, in letters as people write them."""
         ids = self.cores.get(core)
         if ids is None:
-            if len(self.cores) >= CACHE_ENTRIES:
-                self.cores.clear()
-            ids = self.cores[core] = self.automaton.encode_word(core.encode().decode("latin-1").translate(self.symbols))
+            ids = self.automaton.encode_word(core.encode().decode("latin-1").translate(self.symbols))
+            if len(core) <= CACHED_BYTES:
+                if len(self.cores) >= CACHE_ENTRIES:
+                    self.cores.clear()
+                self.cores[core] = ids
         return ids
 
     def _piece(self, piece: bytes) -> tuple[int, ...]:
@@ -185,9 +191,10 @@ class WordBpe:
             ids = self._core(core.lower()) + self._core(marks) if marks else self._core(core.lower())
         else:
             ids = self._general(text)
-        if len(self.pieces) >= CACHE_ENTRIES:
-            self.pieces.clear()
-        self.pieces[piece] = ids
+        if len(piece) <= CACHED_BYTES:
+            if len(self.pieces) >= CACHE_ENTRIES:
+                self.pieces.clear()
+            self.pieces[piece] = ids
         return ids
 
     def _general(self, text: str) -> tuple[int, ...]:

@@ -12,8 +12,11 @@ lines, then more words. A message replies to the original of its passage with th
 then of the first one. First messages of a unit are found by an aggregation, so a line that many
 messages hold is one row when it meets the quotes.
 
-Ordering. Roots are found by doubling the steps along the replies. A conversation is then
-ordered by (thread_turn, turn): thread by thread, each reply after its original, without quotes.
+Ordering. A message's position is its path: the turns from its thread's first message down to
+itself, found by doubling the steps along the replies. Paths sort thread by thread, each reply
+after its original and before the original's next reply, so conversations() builds the
+reply-ordered conversations, without quotes, by one distributed sort; a conversation with a third
+of all messages is spread over many tasks. A path takes the place of its depth.
 
 Edge cases: null and empty texts have no passages and come back as they are, as do texts without
 quotes; blank quotes link with nothing; a null conversation is one of its own; rows with a null
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, n_words, read
+from tidemark.llm.common import discard, durable, n_words, read
 
 MIN_LINE_WORDS = 4
 LINE, PARAGRAPH, WHOLE = 1, 2, 3
@@ -140,7 +143,7 @@ def unit_table(messages: DataFrame, conversation: str, turn: str, text: str) ->
 
 
 def replies(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """message, reply_to (turn), n_linked (passages), thread_turn, depth: one row for each message with a linked quote."""
+    """message, reply_to (turn), n_linked (passages), thread_turn, depth, above (turns of the path before the message's own): one row for each message with a linked quote."""
     every = durable(unit_table(messages, conversation, turn, text))
     firsts = every.filter("nth is null").groupBy("key").agg(F.min(F.struct("turn", "message")).alias("first"))
     quotes = every.filter("nth is not null")
@@ -148,33 +151,38 @@ def replies(messages: DataFrame, conversation: str = "conv_id", turn: str = "tur
     passages = found.groupBy("message", "nth", "level").agg(F.min(F.struct((-F.col("kind")).alias("k"), (-F.col("words")).alias("w"), "first")).alias("best"))
     parents = passages.groupBy("message").agg(F.min(F.struct("level", "nth", "best.first")).alias("best"), F.count("*").alias("n_linked"))
     links = durable(parents.select("message", "n_linked", F.col("best.first.turn").alias("reply_to"), F.col("best.first.message").alias("up")))
-    steps = durable(links.select("message", "up", F.col("reply_to").alias("up_turn"), F.lit(1).cast("long").alias("depth")))
+    # above: the turns from `up` down to the message's original
+    steps = durable(links.select("message", "up", F.array("reply_to").alias("above")))
     while True:
-        further = steps.select(F.col("message").alias("at"), F.col("up").alias("next"), F.col("up_turn").alias("next_turn"), F.col("depth").alias("more"))
+        further = steps.select(F.col("message").alias("at"), F.col("up").alias("next"), F.col("above").alias("more"))
         grown = durable(
             steps.join(further, F.col("up") == F.col("at"), "left").select(
-                "message", F.coalesce("next", "up").alias("up"), F.coalesce("next_turn", "up_turn").alias("up_turn"),
-                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved"),
+                "message", F.coalesce("next", "up").alias("up"), F.when(F.col("more").isNull(), F.col("above")).otherwise(F.concat("more", "above")).alias("above"), F.col("next").isNotNull().alias("moved")
             )
         )
-        steps = grown.drop("moved")
-        if not grown.filter("moved").limit(1).count():
+        discard(steps)
+        steps, moved = grown, grown.filter("moved").limit(1).count()
+        if not moved:
             break
-    return links.drop("up").join(steps.select("message", F.col("up_turn").alias("thread_turn"), "depth"), "message")
+    placed = steps.select("message", F.col("above")[0].alias("thread_turn"), F.size("above").cast("long").alias("depth"), "above")
+    return links.drop("up").join(placed, "message")
 
 
 def link_quotes(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """messages without quotes, and n_quotes, n_linked, reply_to, thread_turn, depth.
-
-    Ordered by (conversation, thread_turn, turn) they are reply-ordered conversations.
-    """
-    added = ("n_linked", "reply_to", "thread_turn", "depth")
+    """messages without quotes, and n_quotes, n_linked, reply_to, thread_turn, depth, path."""
+    added = ("n_linked", "reply_to", "thread_turn", "depth", "path", "above")
     own = with_own_text(messages.drop(*added), conversation, turn, text)
     return _place(own, replies(messages, conversation, turn, text), turn)
 
 
+def conversations(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
+    """The rows of link_quotes() in the order of conversations and, inside, of replies; null turns come first."""
+    return link_quotes(messages, conversation, turn, text).orderBy(conversation, "path")
+
+
 def _place(own: DataFrame, links: DataFrame, turn: str) -> DataFrame:
     out = own.join(links, "message", "left").drop("message")
+    out = out.withColumn("path", F.concat(F.coalesce("above", F.array().cast("array<long>")), F.array(F.col(turn).cast("long")))).drop("above")
     return out.withColumns({"n_linked": F.coalesce("n_linked", F.lit(0)).cast("long"), "thread_turn": F.coalesce("thread_turn", F.col(turn).cast("long")), "depth": F.coalesce("depth", F.lit(0)).cast("long")})
 
 
@@ -183,4 +191,4 @@ def op2_quote_links(spark, sf_dir: str) -> DataFrame:
     # digests are taken before the join, so texts are never shuffled
     own = with_own_text(messages).select("conv_id", "turn", "role", "message", "n_quotes", n_words(F.col("text")).alias("n_words"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
     placed = _place(own, replies(messages), "turn")
-    return placed.select("conv_id", "thread_turn", "turn", "role", "reply_to", "depth", "n_quotes", "n_linked", "n_words", "text_sha256")
+    return placed.select("conv_id", "thread_turn", "turn", "role", "reply_to", "depth", "path", "n_quotes", "n_linked", "n_words", "text_sha256")

@@ -4,6 +4,9 @@ Each url gets the rule of the longest match: first the longest host (most labels
 longest path. An allow entry may so lie inside a blocked host and the other way round. The
 same (host, path) in both lists counts as blocked.
 
+The trie counts its bytes as it grows and is broadcast up to MAX_TRIE_BYTES; larger rule lists
+are joined on host suffixes, where Spark's adaptive execution splits suffixes that many urls share.
+
 Edge cases: null urls and urls without "://" have empty host and path, fit no rule and get the
 default verdict; repeated rows are judged alike; an empty table gives an empty result; all
 columns of the input but those named host, path, rule, verdict are passed through.
@@ -11,16 +14,18 @@ columns of the input but those named host, path, rule, verdict are passed throug
 
 from __future__ import annotations
 
+import sys
+from bisect import insort
 from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, read
+from tidemark.llm.common import ascii_lower, fresh, read
 
-#: The trie is broadcast up to this many rules; beyond it judge() joins on host suffixes.
-MAX_TRIE_RULES = 1_000_000
+#: The trie is broadcast up to this many bytes of a worker; beyond it judge() joins on host suffixes.
+MAX_TRIE_BYTES = 200_000_000
 
 
 def split_rule(rule: str) -> tuple[str, str]:
@@ -29,56 +34,81 @@ def split_rule(rule: str) -> tuple[str, str]:
     return host.strip(".").lower(), slash + path
 
 
-class UrlTrie:
-    """Nested dictionaries: labels from the top-level domain down, then whole path segments.
+class Paths:
+    """Path segments below one host. A rule's last piece may be a part of a segment (or empty,
+    after a slash); these tails hang at the node of the segments before them, with their lengths."""
+
+    __slots__ = ("segments", "tails", "lengths")
+
+    def __init__(self) -> None:
+        self.segments: dict[str, Paths] = {}
+        self.tails: dict[str, tuple[str, str]] = {}
+        self.lengths: list[int] = []
+
+    def longest(self, pieces: list[str]) -> tuple[str, str] | None:
+        node, best = self, None
+        for piece in pieces:
+            for length in reversed(node.lengths):
+                if length <= len(piece) and (hit := node.tails.get(piece[:length])):
+                    best = hit
+                    break
+            node = node.segments.get(piece)
+            if node is None:
+                break
+        return best
 
-    A rule's last path piece may be a part of a segment (or empty, after a slash); these
-    tails hang at the node of the segments before them.
-    """
+
+class UrlTrie:
+    """Labels from the top-level domain down, then whole path segments."""
 
     def __init__(self) -> None:
-        self.root: dict = {"labels": {}, "paths": None}
+        #: label -> [further labels, paths], both None until needed
+        self.root: list = [None, None]
+        self.bytes = 0
+
+    def _grow(self, *objects: object) -> None:
+        self.bytes += sum(map(sys.getsizeof, objects)) + 64  # 64: a place in the parent's table
 
     def add(self, rule: str, verdict: str) -> None:
         host, path = split_rule(rule)
         node = self.root
         for label in reversed(host.split(".")):
-            node = node["labels"].setdefault(label, {"labels": {}, "paths": None})
-        if node["paths"] is None:
-            node["paths"] = {"segments": {}, "tails": {}}
+            if node[0] is None:
+                node[0] = {}
+                self._grow(node[0])
+            if label not in node[0]:
+                node[0][label] = [None, None]
+                self._grow(label, node[0][label])
+            node = node[0][label]
+        if node[1] is None:
+            node[1] = Paths()
+            self._grow(node[1], {}, {}, [])
+        paths = node[1]
         *segments, tail = path.split("/")
-        node = node["paths"]
         for segment in segments:
-            node = node["segments"].setdefault(segment, {"segments": {}, "tails": {}})
-        if node["tails"].get(tail, ("", ""))[1] != "block":
-            node["tails"][tail] = (host + path, verdict)
-
-    @staticmethod
-    def _longest_path(node: dict, pieces: list[str]) -> tuple[str, str] | None:
-        best = None
-        for depth, piece in enumerate(pieces):
-            for length in sorted({len(t) for t in node["tails"]}, reverse=True):
-                hit = node["tails"].get(piece[:length]) if length <= len(piece) else None
-                if hit:
-                    best = hit
-                    break
-            if depth == len(pieces) - 1 or piece not in node["segments"]:
-                break
-            node = node["segments"][piece]
-        return best
+            if segment not in paths.segments:
+                paths.segments[segment] = Paths()
+                self._grow(segment, Paths(), {}, {}, [])
+            paths = paths.segments[segment]
+        if paths.tails.get(tail, ("", ""))[1] != "block":
+            if len(tail) not in paths.lengths:
+                insort(paths.lengths, len(tail))
+            paths.tails[tail] = (host + path, verdict)
+            self._grow(tail, paths.tails[tail], host + path, {tail: 0})
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
         """(rule, verdict) of the longest fitting rule."""
-        node, found = self.root, []
+        labels, found = self.root[0], []
         for label in reversed(host.split(".")):
-            node = node["labels"].get(label)
+            node = labels.get(label) if labels else None
             if node is None:
                 break
-            if node["paths"] is not None:
-                found.append(node["paths"])
+            labels = node[0]
+            if node[1] is not None:
+                found.append(node[1])
         pieces = path.split("/")
         for paths in reversed(found):
-            hit = self._longest_path(paths, pieces)
+            hit = paths.longest(pieces)
             if hit:
                 return hit
         return None
@@ -96,25 +126,26 @@ def judge(
     allow: Iterable[str],
     default: str = "allow",
     url: str = "url",
-    max_trie_rules: int = MAX_TRIE_RULES,
+    max_trie_bytes: int = MAX_TRIE_BYTES,
 ) -> DataFrame:
     """Adds host, path, rule (null without a match) and verdict ('allow' or 'block')."""
     rules = [(r, "allow") for r in allow] + [(r, "block") for r in block]
     df = with_host_path(pages.drop("rule", "verdict"), url)
-    if len(rules) > max_trie_rules:
-        return _judge_by_join(df, rules, default)
     trie = UrlTrie()
     for rule, verdict in rules:
         trie.add(rule, verdict)
+        if trie.bytes > max_trie_bytes:
+            return _judge_by_join(df, rules, default)
     shared = pages.sparkSession.sparkContext.broadcast(trie)
+    (found,) = fresh([*df.columns, "rule", "verdict"], "found")
 
     @F.pandas_udf("rule string, verdict string")
     def matched(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
         match = shared.value.match
         return pd.DataFrame([match(h, p) or (None, default) for h, p in zip(hosts, paths, strict=True)], columns=["rule", "verdict"])
 
-    hit = df.withColumn("hit_", matched("host", "path"))
-    return hit.withColumns({"rule": F.col("hit_.rule"), "verdict": F.col("hit_.verdict")}).drop("hit_")
+    hit = df.withColumn(found, matched("host", "path"))
+    return hit.withColumns({"rule": F.col(found)["rule"], "verdict": F.col(found)["verdict"]}).drop(found)
 
 
 def _judge_by_join(df: DataFrame, rules: list[tuple[str, str]], default: str) -> DataFrame:
@@ -134,8 +165,9 @@ def _judge_by_join(df: DataFrame, rules: list[tuple[str, str]], default: str) ->
         .groupBy("host", "path")
         .agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict")), F.struct(-F.col("at_"), F.length("rule_path"))).alias("hit_"))
     )
-    joined = df.join(best, ["host", "path"], "left")
-    return joined.withColumns({"rule": F.col("hit_.rule"), "verdict": F.coalesce("hit_.verdict", F.lit(default))}).drop("hit_")
+    same = (F.col("d.host") == F.col("b.host")) & (F.col("d.path") == F.col("b.path"))
+    joined = df.alias("d").join(best.alias("b"), same, "left")
+    return joined.select("d.*", F.col("b.hit_.rule").alias("rule"), F.coalesce("b.hit_.verdict", F.lit(default)).alias("verdict"))
 
 
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:
