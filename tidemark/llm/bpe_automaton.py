@@ -34,7 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import read
+from tidemark.llm.common import pieces, read
 
 CACHE_ENTRIES = 120_000
 #: Bytes of the longest piece that is remembered, so a full cache has a known size.
@@ -226,7 +226,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFram
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
-        for batch in batches:
+        for batch in pieces(batches):
             ids = pa.array([bpe.encode(t.as_py()) for t in batch.column(text)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*kept, "ids"])
 
@@ -241,7 +241,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = pa.array([bpe.decode(x.as_py() or []) for x in batch.column("ids")], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*kept, "decoded"])
 
@@ -256,7 +256,7 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
-        for batch in batches:
+        for batch in pieces(batches):
             ids = [bpe.encode(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())], names=[*kept, "ids", "decoded"])
 
@@ -268,7 +268,7 @@ def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for value in batch.column("text"):
                 ids = bpe.encode(value.as_py())

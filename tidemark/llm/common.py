@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,23 +78,37 @@ def fresh(columns: list[str], *wanted: str) -> list[str]:
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 @contextmanager
-def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Queries run inside leave no shuffle files behind."""
-    before = spark.conf.get(DROP_SHUFFLES, None)
-    spark.conf.set(DROP_SHUFFLES, "true")
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(DROP_SHUFFLES, before) if before is not None else spark.conf.unset(DROP_SHUFFLES)
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def dropping_shuffles(spark: SparkSession):
+    """Queries run inside leave no shuffle files behind."""
+    return _setting(spark, DROP_SHUFFLES, "true")
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that what a task makes of them has a bounded size."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 #: Tables that durable() has written and nobody has deleted yet, with their sessions.
 _live: dict[str, SparkSession] = {}
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again.
+def durable(df: DataFrame, arrow_rows: int = 10_000) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it again; arrow_rows: as many go to Python at once.
 
     Cuts the lineage: nothing of df is computed twice, and the rows outlive any executor.
     The table goes by discard(), at the end of a scratch() block, or when the driver ends.
@@ -101,7 +116,7 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     _live[path] = spark
-    with dropping_shuffles(spark):
+    with dropping_shuffles(spark), _setting(spark, ARROW_ROWS, str(arrow_rows)):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.durable_path = path

@@ -6,13 +6,19 @@ A document's set holds the distinct word shingles of its whole text. Two documen
 Signatures. Sizes fall into bands such that linked sets lie in one band or in two neighbours; a
 set takes part in the instance of its own band and in that of the next. In an instance with
 largest size r, linked sets differ in at most k = floor(2 r (100 - percent) / (100 + percent))
-shingles. The shingle domain is hashed into n1 = ceil((k + 1) / 2) partitions, so in one of them
+shingles. The shingle domain is hashed into n1 >= ceil((k + 1) / 2) partitions, so in one of them
 linked sets differ in at most one shingle; each partition has three cells, and for each of the
 three subsets of two cells the shingles in it give one signature: linked sets share one. A
 subset without shingles says nothing and would gather unrelated documents, so it is replaced by
 the signatures of the partition's shingles, whole and with each one left out, which linked sets
 that differ in the third cell alone share as well. For k = 0 the set is the signature.
 
+Partitions with one shingle or none would still gather unrelated sets. n1 is therefore larger by
+SPARE: then linked sets agree up to one shingle in m = n1 - floor(k / 2) partitions or more. A set
+that has fewer than m partitions of two shingles or less drops those of one or none: of the m, the
+two sets drop together fewer than m, as a partition that one of them drops holds two shingles or
+less in the other.
+
 Joining. Equal sets are one node. In each bucket (documents with one signature) all nodes meet
 its smallest and its largest node only; each node is compared with the first of those it may link
 with, and links are joined to components. Pairs of one bucket whose ends are still in different
@@ -47,7 +53,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, durable, fresh, lower_words, read
+from tidemark.llm.common import discard, durable, fresh, lower_words, pieces, read
 from tidemark.llm.components import connected_components
 
 SHINGLE = 5
@@ -57,6 +63,8 @@ SKETCH = 1024
 #: Parts in which candidate pairs are sifted.
 SLICES = 4
 INSTANCE_BITS = 12
+#: Share of partitions beyond those that are needed for one agreement.
+SPARE = 0.15
 #: Rows of a bucket that one task compares with all of the bucket.
 BLOCK = 2000
 #: Nodes that a task remembers as sent.
@@ -130,7 +138,7 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     for band in (own, own + 1):
         salt = mix(band.astype(_U) * PRIMES[1] + _U(percent))
         k = 2 * tops[band] * (100 - percent) // (100 + percent)
-        n1 = (k + 2) // 2
+        n1 = np.where(k > 0, (k + 2) // 2 + np.ceil(SPARE * (k + 2) / 2).astype(np.int64), 1)
         first = np.concatenate([[0], np.cumsum(n1)])
         owner = np.repeat(np.arange(len(sets)), sizes)
         spread = mix(every ^ salt[owner])
@@ -144,12 +152,15 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
         part_owner = np.repeat(np.arange(len(sets)), n1)
         part = np.arange(len(part_owner)) - first[part_owner]
         name = mix(salt[part_owner] + part.astype(_U) * PRIMES[3])
+        held = filled.sum(1)
+        may_drop = np.bincount(part_owner[held <= 2], minlength=len(sets)) < n1 - k // 2
+        dropped = (held <= 1) & may_drop[part_owner] & (k[part_owner] > 0)
         for kind, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-            use = (filled[:, i] + filled[:, j] > 0) & (k[part_owner] > 0)
+            use = (filled[:, i] + filled[:, j] > 0) & (k[part_owner] > 0) & ~dropped
             found.append((part_owner[use], mix((total[use, i] * PRIMES[0] ^ mix(total[use, j])) + name[use] + _U(kind))))
         alone = k[part_owner] == 0
         found.append((part_owner[alone], mix(total[alone].sum(1, dtype=_U) + name[alone] + _U(7))))
-        weak = np.flatnonzero(((filled == 0).sum(1) >= 2) & ~alone)
+        weak = np.flatnonzero(((filled == 0).sum(1) >= 2) & ~alone & ~dropped)
         if len(weak):
             at = np.full(len(part_owner), -1)
             at[weak] = np.arange(len(weak))
@@ -178,7 +189,7 @@ def set_table(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for batch in batches:
+        for batch in pieces(batches):
             n, node, prints = [], [], np.zeros((batch.num_rows, len(SKETCH_COLUMNS)), np.int64)
             for i, text in enumerate(batch.column("text")):
                 features = shingles(lower_words(text.as_py()), shingle, hasher)
@@ -193,7 +204,7 @@ def set_table(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, node long, band long, " + ", ".join(f"{c} long" for c in SKETCH_COLUMNS))
 
 
-def signature_table(docs: DataFrame, shingle: int, percent: int, words_at_once: int = 400_000) -> DataFrame:
+def signature_table(docs: DataFrame, shingle: int, percent: int, words_at_once: int = 200_000) -> DataFrame:
     """sig, node: all signatures; a task gives a node once, as far as it remembers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +242,7 @@ def packed_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
+        for batch in pieces(batches):
             words = [pack(b" ".join(lower_words(text.as_py()))) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(words, pa.binary())], names=["node", "words"])
 
@@ -264,7 +275,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
         hasher, unpack = Hasher(), zstandard.ZstdDecompressor().decompress
         features_of = lambda packed: shingles(unpack(packed.as_py()).split(), shingle, hasher)
         last, a = None, None
-        for batch in batches:
+        for batch in pieces(batches):
             keep = []
             for x, xs, ys in zip(batch.column("a"), batch.column("wa"), batch.column("wb"), strict=True):
                 if x.as_py() != last:  # rows come in the order of a
@@ -282,7 +293,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
     a = words.select(F.col("node").alias("na"), F.col("words").alias("wa"))
     b = words.select(F.col("node").alias("nb"), F.col("words").alias("wb"))
     joined = pairs.join(b, F.col("b") == F.col("nb")).join(a, F.col("a") == F.col("na")).select("a", "b", "wa", "wb")
-    out = durable(joined.mapInArrow(run, "a long, b long"))
+    out = durable(joined.mapInArrow(run, "a long, b long"), arrow_rows=500)
     discard(words)
     return out
 

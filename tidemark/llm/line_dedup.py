@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, fresh, n_words, read
+from tidemark.llm.common import durable, fresh, n_words, pieces, read
 
 MIN_WORDS = 50
 
@@ -92,7 +92,7 @@ def fingerprints(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for doc_id, own, text in zip(batch.column("doc_id"), batch.column("text_key"), batch.column("text"), strict=True):
                 lines = word_lines(text.as_py())
@@ -148,7 +148,7 @@ def without_runs(docs: DataFrame, min_words: int, n_deleted: str, deleted_words:
     text_at, n_columns = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts, lines_gone, words_gone = [], [], []
             for text, found in zip(batch.column(text_at), batch.column(n_columns), strict=True):
                 text, found = text.as_py(), found.as_py()

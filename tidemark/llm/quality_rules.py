@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ASCII_SPACE, durable, fresh, read
+from tidemark.llm.common import ASCII_SPACE, durable, fresh, pieces, read
 
 SYMBOLS = b"#*$%&|<>"
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -87,7 +87,7 @@ def with_counts(docs: DataFrame, names: list[str]) -> DataFrame:
     text_at = docs.columns.index("text")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = np.array([counts_of(t.as_py()) for t in batch.column(text_at)], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[:, j]) for j in range(len(COUNTS)))], names=[*batch.schema.names, *COUNTS])
 
