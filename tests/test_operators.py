@@ -134,8 +134,25 @@ def test_fits_equal_numpy(spark):
 @given(st.lists(st.floats(-5, 5), min_size=1, max_size=8), st.floats(0.05, 1))
 @settings(max_examples=60, deadline=None)
 def test_capped_simplex(values, cap):
-    w = models.capped_simplex(np.array(values), cap)
-    assert w.sum() == pytest.approx(1) and w.min() >= 0 and w.max() <= max(cap, 1 / len(values)) + 1e-6
+    """The projection keeps the order, and no weight that can grow is further below its value than one that can shrink."""
+    v = np.array(values)
+    w = models.simplex_projection(v, cap)
+    assert w.sum() == pytest.approx(1) and w.min() >= -1e-12 and w.max() <= max(cap, 1 / len(values)) + 1e-9
+    slope, up, down = w - v, w < max(cap, 1 / len(v)) - 1e-9, w > 1e-9
+    assert not up.any() or not down.any() or slope[down].max() <= slope[up].min() + 1e-7
+
+
+def test_stack_is_the_minimum(spark):
+    rng = np.random.default_rng(9)
+    p, y, w = rng.uniform(0.05, 0.95, (400, 4)), rng.integers(0, 2, 400), rng.uniform(0.1, 2, 400)
+    p[:, 1] = np.clip(y * 0.6 + 0.2 + rng.normal(0, 0.05, 400), 0.01, 0.99)
+    got = models.fit_stack(spark.createDataFrame([(*map(float, a), int(b), float(c)) for a, b, c in zip(p, y, w)], "a double, b double, c double, d double, y int, w double"), list("abcd"), "y", "w")
+    weights = np.array([got[n] for n in "abcd"])
+    loss = lambda u: (w * (p @ u - y) ** 2).sum() / w.sum() + 0.18 * ((u - 0.25) ** 2).sum()
+    assert weights[1] == pytest.approx(0.35) and weights.sum() == pytest.approx(1)
+    for _ in range(300):
+        other = models.simplex_projection(weights + rng.normal(0, 0.05, 4), 0.35)
+        assert loss(weights) <= loss(other) + 1e-9
 
 
 def test_as_of_never_leaks(spark):
@@ -244,6 +261,36 @@ def test_alpha_expressions(spark, candles):
     assert len(kids) == 12 and len({alpha.text(k) for k in kids}) == 12
 
 
+def test_alpha_statistics_equal_a_direct_loop(spark):
+    from tidemark.operators import alpha
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for sym, n in (("A", 130), ("B", 90), ("C", 20)):
+        x, y = rng.normal(0, 1, n).round(1), rng.normal(0, 1, n)
+        rows += [(sym, DAY + dt.timedelta(days=i), float(x[i]), float(-x[i] + rng.normal(0, 0.5)), float(y[i] + 0.2 * x[i]), "train" if i < n * 0.6 else "validation" if i < n * 0.8 else "test") for i in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, day date, momentum_5 double, vwap_gap double, label double, part string").withColumn("market", F.lit("US"))
+    got = {r["name"]: r for r in alpha.evaluate(df, {"m": ("col", "momentum_5"), "v": ("col", "vwap_gap")}, accepted={"m": ("col", "momentum_5")})}
+    pdf = df.toPandas().sort_values(["symbol", "day"])
+    cor = lambda a, b: float(np.corrcoef(a, b)[0, 1])
+    for name, column in (("m", "momentum_5"), ("v", "vwap_gap")):
+        r, rolling, ranks = got[name], [], []
+        full = cor(pdf[column], pdf.label)
+        for _, g in pdf.groupby("symbol"):
+            ranks.append(cor(g[column].rank(), g.label.rank()))
+            if len(g) >= 24:
+                width = min(60, max(18, len(g) // 4))
+                rolling += [cor(g[column][k : k + width], g.label[k : k + width]) for k in range(0, len(g) - width + 1, max(6, width // 3))]
+        part = {p: cor(g[column], g.label) for p, g in pdf.groupby("part")}
+        share, stable = np.mean([x * full >= 0 for x in rolling]), abs(np.mean(rolling)) / (np.std(rolling) + 0.05)
+        assert (r["ic"], r["rank_ic"], r["stability"], r["positive_share"]) == pytest.approx((full, np.mean(ranks), stable, share), abs=1e-9)
+        penalty = min(24, max(0, abs(part["train"]) - (abs(part["validation"]) + abs(part["test"])) / 2) * 55 + 8 * (part["train"] * part["validation"] < 0) + 10 * (part["train"] * part["test"] < 0) + 6 * (part["validation"] * part["test"] < 0) + max(0, 0.55 - share) * 10)
+        overlap = abs(cor(pdf.momentum_5, pdf.vwap_gap)) if name == "v" else 0
+        # momentum_5 names no unit-free word, vwap_gap does; both are short, rich and complete
+        want = abs(part["validation"]) * 42 + abs(part["test"]) * 34 + abs(np.mean(ranks)) * 20 + min(12, stable * 4.5) + share * 8 + (6 if name == "v" else 5) * 1.4 - overlap * 12 - 0.85 - penalty
+        assert r["fitness"] == pytest.approx(want, abs=1e-9) and r["max_overlap"] == pytest.approx(overlap, abs=1e-9)
+
+
 def test_registries(spark):
     from tidemark.operators import scoring
 
@@ -252,3 +299,120 @@ def test_registries(spark):
     assert sorted(map(tuple, scoring.upsert_keeping(old, new, ["id"]).collect())) == [(1, "a", 1), (2, "b", 5), (3, "c", None)]
     names = spark.createDataFrame([("Apple Inc. Common Stock", "stock"), ("Example Acquisition Inc. - Warrants", "stock"), ("Example 7% Preferred Stock", "stock"), ("Bear ETF", "ETF"), ("BHP Group Ltd", "Common Stock")], "n string, k string")
     assert [r[0] for r in names.select(scoring.eligible(F.col("n"), F.col("k"))).collect()] == [True, False, False, False, True]
+
+
+def test_record_stores(spark, tmp_path):
+    from tidemark.sources import lake, records
+
+    root = str(tmp_path)
+    schema = "dataset string, market string, exchange string, symbol string, source string, id string, url string, event_time string, available_at string, revision string, first_seen_at string, verified boolean, unverified boolean, method string, value double"
+    row = lambda i, day, value, verified=True: ("news", "US", "X", "S1", "feed", i, None, day, day, None, None, verified, None, None, value)
+    first = spark.createDataFrame([row("a", "2024-01-01", 1.0), row("b", "2024-01-05", 2.0), row("c", "2024-01-03", 3.0, False), row("d", "", 4.0)], schema)
+    assert records.upsert_records(spark, root, first) == 3
+    assert records.upsert_records(spark, root, spark.createDataFrame([row("a", "2024-01-01", 9.0)], schema)) == 3
+    got = records.read_records(spark, root, "news", "US", ["S1"])
+    assert {r.record_key.split(":")[4]: '"value":9.0' in r.payload_json for r in got.collect()} == {"a": True, "b": False}
+    assert records.read_records(spark, root, "news", "US", ["S1"], known_by="2024-01-04").count() == 1
+    keys = records.keyed_records(spark.createDataFrame([row(None, "2024-01-01", 1.0), row(None, "2024-01-01", 2.0)], schema)).collect()
+    assert len({r.record_key for r in keys}) == 2 and all(len(r.record_key.split(":")[4]) == 32 for r in keys)
+
+    (tmp_path / "in.json").write_text('{"market":"US","interval":"1d","symbol":"A","timestamp":"2024-01-01","open":1,"high":3,"low":1,"close":2,"volume":5,"source":"alpaca-us-bars","saved_at":"2024-02-01"}\nnot json\n')
+    assert records.ingest_candles(spark, f"{root}/lake", str(tmp_path / "in.json"))["stored"] == 1
+    assert lake.read(spark, f"{root}/lake").first().close == 2.0
+
+    rows = spark.createDataFrame([("US", "A", 1.5), ("ASX", "B", 2.5)], "market string, symbol string, score double")
+    records.write_oof(rows, f"{root}/oof")
+    (tmp_path / "oof" / "broken.json").write_text("{oops\n")
+    good, bad = records.read_oof(spark, f"{root}/oof", "market string, symbol string, score double")
+    assert sorted(map(tuple, good.collect())) == [("ASX", "B", 2.5), ("US", "A", 1.5)] and [r[0] for r in bad.collect()] == ["{oops"]
+
+
+def test_quarantine_is_the_same_after_a_rerun(spark, tmp_path):
+    from tidemark.sources import lake
+
+    schema = "market string, interval string, symbol string, timestamp string, open double, high double, low double, close double, volume double, source string, available_at string, saved_at string, seq int"
+    bad = spark.createDataFrame([("US", "1d", "A", "2024-01-01", 100.0, 98.0, 90.0, 95.0, 1.0, "alpaca-us-bars", None, "x", 1)], schema)
+    for _ in range(2):
+        assert lake.upsert(spark, str(tmp_path), bad, ["seq"])["rejected"] == 1
+        assert spark.read.parquet(f"{tmp_path}/quarantine").count() == 1
+    assert not list((tmp_path / "stage").iterdir())
+
+
+def test_filings_do_not_look_ahead(spark):
+    from tidemark.sources import normalize
+
+    f = lambda acc, year, day, revenue, income: [("x", acc, year, "FY", DAY + dt.timedelta(days=day), "revenue", revenue), ("x", acc, year, "FY", DAY + dt.timedelta(days=day), "income", income)]
+    rows = f(1, 2000, 0, 100.0, 10.0) + f(2, 2001, 365, 150.0, 30.0) + f(3, 2000, 400, 300.0, 3.0) + f(4, 2001, 500, 150.0, 900.0)
+    got = {r.accession: r for r in normalize.filings(spark.createDataFrame(rows, "id string, accession int, fiscal_year int, period string, event_day date, concept string, value double"), ["id"], ("revenue", "income")).collect()}
+    assert got[1].revenue_growth is None and got[1].margin == 0.1
+    assert got[2].revenue_growth == 0.5 and got[2].income_growth == 1.0  # the restatement of day 400 is not known yet
+    assert got[4].revenue_growth == -0.5 and got[4].margin == 1.0
+
+
+def test_predictions_mature_however_long_it_takes(spark):
+    days = [0, 1, 2, 200, 900, 901]
+    bars_ = spark.createDataFrame([("A", DAY + dt.timedelta(days=d), 10.0 + i, 12.0 + i, 9.0 + i, 11.0 + i) for i, d in enumerate(days)], "symbol string, day date, open double, high double, low double, close double")
+    samples = spark.createDataFrame([(i, s, DAY + dt.timedelta(days=d)) for i, (s, d) in enumerate([("A", 0), ("A", 1), ("A", 900), ("B", 0), ("A", -5)])], "id int, symbol string, day date")
+    got = {r.id: r for r in labels.mature(samples, bars_, 3, F.lit(DAY + dt.timedelta(days=900))).collect()}
+    assert [(got[i].bars_seen, got[i].resolved) for i in range(5)] == [(3, True), (3, True), (0, False), (0, False), (3, True)]
+    assert got[1].forward_return == pytest.approx((15 / 12 - 1) * 100) and got[0].max_upside == pytest.approx((15 / 11 - 1) * 100) and got[4].max_drawdown == pytest.approx((9 / 10 - 1) * 100)
+
+
+def test_overlay_and_sessions(spark):
+    from tidemark.operators import evidence
+
+    at = lambda m, t: (m, t)
+    d = spark.createDataFrame([at("ASX", "2026-08-11 02:00:00"), at("ASX", "2026-08-11 07:00:00"), at("US", "2026-08-09 04:00:00")], "market string, t string")
+    assert [str(r[0]) for r in d.select(evidence.completed_session(F.col("t").cast("timestamp"), "market")).collect()] == ["2026-08-10", "2026-08-11", "2026-08-07"]
+    candles_ = spark.createDataFrame([("CAR", dt.date(2026, 7, 10), 26.12, 26.56, 26.01, 26.37, 557286.0)], "symbol string, day date, open double, high double, low double, close double, volume double")
+    quotes = spark.createDataFrame([("CAR", dt.date(2026, 7, 12), 26.1, 1, True), ("CAR", dt.date(2026, 7, 14), 26.1, 2, True), ("CAR", dt.date(2026, 7, 13), 25.0, 3, True), ("CAR", dt.date(2026, 7, 13), 25.79, 4, True), ("CAR", dt.date(2026, 7, 10), 30.0, 5, False)], "symbol string, day date, price double, at int, time_verified boolean")
+    got = evidence.merge_quotes(candles_, quotes, F.lit(dt.date(2026, 7, 13))).orderBy("day").collect()
+    assert [(r.day.day, r.close, r.overlaid) for r in got] == [(10, 26.37, False), (13, 25.79, True)]
+
+
+def test_learners_find_planted_signals(spark):
+    from tidemark.operators import learners, panel
+
+    rng = np.random.default_rng(12)
+    n, days = 4000, 80
+    x = rng.normal(0, 1, (n, 3))
+    y = 2 * x[:, 0] - x[:, 1] + rng.normal(0, 0.6, n)
+    rows = [(i, DAY + dt.timedelta(days=int(i % days)), *map(float, x[i]), float(y[i]), float(y[i] > 0), 0.0 if y[i] > 1 else 1.0 if y[i] < -1 else 2.0) for i in range(n)]
+    df = spark.createDataFrame(rows, "id int, day date, a double, b double, c double, label double, up double, path double")
+    folds = panel.walk_forward(df, "day", folds=2, purge=3).persist()
+    out = learners.out_of_fold(folds, ["a", "b", "c"], learners.BASE).toPandas()
+    assert set(out.part) == {"test"} and not out.id.duplicated().any()
+    for k, g in out.groupby("fold"):
+        assert folds.filter(f"fold = {k} and part = 'train'").agg(F.max("day")).first()[0] < g.day.min() - dt.timedelta(days=2)
+    assert ((out.elastic_up > 0.5) == (out.up == 1)).mean() > 0.85 and ((out.forest_up > 0.5) == (out.up == 1)).mean() > 0.8 and ((out.boosted_up > 0.5) == (out.up == 1)).mean() > 0.8
+    assert np.corrcoef(out.ridge_return, out.label)[0, 1] > 0.9 and np.corrcoef(out.boosted_return, out.label)[0, 1] > 0.8
+    assert np.allclose(out[["outcome_0", "outcome_1", "outcome_2"]].sum(axis=1), 1) and ((out[["outcome_0", "outcome_1", "outcome_2"]].to_numpy().argmax(1)) == out.path).mean() > 0.7
+    model = learners.fit(df, ["a", "b", "c"], learners.BASE["forest_up"])
+    assert [f for f, _ in learners.tree_importance(model, ["a", "b", "c"])] == ["a", "b", "c"]
+    scored = df.withColumn("score", F.lit(0.8) - 0.3 * (F.col("c") > 1).cast("int"))
+    risky = learners.risk_head(scored, scored, ["a", "b"], "score", "up").toPandas()
+    assert (risky.adjusted <= risky.score + 1e-12).all() and risky[risky.a < -1].adjusted.mean() < risky[risky.a > 1].adjusted.mean() - 0.1
+    few = learners.event_expert(df.withColumn("cover", F.lit(1.0)), df.withColumn("cover", (F.col("id") % 2).cast("double")), ["a", "b"], "cover", "up").toPandas()
+    assert few.event_score.isna().mean() == 0.5 and learners.event_expert(df.withColumn("cover", F.lit(0.0)), df, ["a"], "cover", "up") is None
+
+
+def test_pruning_equals_a_direct_loop(spark):
+    from tidemark.operators import learners
+
+    rng = np.random.default_rng(13)
+    y = rng.integers(0, 2, 500)
+    base = np.clip(0.5 + 0.2 * (y - 0.5) + rng.normal(0, 0.15, 500), 0.01, 0.99)
+    m = np.c_[base, np.clip(base + rng.normal(0, 0.02, 500), 0.01, 0.99), rng.uniform(0.01, 0.99, 500), np.clip(base + rng.normal(0, 0.01, 500), 0.01, 0.99), rng.uniform(0.3, 0.7, 500)]
+    names, w = list("abcde"), rng.uniform(0.1, 2, 500)
+    got, dropped = learners.prune(spark.createDataFrame([(*map(float, r), int(t), float(v)) for r, t, v in zip(m, y, w)], ", ".join(f"{n} double" for n in names) + ", y int, w double"), names, "y", "w")
+    kept = list(range(5))
+    brier = [(w * (m[:, i] - y) ** 2).sum() for i in range(5)]
+    changed = True
+    while changed and len(kept) > 3:
+        changed = False
+        for i, j in ((i, j) for k, i in enumerate(kept) for j in kept[k + 1 :]):
+            if abs(np.corrcoef(m[:, i] - y, m[:, j] - y)[0, 1]) > 0.8:
+                kept.remove(j if brier[i] <= brier[j] else i)
+                changed = True
+                break
+    assert got == [names[i] for i in kept] and len(dropped) == 2

@@ -10,6 +10,25 @@ def ordered(by: list[str], order: list[str]) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(*order)
 
 
+def order_key(*columns: tuple[str | Column, int]) -> Column:
+    """One exact number that orders rows like their columns, given with the digits that each needs (38 in all).
+
+    min_by and max_by over a number aggregate by hash; over a struct they sort all rows.
+    """
+    out, left = None, sum(digits for _, digits in columns)
+    for column, digits in columns:
+        left -= digits
+        c = (F.col(column) if isinstance(column, str) else column).cast(f"decimal({digits},0)")
+        part = c * F.lit(str(10**left)).cast(f"decimal({left + 1},0)") if left else c
+        out = part if out is None else out + part
+    return out.cast("decimal(38,0)")
+
+
+def moment_key(ts: str = "ts", number: str = "trade_id") -> Column:
+    """Orders events by time, then by a number."""
+    return order_key((F.unix_micros(F.col(ts).cast("timestamp")), 17), (number, 19))
+
+
 def trailing(w: WindowSpec, n: int) -> WindowSpec:
     """The last n rows, this one included; fewer at the start."""
     return w.rowsBetween(-(n - 1), 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import clamp, pct_change, pct_from
@@ -109,16 +109,17 @@ def labelled(df: DataFrame, h: int, target: float, stop: float, cost_pct: float
 def mature(samples: DataFrame, bars: DataFrame, h: int, as_of: Column) -> DataFrame:
     """Predictions (id, symbol, day) resolved once h complete bars after them are there by as_of; else resolved is false.
 
-    Bars are copied to the buckets of 7 h days from which a prediction can see them, so a prediction
-    meets only the bars near its day.
+    Each bar knows the h bars from it on; one sort of both tables, newest first, then gives a
+    prediction the bar after it. No join, and no limit on how long h bars take.
     """
-    bucket = lambda c: F.floor(F.unix_date(c) / (7 * h))
-    samples = samples.withColumn("bucket_", bucket(F.col("day")))
-    bars = bars.filter(F.col("day") <= as_of).withColumn("bucket_", F.explode(F.sequence(bucket(F.date_sub("day", 7 * h)), bucket(F.date_sub("day", 1)))))
-    joined = samples.alias("s").join(bars.alias("b"), (F.col("s.symbol") == F.col("b.symbol")) & (F.col("s.bucket_") == F.col("b.bucket_")) & (F.col("b.day") > F.col("s.day")) & (F.col("b.day") <= F.date_add(F.col("s.day"), 7 * h)), "left")
-    nth = F.row_number().over(ordered(["id"], ["bar_day"]))
-    seen = joined.select("s.id", "s.symbol", "s.day", F.col("b.day").alias("bar_day"), "b.open", "b.close", "b.high", "b.low").withColumn("nth", F.when(F.col("bar_day").isNotNull(), nth)).filter(F.col("nth").isNull() | (F.col("nth") <= h))
-    g = seen.groupBy("id", "symbol", "day").agg(F.count("nth").alias("bars_seen"), F.min_by("open", "nth").alias("entry"), F.max_by("close", "nth").alias("last"), F.max("high").alias("top"), F.min("low").alias("bottom"))
-    done = F.col("bars_seen") >= h
-    pct = lambda c: F.when(done, pct_change(F.col(c), F.col("entry")))
-    return g.select("id", "symbol", "day", "bars_seen", done.alias("resolved"), pct("last").alias("forward_return"), pct("top").alias("max_upside"), pct("bottom").alias("max_drawdown"))
+    bars = bars.filter(F.col("day") <= as_of)
+    on = ordered(["symbol"], ["day"]).rowsBetween(0, h - 1)
+    path = F.struct(F.count("*").over(on).alias("n"), F.col("open").alias("entry"), F.last("close").over(on).alias("last"), F.max("high").over(on).alias("top"), F.min("low").over(on).alias("bottom"))
+    rows = samples.select("id", "symbol", "day", F.lit(0).alias("kind_")).unionByName(bars.select("symbol", "day", F.lit(1).alias("kind_"), path.alias("path_")), allowMissingColumns=True)
+    newest_first = Window.partitionBy("symbol").orderBy(F.desc("day"), "kind_").rowsBetween(Window.unboundedPreceding, -1)
+    # a bar of the prediction's own day comes after it in this order
+    met = rows.withColumn("next_", F.last("path_", ignorenulls=True).over(newest_first)).filter("kind_ = 0")
+    of = lambda c: F.col("next_")[c]
+    seen = F.coalesce(of("n"), F.lit(0))
+    pct = lambda c: F.when(seen >= h, pct_change(of(c), of("entry")))
+    return met.select("id", "symbol", "day", seen.alias("bars_seen"), (seen >= h).alias("resolved"), pct("last").alias("forward_return"), pct("top").alias("max_upside"), pct("bottom").alias("max_drawdown"))

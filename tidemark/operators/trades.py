@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.series import moment_key
 from tidemark.operators.metrics import order_statistic
 
 
@@ -16,7 +17,7 @@ def sanitize(df: DataFrame) -> DataFrame:
 def totals(df: DataFrame, by: list[str]) -> DataFrame:
     """One row for each group. Large trades have at least the size at the nearest rank of 0.9 (half to even)."""
     d = sanitize(df)
-    at = F.struct("ts", "trade_id")
+    at = moment_key()
     limit = order_statistic(d, by, F.col("size"), F.bround((F.col("n_") - 1) * 0.9, 0) + 1, "limit_").withColumn("large_threshold", F.greatest(F.lit(1.0), F.col("limit_"))).drop("limit_")
     # the limits are one row a group; Spark broadcasts them only if they are small
     g = d.join(limit, by).groupBy(*by).agg(
@@ -37,7 +38,7 @@ def exchange_breakdown(df: DataFrame, by: list[str]) -> DataFrame:
 
 def buckets(df: DataFrame, by: list[str], width: str = "1 minute", last: int | None = None) -> DataFrame:
     """Tumbling bars of trades: the same expression serves streams. last keeps each group's newest buckets."""
-    g = sanitize(df).groupBy(*by, F.window("ts", width).alias("w_")).agg(F.count("*").alias("trades"), F.sum("size").alias("size"), F.sum("notional").alias("notional"), F.max_by("price", F.struct("ts", "trade_id")).alias("last_price"))
+    g = sanitize(df).groupBy(*by, F.window("ts", width).alias("w_")).agg(F.count("*").alias("trades"), F.sum("size").alias("size"), F.sum("notional").alias("notional"), F.max_by("price", moment_key()).alias("last_price"))
     out = g.select(*by, F.col("w_.start").alias("start"), "trades", "size", "notional", (F.col("notional") / F.col("size")).alias("vwap"), "last_price")
     if last is None:
         return out
@@ -80,7 +81,7 @@ def insert_new(existing: DataFrame, incoming: DataFrame, keys: list[str], order:
 
 def market_summary(df: DataFrame, by: list[str]) -> DataFrame:
     """Rows and the latest row of each group, without a sort."""
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.max_by(F.struct("ts", "price", "size"), F.struct("ts", "trade_id")).alias("x")).select(*by, "n", "x.*")
+    return df.groupBy(*by).agg(F.count("*").alias("n"), *(F.max_by(c, moment_key()).alias(c) for c in ("ts", "price", "size")))
 
 
 def best_quote(quotes: DataFrame, by: list[str], tolerance_pct: float = 3.0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import indicators, models, panel
 from tidemark.operators import portfolio as op
 from tidemark.plans.indicator_queries import ATR_SQL, SCORES_SQL
-from tidemark.plans.panel_queries import FEW
+from tidemark.plans.panel_queries import FACTORS
 from tidemark.plans.registry import BARS_SQL, PREDICTIONS_SQL, TICKS_SQL, query, r, r6
 from tidemark.sources import normalize, tables
 from tidemark.streaming import market as stream
@@ -119,13 +119,15 @@ def listing_events(spark, sf_dir):
 
 @query("""WITH f AS (SELECT c_nationkey AS nation, o_orderkey // 10 AS accession, CAST(year(o_orderdate) AS INT) AS fy, CAST(quarter(o_orderdate) AS VARCHAR) AS period, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS ed, CASE o_orderkey % 2 WHEN 0 THEN 'revenue' ELSE 'income' END AS concept, o_totalprice AS v FROM orders JOIN customer ON o_custkey = c_custkey),
 w AS (SELECT nation, accession, fy, period, ed, max(v) FILTER (WHERE concept = 'revenue') AS revenue, max(v) FILTER (WHERE concept = 'income') AS income FROM f GROUP BY nation, accession, fy, period, ed),
-l AS (SELECT *, row_number() OVER (PARTITION BY nation, fy, period ORDER BY ed DESC, accession DESC) AS k FROM w)
-SELECT w.nation, w.accession, w.fy AS fiscal_year, w.period, """ + r(margin="coalesce(w.income / w.revenue, 0)", growth="coalesce((w.revenue - p.revenue) / abs(p.revenue), 0)") + """ FROM w LEFT JOIN l p ON p.k = 1 AND p.nation = w.nation AND p.fy + 1 = w.fy AND p.period = w.period""")
+p AS (SELECT w.nation, w.accession, w.fy, w.period, w.ed, arg_max_null(p.revenue, strftime(p.ed, '%Y-%m-%d') || lpad(CAST(p.accession AS VARCHAR), 20, '0')) AS revenue, arg_max_null(p.income, strftime(p.ed, '%Y-%m-%d') || lpad(CAST(p.accession AS VARCHAR), 20, '0')) AS income
+  FROM w JOIN w p ON p.nation = w.nation AND p.fy + 1 = w.fy AND p.period = w.period AND (p.ed < w.ed OR (p.ed = w.ed AND p.accession < w.accession)) GROUP BY ALL)
+SELECT w.nation, w.accession, w.fy AS fiscal_year, w.period, """ + r(margin="CASE WHEN w.income + w.revenue IS NULL THEN 0 ELSE greatest(-1, least(1, w.income / greatest(1, abs(w.revenue)))) END", revenue_growth="CASE WHEN w.revenue + p.revenue IS NULL THEN 0 ELSE greatest(-1, least(1, (w.revenue - p.revenue) / greatest(1, abs(p.revenue)))) END", income_growth="CASE WHEN w.income + p.income IS NULL THEN 0 ELSE greatest(-1, least(1, (w.income - p.income) / greatest(1, abs(p.income)))) END") + """
+FROM w LEFT JOIN p ON p.nation = w.nation AND p.accession = w.accession AND p.fy = w.fy AND p.period = w.period AND p.ed = w.ed""")
 def filing_facts(spark, sf_dir):
     d = tables.table(spark, sf_dir, "orders").join(tables.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     d = d.select(F.col("c_nationkey").alias("nation"), F.floor(F.col("o_orderkey") / 10).alias("accession"), F.year("o_orderdate").alias("fiscal_year"), F.quarter("o_orderdate").cast("string").alias("period"), F.to_date(F.date_trunc("quarter", "o_orderdate")).alias("event_day"), F.when(F.col("o_orderkey") % 2 == 0, "revenue").otherwise("income").alias("concept"), F.col("o_totalprice").alias("value"))
-    out = normalize.filings(d, ["nation"], ["revenue", "income"])
-    return out.select("nation", "accession", "fiscal_year", "period", r6(F.coalesce("margin", F.lit(0.0)), "margin"), r6(F.coalesce("growth", F.lit(0.0)), "growth"))
+    out = normalize.filings(d, ["nation"], ("revenue", "income"))
+    return out.select("nation", "accession", "fiscal_year", "period", *(r6(F.coalesce(c, F.lit(0.0)), c) for c in ("margin", "revenue_growth", "income_growth")))
 
 
 @query(f"""WITH {TICKS_SQL}, c AS (SELECT * FROM ticks WHERE price > 0 AND size > 0) SELECT symbol, time_bucket(INTERVAL 15 minutes, ts) AS start, first(price ORDER BY ts, trade_id) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ts, trade_id) AS close, {r(volume='sum(size)', vwap='sum(price * size) / sum(size)')}, count(*) AS trades FROM c GROUP BY ALL""")
@@ -164,5 +166,5 @@ def isotonic_knots(spark, sf_dir):
 @query()
 def walk_forward_backtest(spark, sf_dir):
     """Out-of-sample ridge predictions of each symbol; no row is predicted from labels that overlap it."""
-    d = panel.factor_panel(tables.bars(spark, sf_dir), factors=FEW)
-    return models.walk_forward(d, ["symbol"], list(FEW), "label", 5)
+    d = panel.factor_panel(tables.bars(spark, sf_dir), factors=FACTORS)
+    return models.walk_forward(d, ["symbol"], list(FACTORS), "label", 5)

@@ -10,17 +10,17 @@ from tidemark.plans.registry import BARS_SQL, query, r, r6
 from tidemark.sources import tables
 
 W = "PARTITION BY symbol ORDER BY day"
-FEW = ("momentum_5", "momentum_20", "vwap_gap", "volume_ratio_20", "close_location", "intraday_return")
-PANEL_SQL = f"""{ALPHA_SQL}, pn AS (SELECT market, symbol, sector, day, {', '.join(FEW)}, (lead(close, 5) OVER ({W}) / close - 1) * 100 AS label, row_number() OVER ({W}) AS rn FROM alpha), panel AS (SELECT * EXCLUDE (rn) FROM pn WHERE rn > 60 AND label IS NOT NULL)"""
-LONG_SQL = f"{PANEL_SQL}, long AS (SELECT market, symbol, sector, day, label, factor, value FROM panel UNPIVOT (value FOR factor IN ({', '.join(FEW)})))"
+FACTORS = op.FACTORS
+PANEL_SQL = f"""{ALPHA_SQL}, pn AS (SELECT market, symbol, sector, day, {', '.join(FACTORS)}, (lead(close, 5) OVER ({W}) / close - 1) * 100 AS label, row_number() OVER ({W}) AS rn FROM alpha), panel AS (SELECT * EXCLUDE (rn) FROM pn WHERE rn > 60 AND label IS NOT NULL)"""
+LONG_SQL = f"{PANEL_SQL}, long AS (SELECT market, symbol, sector, day, label, factor, value FROM panel UNPIVOT (value FOR factor IN ({', '.join(FACTORS)})))"
 
 
 def _panel(spark, sf_dir):
-    return op.factor_panel(tables.bars(spark, sf_dir), factors=FEW)
+    return op.factor_panel(tables.bars(spark, sf_dir), factors=FACTORS)
 
 
 def _long(spark, sf_dir):
-    return op.long_form(_panel(spark, sf_dir), FEW)
+    return op.long_form(_panel(spark, sf_dir), FACTORS)
 
 
 def _rank(c: str) -> str:
@@ -107,27 +107,27 @@ def factor_quality_gate(spark, sf_dir):
     return op.quality_gate(_long(spark, sf_dir)).select("factor", "n", r6("outliers"), F.round("richness", 2).alias("richness"), "passed")
 
 
-@query("WITH " + PANEL_SQL + " " + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", {r(correlation=f'corr({a}, {b})')} FROM panel" for i, a in enumerate(FEW) for b in FEW[i + 1 :]))
+@query("WITH " + PANEL_SQL + " " + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", {r(correlation=f'corr({a}, {b})')} FROM panel" for i, a in enumerate(FACTORS) for b in FACTORS[i + 1 :]))
 def factor_correlations(spark, sf_dir):
-    return op.correlations(_panel(spark, sf_dir), FEW).select("left", "right", r6("correlation"))
+    return op.correlations(_panel(spark, sf_dir), FACTORS).select("left", "right", r6("correlation"))
 
 
-@query("WITH " + PANEL_SQL + " " + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", round(avg({a} * {b}) + 1e-9, 4) + 0 AS value FROM panel" for i, a in enumerate(FEW) for b in FEW[i:]))
+@query("WITH " + PANEL_SQL + " " + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", round(avg({a} * {b}) + 1e-9, 4) + 0 AS value FROM panel" for i, a in enumerate(FACTORS) for b in FACTORS[i:]))
 def factor_gram(spark, sf_dir):
-    return op.gram(_panel(spark, sf_dir), FEW).select("left", "right", r6("value", digits=4))
+    return op.gram(_panel(spark, sf_dir), FACTORS).select("left", "right", r6("value", digits=4))
 
 
 @query()
 def factor_clusters(spark, sf_dir):
     """Cluster of each factor by correlation."""
-    found = op.clusters(op.correlations(_panel(spark, sf_dir), FEW), FEW)
+    found = op.clusters(op.correlations(_panel(spark, sf_dir), FACTORS), FACTORS)
     return spark.createDataFrame(list(found.items()), "factor string, cluster int")
 
 
 @query()
 def factor_ridge(spark, sf_dir):
     """Ridge coefficients; compared with numpy in the tests."""
-    return spark.createDataFrame(list(op.ridge(_panel(spark, sf_dir), FEW).items()), "factor string, coefficient double")
+    return spark.createDataFrame(list(op.ridge(_panel(spark, sf_dir), FACTORS).items()), "factor string, coefficient double")
 
 
 @query(f"WITH {LONG_SQL}, s AS (SELECT factor, value, abs(value - lag(value) OVER (PARTITION BY factor, symbol ORDER BY day)) AS st FROM long) SELECT factor, {r(turnover='avg(st) / stddev_pop(value)')} FROM s GROUP BY factor")
@@ -135,12 +135,11 @@ def factor_turnover(spark, sf_dir):
     return op.turnover(_long(spark, sf_dir)).select("factor", r6("turnover"))
 
 
-@query(f"""WITH {LONG_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY factor, symbol ORDER BY day) - 1 AS pos, count(*) OVER (PARTITION BY factor, symbol) AS n FROM long WHERE factor IN ('momentum_5', 'vwap_gap')),
+@query(f"""WITH {LONG_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY factor, symbol ORDER BY day) - 1 AS pos, count(*) OVER (PARTITION BY factor, symbol) AS n FROM long),
 w AS (SELECT factor, symbol, k AS "window", value, label FROM a, range(0, 200) t(k) WHERE pos >= k * 20 AND pos < k * 20 + 60 AND k * 20 + 60 <= n)
 SELECT factor, symbol, CAST("window" AS INT) AS "window", {r(ic='coalesce(covar_pop(value, label) / nullif(sqrt(var_pop(value) * var_pop(label)), 0), 0)')} FROM w GROUP BY ALL""")
 def factor_rolling_ic(spark, sf_dir):
-    long = _long(spark, sf_dir).filter(F.col("factor").isin("momentum_5", "vwap_gap"))
-    return op.rolling_ic(long).select("factor", "symbol", "window", r6("ic"))
+    return op.rolling_ic(_long(spark, sf_dir)).select("factor", "symbol", "window", r6("ic"))
 
 
 @query(f"""WITH {BARS_SQL}, x AS (SELECT market, symbol, sector, day, (close / lag(close, 10) OVER ({W}) - 1) * 100 AS momentum, (lead(close, 3) OVER ({W}) / close - 1) * 100 AS label FROM bars)

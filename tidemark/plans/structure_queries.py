@@ -140,7 +140,7 @@ def labelled_rows(spark, sf_dir):
 
 
 @query(f"""WITH {BARS_SQL}, b AS (SELECT * FROM bars WHERE day <= DATE '2001-07-31'), s AS (SELECT o_orderkey AS id, 'Brand#' || CAST(o_custkey % 25 + 1 AS VARCHAR) AS symbol, CAST(o_orderdate AS DATE) AS day FROM orders),
-j AS (SELECT s.id, s.symbol, s.day, b.day AS bd, b.open, b.close, b.high, b.low, CASE WHEN b.day IS NOT NULL THEN row_number() OVER (PARTITION BY s.id ORDER BY b.day) END AS nth FROM s LEFT JOIN b ON s.symbol = b.symbol AND b.day > s.day AND b.day <= s.day + 70),
+j AS (SELECT s.id, s.symbol, s.day, b.day AS bd, b.open, b.close, b.high, b.low, CASE WHEN b.day IS NOT NULL THEN row_number() OVER (PARTITION BY s.id ORDER BY b.day) END AS nth FROM s LEFT JOIN b ON s.symbol = b.symbol AND b.day > s.day),
 g AS (SELECT id, symbol, day, count(nth) AS bars_seen, first(open ORDER BY nth) AS e, last(close ORDER BY nth) AS c, max(high) AS h, min(low) AS l FROM j WHERE nth IS NULL OR nth <= 10 GROUP BY id, symbol, day)
 SELECT id, symbol, day, bars_seen, bars_seen >= 10 AS resolved, {r(forward_return='CASE WHEN bars_seen >= 10 THEN (c - e) / e * 100 END', max_upside='CASE WHEN bars_seen >= 10 THEN (h - e) / e * 100 END', max_drawdown='CASE WHEN bars_seen >= 10 THEN (l - e) / e * 100 END')} FROM g""")
 def prediction_maturation(spark, sf_dir):

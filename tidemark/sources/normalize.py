@@ -30,17 +30,24 @@ def vintages(df: DataFrame, by: list[str], order: str, value: str, direction: Co
     return d.withColumn("score", score).drop("m_", "s_", "p_")
 
 
-def filings(df: DataFrame, by: list[str], concepts: list[str]) -> DataFrame:
-    """Facts (concept, value) of one filing side by side, with margin and growth on the same period a year before."""
-    wide = df.groupBy(*by, "accession", "fiscal_year", "period", "event_day").pivot("concept", concepts).agg(F.max("value"))
-    newest = Window.partitionBy(*by, "fiscal_year", "period").orderBy(F.desc("event_day"), F.desc("accession"))
-    last = wide.withColumn("k_", F.row_number().over(newest)).filter("k_ = 1")
-    prior = last.select(*(F.col(c).alias(f"p_{c}") for c in by), (F.col("fiscal_year") + 1).alias("p_year"), F.col("period").alias("p_period"), F.col(concepts[0]).alias("p_value"))
-    on = (F.col("fiscal_year") == F.col("p_year")) & (F.col("period") == F.col("p_period"))
+def filings(df: DataFrame, by: list[str], concepts: tuple[str, str]) -> DataFrame:
+    """Facts (concept, value) of one filing side by side; concepts: revenue and income by their names.
+
+    margin, revenue_growth and income_growth in [-1, 1], against the last filing of the same
+    period a year before that came earlier (by event_day, then accession): later restatements
+    change nothing. Null where a value is missing.
+    """
+    revenue, income = concepts
+    wide = df.groupBy(*by, "accession", "fiscal_year", "period", "event_day").pivot("concept", list(concepts)).agg(F.max("value"))
+    before_ = wide.select(*(F.col(c).alias(f"p_{c}") for c in by), (F.col("fiscal_year") + 1).alias("p_year"), F.col("period").alias("p_period"), F.struct("event_day", "accession").alias("p_at"), F.struct(revenue, income).alias("p_values"))
+    on = (F.col("fiscal_year") == F.col("p_year")) & (F.col("period") == F.col("p_period")) & (F.col("p_at") < F.struct("event_day", "accession"))
     for c in by:
         on = on & (F.col(c) == F.col(f"p_{c}"))
-    out = wide.join(prior, on, "left")
-    return out.select(*wide.columns, F.try_divide(F.col(concepts[1]), F.col(concepts[0])).alias("margin"), F.try_divide(F.col(concepts[0]) - F.col("p_value"), F.abs("p_value")).alias("growth"))
+    met = wide.join(before_, on, "left").groupBy(*wide.columns).agg(F.max_by("p_values", "p_at").alias("p"))
+    ratio = lambda x, base: clamp(x / F.greatest(F.lit(1.0), F.abs(base)), -1.0, 1.0)
+    growth = lambda c: F.when(F.col("p")[c].isNotNull(), ratio(F.col(c) - F.col("p")[c], F.col("p")[c]))
+    margin = F.when(F.col(revenue).isNotNull(), ratio(F.col(income), F.col(revenue)))
+    return met.select(*wide.columns, margin.alias("margin"), growth(revenue).alias("revenue_growth"), growth(income).alias("income_growth"))
 
 
 def statements(df: DataFrame, column: str) -> DataFrame:

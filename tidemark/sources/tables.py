@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.series import order_key
+
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
 
 
@@ -32,8 +34,8 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily OHLCV by symbol. Open and close are min_by/max_by, so nothing is sorted or collected."""
-    at = F.struct(*ORDER)
+    """Daily OHLCV by symbol. Open and close are min_by/max_by over one number, so rows are hashed and nothing is sorted or collected."""
+    at = order_key((F.col("l_orderkey") * 8 + F.col("l_linenumber"), 14), ("l_partkey", 12), ("l_suppkey", 11))
     out = trades(spark, sf_dir).groupBy("symbol", "day").agg(
         F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"),
         F.sum("size").alias("volume"), F.count("*").alias("trade_count"),

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.functions.series import moment_key
+
 TICK_SCHEMA = "symbol string, ts timestamp, price double, size double, exchange string, trade_id long"
 
 
@@ -33,7 +35,7 @@ def deduplicated(ticks: DataFrame, keys: list[str], lateness: str = "10 minutes"
 
 
 def minute_bars(ticks: DataFrame, width: str = "1 minute", lateness: str = "10 minutes") -> DataFrame:
-    at = F.struct("ts", "trade_id")
+    at = moment_key()
     g = ticks.filter("price > 0 and size > 0").withWatermark("ts", lateness).groupBy("symbol", F.window("ts", width).alias("w")).agg(
         F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"),
         F.sum("size").alias("volume"), F.sum(F.col("price") * F.col("size")).alias("notional"), F.count("*").alias("trades"),
