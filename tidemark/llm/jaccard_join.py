@@ -21,8 +21,9 @@ less in the other.
 
 Joining. Equal sets are one node. In each bucket (documents with one signature) all nodes meet
 its smallest and its largest node only; each node is compared with the first of those it may link
-with, and links are joined to components. Pairs of one bucket whose ends are still in different
-components, and only those, are then compared too.
+with, and links are joined to components. In buckets that still hold several components, nodes
+meet two further nodes, drawn by hash, in each of TURNS turns. Pairs of one bucket whose ends are
+then still in different components, and only those, are compared too.
 So no link between components is lost, and groups of near copies cost their size, not its
 square. A pair counts in the instance of its larger set only.
 
@@ -65,6 +66,8 @@ SLICES = 4
 INSTANCE_BITS = 12
 #: Share of partitions beyond those that are needed for one agreement.
 SPARE = 0.15
+#: How often nodes of buckets that hold several components meet further nodes, before all that are left meet.
+TURNS = 2
 #: Rows of a bucket that one task compares with all of the bucket.
 BLOCK = 2000
 #: Nodes that a task remembers as sent.
@@ -317,6 +320,32 @@ def in_slices(rows: DataFrame, sift: Callable[[DataFrame], DataFrame]) -> DataFr
     return out
 
 
+def _still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """sig, node, root and blocks of the buckets whose nodes lie in several components."""
+    placed = rows.select("sig", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("low <> high").select("sig", "blocks")
+    return durable(placed.join(several, "sig"))
+
+
+def _turn(turn: int, open_rows: DataFrame, tested: DataFrame, links: DataFrame, roots: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, ...]:
+    """Nodes of open buckets meet two further nodes of each, drawn by hash; what they link with is joined."""
+
+    def stars(part: DataFrame) -> DataFrame:
+        drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("centre"), F.col("root").alias("centre_root"))
+        centres = part.groupBy("sig").agg(F.array(F.min(drawn), F.max(drawn)).alias("c")).select(F.col("sig").alias("sig2"), F.inline("c"))
+        met = part.join(centres, (F.col("sig") == F.col("sig2")) & (F.col("root") != F.col("centre_root")))
+        return _sifted(met.select("sig", *_pair("node", "centre")), sets, percent)
+
+    found = in_slices(open_rows, stars)
+    new = durable(found.join(tested, ["a", "b"], "left_anti"))
+    more = verified(new, docs, sets, shingle, percent)
+    all_tested, all_links = durable(tested.unionByName(new)), durable(links.unionByName(more))
+    now = durable(connected_components(all_links))
+    left = _still_open(open_rows, now)
+    discard(found, new, more, tested, links, roots, open_rows)
+    return left, all_tested, all_links, now
+
+
 def clusters(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The durable tables (doc_id, text_key, n_shingles, node) of all rows, node null where nothing
     links, and (node, doc_id, root) of all nodes: smallest doc_id and component."""
@@ -334,11 +363,10 @@ def clusters(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Da
     discard(stars)
     links = verified(tested, docs, sets, shingle, percent)
     roots = durable(connected_components(links))
-    placed = buckets.select("sig", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # buckets that still hold several components
-    open_sigs = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("low <> high").select("sig", "blocks")
-    open_rows = durable(placed.join(open_sigs, "sig"))
+    open_rows = _still_open(buckets, roots)
     discard(buckets)
+    for turn in range(TURNS):
+        open_rows, tested, links, roots = _turn(turn, open_rows, tested, links, roots, docs, sets, shingle, percent)
 
     def across(part: DataFrame) -> DataFrame:
         left = part.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).join(sketches(sets, "x_"), F.col("node") == F.col("x_node"))
