@@ -142,13 +142,19 @@ def long_values(d: DataFrame, expressions: dict[str, tuple], label: str, part: s
 
 
 def overlaps(d: DataFrame, new: dict[str, tuple], accepted: dict[str, tuple]) -> dict[str, float]:
-    """Largest |correlation| of each new expression with the accepted ones, in one aggregate."""
+    """Largest |correlation| of each new expression with the accepted ones.
+
+    One aggregate gives the moments of each expression over the rows that it has, one the means of products of standard scores.
+    """
     pairs = [(n, a) for n in new for a in accepted if a != n]
     if not pairs:
         return dict.fromkeys(new, 0.0)
-    of = lambda e: clamp(name_of(e), -8.0, 8.0)
-    row = d.agg(*(F.abs(pearson(of(new[n]), of(accepted[a]))).alias(f"c{i}") for i, (n, a) in enumerate(pairs))).first()
-    return {n: max((row[f"c{i}"] for i, (m, _) in enumerate(pairs) if m == n), default=0.0) for n in new}
+    every = {name_of(e): clamp(name_of(e), -8.0, 8.0) for e in (*new.values(), *accepted.values())}
+    moments = d.agg(*(F.avg(v).alias(f"m_{n}") for n, v in every.items()), *(F.stddev_pop(v).alias(f"s_{n}") for n, v in every.items())).first()
+    score = {n: (v - moments[f"m_{n}"]) / moments[f"s_{n}"] if (moments[f"s_{n}"] or 0) > 1e-12 else F.lit(0.0) for n, v in every.items()}
+    z = d.select(*(v.alias(n) for n, v in score.items()))
+    row = z.agg(*(F.abs(F.avg(F.col(name_of(new[n])) * F.col(name_of(accepted[a])))).alias(f"c{i}") for i, (n, a) in enumerate(pairs))).first()
+    return {n: max((row[f"c{i}"] or 0.0 for i, (m, _) in enumerate(pairs) if m == n), default=0.0) for n in new}
 
 
 def evaluate(df: DataFrame, expressions: dict[str, tuple], label: str = "label", part: str = "part", accepted: dict[str, tuple] | None = None) -> list[dict]:
@@ -157,10 +163,16 @@ def evaluate(df: DataFrame, expressions: dict[str, tuple], label: str = "label",
     Expressions pay for an overlap with accepted ones, for a gap between training and holdout, for changes of sign and for their size.
     """
     accepted = dict(list((accepted or {}).items())[:ACCEPTED])
-    d = with_expressions(df, [*expressions.values(), *accepted.values()])
-    overlap = overlaps(d, expressions, accepted)
+    names = {name_of(e) for e in (*expressions.values(), *accepted.values())}
+    # five aggregates read the values; without this each would compute all windows again
+    d = with_expressions(df, [*expressions.values(), *accepted.values()]).select("symbol", "day", label, part, *sorted(names)).persist()
+    try:
+        overlap = overlaps(d, expressions, accepted)
+        found = statistics(long_values(d, expressions, label, part)).collect()  # one row an expression
+    finally:
+        d.unpersist()
     rows = []
-    for r in statistics(long_values(d, expressions, label, part)).collect():  # one row an expression
+    for r in found:
         e, most = expressions[r.expression], overlap[r.expression]
         train, valid, test = r.train_ic, r.validation_ic, r.test_ic
         gap = max(0.0, abs(train) - (abs(valid) + abs(test)) / 2)
@@ -191,7 +203,7 @@ def breed(parents: list[tuple], rng: random.Random) -> list[tuple]:
     return out
 
 
-def evolve(df: DataFrame, generations: int = 4, population: int = 24, seed: int = 1, seeds: dict[str, tuple] | None = None) -> list[dict]:
+def evolve(df: DataFrame, generations: int = 2, population: int = 12, seed: int = 1, seeds: dict[str, tuple] | None = None) -> list[dict]:
     """Statistics of the fittest expressions after some generations; equal formulas count once."""
     rng = random.Random(seed)
     known = dict(seeds or SEEDS)

@@ -124,7 +124,7 @@ def alpha_expressions(spark, sf_dir):
 
 @query()
 def alpha_evolution(spark, sf_dir):
-    """Expressions after four generations of breeding, with their fitness; a test compares the statistics with a direct loop."""
+    """Expressions after two generations of breeding, with their fitness; a test compares the statistics with a direct loop."""
     d = panel.chronological_split(panel.factor_panel(tables.bars(spark, sf_dir)), [], "day", gap=5)
     rows = alpha.evolve(d)
     return spark.createDataFrame(rows, "name string, expression string, ic double, rank_ic double, train_ic double, validation_ic double, test_ic double, test_ic_p double, stability double, positive_share double, losing_share double, max_overlap double, incremental double, gates int, overfit_penalty double, generalization double, overfit boolean, fitness double")
