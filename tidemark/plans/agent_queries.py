@@ -49,7 +49,7 @@ def agent_rewards(spark, sf_dir):
     return out.select("agent", "step", *map(r6, ("raw_return", "drawdown_penalty", "concentration_penalty", "reward")))
 
 
-POLICIES = ["p_brand AS regime", "concat('style-', CAST(p_partkey AS STRING)) AS style", "p_size / 3.0 AS alpha", "CASE WHEN p_partkey % 7 > 0 THEN p_partkey % 20 / 2.0 END AS beta", "p_retailprice AS objective", "p_size % 3 = 0 AS eligible"]
+POLICIES = ["p_brand AS regime", "concat('style-', CAST(p_partkey AS STRING)) AS style", "p_size / CAST(3 AS DOUBLE) AS alpha", "CASE WHEN p_partkey % 7 > 0 THEN p_partkey % 20 / CAST(2 AS DOUBLE) END AS beta", "p_retailprice AS objective", "p_size % 3 = 0 AS eligible"]
 
 
 @query(f"""WITH p AS (SELECT {', '.join(POLICIES)} FROM part), m AS (SELECT *, greatest(1, alpha) / (greatest(1, alpha) + greatest(1, coalesce(beta, 1))) AS po FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY eligible DESC, round(po, 9) DESC, objective DESC, style) AS rank FROM m)
