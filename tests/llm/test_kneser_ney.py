@@ -41,8 +41,11 @@ def brute(train, texts):
     return out, p, uni
 
 
-@pytest.mark.parametrize(("at_once", "shard_bytes"), [(4_000_000, 24_000_000), (200, 500)])
-def test_equals_brute_force(spark, monkeypatch, at_once, shard_bytes):
+@pytest.mark.parametrize(("at_once", "shard_bytes", "bits"), [(4_000_000, 24_000_000, None), (200, 500, None), (200, 500, 45)])
+def test_equals_brute_force(spark, monkeypatch, at_once, shard_bytes, bits):
+    """In many small pieces and shards too, and with word numbers far beyond 32 bits."""
+    real = kn.write_vocabulary
+    monkeypatch.setattr(kn, "write_vocabulary", lambda *a: max(real(*a), bits or 0))
     monkeypatch.setattr(kn, "TOKENS_AT_ONCE", at_once)
     monkeypatch.setattr(kn, "SHARD_BYTES", shard_bytes)
     rng = random.Random(5)

@@ -123,6 +123,13 @@ def durable(df: DataFrame, arrow_rows: int = 10_000) -> DataFrame:
     return out
 
 
+def owned_dir(spark: SparkSession) -> str:
+    """A new path in the shared folder for files that tasks write themselves; it goes as durable() tables go."""
+    path = shared_dir(spark)
+    _live[path] = spark
+    return path
+
+
 def _delete(path: str) -> None:
     spark = _live.pop(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -4,21 +4,23 @@ Tokens are the lower-cased words and one end token; the first token's context is
 
 Counting. The vocabulary comes first: each task sends its distinct word hashes to shards by
 ranges of the hash, which write them as sorted arrays; a word's number is its shard and place.
-Then each task counts the bigrams of a few million tokens at a time and sends them, as sorted and
-packed pairs of numbers, to shards by a hash of the bigram, so a frequent word's contexts spread
-over all shards. A shard adds up its bigrams and writes them as a sorted array of 64-bit hashes
-with counts (one byte; counts of 255 and more in a short list). What it knows of each word
-(occurrences, different left neighbours; as a context: tokens and bigrams seen once, twice, more)
-goes to the word's shard, which writes these sums beside its hashes. The number of shards follows
-the size of the text, and nothing but totals (one row) reaches the driver.
+Then each task counts the bigrams of a few million tokens at a time and sends them, as packed
+pairs of 64-bit numbers, to shards by ranges of the bigram's hash, so a frequent word's contexts
+spread over all shards; a task sends a shard nothing if it has nothing for it, so what is sent
+follows the tokens however many shards there are. A shard adds up its bigrams and writes them as
+a sorted array of 64-bit hashes with counts (one byte; counts of 255 and more in a short list).
+What it knows of each word (occurrences, different left neighbours; as a context: tokens and
+bigrams seen once, twice, more) goes to the word's shard, which writes these sums beside its
+hashes. The number of shards follows the size of the text, and nothing but totals (one row)
+reaches the driver.
 
 Model. p(v | u) = (c(uv) - D(c(uv))) / c(u.) + g(u) p1(v), with the discounts D of Chen and
 Goodman from the counts of counts and g(u) the mass they free; p1 is the same over the numbers of
 different left neighbours, interpolated with the uniform 1 / (V + 1), one share being for unknown
 words. Contexts never seen give p1.
 
-Scoring. The arrays lie in the folder that the cluster shares; workers map them into memory and
-look up sorted distinct hashes. Where that folder is not a mounted one, each worker makes its own
+Scoring. The arrays lie in the folder that the cluster shares; workers map them into memory, the
+MAPS used last at a time, and look up sorted distinct hashes. Where that folder is not a mounted one, each worker makes its own
 copies with pyarrow's file systems first. Files are written under another name and then renamed,
 and a task that runs again writes the same content, so lost executors do no harm.
 
@@ -43,15 +45,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, dropping_shuffles, lower_words, read, shared_dir
+from tidemark.llm.common import crc_mod, dropping_shuffles, lower_words, owned_dir, read
 from tidemark.llm.jaccard_join import mix
 
 START, END = b" start", b" end"  # no word holds a space
 TOKENS_AT_ONCE = 2_500_000
 SHARD_BYTES = 24_000_000
 SHARDS_TO_WORD_SHARDS = 6
+#: Arrays that a worker maps at a time; the system allows a process some 65,000 maps.
+MAPS = 2048
 _U = np.uint64
-_LOW = np.uint64(0xFFFFFFFF)
 WORD_SUMS = ("occurrences", "left_neighbours", "as_context", "once", "twice", "more")
 
 
@@ -136,6 +139,18 @@ class SharedFiles:
             return np.empty(0, dtype)
 
 
+@lru_cache(maxsize=MAPS)
+def mapped(uri: str, name: str, dtype: str) -> np.ndarray:
+    return SharedFiles(uri).map_or_empty(name, dtype)
+
+
+def runs(in_order: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, start, end) of each run of equal values."""
+    cuts = [0, *(np.flatnonzero(in_order[1:] != in_order[:-1]) + 1).tolist(), len(in_order)] if len(in_order) else [0]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield int(in_order[a]), a, b
+
+
 class Tokens:
     """Token numbers of a piece of a task's texts."""
 
@@ -165,8 +180,7 @@ def write_vocabulary(docs: DataFrame, uri: str, word_shards: int) -> int:
 
     def flush(words: set[bytes]) -> pa.RecordBatch:
         h = np.unique(hashes(list(words)))
-        ends = np.searchsorted(shard_of(h, word_shards), np.arange(word_shards + 1))
-        rows = [(w, pack(np.diff(h[a:b], prepend=_U(0)))) for w, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
+        rows = [(w, pack(np.diff(h[a:b], prepend=_U(0)))) for w, a, b in runs(shard_of(h, word_shards))]
         return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["word_shard", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,18 +210,15 @@ class Vocabulary:
     """Numbers of word hashes: shard * 2^bits + place."""
 
     def __init__(self, uri: str, word_shards: int, bits: int) -> None:
-        files = SharedFiles(uri)
-        self.bits = bits
-        self.hashes = [files.map_or_empty(f"word-hash-{w}", "<u8") for w in range(word_shards)]
+        self.uri, self.word_shards, self.bits = uri, word_shards, bits
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
         """-1 for unknown hashes."""
         out = np.full(len(h), -1, np.int64)
         order = np.argsort(h)
-        ends = np.searchsorted(shard_of(h[order], len(self.hashes)), np.arange(len(self.hashes) + 1))
-        for w, keys in enumerate(self.hashes):
-            at = order[ends[w] : ends[w + 1]]
-            if len(at) and len(keys):
+        for w, a, b in runs(shard_of(h[order], self.word_shards)):
+            at, keys = order[a:b], mapped(self.uri, f"word-hash-{w}", "<u8")
+            if len(keys):
                 place = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
                 hit = keys[place] == h[at]
                 out[at[hit]] = (w << self.bits) + place[hit]
@@ -220,21 +231,20 @@ def load_vocabulary(uri: str, word_shards: int, bits: int) -> Vocabulary:
 
 
 def count_bigrams(docs: DataFrame, uri: str, shards: int, word_shards: int, bits: int) -> DataFrame:
-    """shard, data: packed sorted bigrams (context number * 2^32 + token number) and counts of pieces of the texts."""
+    """shard, data: packed bigrams (context number, token number, count) of pieces of the texts, in the order of their hashes."""
 
     def flush(tokens: Tokens) -> pa.RecordBatch:
         number = load_vocabulary(uri, word_shards, bits).numbers(hashes(list(tokens.ids))).astype(_U)
         u, v = tokens.bigrams()
-        pairs, counts = np.unique((number << _U(32))[u] | number[v], return_counts=True)
-        shard = shard_of(pair_hash(pairs >> _U(32), pairs & _LOW), shards)
-        order = np.argsort(shard, kind="stable")
-        ends = np.searchsorted(shard[order], np.arange(shards + 1))
+        pairs, counts = np.unique(u * len(tokens.ids) + v, return_counts=True)
+        u, v = number[pairs // len(tokens.ids)], number[pairs % len(tokens.ids)]
+        h = pair_hash(u, v)
+        order = np.argsort(h)
         rows = []
-        for s in range(shards):
-            at = order[ends[s] : ends[s + 1]]
-            if len(at):
-                # contexts rise, so their steps are small; tokens are packed apart from them
-                rows.append((s, pack(np.diff(pairs[at] >> _U(32), prepend=_U(0)).astype("<u4"), (pairs[at] & _LOW).astype("<u4"), counts[at].astype("<u4"))))
+        for s, a, b in runs(shard_of(h[order], shards)):
+            at = order[a:b]
+            at = at[np.argsort(u[at], kind="stable")]  # contexts rise, so their steps are small
+            rows.append((s, pack(np.diff(u[at], prepend=_U(0)), v[at], counts[at].astype("<u4"))))
         return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["shard", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,30 +274,26 @@ def merge_bigrams(blobs: DataFrame, uri: str, word_shards: int, bits: int) -> Da
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        keys, counts = [], []
-        for data in table.column("data"):
-            du, v, c = unpack(data.as_py())
-            keys.append(np.cumsum(du, dtype=_U) << _U(32) | v)
-            counts.append(c.astype(np.int64))
-        pairs, (c,) = _sums_by(np.concatenate(keys), [np.concatenate(counts)])
-        u, v = pairs >> _U(32), pairs & _LOW
+        u, v, c = (np.concatenate(x) for x in zip(*((np.cumsum(du, dtype=_U), v, c.astype(np.int64)) for du, v, c in (unpack(d.as_py()) for d in table.column("data"))), strict=True))
         h = pair_hash(u, v)
         order = np.argsort(h)
+        h = h[order]
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        c = np.add.reduceat(c[order], starts)
+        h, u, v = h[starts], u[order][starts], v[order][starts]
         files = SharedFiles(uri)
-        files.write(f"pair-hash-{shard}", h[order])
-        files.write(f"pair-count-{shard}", np.minimum(c[order], 255).astype("<u1"))
-        large = np.flatnonzero(c[order] >= 255)
-        files.write(f"pair-large-{shard}", np.concatenate([large, c[order][large]]).astype("<i8"))
+        files.write(f"pair-hash-{shard}", h)
+        files.write(f"pair-count-{shard}", np.minimum(c, 255).astype("<u1"))
+        large = np.flatnonzero(c >= 255)
+        files.write(f"pair-large-{shard}", np.concatenate([large, c[large]]).astype("<i8"))
         as_token, left = _sums_by(v, [c, np.ones(len(c), np.int64)])
         as_context, right = _sums_by(u, [c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64)])
-        starts = np.arange(word_shards + 1, dtype=np.uint64) << _U(bits)
-        t, x = np.searchsorted(as_token, starts), np.searchsorted(as_context, starts)
-        step = lambda ids: np.diff(ids, prepend=_U(0)).astype("<u4")
-        rows = []
-        for w in range(word_shards):
-            i, j = slice(t[w], t[w + 1]), slice(x[w], x[w + 1])
-            if t[w + 1] > t[w] or x[w + 1] > x[w]:
-                rows.append((w, pack(step(as_token[i]), *(s[i].astype("<u8") for s in left), step(as_context[j]), *(s[j].astype("<u8") for s in right))))
+        tokens_of, contexts_of = ({w: slice(a, b) for w, a, b in runs(ids >> _U(bits))} for ids in (as_token, as_context))
+        step = lambda ids: np.diff(ids, prepend=_U(0))
+        rows, none = [], slice(0, 0)
+        for w in sorted(tokens_of.keys() | contexts_of.keys()):
+            i, j = tokens_of.get(w, none), contexts_of.get(w, none)
+            rows.append((w, pack(step(as_token[i]), *(x[i].astype("<u8") for x in left), step(as_context[j]), *(x[j].astype("<u8") for x in right))))
         rows.append((0, pack(np.array([(c == k).sum() for k in (1, 2, 3, 4)], "<u8"))))
         return pa.table({"word_shard": pa.array([w for w, _ in rows], pa.int32()), "data": pa.array([d for _, d in rows], pa.binary())})
 
@@ -331,11 +337,9 @@ def train(docs: DataFrame) -> dict:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = -(-size // SHARD_BYTES) or 1
     word_shards = -(-shards // SHARDS_TO_WORD_SHARDS)
-    uri = shared_dir(docs.sparkSession)
+    uri = owned_dir(docs.sparkSession)
     with dropping_shuffles(docs.sparkSession):
         bits = write_vocabulary(docs, uri, word_shards)
-        if bits + (word_shards - 1).bit_length() > 32:
-            raise ValueError("more words than 32-bit numbers hold")
         blobs = merge_bigrams(count_bigrams(docs, uri, shards, word_shards, bits), uri, word_shards, bits)
         totals = merge_words(blobs, uri, bits).first().asDict()
     return totals | {"uri": uri, "shards": shards, "word_shards": word_shards, "bits": bits}
@@ -345,13 +349,12 @@ class Model:
     """The arrays of a trained model, mapped into memory."""
 
     def __init__(self, uri: str, shards: int, word_shards: int, bits: int, totals: tuple) -> None:
-        files, t = SharedFiles(uri), dict(totals)
+        t = dict(totals)
+        self.uri, self.shards = uri, shards
         self.tokens, self.types, self.seen = t["tokens"], t["types"], t["vocabulary"]
         self.pair_discounts = discounts([t[f"pairs{k}"] for k in (1, 2, 3, 4)])
         self.word_discounts = discounts([t[f"words{k}"] for k in (1, 2, 3, 4)])
         self.vocabulary = Vocabulary(uri, word_shards, bits)
-        self.sums = [files.map_or_empty(f"word-sums-{w}", "<i8").reshape(-1, 6) for w in range(word_shards)]
-        self.pairs = [tuple(files.map_or_empty(f"pair-{kind}-{s}", dtype) for kind, dtype in (("hash", "<u8"), ("count", "<u1"), ("large", "<i8"))) for s in range(shards)]
         freed = sum(t[f"words{k}"] * self.word_discounts[k] for k in (1, 2))
         words_seen = self.seen - t["words1"] - t["words2"]
         self.rest = (freed + words_seen * self.word_discounts[3]) / self.types if self.types else 1.0
@@ -359,9 +362,11 @@ class Model:
     def word_sums(self, number: np.ndarray) -> np.ndarray:
         """WORD_SUMS of word numbers; zeros for -1."""
         out = np.zeros((len(number), 6))
-        for w, sums in enumerate(self.sums):
-            at = np.flatnonzero(number >> self.vocabulary.bits == w)
-            if len(at) and len(sums):
+        order = np.argsort(number)
+        for w, a, b in runs(number[order] >> self.vocabulary.bits):
+            sums = mapped(self.uri, f"word-sums-{w}", "<i8").reshape(-1, 6) if w >= 0 else ()
+            if len(sums):
+                at = order[a:b]
                 out[at] = sums[number[at] & ((1 << self.vocabulary.bits) - 1)]
         return out
 
@@ -369,15 +374,15 @@ class Model:
         """Counts of bigram hashes (any order); 0 where unknown."""
         out = np.zeros(len(h), np.int64)
         order = np.argsort(h)
-        ends = np.searchsorted(shard_of(h[order], len(self.pairs)), np.arange(len(self.pairs) + 1))
-        for s, (keys, counts, large) in enumerate(self.pairs):
-            at = order[ends[s] : ends[s + 1]]
-            if len(at) and len(keys):
+        for s, a, b in runs(shard_of(h[order], self.shards)):
+            at, keys = order[a:b], mapped(self.uri, f"pair-hash-{s}", "<u8")
+            if len(keys):
                 place = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
                 hit = keys[place] == h[at]
-                found = counts[place].astype(np.int64)
+                found = mapped(self.uri, f"pair-count-{s}", "<u1")[place].astype(np.int64)
                 many = np.flatnonzero(hit & (found == 255))
                 if len(many):
+                    large = mapped(self.uri, f"pair-large-{s}", "<i8")
                     half = len(large) // 2
                     found[many] = large[half:][np.searchsorted(large[:half], place[many])]
                 out[at[hit]] = found[hit]
