@@ -1,6 +1,8 @@
 import random
+from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import quality_classifier as qc
@@ -70,3 +72,22 @@ def test_temperature_lowers_overconfidence():
     y = (rng.random(4000) < 1 / (1 + np.exp(-10 * x[:, 0]))).astype(float)
     network.calibrate(x, y)
     assert 3 < network.temperature < 5.5
+
+
+def test_held_out_figures_on_the_real_table(spark):
+    """Ranking, accuracy and calibration of held-out labelled documents; labels.quality never reaches a score."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.1"
+    if not Path(sf).exists():
+        pytest.skip("no sample tables")
+    got = qc.op6_quality_classifier(spark, sf).toPandas()
+    label = duckdb.sql(f"SELECT doc_id, min(quality) AS y FROM '{sf}/labels.parquet' WHERE quality IS NOT NULL GROUP BY doc_id").df()
+    rows = got[got.held_out].merge(label, on="doc_id")
+    good, bad = rows[rows.y == 1].score.to_numpy(), rows[rows.y == 0].score.to_numpy()
+    auc = ((good[:, None] > bad[None]) + 0.5 * (good[:, None] == bad[None])).mean()
+    bins = rows.assign(b=(rows.score * 10).astype(int).clip(0, 9)).groupby("b").agg(n=("y", "size"), p=("score", "mean"), y=("y", "mean"))
+    ece = (bins.n * (bins.p - bins.y).abs()).sum() / len(rows)
+    accuracy = ((rows.score >= 0.7) == (rows.y == 1)).mean()
+    print(f"AUC {auc:.4f}, accuracy {accuracy:.4f}, ECE {ece:.4f} on {len(rows)} documents")
+    assert auc > 0.97 and accuracy > 0.95 and ece < 0.05
