@@ -158,9 +158,14 @@ def stack_weights(spark, sf_dir):
     return spark.createDataFrame(list(models.fit_stack(d, ["m1", "m2", "m3", "m4"], "actual", "weight").items()), "model string, weight double")
 
 
-@query()
+@query(f"""WITH {PREDICTIONS_SQL}, g AS (SELECT floor(probability * 1000) AS b, avg(probability) AS x, sum(actual) AS s, count(*) AS n FROM predictions GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY b) AS i FROM g),
+seg AS (SELECT j.i AS j, k.i AS k, sum(m.s) / sum(m.n)::DOUBLE AS rt FROM o j JOIN o k ON j.i <= k.i JOIN o m ON m.i BETWEEN j.i AND k.i GROUP BY ALL),
+f AS (SELECT i, max(lo) AS v FROM (SELECT o.i, seg.j, min(rt) AS lo FROM o JOIN seg ON seg.j <= o.i AND seg.k >= o.i GROUP BY ALL) GROUP BY i)
+SELECT {r(probability='sum(x * n) / sum(n)', rate='max(v)')} FROM f JOIN o ON f.i = o.i GROUP BY round(v, 12)""")
 def isotonic_knots(spark, sf_dir):
-    return spark.createDataFrame(models.isotonic(tables.predictions(spark, sf_dir), "probability", "actual"), "probability double, rate double")
+    """Pooled adjacent violators; the SQL takes the largest of the smallest means around each bin."""
+    knots = spark.createDataFrame(models.isotonic(tables.predictions(spark, sf_dir), "probability", "actual"), "probability double, rate double")
+    return knots.select(r6("probability"), r6("rate"))
 
 
 @query()

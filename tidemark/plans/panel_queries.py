@@ -117,7 +117,10 @@ def factor_gram(spark, sf_dir):
     return op.gram(_panel(spark, sf_dir), FACTORS).select("left", "right", r6("value", digits=4))
 
 
-@query()
+@query("WITH " + PANEL_SQL + ", corrs AS (" + " UNION ALL ".join(f"SELECT {i} AS a, {j} AS b, corr({x}, {y}) AS co FROM panel" for i, x in enumerate(FACTORS) for j, y in enumerate(FACTORS) if i < j) + f"""),
+near_ AS (SELECT a, b FROM corrs WHERE abs(co) >= 0.72 UNION SELECT b, a FROM corrs WHERE abs(co) >= 0.72), names_ AS (SELECT unnest(range({len(FACTORS)})) AS i, unnest([{', '.join(f"'{x}'" for x in FACTORS)}]) AS factor),
+reach AS (SELECT i, i AS j FROM names_ UNION SELECT reach.i, near_.b FROM reach JOIN near_ ON reach.j = near_.a), least_ AS (SELECT i, min(j) AS first FROM reach GROUP BY i)
+SELECT factor, (dense_rank() OVER (ORDER BY first) - 1)::INT AS cluster FROM least_ JOIN names_ ON least_.i = names_.i""")
 def factor_clusters(spark, sf_dir):
     """Cluster of each factor by correlation."""
     found = op.clusters(op.correlations(_panel(spark, sf_dir), FACTORS), FACTORS)
