@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe_automaton, jaccard_join, kneser_ney, line_dedup, mixing, quality_classifier, quality_rules, quote_links, rabitq, url_filter
+from tidemark.llm import bpe_automaton, jaccard_join, kneser_ney, line_dedup, mixing, quality_classifier, quality_rules, quote_links, rabitq, url_filter, weighted_kmeans
 
 
 def queries() -> dict:
@@ -19,9 +19,10 @@ def queries() -> dict:
             jaccard_join.op8_jaccard_join,
             line_dedup.op9_line_dedup,
             rabitq.op10_rabitq,
+            weighted_kmeans.op11_weighted_kmeans,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.OP1_SQL, "op3_quality_rules": quality_rules.OP3_SQL, "op5_mixing": mixing.OP5_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
+    return {"op1_url_filter": url_filter.OP1_SQL, "op3_quality_rules": quality_rules.OP3_SQL, "op5_mixing": mixing.OP5_SQL, "op9_line_dedup": line_dedup.OP9_SQL, "op11_weighted_kmeans": weighted_kmeans.OP11_SQL}
