@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe_automaton, jaccard_join, kneser_ney, line_dedup, mixing, quality_classifier, quality_rules, quote_links, rabitq, url_filter, weighted_kmeans
+from tidemark.llm import bpe_automaton, jaccard_join, kneser_ney, language_id, line_dedup, mixing, quality_classifier, quality_rules, quote_links, rabitq, url_filter, weighted_kmeans
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
             line_dedup.op9_line_dedup,
             rabitq.op10_rabitq,
             weighted_kmeans.op11_weighted_kmeans,
+            language_id.op12_language_id,
         )
     }
 
