@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe_automaton, jaccard_join, kneser_ney, language_id, line_dedup, mixing, quality_classifier, quality_rules, quote_links, rabitq, url_filter, weighted_kmeans
+from tidemark.llm import bpe_automaton, jaccard_join, kneser_ney, language_id, line_dedup, mixing, phrases, quality_classifier, quality_rules, quote_links, rabitq, url_filter, weighted_kmeans
 
 
 def queries() -> dict:
@@ -21,9 +21,10 @@ def queries() -> dict:
             rabitq.op10_rabitq,
             weighted_kmeans.op11_weighted_kmeans,
             language_id.op12_language_id,
+            phrases.op13_phrases,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.OP1_SQL, "op3_quality_rules": quality_rules.OP3_SQL, "op5_mixing": mixing.OP5_SQL, "op9_line_dedup": line_dedup.OP9_SQL, "op11_weighted_kmeans": weighted_kmeans.OP11_SQL}
+    return {"op1_url_filter": url_filter.OP1_SQL, "op3_quality_rules": quality_rules.OP3_SQL, "op5_mixing": mixing.OP5_SQL, "op9_line_dedup": line_dedup.OP9_SQL, "op11_weighted_kmeans": weighted_kmeans.OP11_SQL, "op13_phrases": phrases.OP13_SQL}
