@@ -89,13 +89,16 @@ def entry_threshold(style: Column | str, eligible: Column | str, threshold: Colu
 
 
 def trade_gate(items: DataFrame, selectors: DataFrame) -> DataFrame:
-    """items (style, regime, policy_eligible, model_eligible) with allowed and the reason; selectors: one selected_style a regime, 'all' where a regime has none."""
+    """items (style, regime, policy_eligible, model_eligible) with allowed and the reason; selectors: one selected_style a regime.
+
+    A regime without a selector takes that of 'all'; a selector without a style (null or empty) refuses no style.
+    """
     named = selectors.select(F.col("regime").alias("r_"), F.col("selected_style").alias("own_"))
     general = named.filter("r_ = 'all'").agg(F.max("own_").alias("any_"))
     # one row, by construction of a global aggregate
     d = items.join(named.filter("r_ <> 'all'"), F.col("regime") == F.col("r_"), "left").crossJoin(F.broadcast(general))
-    chosen = F.coalesce("own_", "any_")
-    reason = F.when(~F.coalesce("policy_eligible", F.lit(False)), "policy").when(chosen.isNotNull() & (chosen != F.col("style")), "other_style").when(~F.coalesce("model_eligible", F.lit(False)), "model").otherwise("passed")
+    chosen = F.when(F.col("r_").isNotNull(), F.col("own_")).otherwise(F.col("any_"))
+    reason = F.when(~F.coalesce("policy_eligible", F.lit(False)), "policy").when((chosen != "") & ~chosen.eqNullSafe(F.col("style")), "other_style").when(~F.coalesce("model_eligible", F.lit(False)), "model").otherwise("passed")
     return d.withColumn("reason", reason).withColumn("allowed", F.col("reason") == "passed").drop("r_", "own_", "any_")
 
 

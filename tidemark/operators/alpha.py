@@ -87,7 +87,7 @@ def _column(name: str, e: tuple, w: Window) -> Column:
     if kind in UNARY:
         return -x if kind == "neg" else F.signum(x)
     y = F.col(name_of(e[2]))
-    return {"add": x + y, "sub": x - y, "mul": x * y, "over": x / F.greatest(F.lit(0.25), F.abs(y))}[kind]
+    return {"add": x + y, "sub": x - y, "mul": x * y, "blend": (x + y) / 2, "gated": F.when(y >= 0, x).otherwise(-x), "over": x / F.greatest(F.lit(0.25), F.abs(y))}[kind]
 
 
 #: What an expression's text must name to be free of units, and must not name (fixed values).
@@ -199,7 +199,7 @@ def breed(parents: list[tuple], rng: random.Random) -> list[tuple]:
     rng.shuffle(pairs)
     for a, b in zip(pairs[::2], pairs[1::2], strict=False):
         za, zb = ("zscore", a, 60), ("zscore", b, 60)
-        out.append(rng.choice([("add", za, zb), ("sub", za, zb), ("mul", za, ("sign", zb))]))
+        out.append((rng.choice(["blend", "sub", "gated"]), za, zb))
     return out
 
 

@@ -63,8 +63,8 @@ ITEMS = ["o_orderkey", "element_at(array('momentum', 'reversion', 'breakout', 'o
 
 
 @query(f"""WITH i AS (SELECT {', '.join(ITEMS)} FROM orders), s(regime, st) AS (VALUES ('r0', 'momentum'), ('r1', 'breakout'), ('r2', NULL)),
-j AS (SELECT i.*, coalesce(s.st, 'reversion') AS ch FROM (SELECT {', '.join(ITEMS).replace('element_at(array(', 'list_extract(list_value(')} FROM orders) i LEFT JOIN s ON s.regime = i.regime)
-SELECT o_orderkey, CASE WHEN NOT policy_eligible THEN 'policy' WHEN ch <> style THEN 'other_style' WHEN NOT model_eligible THEN 'model' ELSE 'passed' END AS reason, policy_eligible AND ch = style AND model_eligible AS allowed,
+j AS (SELECT i.*, CASE WHEN s.regime IS NOT NULL THEN s.st ELSE 'reversion' END AS ch FROM (SELECT {', '.join(ITEMS).replace('element_at(array(', 'list_extract(list_value(')} FROM orders) i LEFT JOIN s ON s.regime = i.regime)
+SELECT o_orderkey, CASE WHEN NOT policy_eligible THEN 'policy' WHEN ch <> style THEN 'other_style' WHEN NOT model_eligible THEN 'model' ELSE 'passed' END AS reason, policy_eligible AND coalesce(ch = style, true) AND model_eligible AS allowed,
 {r(threshold="CASE WHEN policy_eligible AND coalesce(threshold, 0) > 0 THEN greatest(50, least(78, threshold * 100)) ELSE greatest(49, least(68, CASE style WHEN 'momentum' THEN 58 WHEN 'reversion' THEN 56 WHEN 'breakout' THEN 60 ELSE 58 END - bias * 0.35)) END")} FROM j""".replace(f"i AS (SELECT {', '.join(ITEMS)} FROM orders), ", ""))
 def trade_gate(spark, sf_dir):
     i = tables.table(spark, sf_dir, "orders").selectExpr(*ITEMS)
