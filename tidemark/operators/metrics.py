@@ -264,3 +264,30 @@ def long_gate(df: DataFrame, by: list[str], thresholds: tuple[float, ...], p: st
     d = df.withColumn("threshold", F.explode(F.array(*(F.lit(t) for t in thresholds)))).filter(F.col(p) >= F.col("threshold") - 1e-9)
     g = d.groupBy(*by, "threshold").agg(F.count("*").alias("n"), F.avg(F.col(y).cast("double")).alias("hit_rate"), F.avg(ret).alias("mean_return"))
     return g.withColumn("qualified", (F.col("n") >= 30) & (F.col("hit_rate") >= 0.5) & (F.col("mean_return") > 0))
+
+
+def bootstrap_draws(spark, blocks: int, samples: int, seed: int) -> DataFrame:
+    """sample, slot, at: which block (0 .. blocks - 1) each slot of each sample draws; made from the seed alone."""
+    n = F.lit(blocks)
+    rows = spark.range(samples * blocks).select(F.floor(F.col("id") / n).cast("long").alias("sample"), (F.col("id") % n).alias("slot"))
+    name = F.concat_ws(":", F.lit(str(seed)), F.col("sample").cast("string"), F.col("slot").cast("string"))
+    return rows.withColumn("at", F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long") % n)
+
+
+def resampled_blocks(df: DataFrame, block: str, sums: dict[str, Column], statistics: dict[str, Column], samples: int = 400, seed: int = 20260728, least_blocks: int = 5) -> DataFrame:
+    """statistic, blocks, samples, low, high: 95 % intervals from resampling whole blocks (dates) with replacement.
+
+    Rows are summed by block first, so a sample draws sums, not rows: as many draws as samples x blocks, whatever the rows. `sums` are columns of
+    rows, `statistics` expressions over their names; samples where a statistic is null don't count, and at least 20 and a quarter must. Empty
+    with fewer than `least_blocks` blocks.
+    """
+    whole = df.filter(F.col(block).isNotNull()).groupBy(block).agg(*(F.sum(c).alias(n) for n, c in sums.items()))
+    whole = whole.withColumn("at", F.row_number().over(W.orderBy(block)) - 1)  # one row a block
+    n = whole.count()
+    drawn = bootstrap_draws(df.sparkSession, n, samples if n >= least_blocks else 0, seed).join(whole, "at").groupBy("sample").agg(*(F.sum(c).alias(c) for c in sums))
+    values = drawn.select(F.explode(F.array(*(F.struct(F.lit(s).alias("statistic"), e.cast("double").alias("value")) for s, e in statistics.items()))).alias("x")).select("x.*").filter("value is not null and not isnan(value)")
+    by = W.partitionBy("statistic")  # one row a sample
+    values = values.withColumns({"i_": F.row_number().over(by.orderBy("value")) - 1, "n_": F.count("*").over(by)})
+    at = lambda q: F.max(F.when(F.col("i_") == F.least(F.col("n_") - 1, F.floor(F.col("n_") * q)), F.col("value")))
+    g = values.groupBy("statistic").agg(F.lit(n).alias("blocks"), F.count("*").alias("samples"), at(0.025).alias("low"), at(0.975).alias("high"))
+    return g.filter(F.col("samples") >= max(20, samples // 4))

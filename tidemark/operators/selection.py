@@ -54,7 +54,7 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(self.intercept + (x - self.centre) / self.scale @ self.weights, -18, 18)))
 
 
-def _totals(rows: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+def totals(rows: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
     """Sums over all rows of what kernel(place, y, weight, judge weight, x) gives for a batch; `size` numbers come back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,10 +79,10 @@ def _inside(place: np.ndarray, window: tuple[int, int]) -> np.ndarray:
 def descend(rows: DataFrame, features: list[str], fits: list[Fit], penalty: float, epochs: int) -> list[Linear]:
     """All fits by the same full-batch descent on standardised features; one aggregate over the rows is a step of all of them."""
     k, windows = len(features), sorted({f.train for f in fits})
-    sums = _totals(rows, lambda place, y, w, v, x: np.concatenate([np.concatenate([[u.sum(), u @ y], u @ x]) for u in (w * _inside(place, t) for t in windows)]), len(windows) * (k + 2)).reshape(len(windows), k + 2)
+    sums = totals(rows, lambda place, y, w, v, x: np.concatenate([np.concatenate([[u.sum(), u @ y], u @ x]) for u in (w * _inside(place, t) for t in windows)]), len(windows) * (k + 2)).reshape(len(windows), k + 2)
     total = np.where(sums[:, 0] > 0, sums[:, 0], 1.0)
     centre = sums[:, 2:] / total[:, None]
-    spread = _totals(rows, lambda place, y, w, v, x: np.concatenate([(w * _inside(place, t)) @ (x - c) ** 2 for t, c in zip(windows, centre, strict=True)]), len(windows) * k).reshape(len(windows), k)
+    spread = totals(rows, lambda place, y, w, v, x: np.concatenate([(w * _inside(place, t)) @ (x - c) ** 2 for t, c in zip(windows, centre, strict=True)]), len(windows) * k).reshape(len(windows), k)
     scale = np.sqrt(spread / total[:, None])
     scale = np.where(scale > 1e-12, scale, 1.0)
     base = np.clip(sums[:, 1] / total, 0.02, 0.98)
@@ -104,7 +104,7 @@ def descend(rows: DataFrame, features: list[str], fits: list[Fit], penalty: floa
                     out[i, :k], out[i, k] = error @ z, error.sum()
             return out.ravel()
 
-        slope = _totals(rows, slopes, len(fits) * (k + 1)).reshape(len(fits), k + 1)
+        slope = totals(rows, slopes, len(fits) * (k + 1)).reshape(len(fits), k + 1)
         intercept = intercept - step * slope[:, k]
         weights = weights - step[:, None] * (2 * penalty * weights + slope[:, :k]) * used
     return [Linear(weights[i], float(intercept[i]), centre[window_of[i]], scale[window_of[i]]) for i in range(len(fits))]
@@ -123,7 +123,7 @@ def judge(rows: DataFrame, fits: list[Fit], models: list[Linear]) -> list[dict]:
         return np.array(out, float)
 
     out = []
-    for f, (n, w, wy, wyy, loss, tp, tn, fp, fn) in zip(fits, _totals(rows, sums, 9 * len(fits)).reshape(-1, 9), strict=True):
+    for f, (n, w, wy, wyy, loss, tp, tn, fp, fn) in zip(fits, totals(rows, sums, 9 * len(fits)).reshape(-1, 9), strict=True):
         w = w or 1.0
         brier, baseline = loss / w, wyy / w - (wy / w) ** 2
         precision, recall, other = tp / max(1, tp + fp), tp / max(1, tp + fn), tn / max(1, tn + fp)

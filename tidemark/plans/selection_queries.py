@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import panel, selection as op
+from tidemark.operators import metrics, panel, trainer
+from tidemark.operators import selection as op
 from tidemark.plans.learner_queries import D, SCORES
 from tidemark.plans.panel_queries import PANEL_SQL
-from tidemark.plans.registry import query, r, r6
+from tidemark.plans.registry import PREDICTIONS_SQL, query, r, r6
 from tidemark.sources import tables
 from tidemark.sources.stored import stored
 
@@ -117,3 +118,26 @@ def direction_champions(spark, sf_dir):
 def direction_selection(spark, sf_dir):
     """As direction_champions with all four calibrators; a test compares the scores with a direct loop."""
     return op.champions(op.nested_scores(_models(spark, sf_dir), MODELS, "actual", "weight", "day"))
+
+
+@query(f"""WITH {PREDICTIONS_SQL}, bl AS (SELECT row_number() OVER (ORDER BY day) - 1 AS at, * FROM (SELECT day, count(*) AS n, sum(CAST((probability >= 0.5) = (actual = 1) AS INT)) AS hits, sum(actual) AS ups, sum((probability - actual) * (probability - actual)) AS loss, sum(actual_return) AS gain FROM predictions GROUP BY day)),
+nb AS (SELECT count(*) AS nb FROM bl), dr AS (SELECT s, CAST('0x' || substr(md5('20260728:' || s || ':' || t), 1, 8) AS BIGINT) % nb AS at FROM nb, range(0, 400) a(s), range(0, nb) b(t)),
+sm AS (SELECT s, sum(n) AS n, sum(hits) AS hits, sum(ups) AS ups, sum(loss) AS loss, sum(gain) AS gain FROM dr JOIN bl USING (at) GROUP BY s),
+v AS (SELECT unnest([{{'k': 'accuracy', 'v': 100.0::DOUBLE * hits / n}}, {{'k': 'mean_return', 'v': gain / n}}, {{'k': 'brier_skill', 'v': 1 - (loss / n) / (ups::DOUBLE / n * (1 - ups::DOUBLE / n))}}]) AS x FROM sm),
+o AS (SELECT x.k AS k, x.v AS v, row_number() OVER (PARTITION BY x.k ORDER BY x.v) - 1 AS i, count(*) OVER (PARTITION BY x.k) AS c FROM v)
+SELECT k AS statistic, any_value(nb) AS blocks, count(*) AS samples, {r(low="max(v) FILTER (WHERE i = least(c - 1, floor(c * 0.025)))", high="max(v) FILTER (WHERE i = least(c - 1, floor(c * 0.975)))")} FROM o, nb GROUP BY k""")
+def block_bootstrap(spark, sf_dir):
+    """Intervals of accuracy, return and Brier skill from 400 resamples of whole dates."""
+    d, a = tables.predictions(spark, sf_dir), F.col("actual")
+    sums = {"n": F.lit(1), "hits": ((F.col("probability") >= 0.5) == (a == 1)).cast("int"), "ups": a, "loss": (F.col("probability") - a) * (F.col("probability") - a), "gain": F.col("actual_return")}
+    rate = F.col("ups") / F.col("n")
+    found = metrics.resampled_blocks(d, "day", sums, {"accuracy": 100 * F.col("hits") / F.col("n"), "mean_return": F.col("gain") / F.col("n"), "brier_skill": 1 - F.try_divide(F.col("loss") / F.col("n"), rate * (1 - rate))})
+    return found.select("statistic", F.col("blocks").cast("long").alias("blocks"), "samples", r6("low"), r6("high"))
+
+
+@query()
+def gradient_trainer(spark, sf_dir):
+    """Checkpoints of a linear model of all factors by accumulated mini-batches of dates; a test compares with a numpy run."""
+    found = trainer.train(panel.factor_panel(tables.bars(spark, sf_dir)), FACTORS, "label", "day", horizon=5)
+    best = max(found.checkpoints, key=lambda c: c["score"])
+    return spark.createDataFrame([(c["epoch"], c["steps"], *(float(c[m]) for m in ("mae", "hit_rate", "ic", "score")), c is best, found.rollback, float(found.test["ic"])) for c in found.checkpoints], "epoch int, steps int, mae double, hit_rate double, ic double, score double, best boolean, rollback boolean, test_ic double")
