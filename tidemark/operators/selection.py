@@ -54,20 +54,20 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(self.intercept + (x - self.centre) / self.scale @ self.weights, -18, 18)))
 
 
-def totals(rows: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
-    """Sums over all rows of what kernel(place, y, weight, judge weight, x) gives for a batch; `size` numbers come back."""
+def totals(rows: DataFrame, kernel: Callable[..., np.ndarray], size: int, columns: tuple[str, ...] = ("place", "y", "w", "v", "x")) -> np.ndarray:
+    """Sums over all rows of what kernel(*columns) gives for a batch (arrays become matrices); `size` numbers come back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
             if batch.num_rows:
-                place, y, w, v = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("place", "y", "w", "v"))
-                total += kernel(place, y, w, v, batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+                own = (batch.column(c) for c in columns)
+                total += kernel(*(c.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in own))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "part"])
 
     out = np.zeros(size)
-    for r in rows.select("place", "y", "w", "v", "x").mapInArrow(run, "at int, part double").groupBy("at").agg(F.sum("part").alias("part")).collect():
+    for r in rows.select(*columns).mapInArrow(run, "at int, part double").groupBy("at").agg(F.sum("part").alias("part")).collect():
         out[r["at"]] = r["part"]
     return out
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import metrics, panel, trainer
+from tidemark.operators import committee, metrics, panel, trainer
 from tidemark.operators import selection as op
 from tidemark.plans.learner_queries import D, SCORES
 from tidemark.plans.panel_queries import PANEL_SQL
@@ -120,9 +120,9 @@ def direction_selection(spark, sf_dir):
     return op.champions(op.nested_scores(_models(spark, sf_dir), MODELS, "actual", "weight", "day"))
 
 
-@query(f"""WITH {PREDICTIONS_SQL}, bl AS (SELECT row_number() OVER (ORDER BY day) - 1 AS at, * FROM (SELECT day, count(*) AS n, sum(CAST((probability >= 0.5) = (actual = 1) AS INT)) AS hits, sum(actual) AS ups, sum((probability - actual) * (probability - actual)) AS loss, sum(actual_return) AS gain FROM predictions GROUP BY day)),
-nb AS (SELECT count(*) AS nb FROM bl), dr AS (SELECT s, CAST('0x' || substr(md5('20260728:' || s || ':' || t), 1, 8) AS BIGINT) % nb AS at FROM nb, range(0, 400) a(s), range(0, nb) b(t)),
-sm AS (SELECT s, sum(n) AS n, sum(hits) AS hits, sum(ups) AS ups, sum(loss) AS loss, sum(gain) AS gain FROM dr JOIN bl USING (at) GROUP BY s),
+@query(f"""WITH {PREDICTIONS_SQL}, bl AS (SELECT row_number() OVER (ORDER BY day) - 1 AS pos, * FROM (SELECT day, count(*) AS n, sum(CAST((probability >= 0.5) = (actual = 1) AS INT)) AS hits, sum(actual) AS ups, sum((probability - actual) * (probability - actual)) AS loss, sum(actual_return) AS gain FROM predictions GROUP BY day)),
+nb AS (SELECT count(*) AS nb FROM bl), dr AS (SELECT s, CAST('0x' || substr(md5('20260728:' || s || ':' || t), 1, 8) AS BIGINT) % nb AS pos FROM nb, range(0, 400) a(s), range(0, nb) b(t)),
+sm AS (SELECT s, sum(n) AS n, sum(hits) AS hits, sum(ups) AS ups, sum(loss) AS loss, sum(gain) AS gain FROM dr JOIN bl USING (pos) GROUP BY s),
 v AS (SELECT unnest([{{'k': 'accuracy', 'v': 100.0::DOUBLE * hits / n}}, {{'k': 'mean_return', 'v': gain / n}}, {{'k': 'brier_skill', 'v': 1 - (loss / n) / (ups::DOUBLE / n * (1 - ups::DOUBLE / n))}}]) AS x FROM sm),
 o AS (SELECT x.k AS k, x.v AS v, row_number() OVER (PARTITION BY x.k ORDER BY x.v) - 1 AS i, count(*) OVER (PARTITION BY x.k) AS c FROM v)
 SELECT k AS statistic, any_value(nb) AS blocks, count(*) AS samples, {r(low="max(v) FILTER (WHERE i = least(c - 1, floor(c * 0.025)))", high="max(v) FILTER (WHERE i = least(c - 1, floor(c * 0.975)))")} FROM o, nb GROUP BY k""")
@@ -141,3 +141,27 @@ def gradient_trainer(spark, sf_dir):
     found = trainer.train(panel.factor_panel(tables.bars(spark, sf_dir)), FACTORS, "label", "day", horizon=5)
     best = max(found.checkpoints, key=lambda c: c["score"])
     return spark.createDataFrame([(c["epoch"], c["steps"], *(float(c[m]) for m in ("mae", "hit_rate", "ic", "score")), c is best, found.rollback, float(found.test["ic"])) for c in found.checkpoints], "epoch int, steps int, mae double, hit_rate double, ic double, score double, best boolean, rollback boolean, test_ic double")
+
+
+SIGNALS = ["probability", "predicted_return", "weight", "l_tax", "l_extendedprice", "lift"]
+ZOO = [
+    committee.Candidate("stored", "column", ("predicted_return",)), committee.Candidate("technical_ridge", "ridge", ("probability", "predicted_return")), committee.Candidate("flow_ridge", "ridge", ("weight", "l_extendedprice")),
+    committee.Candidate("wide_ridge", "ridge", tuple(SIGNALS), 0.2), committee.Candidate("target_stop", "target_stop", ("probability", "weight", "l_tax")), committee.Candidate("outside", "column", ("lift",), external=True),
+]
+
+
+def _committee(spark, sf_dir):
+    d = tables.predictions(spark, sf_dir).withColumns({"days": F.col("horizon") * 5, "lift": F.col("probability") * 4 - 2, "resolved": F.date_add("day", F.col("horizon").cast("int") * 5)})
+    return committee.train(d, "model", "days", "day", "actual_return", "actual", "stopped", SIGNALS, ZOO, resolved="resolved")
+
+
+@query()
+def committee_candidates(spark, sf_dir):
+    """Weights and scores of the candidates of every market and horizon; a test compares with direct fits and planted regimes."""
+    return _committee(spark, sf_dir).candidates
+
+
+@query()
+def committee_scopes(spark, sf_dir):
+    """What each committee gains on its stored forecast, its stability, and the rows its gate accepts; a test compares with a loop."""
+    return _committee(spark, sf_dir).scopes
