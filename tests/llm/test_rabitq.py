@@ -23,18 +23,18 @@ def result(df):
     return out
 
 
-@pytest.mark.parametrize("entries_a_pivot", [8192, 60])
-def test_equals_brute_force_with_copies(spark, monkeypatch, entries_a_pivot):
-    monkeypatch.setattr(rabitq, "ENTRIES_A_PIVOT", entries_a_pivot)
-    monkeypatch.setattr(rabitq, "CODES_AT_ONCE", 100)
-    monkeypatch.setattr(rabitq, "QUERIES_AT_ONCE", 16)
+@pytest.mark.parametrize("visits", [None, 10_000])
+def test_equals_brute_force_with_copies(spark, monkeypatch, visits):
+    monkeypatch.setattr(rabitq, "CODES_AT_ONCE", 10)
+    monkeypatch.setattr(rabitq, "QUERIES_AT_ONCE", 4)
+    monkeypatch.setattr(rabitq, "RECALL", 1.0)
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((8, 32))
     rows = [(i, [float(np.float32(x)) for x in centres[i % 8] + 0.3 * rng.standard_normal(32)]) for i in range(700)]
     rows += [(700 + i, rows[0][1]) for i in range(300)]
     bad = [(2000, None), (2010, [0.0] * 32), (2020, [None] + [1.0] * 31), (2030, [float("nan")] + [1.0] * 31), (2040, [1.0, 2.0]), (2050, []), (None, [1.0] * 32)]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows + bad], "vec_id long, embedding array<float>, block string, score int")
-    got, want = result(rabitq.nearest(df, F.col("vec_id") % 10 == 0)), brute(rows, 10)
+    got, want = result(rabitq.nearest(df, F.col("vec_id") % 10 == 0, visits=visits)), brute(rows, 10)
     assert got.keys() == want.keys()
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
     assert hits >= 0.97 * sum(map(len, want.values()))
@@ -53,19 +53,36 @@ def test_edges(spark):
     assert rabitq.nearest(none, F.col("vec_id") % 10 == 0).count() == 0
 
 
-def test_recall_at_volume(spark, monkeypatch):
-    """400 queries over unclustered vectors, the hardest case for codes and pivots."""
-    monkeypatch.setattr(rabitq, "ENTRIES_A_PIVOT", 500)
-    x = np.random.default_rng(8).standard_normal((4000, 64)).astype(np.float32)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = result(rabitq.nearest(df, F.col("vec_id") % 10 == 0))
-    x = x.astype(float)
-    hits = 0
-    for q in range(0, 4000, 10):
+def recall(df, x, every):
+    got, x, hits = result(rabitq.nearest(df, F.col("vec_id") % every == 0)), x.astype(float), 0
+    for q in range(0, len(x), every):
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
         d[q] = np.inf
         hits += len(set(np.argsort(d, kind="stable")[:10].tolist()) & {i for i, _ in got[q]})
-    assert len(got) == 400 and hits >= 0.97 * 4000
+    assert len(got) == -(-len(x) // every)
+    return hits / (10 * len(got))
+
+
+@pytest.mark.parametrize("grouped", [False, True])
+def test_recall_at_volume(spark, monkeypatch, grouped):
+    """Unclustered vectors are the hardest case; clustered ones need few visits."""
+    seen = []
+    original = rabitq.Index.needed_visits
+    monkeypatch.setattr(rabitq.Index, "needed_visits", lambda self, *a: seen.append((original(self, *a), len(self.pivots))) or seen[-1][0])
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((4000, 64)).astype(np.float32)
+    if grouped:
+        x = (3 * rng.standard_normal((200, 64))[rng.integers(0, 200, 4000)] + 0.3 * x).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert recall(df, x, 10) >= 0.93
+    assert seen[0][1] == 64 and (seen[0][0] <= 8 if grouped else seen[0][0] > 8)
+
+
+def test_extra_columns_and_names(spark):
+    names = ["q", "entry", "pivot", "packet", "asked", "nth", "query_id", "rank", "ids", "block"]
+    plain = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "vec_id long, embedding array<double>")
+    want = result(rabitq.nearest(plain, F.col("vec_id") % 10 == 0))
+    assert result(rabitq.nearest(plain.withColumns({n: F.lit("x") for n in names}), F.col("vec_id") % 10 == 0)) == want
 
 
 def test_vectors_of_each_length_are_searched(spark):

@@ -1,19 +1,23 @@
 """Approximate nearest neighbours with randomly rotated one-bit codes.
 
-Index. A bounded sample of vectors are pivots (one for ENTRIES_A_PIVOT vectors, MOST_PIVOTS at
-most); every vector belongs to its nearest pivot, is centred on it and rotated by a seeded random
-orthogonal matrix. Of the unit direction o, only the signs are kept: with x = signs / sqrt(d), a
-vector's record is its packed bits, its norm and f = <x, o>. A pivot's vectors are spread over
-blocks of packed records, so a pivot with a third of all vectors is many blocks.
-
-Search. For a query's unit direction q, <x, q> / f estimates <o, q>; the error lies within
-epsilon * sqrt((1 - f^2) / (f^2 (d - 1))) but for a probability that falls exponentially with
-epsilon^2. This gives bounds on every distance. First the queries of a pivot visit that pivot's
-blocks; the k-th smallest upper bound tells which vectors are reranked by their exact distance,
-and the k-th exact distance found is the query's limit. Then they visit the blocks of other
-pivots, but for pivots that lie further than limit + radius (the triangle inequality, so nothing
-is lost there), and rerank the vectors whose lower bound is under the limit. Queries travel to
-blocks in packed rows, vectors never leave their block, and each visit sends on k + 1 results.
+Index. sqrt(n) of the n different vectors, chosen by hash, are pivots; every vector belongs to its
+nearest pivot, is centred on it and rotated by a seeded random orthogonal matrix. Of the unit
+direction o, only the signs are kept: with x = signs / sqrt(d), a vector's record is its packed bits,
+its norm and f = <x, o>. A pivot's vectors are spread over blocks of packed records, so a pivot with a
+third of all vectors is many blocks.
+
+Search. A query visits its nearest pivots, as many as it takes for RECALL of the true neighbours of a
+bounded sample of CALIBRATION queries to lie with them; those are searched in all blocks to find this
+out. The queries that visit a block travel to it in packed rows, so its vectors move once, and again
+only for every QUERIES_AT_ONCE queries more. There, for a query's unit direction q, <x, q> / f estimates
+<o, q>; the error lies within epsilon * sqrt((1 - f^2) / (f^2 (d - 1))) but for a probability that falls
+exponentially with epsilon^2. This gives bounds on every distance: vectors whose lower bound is under the
+k-th smallest upper bound are reranked by their exact distance, and each visit sends on k + 1 results.
+With `visits` as large as the number of pivots every block is searched.
+
+Where vectors form no groups, neighbours lie with many pivots, and the number of visits, which follows
+the data, grows with the number of pivots; where they do, it hardly grows, and the work is about
+n^1.5 for the pivots and n for the search of n / 100 queries.
 
 Equal vectors are one entry with their k + 1 smallest ids, which is all that a result can hold,
 and equal queries are searched once, so groups of copies cost what one vector costs.
@@ -26,6 +30,7 @@ them; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,10 +42,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import durable, read
 
 EPSILON = 2.5
-ENTRIES_A_PIVOT = 8192
-MOST_PIVOTS = 256
+RECALL = 0.97
+CALIBRATION = 64
 CODES_AT_ONCE = 4096
 QUERIES_AT_ONCE = 256
+#: Distances from vectors to pivots that a task holds at once.
+DISTANCES_AT_ONCE = 4_000_000
 SEED = 20
 
 
@@ -86,110 +93,125 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.stack(column.to_numpy(zero_copy_only=False)) if len(column) else np.empty((0, 0))
+
+
+def _to_bytes(vectors: np.ndarray) -> bytes:
+    """In single precision where that loses nothing; the length tells which."""
+    small = vectors.astype(np.float32)
+    return (small if (small == vectors).all() else vectors).tobytes()
+
+
+def _from_bytes(data: bytes, n: int, d: int) -> np.ndarray:
+    return np.frombuffer(data, np.float32 if len(data) == 4 * n * d else np.float64).reshape(n, d).astype(float)
+
+
+def distances(vectors: np.ndarray, pivots: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, squared distances less the vectors' own squares) for slices of the vectors."""
+    squares, step = (pivots**2).sum(1), max(1, DISTANCES_AT_ONCE // max(1, len(pivots)))
+    for start in range(0, len(vectors), step):
+        yield start, squares - 2 * vectors[start : start + step] @ pivots.T
+
+
 class Index:
-    """Blocks of codes and vectors by pivot. Only pivots, their radii and numbers of blocks are known outside."""
+    """Blocks of codes and vectors by pivot. Only pivots and their numbers of blocks are known outside."""
 
     def __init__(self, entries: DataFrame, d: int, epsilon: float, seed: int) -> None:
         self.d, self.epsilon, self.seed = d, epsilon, seed
-        n_pivots = max(1, min(MOST_PIVOTS, -(-entries.count() // ENTRIES_A_PIVOT)))
+        n_pivots = math.isqrt(max(1, entries.count() - 1)) + 1
         sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(n_pivots).select("embedding").collect()
         self.pivots = np.array([r.embedding for r in sample], float).reshape(-1, d)
         self.placed = durable(self.place(entries))
-        found = {r.pivot: r for r in self.placed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}  # one row a pivot
-        self.radius = np.array([found[p].radius if p in found else 0.0 for p in range(len(self.pivots))])
-        n_blocks = np.array([-(-found[p].n // CODES_AT_ONCE) if p in found else 0 for p in range(len(self.pivots))])
-        self.first = np.concatenate([[0], np.cumsum(n_blocks)]).astype(int)
-        self.blocks = durable(self._coded(_packed(self.placed, self.first.tolist())))
+        found = {r.pivot: r.n for r in self.placed.groupBy("pivot").agg(F.count("*").alias("n")).collect()}  # one row a pivot
+        self.first = np.concatenate([[0], np.cumsum([-(-found.get(p, 0) // CODES_AT_ONCE) for p in range(len(self.pivots))])]).astype(int)
+        self.blocks = durable(self._packed())
 
     def place(self, entries: DataFrame) -> DataFrame:
-        """entry, embedding, pivot and distance from it."""
+        """entry, embedding, pivot."""
         pivots = self.pivots
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                vectors = _matrix(batch.column("embedding"))
-                near = ((pivots**2).sum(1) - 2 * vectors @ pivots.T).argmin(1) if len(vectors) else np.zeros(0, np.int64)
-                away = np.sqrt(((vectors - pivots[near]) ** 2).sum(1)) if len(vectors) else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near), pa.array(away)], names=["entry", "embedding", "pivot", "away"])
+                near = [part.argmin(1) for _, part in distances(_matrix(batch.column("embedding")), pivots)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(near) if near else [], pa.int64())], names=["entry", "embedding", "pivot"])
 
-        return entries.select("entry", "embedding").mapInArrow(run, "entry long, embedding array<double>, pivot long, away double")
+        return entries.select("entry", "embedding").mapInArrow(run, "entry long, embedding array<double>, pivot long")
 
-    def _coded(self, packed: DataFrame) -> DataFrame:
-        """The blocks with codes, norm and f of their vectors."""
+    def _packed(self) -> DataFrame:
+        """A pivot's vectors over its blocks: codes, norm and f beside the vectors themselves."""
         d, pivots, seed = self.d, self.pivots, self.seed
 
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for row in _rows(batches):
-                codes, norm, f = encode(np.frombuffer(row["vectors"]).reshape(-1, d), pivots[row["pivot"]], seed)
-                values = [row["entries"], row["vectors"], codes.tobytes(), norm.tobytes(), f.tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), pa.array([row["pivot"]], pa.int64()), *(pa.array([v], pa.binary()) for v in values)], names=["block", "pivot", "entries", "vectors", "codes", "norm", "f"])
-
-        return packed.select("block", "pivot", "entries", "vectors").mapInArrow(add, "block long, pivot long, entries binary, vectors binary, codes binary, norm binary, f binary")
+        def pack(table: pa.Table) -> pa.Table:
+            vectors, pivot = _matrix(table.column("embedding").combine_chunks()), table.column("pivot")[0].as_py()
+            codes, norm, f = encode(vectors, pivots[pivot], seed)
+            values = [table.column("entry").to_numpy().astype("<i8").tobytes(), _to_bytes(vectors), codes.tobytes(), norm.tobytes(), f.tobytes()]
+            named = zip(("entries", "vectors", "codes", "norm", "f"), values, strict=True)
+            return pa.table({"block": table.column("block").slice(0, 1), "pivot": table.column("pivot").slice(0, 1)} | {n: pa.array([v], pa.binary()) for n, v in named})
 
-    def visit(self, queries: DataFrame, k: int, home: bool) -> DataFrame:
-        """q, entry, score: the k + 1 nearest (with ties) that queries find in each block they visit.
+        spans = self.placed.sparkSession.createDataFrame([(p, int(self.first[p]), int(self.first[p + 1] - self.first[p])) for p in range(len(pivots)) if self.first[p + 1] > self.first[p]], "pivot long, first long, n long")
+        rows = self.placed.join(F.broadcast(spans), "pivot")  # one row a pivot, and pivots are broadcast anyway
+        rows = rows.select((F.col("first") + F.pmod(F.xxhash64("entry", F.lit(1)), F.col("n"))).alias("block"), "pivot", "entry", "embedding")
+        return rows.groupBy("block").applyInArrow(pack, "block long, pivot long, entries binary, vectors binary, codes binary, norm binary, f binary")
 
-        queries: packed rows with pivot, entries, vectors, limits. home: the blocks of their own pivot, or all others.
-        """
-        d, pivots, radius, first, epsilon, seed = self.d, self.pivots, self.radius, self.first, self.epsilon, self.seed
+    def visit(self, queries: DataFrame, k: int, visits: int) -> DataFrame:
+        """q, entry, score: the k + 1 nearest (with ties) that queries (entry, embedding) find in each block of their `visits` nearest pivots."""
+        d, pivots, first, epsilon, seed = self.d, self.pivots, self.first, self.epsilon, self.seed
+        visits = min(visits, len(pivots))
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for row in _rows(batches):
-                vectors, limits = np.frombuffer(row["vectors"]).reshape(-1, d), np.frombuffer(row["limits"])
-                for p in range(len(pivots)):
-                    away = np.sqrt(((vectors - pivots[p]) ** 2).sum(1))
-                    if (p == row["pivot"]) == home and (home or (away - radius[p] <= limits * (1 + 1e-9) + 1e-9).any()):
-                        for block in range(first[p], first[p + 1]):
-                            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([row[c]], pa.binary()) for c in ("entries", "vectors", "limits"))], names=["block", "asked", "asked_vectors", "limits"])
+            for batch in batches:
+                vectors, asked = _matrix(batch.column("embedding")), batch.column("entry").to_numpy()
+                for start, part in distances(vectors, pivots):
+                    near = np.argpartition(part, visits - 1, axis=1)[:, :visits]
+                    for i, own in enumerate(near, start):
+                        blocks = np.concatenate([np.arange(first[p], first[p + 1]) for p in own])
+                        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(np.full(len(blocks), asked[i]), pa.int64()), pa.array([_to_bytes(vectors[i : i + 1])] * len(blocks), pa.binary())], names=["block", "q", "vector"])
+
+        def pack(table: pa.Table) -> pa.Table:
+            vectors = np.concatenate([_from_bytes(v.as_py(), 1, d) for v in table.column("vector")])
+            values = {"asked": table.column("q").to_numpy().astype("<i8").tobytes(), "asked_vectors": _to_bytes(vectors)}
+            return pa.table({"block": table.column("block").slice(0, 1)} | {n: pa.array([v], pa.binary()) for n, v in values.items()})
 
         def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in _rows(batches):
-                asked, vectors = np.frombuffer(row["asked"], "<i8"), np.frombuffer(row["asked_vectors"]).reshape(-1, d)
-                entry, own, norm = np.frombuffer(row["entries"], "<i8"), np.frombuffer(row["vectors"]).reshape(-1, d), np.frombuffer(row["norm"])
-                codes = np.frombuffer(row["codes"], np.uint8).reshape(len(norm), -1)
-                low, high = bounds((vectors - pivots[row["pivot"]]) @ rotation(d, seed), codes, norm, np.frombuffer(row["f"]), d, epsilon)
-                limit = np.frombuffer(row["limits"]) ** 2
-                if len(entry) > k:
-                    limit = np.minimum(limit, np.partition(high, k, axis=1)[:, k])
-                out: list[tuple] = []
+                asked, entry = np.frombuffer(row["asked"], "<i8"), np.frombuffer(row["entries"], "<i8")
+                vectors, own = _from_bytes(row["asked_vectors"], len(asked), d), _from_bytes(row["vectors"], len(entry), d)
+                norm = np.frombuffer(row["norm"])
+                low, high = bounds((vectors - pivots[row["pivot"]]) @ rotation(d, seed), np.frombuffer(row["codes"], np.uint8).reshape(len(norm), -1), norm, np.frombuffer(row["f"]), d, epsilon)
+                limit = np.partition(high, k, axis=1)[:, k] if len(entry) > k else np.full(len(asked), np.inf)
+                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 for i in range(len(asked)):
                     at = np.flatnonzero(low[i] <= limit[i])
                     score = np.sqrt(((own[at] - vectors[i]) ** 2).sum(1))
                     if len(at) > k + 1:  # all that tie with the k + 1-st stay: which of them counts is decided by id
                         near = score <= np.partition(score, k)[k]
                         at, score = at[near], score[near]
-                    out += zip(np.full(len(at), asked[i]).tolist(), entry[at].tolist(), score.tolist(), strict=True)
-                q, e, s = zip(*out, strict=True) if out else ((), (), ())
+                    out.append((np.full(len(at), asked[i]), entry[at], score))
+                q, e, s = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(e, pa.int64()), pa.array(s, pa.float64())], names=["q", "entry", "score"])
 
-        dealt = queries.select("pivot", "entries", "vectors", "limits").mapInArrow(deal, "block long, asked binary, asked_vectors binary, limits binary")
-        return self.blocks.join(dealt, "block").mapInArrow(rerank, "q long, entry long, score double")
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.stack(column.to_numpy(zero_copy_only=False)) if len(column) else np.empty((0, 0))
-
-
-def _packed(rows: DataFrame, first: list[int]) -> DataFrame:
-    """entry, embedding, pivot (and limit) -> rows of many of them: block, pivot, and binary arrays entries, vectors, limits.
-
-    A pivot's rows are spread over the blocks first[pivot] to first[pivot + 1].
-    """
-
-    def pack(table: pa.Table) -> pa.Table:
-        entries = table.column("entry").to_numpy().astype("<i8")
-        limits = table.column("limit").to_numpy().astype("<f8")
-        values = [entries, _matrix(table.column("embedding").combine_chunks()), limits]
-        out = {"block": table.column("block").slice(0, 1), "pivot": table.column("pivot").slice(0, 1)}
-        return pa.table(out | {name: pa.array([v.tobytes()], pa.binary()) for name, v in zip(("entries", "vectors", "limits"), values, strict=True)})
-
-    if "limit" not in rows.columns:
-        rows = rows.withColumn("limit", F.lit(float("inf")))
-    starts = F.array(*map(F.lit, first))
-    at = F.element_at(starts, (F.col("pivot") + 1).cast("int"))
-    n = F.element_at(starts, (F.col("pivot") + 2).cast("int")) - at
-    rows = rows.select((at + F.pmod(F.xxhash64("entry", F.lit(1)), n)).cast("long").alias("block"), "pivot", "entry", "embedding", "limit")
-    return rows.groupBy("block").applyInArrow(pack, "block long, pivot long, entries binary, vectors binary, limits binary")
+        dealt = durable(queries.select("entry", "embedding").mapInArrow(deal, "block long, q long, vector binary"))
+        parts = dealt.groupBy("block").agg(F.ceil(F.count("*") / QUERIES_AT_ONCE).alias("packets"))
+        packets = dealt.join(parts, "block").withColumn("packet", F.pmod(F.xxhash64("q", F.lit(2)), F.col("packets")))
+        packets = packets.groupBy("block", "packet").applyInArrow(pack, "block long, asked binary, asked_vectors binary")
+        return self.blocks.join(packets, "block").mapInArrow(rerank, "q long, entry long, score double")
+
+    def needed_visits(self, queries: DataFrame, k: int, recall: float) -> int:
+        """How many nearest pivots hold `recall` of the k nearest entries of at most CALIBRATION queries, chosen by hash."""
+        sample = durable(queries.orderBy(F.xxhash64("entry", F.lit(3)), "entry").limit(CALIBRATION).select("entry", "embedding"))
+        asked = {r.entry: np.array(r.embedding) for r in sample.collect()}
+        near = _in_order(self.visit(sample, k, len(self.pivots)), k).filter(F.col("entry") != F.col("q"))
+        homes: dict[int, list[int]] = {}
+        for r in near.join(self.placed.select("entry", "pivot"), "entry").select("q", "pivot").collect():  # about k rows a query
+            homes.setdefault(r.q, []).append(r.pivot)
+        ranks: list[int] = []
+        for q, own in homes.items():
+            order = np.argsort(next(distances(asked[q][None], self.pivots))[1][0], kind="stable")
+            place = np.empty(len(order), int)
+            place[order] = np.arange(len(order))
+            ranks += place[own].tolist()
+        return int(np.sort(ranks)[math.ceil(recall * len(ranks)) - 1]) + 1 if ranks else 1
 
 
 def _in_order(near: DataFrame, k: int) -> DataFrame:
@@ -197,7 +219,7 @@ def _in_order(near: DataFrame, k: int) -> DataFrame:
     return near.withColumn("nth", F.rank().over(Window.partitionBy("q").orderBy("score"))).filter(F.col("nth") <= k + 1)
 
 
-def _nearest_of_length(points: DataFrame, d: int, k: int, epsilon: float, seed: int) -> DataFrame:
+def _nearest_of_length(points: DataFrame, d: int, k: int, epsilon: float, seed: int, visits: int | None) -> DataFrame:
     """query_id, vec_id, score of points (vec_id, embedding, asked) of one length; k or more a query."""
     # the rank filter prunes groups of copies before the shuffle
     copies = points.withColumn("nth", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).filter(F.col("nth") <= k + 1)
@@ -206,23 +228,21 @@ def _nearest_of_length(points: DataFrame, d: int, k: int, epsilon: float, seed:
     query_of = durable(points.filter("asked").join(entries.select("embedding", "entry"), "embedding").select(F.col("vec_id").alias("query_id"), F.col("entry").alias("q")))
     index = Index(entries, d, epsilon, seed)
     wanted = durable(index.placed.join(query_of, F.col("entry") == F.col("q"), "left_semi"))
-    n = {r.pivot: r.n for r in wanted.groupBy("pivot").agg(F.count("*").alias("n")).collect()}  # one row a pivot
-    spread = np.concatenate([[0], np.cumsum([-(-n.get(p, 0) // QUERIES_AT_ONCE) for p in range(len(index.pivots))])]).astype(int).tolist()
-    near = durable(_in_order(index.visit(_packed(wanted, spread), k, home=True), k).drop("nth"))
-    limits = near.groupBy("q").agg(F.when(F.count("*") > k, F.max("score")).otherwise(F.lit(float("inf"))).alias("limit"))
-    limited = wanted.join(limits, F.col("entry") == F.col("q"), "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
-    near = _in_order(near.unionByName(index.visit(_packed(limited, spread), k, home=False)), k)
+    near = _in_order(index.visit(wanted, k, visits or index.needed_visits(wanted, k, RECALL)), k)
     ids = near.join(entries.select("entry", "ids"), "entry").select("q", "score", F.explode("ids").alias("vec_id"))
     ids = ids.groupBy("q", "vec_id").agg(F.min("score").alias("score"))
     ids = ids.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).filter(F.col("nth") <= k + 1)
     return query_of.join(ids, "q").filter("vec_id <> query_id").select("query_id", "vec_id", "score")
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 10, epsilon: float = EPSILON, seed: int = SEED) -> DataFrame:
-    """query_id, rank, vec_id, score (Euclidean distance) of the k nearest of each query row."""
+def nearest(df: DataFrame, is_query: Column, k: int = 10, epsilon: float = EPSILON, seed: int = SEED, visits: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score (Euclidean distance) of the k nearest of each query row.
+
+    visits: how many nearest pivots a query visits; by default what RECALL takes on a sample of queries.
+    """
     points = durable(valid(df).distinct().withColumn("asked", F.coalesce(is_query, F.lit(False))))
     lengths = [r.d for r in points.groupBy(F.size("embedding").alias("d")).agg(F.count("*")).collect()]
-    parts = [_nearest_of_length(points.filter(F.size("embedding") == d), d, k, epsilon, seed) for d in sorted(lengths)]
+    parts = [_nearest_of_length(points.filter(F.size("embedding") == d), d, k, epsilon, seed, visits) for d in sorted(lengths)]
     found = df.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
     for part in parts:
         found = found.unionByName(part)
