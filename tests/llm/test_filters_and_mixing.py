@@ -34,7 +34,7 @@ def judged(url):
     return host, path, best[2], best[3]
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
+@pytest.mark.parametrize("limit", [10**8, 0])
 def test_url_rules(spark, limit):
     df = spark.createDataFrame([(i, u, "clash", "x", f"h{i}") for i, u in enumerate(URLS + URLS)], "page_id long, url string, host string, verdict string, hit_ string")
     assert [r.hit_ for r in url_filter.judge(df, BLOCK, ALLOW, max_trie_bytes=limit).orderBy("page_id").collect()] == [f"h{i}" for i in range(2 * len(URLS))]
@@ -43,7 +43,7 @@ def test_url_rules(spark, limit):
     assert url_filter.judge(df.filter("false"), BLOCK, ALLOW).count() == 0
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
+@pytest.mark.parametrize("limit", [10**8, 0])
 def test_url_ties_and_long_urls(spark, limit):
     deep = "http://" + "sub." * 5000 + "tie.org/" + "a/" * 20_000
     df = spark.createDataFrame([(0, "http://tie.org/x"), (1, deep), (2, deep + "z"), (3, "http://tie.org/")], "page_id long, url string")

@@ -34,81 +34,78 @@ def split_rule(rule: str) -> tuple[str, str]:
     return host.strip(".").lower(), slash + path
 
 
-class Paths:
-    """Path segments below one host. A rule's last piece may be a part of a segment (or empty,
-    after a slash); these tails hang at the node of the segments before them, with their lengths."""
-
-    __slots__ = ("segments", "tails", "lengths")
-
-    def __init__(self) -> None:
-        self.segments: dict[str, Paths] = {}
-        self.tails: dict[str, tuple[str, str]] = {}
-        self.lengths: list[int] = []
-
-    def longest(self, pieces: list[str]) -> tuple[str, str] | None:
-        node, best = self, None
-        for piece in pieces:
-            for length in reversed(node.lengths):
-                if length <= len(piece) and (hit := node.tails.get(piece[:length])):
-                    best = hit
-                    break
-            node = node.segments.get(piece)
-            if node is None:
-                break
-        return best
-
-
 class UrlTrie:
-    """Labels from the top-level domain down, then whole path segments."""
+    """Labels from the top-level domain down, then whole path segments.
+
+    Nodes are numbers and edges entries of two flat tables, so a rule of any depth can be pickled. A rule's last
+    piece may be a part of a segment (or empty, after a slash); these tails hang at the node of the segments before
+    them, with their lengths.
+    """
 
     def __init__(self) -> None:
-        #: label -> [further labels, paths], both None until needed
-        self.root: list = [None, None]
-        self.bytes = 0
+        self.hosts: dict[tuple[int, str], int] = {}
+        self.segments: dict[tuple[int, str], int] = {}
+        #: host node -> its first path node; path node -> lengths of its tails; (path node, tail) -> (rule, verdict)
+        self.paths: dict[int, int] = {}
+        self.lengths: dict[int, list[int]] = {}
+        self.tails: dict[tuple[int, str], tuple[str, str]] = {}
+        self.nodes = self.bytes = 0
 
     def _grow(self, *objects: object) -> None:
-        self.bytes += sum(map(sys.getsizeof, objects)) + 64  # 64: a place in the parent's table
+        self.bytes += sum(map(sys.getsizeof, objects)) + 64  # 64: a place in a table
+
+    def _step(self, table: dict[tuple[int, str], int], node: int, piece: str) -> int:
+        key = (node, piece)
+        if key not in table:
+            self.nodes += 1
+            table[key] = self.nodes
+            self._grow(key, piece, node, self.nodes)
+        return table[key]
 
     def add(self, rule: str, verdict: str) -> None:
         host, path = split_rule(rule)
-        node = self.root
+        node = 0
         for label in reversed(host.split(".")):
-            if node[0] is None:
-                node[0] = {}
-                self._grow(node[0])
-            if label not in node[0]:
-                node[0][label] = [None, None]
-                self._grow(label, node[0][label])
-            node = node[0][label]
-        if node[1] is None:
-            node[1] = Paths()
-            self._grow(node[1], {}, {}, [])
-        paths = node[1]
+            node = self._step(self.hosts, node, label)
+        if node not in self.paths:
+            self.nodes += 1
+            self.paths[node] = self.nodes
+            self._grow(node, self.nodes)
+        node = self.paths[node]
         *segments, tail = path.split("/")
         for segment in segments:
-            if segment not in paths.segments:
-                paths.segments[segment] = Paths()
-                self._grow(segment, Paths(), {}, {}, [])
-            paths = paths.segments[segment]
-        if paths.tails.get(tail, ("", ""))[1] != "block":
-            if len(tail) not in paths.lengths:
-                insort(paths.lengths, len(tail))
-            paths.tails[tail] = (host + path, verdict)
-            self._grow(tail, paths.tails[tail], host + path, {tail: 0})
+            node = self._step(self.segments, node, segment)
+        if self.tails.get((node, tail), ("", ""))[1] != "block":
+            lengths = self.lengths.setdefault(node, [])
+            if len(tail) not in lengths:
+                insort(lengths, len(tail))
+            self.tails[node, tail] = (host + path, verdict)
+            self._grow((node, tail), tail, (0, 0), host + path, lengths, 0)
+
+    def _longest(self, node: int, pieces: list[str]) -> tuple[str, str] | None:
+        best = None
+        for piece in pieces:
+            for length in reversed(self.lengths.get(node, ())):
+                if length <= len(piece) and (hit := self.tails.get((node, piece[:length]))):
+                    best = hit
+                    break
+            node = self.segments.get((node, piece))
+            if node is None:
+                break
+        return best
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
         """(rule, verdict) of the longest fitting rule."""
-        labels, found = self.root[0], []
+        node, found = 0, []
         for label in reversed(host.split(".")):
-            node = labels.get(label) if labels else None
+            node = self.hosts.get((node, label))
             if node is None:
                 break
-            labels = node[0]
-            if node[1] is not None:
-                found.append(node[1])
+            if node in self.paths:
+                found.append(self.paths[node])
         pieces = path.split("/")
-        for paths in reversed(found):
-            hit = paths.longest(pieces)
+        for node in reversed(found):
+            hit = self._longest(node, pieces)
             if hit:
                 return hit
         return None
