@@ -52,6 +52,7 @@ def corpus(n, seed=3):
 @pytest.mark.parametrize("shard_words, at_once", [(150_000, 2_000_000), (7, 60), (1, 1)])
 def test_equals_brute_force(spark, monkeypatch, shard_words, at_once):
     monkeypatch.setattr(phrases, "WORDS_AT_ONCE", at_once)
+    monkeypatch.setattr(phrases, "PHRASES_AT_ONCE", at_once)
     rows = corpus(60)
     assert got(spark, rows, least=5, shard_words=shard_words) == brute(rows, 5, 5, 2000)
 

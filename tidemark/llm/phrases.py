@@ -45,6 +45,8 @@ TABLE = bytes(ord(".") if b in DELIMITERS else LOWER_TABLE[b] for b in range(256
 BREAK = 0
 WORDS_AT_ONCE = 2_000_000
 SHARD_WORDS = 150_000
+#: Different phrases whose counts a task holds before it sends those of the language at hand.
+PHRASES_AT_ONCE = 400_000
 MOST_BITS = 1 << 29
 BITS_EACH = 32
 SALTS = 16
@@ -71,19 +73,27 @@ def numbered(text: str | None, words: Words) -> np.ndarray:
     return np.fromiter(map(words.__getitem__, parts), np.int64, len(parts))
 
 
-def by_shards(docs: DataFrame, work: Callable[[Words, np.ndarray], pa.RecordBatch | None], schema: str, at_once: int) -> DataFrame:
-    """work(words, numbers) for about at_once words of one language at a time; BREAK parts the texts."""
+def by_shards(docs: DataFrame, task: Callable[[], Callable[[str, Words | None, np.ndarray | None], pa.RecordBatch | None]], schema: str, at_once: int) -> DataFrame:
+    """task() makes a task's function of (lang, words, numbers), called for about at_once words of one language at a time.
+
+    BREAK parts the texts. At the end it is called once more for each language, with words and numbers null, for what it has kept.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[Words, list[np.ndarray]]] = {}
         sizes: dict[str, int] = {}
+        work, langs = task(), set()
+
+        def out(lang: str, words: Words | None, numbers: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+            found = work(lang, words, numbers)
+            if found is not None:
+                yield found.append_column("lang", pa.array([lang] * found.num_rows, pa.string()))
 
         def finished(lang: str) -> Iterator[pa.RecordBatch]:
             words, parts = held.pop(lang)
             del sizes[lang]
-            out = work(words, np.concatenate([x for p in parts for x in (p, np.zeros(1, np.int64))]))
-            if out is not None:
-                yield out.append_column("lang", pa.array([lang] * out.num_rows, pa.string()))
+            langs.add(lang)
+            yield from out(lang, words, np.concatenate([x for p in parts for x in (p, np.zeros(1, np.int64))]))
 
         for batch in pieces(batches):
             for text, lang in zip(batch.column("text"), batch.column("lang"), strict=True):
@@ -95,10 +105,17 @@ def by_shards(docs: DataFrame, work: Callable[[Words, np.ndarray], pa.RecordBatc
                     yield from finished(max(sizes, key=sizes.get))
         for lang in list(held):
             yield from finished(lang)
+        for lang in langs:
+            yield from out(lang, None, None)
 
     return docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang")).mapInArrow(run, schema + ", lang string")
 
 
+def each(work: Callable[[Words, np.ndarray], pa.RecordBatch]) -> Callable:
+    """A task that keeps nothing."""
+    return lambda: lambda lang, words, numbers: None if words is None else work(words, numbers)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """lang, word, n of every word."""
 
@@ -106,7 +123,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         n = np.bincount(numbers, minlength=len(words.names))[1:]
         return pa.RecordBatch.from_arrays([pa.array(words.names[1:], pa.binary()).cast(pa.string()), pa.array(n), pa.array(np.array(words.hashes[1:], np.uint64).view(np.int64))], names=["word", "n", "hash"])
 
-    return by_shards(docs, count, "word string, n long, hash long", WORDS_AT_ONCE).groupBy("lang", "word").agg(F.sum("n").alias("n"), F.min("hash").alias("hash"))
+    return by_shards(docs, each(count), "word string, n long, hash long", WORDS_AT_ONCE).groupBy("lang", "word").agg(F.sum("n").alias("n"), F.min("hash").alias("hash"))
 
 
 class Sieve:
@@ -164,7 +181,7 @@ def frequent_pairs(docs: DataFrame, sieve, least: int) -> DataFrame:
         own = hashes[numbers]
         return summed(mixed(own[:-1][both], own[1:][both]), None)
 
-    return frequent_hashes(by_shards(docs, count, "hash long, n long", WORDS_AT_ONCE).select("hash", "n"), least)
+    return frequent_hashes(by_shards(docs, each(count), "hash long, n long", WORDS_AT_ONCE).select("hash", "n"), least)
 
 
 class Automaton:
@@ -237,8 +254,8 @@ def runs_of(numbers: np.ndarray, hashes: np.ndarray, words_through: np.ndarray,
     return list(zip(edges[::2].tolist(), (edges[1::2] + 1).tolist(), strict=True))
 
 
-def automata(words: Words, numbers: np.ndarray, sieves, most_words: int, shard_words: int) -> Iterator[tuple[Automaton, np.ndarray, np.ndarray]]:
-    """The automaton of each shard, the word numbers added to it and their hashes."""
+def automata(words: Words, numbers: np.ndarray, sieves, most_words: int, shard_words: int, least_run: int = 2) -> Iterator[tuple[Automaton, np.ndarray, np.ndarray]]:
+    """The automaton of each shard, the word numbers added to it and their hashes; runs of fewer than least_run words are left out."""
     word_sieve, pair_sieve = sieves
     hashes = np.array(words.hashes, np.uint64)
     through = word_sieve(hashes)
@@ -246,6 +263,8 @@ def automata(words: Words, numbers: np.ndarray, sieves, most_words: int, shard_w
     own, held = Automaton(), []
     overlap = most_words - 1
     for start, end in runs_of(numbers, hashes, through, pair_sieve):
+        if end - start < least_run:
+            continue
         for at in range(start, max(start + 1, end - overlap), shard_words):
             part = numbers[at : min(end, at + shard_words + overlap)]
             own.add(part.tolist(), 0 if at == start else overlap)
@@ -271,36 +290,47 @@ def frequent_longer(docs: DataFrame, sieves, most_words: int, least: int, shard_
 
     def count(words: Words, numbers: np.ndarray) -> pa.RecordBatch:
         keys, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for own, _, hashes in automata(words, numbers, sieves.value, most_words, shard_words):
+        for own, _, hashes in automata(words, numbers, sieves.value, most_words, shard_words, 3):
             for length, ends, n in own.phrases(range(3, most_words + 1)):
                 keys.append(phrase_hashes(hashes, ends, length))
                 times.append(n)
         unique, place = np.unique(np.concatenate(keys), return_inverse=True)
         return summed(unique, np.bincount(place, weights=np.concatenate(times), minlength=len(unique)))
 
-    return frequent_hashes(by_shards(docs, count, "hash long, n long", WORDS_AT_ONCE).select("hash", "n"), least)
+    return frequent_hashes(by_shards(docs, each(count), "hash long, n long", WORDS_AT_ONCE).select("hash", "n"), least)
 
 
 def counted_phrases(docs: DataFrame, sieves, most_words: int, shard_words: int) -> DataFrame:
     """lang, phrase, size, n of all phrases of two words or more that come through the sieves."""
 
-    def count(words: Words, numbers: np.ndarray) -> pa.RecordBatch | None:
-        word_sieve, pair_sieve, longer_sieve = sieves.value
-        total: dict[tuple[int, ...], int] = {}
-        for own, every, hashes in automata(words, numbers, (word_sieve, pair_sieve), most_words, shard_words):
-            for length, ends, n in own.phrases(range(2, most_words + 1)):
-                if length > 2:
-                    through = longer_sieve(phrase_hashes(hashes, ends, length))
-                    ends, n = ends[through], n[through]
-                found = zip(*(every[ends - back].tolist() for back in range(length - 1, -1, -1)), strict=True)
-                for phrase, times in zip(found, n.tolist(), strict=True):
-                    total[phrase] = total.get(phrase, 0) + times
-        if not total:
-            return None
-        names = [b" ".join([words.names[w] for w in phrase]) for phrase in total]
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()).cast(pa.string()), pa.array([len(p) for p in total], pa.int32()), pa.array(list(total.values()), pa.int64())], names=["phrase", "size", "n"])
-
-    return by_shards(docs, count, "phrase string, size int, n long", WORDS_AT_ONCE).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
+    def task() -> Callable:
+        totals: dict[str, dict[bytes, int]] = {}
+
+        def sent(lang: str) -> pa.RecordBatch | None:
+            total = totals.pop(lang, None)
+            if not total:
+                return None
+            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()).cast(pa.string()), pa.array([p.count(b" ") + 1 for p in total], pa.int32()), pa.array(list(total.values()), pa.int64())], names=["phrase", "size", "n"])
+
+        def add(lang: str, words: Words | None, numbers: np.ndarray | None) -> pa.RecordBatch | None:
+            if words is None:
+                return sent(lang)
+            word_sieve, pair_sieve, longer_sieve = sieves.value
+            total, names = totals.setdefault(lang, {}), words.names
+            for own, every, hashes in automata(words, numbers, (word_sieve, pair_sieve), most_words, shard_words):
+                for length, ends, n in own.phrases(range(2, most_words + 1)):
+                    if length > 2:
+                        through = longer_sieve(phrase_hashes(hashes, ends, length))
+                        ends, n = ends[through], n[through]
+                    found = zip(*(every[ends - back].tolist() for back in range(length - 1, -1, -1)), strict=True)
+                    for phrase, times in zip(found, n.tolist(), strict=True):
+                        name = b" ".join([names[w] for w in phrase])
+                        total[name] = total.get(name, 0) + times
+            return sent(lang) if sum(map(len, totals.values())) > PHRASES_AT_ONCE else None
+
+        return add
+
+    return by_shards(docs, task, "phrase string, size int, n long", WORDS_AT_ONCE).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
 
 
 def _words_of(k: Column | int, rest: bool = False) -> Column:
