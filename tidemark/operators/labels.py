@@ -25,12 +25,19 @@ def forward_returns(df: DataFrame, h: int) -> DataFrame:
     }).drop("tv_", "full_")
 
 
+def barrier_width(h: int | Column, base: float, k: float, floor: float, top: float) -> Column:
+    """A barrier in per cent from atr_pct and the root of the horizon, held in bounds."""
+    scale = F.sqrt(F.greatest(F.lit(1.0), h) / 15) if isinstance(h, Column) else (max(1.0, h) / 15) ** 0.5
+    return clamp(F.greatest(F.lit(base * 0.55), F.greatest(F.lit(0.15), F.col("atr_pct")) * (scale * k)), max(floor, base * 0.55), top)
+
+
+def target_and_stop(h: int | Column, target: float, stop: float) -> dict[str, Column]:
+    return {"target_pct": barrier_width(h, target, 2.35, 0.6, max(target * 1.8, 1.5)), "stop_pct": barrier_width(h, stop, 1.65, 0.5, max(stop * 1.6, 1.0))}
+
+
 def barriers(df: DataFrame, h: int, target: float, stop: float) -> DataFrame:
     """target_pct and stop_pct: widened by the ATR and the root of the horizon, held in bounds."""
-    atr = F.greatest(F.lit(0.15), F.col("atr_pct"))
-    scale = (max(1.0, h) / 15) ** 0.5
-    wide = lambda base, k, floor, top: clamp(F.greatest(F.lit(base * 0.55), atr * (k * scale)), max(floor, base * 0.55), top)
-    return true_range(df).withColumns({"target_pct": wide(target, 2.35, 0.6, max(target * 1.8, 1.5)), "stop_pct": wide(stop, 1.65, 0.5, max(stop * 1.6, 1.0))})
+    return true_range(df).withColumns(target_and_stop(h, target, stop))
 
 
 def triple_barrier(df: DataFrame, h: int, cost_pct: float = 0.0) -> DataFrame:
@@ -39,9 +46,17 @@ def triple_barrier(df: DataFrame, h: int, cost_pct: float = 0.0) -> DataFrame:
     event: the barrier touched first (target, stop, ambiguous if both in one bar) or null, and
     event_bar. Touches are gross, forward_return is net of cost. Signals on the last bar have none.
     """
+    return outcomes(with_path(df, h), cost_pct)
+
+
+def with_path(df: DataFrame, h: int) -> DataFrame:
+    """entry (the next open) and path_ (high, low, close of the next h bars)."""
     w = ordered(BY, ORDER)
-    path = F.collect_list(F.struct("high", "low", "close")).over(ahead(w, h))
-    df = df.withColumns({"entry": F.lead("open", 1).over(w), "path_": path})
+    return df.withColumns({"entry": F.lead("open", 1).over(w), "path_": F.collect_list(F.struct("high", "low", "close")).over(ahead(w, h))})
+
+
+def outcomes(df: DataFrame, cost_pct: float | Column = 0.0) -> DataFrame:
+    """What triple_barrier() adds, from entry, path_, target_pct and stop_pct of each row alone."""
     e, t, s = F.col("entry"), F.col("target_pct"), F.col("stop_pct")
     up, down = lambda x: pct_change(x["high"], e) >= t, lambda x: pct_change(x["low"], e) <= -s
     numbered = F.transform("path_", lambda x, i: F.struct(F.when(up(x) & down(x), "ambiguous").when(up(x), "target").when(down(x), "stop").alias("event"), (i + 1).alias("bar")))
@@ -59,7 +74,7 @@ def triple_barrier(df: DataFrame, h: int, cost_pct: float = 0.0) -> DataFrame:
     return df.withColumn("risk_adjusted_return", adjusted).drop("event_")
 
 
-def label_confidence(df: DataFrame, h: int) -> DataFrame:
+def label_confidence(df: DataFrame, h: int | Column) -> DataFrame:
     """confidence (0.12 to 1) and noise (0 to 100) of triple_barrier() rows that still have path_ and sample_weight."""
     e, up, down = F.col("entry"), F.col("max_upside"), F.abs("max_drawdown")
     t, s, r = F.col("target_pct"), F.col("stop_pct"), F.col("forward_return")
