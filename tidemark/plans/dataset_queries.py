@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import dataset as op
+from tidemark.operators import event_values as events_op
 from tidemark.functions.scalars import cost_pct
 from tidemark.plans.indicator_queries import ATR_SQL
 from tidemark.plans.registry import BARS_SQL, query, r, r6
@@ -47,3 +48,49 @@ def market_dataset(spark, sf_dir):
 def market_dataset_version(spark, sf_dir):
     """Rows and version of each market's panel; a test checks that order and partitions don't matter and values do."""
     return op.version(_dataset(spark, sf_dir))
+
+
+#: One term of each list, so that every document's title names some of them.
+NAMED = [terms[0] for terms in events_op.TERMS.values()] + ["buyback", "unquoted securities", "guidance raised; class action", "plain"]
+DATASETS = ["news", "social", "fundamentals", "financial_disclosures", "macro"]
+SOURCES = ["ASX-feed", "wire", "exchange-announcement"]
+RECORD = {
+    "sentiment": "CASE WHEN doc_id % 7 = 0 THEN 'Bullish' WHEN doc_id % 7 = 1 THEN '-0.4' WHEN doc_id % 7 = 2 THEN '45' WHEN doc_id % 7 = 3 THEN 'none' END", "relevance": "CASE WHEN doc_id % 4 = 0 THEN n_chars % 120 END", "truth": "CASE WHEN doc_id % 6 = 0 THEN 0.9 END",
+    "profit_margin": "doc_id % 50", "growth": "CASE WHEN doc_id % 2 = 0 THEN doc_id % 30 - 15 END", "override:event_novelty": "CASE WHEN doc_id % 11 = 0 THEN 66 END", "macro_rates_impulse": "doc_id % 9 - 4", "macro_fx_impulse": "doc_id % 300",
+}
+
+
+def _pick(values: list[str], by: str, list_: str, get: str) -> str:
+    quoted = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+    return f"{get}({list_}({quoted}), CAST({by} % {len(values)} AS INT) + 1)"
+
+
+def _event_sql() -> str:
+    number = lambda c, other: f"CASE WHEN try_cast({c} AS DOUBLE) IS NULL THEN {other} ELSE greatest(-1, least(1, CASE WHEN abs(try_cast({c} AS DOUBLE)) > 1 THEN try_cast({c} AS DOUBLE) / 100 ELSE try_cast({c} AS DOUBLE) END)) END"
+    flags = ", ".join("len([x FOR x IN [" + ", ".join("'" + t.replace("'", "''") + "'" for t in terms) + f"] IF contains(title, x)]) > 0 AS \"{n}\"" for n, terms in events_op.TERMS.items())
+    raw = ", ".join(f'{e} AS "{n}"' for n, e in RECORD.items())
+    n = "(CAST(earnings AS INT) + CAST(operations AS INT) + CAST(dilution AS INT) + CAST(regulatory AS INT))"
+    rel = "CASE WHEN official THEN 1.0 WHEN kind = 'news' THEN 0.35 ELSE 0.75 END"
+    macro = {m: f"CASE WHEN kind = 'macro' THEN {number(m, 0.0) if m in RECORD else '0.0'} ELSE -9 END" for m in events_op.MACRO}
+    values = {
+        "event_sentiment": "CASE WHEN abs(told) > 1e-12 THEN told ELSE inferred END", "event_relevance": number("relevance", f"CASE WHEN administrative THEN least({rel}, 0.3) ELSE {rel} END"),
+        "event_novelty": number('"override:event_novelty"', "CASE WHEN official AND NOT administrative THEN 0.8 WHEN administrative THEN 0.15 ELSE 0.35 END"), "announcement_score": "CASE WHEN (official AND NOT administrative) OR earnings OR operations THEN 1.0 WHEN administrative THEN 0.15 ELSE 0 END",
+        "fundamental_quality": f"CASE WHEN kind IN ('fundamentals', 'financial_disclosures') THEN greatest(-1, least(1, {number('profit_margin', 0.0)} * 0.55 + {number('growth', 0.0)} * 0.45)) ELSE 0 END", "macro_risk": "CASE WHEN macro THEN -1 ELSE 0 END",
+        "source_quality": number("truth", "CASE WHEN official OR kind IN ('fundamentals', 'financial_disclosures', 'macro') THEN 1.0 WHEN kind = 'news' THEN 0.55 ELSE 0.45 END"), "freshness_score": "1.0",
+        **{k: f"CAST({c} AS INT)" for k, c in (("positive_catalyst", "positive"), ("negative_catalyst", "negative"), ("dilution_risk", "dilution"), ("regulatory_risk", "regulatory"), ("earnings_event", "earnings"))},
+        "capital_allocation": "CASE WHEN payout AND NOT dilution THEN 1 WHEN dilution AND NOT payout THEN -1 ELSE 0 END", "operational_momentum": "CASE WHEN operations THEN inferred ELSE 0 END",
+        "event_intensity": f"CASE WHEN kind = 'macro' THEN 0.35 WHEN official THEN CASE WHEN administrative THEN 0.2 ELSE least(1.0, 0.45 + 0.15 * {n}) END WHEN title <> '' THEN 0.3 + 0.15 * {n} ELSE 0 END", **macro,
+    }
+    return f"""WITH d AS (SELECT doc_id, {_pick(DATASETS, 'doc_id', 'list_value', 'list_extract')} AS kind, lower({_pick(SOURCES, 'doc_id', 'list_value', 'list_extract')}) AS src, lower(coalesce(text, '') || ' ' || {_pick(NAMED, 'doc_id', 'list_value', 'list_extract')}) AS title, {raw} FROM documents),
+e AS (SELECT *, kind IN ('news', 'financial_disclosures') AND (contains(src, 'asx') OR contains(src, 'exchange-announcement')) AS official, {flags} FROM d),
+f AS (SELECT *, CASE WHEN positive AND NOT negative THEN 1.0 WHEN negative AND NOT positive THEN -1.0 ELSE 0.0 END AS inferred, CASE WHEN lower(sentiment) = 'bullish' THEN 1.0 ELSE {number('sentiment', 0.0)} END AS told FROM e)
+SELECT doc_id, {r(**values)} FROM f"""
+
+
+@query(_event_sql())
+def event_values(spark, sf_dir):
+    """Sixteen event and ten macro values of every document taken as an event."""
+    title = F.concat_ws(" ", F.coalesce("text", F.lit("")), F.expr(_pick(NAMED, "doc_id", "array", "element_at").replace("''", "\\'")))
+    d = tables.table(spark, sf_dir, "documents").selectExpr("*", *(f"{e} AS `{n}`" for n, e in RECORD.items()), f"{_pick(DATASETS, 'doc_id', 'array', 'element_at')} AS kind", f"{_pick(SOURCES, 'doc_id', 'array', 'element_at')} AS src").withColumn("title", title)
+    out = events_op.event_values(d, "kind", "title", "src", {n: n for n in RECORD})
+    return out.select("doc_id", *(r6(F.coalesce(F.col(c), F.lit(-9.0)), c) for c in (*events_op.EVENT, *events_op.MACRO)))
