@@ -6,15 +6,15 @@ counts words exactly, then sieves:
 
 1. Words: tasks add up their own texts, Spark sums by (lang, word).
 2. Pairs: of words that the first sieve lets through, by 64-bit hashes of language and words.
-3. Longer phrases: runs in which every pair comes through the second sieve go into a generalised
-   suffix automaton for each shard of SHARD_WORDS words. Each state has the number of its end
-   positions; a state stands for all phrases longer than its suffix link's and up to its own length.
-   Phrases of up to `most_words` words are enumerated from the states, their counts added up by hash.
-4. The same automata, now giving the words of phrases that come through all sieves: exact counts.
+3. Phrases: runs in which every pair comes through the second sieve go into a generalised suffix
+   automaton for each shard of SHARD_WORDS words. Each state has the number of its end positions; a
+   state stands for all phrases longer than its suffix link's and up to its own length. Phrases of two
+   to `most_words` words are enumerated from the states, and Spark sums their counts by their words.
 
 A sieve is a bitmap of the hashes that are frequent, of at most MOST_BITS bits. Sums by hash are
-never too small, so a sieve loses nothing, however full it is; it only spares shuffles. Tasks add up
-before they send, so the most common phrase arrives once a shard from each task.
+never too small, so a sieve loses nothing, however full it is; it only spares shuffles, and all counts
+that are used are of words themselves. Tasks add up before they send, so the most common phrase
+arrives once from each task.
 
 Subsumption. A phrase found as often as one that holds it has the same end positions in the
 automaton of the whole corpus; then one of the phrases with one word more has that count as well
@@ -159,9 +159,8 @@ def mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def summed(hashes: np.ndarray, n: np.ndarray | None) -> pa.RecordBatch:
-    if n is None:
-        hashes, n = np.unique(hashes, return_counts=True)
+def summed(hashes: np.ndarray) -> pa.RecordBatch:
+    hashes, n = np.unique(hashes, return_counts=True)
     return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "n"])
 
 
@@ -179,7 +178,7 @@ def frequent_pairs(docs: DataFrame, sieve, least: int) -> DataFrame:
         through[BREAK] = False
         both = through[numbers[:-1]] & through[numbers[1:]]
         own = hashes[numbers]
-        return summed(mixed(own[:-1][both], own[1:][both]), None)
+        return summed(mixed(own[:-1][both], own[1:][both]))
 
     return frequent_hashes(by_shards(docs, each(count), "hash long, n long", WORDS_AT_ONCE).select("hash", "n"), least)
 
@@ -254,8 +253,8 @@ def runs_of(numbers: np.ndarray, hashes: np.ndarray, words_through: np.ndarray,
     return list(zip(edges[::2].tolist(), (edges[1::2] + 1).tolist(), strict=True))
 
 
-def automata(words: Words, numbers: np.ndarray, sieves, most_words: int, shard_words: int, least_run: int = 2) -> Iterator[tuple[Automaton, np.ndarray, np.ndarray]]:
-    """The automaton of each shard, the word numbers added to it and their hashes; runs of fewer than least_run words are left out."""
+def automata(words: Words, numbers: np.ndarray, sieves, most_words: int, shard_words: int) -> Iterator[tuple[Automaton, np.ndarray]]:
+    """The automaton of each shard and the word numbers added to it."""
     word_sieve, pair_sieve = sieves
     hashes = np.array(words.hashes, np.uint64)
     through = word_sieve(hashes)
@@ -263,45 +262,22 @@ def automata(words: Words, numbers: np.ndarray, sieves, most_words: int, shard_w
     own, held = Automaton(), []
     overlap = most_words - 1
     for start, end in runs_of(numbers, hashes, through, pair_sieve):
-        if end - start < least_run:
-            continue
         for at in range(start, max(start + 1, end - overlap), shard_words):
             part = numbers[at : min(end, at + shard_words + overlap)]
             own.add(part.tolist(), 0 if at == start else overlap)
             held.append(part)
             if own.n >= shard_words:
-                every = np.concatenate(held)
-                yield own, every, hashes[every]
+                yield own, np.concatenate(held)
                 own, held = Automaton(), []
     if held:
-        every = np.concatenate(held)
-        yield own, every, hashes[every]
-
-
-def phrase_hashes(own: np.ndarray, ends: np.ndarray, words: int) -> np.ndarray:
-    out = own[ends - words + 1]
-    for back in range(words - 2, -1, -1):
-        out = mixed(out, own[ends - back])
-    return out
-
-
-def frequent_longer(docs: DataFrame, sieves, most_words: int, least: int, shard_words: int) -> DataFrame:
-    """hash of all phrases of three words or more that may be found `least` times."""
-
-    def count(words: Words, numbers: np.ndarray) -> pa.RecordBatch:
-        keys, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for own, _, hashes in automata(words, numbers, sieves.value, most_words, shard_words, 3):
-            for length, ends, n in own.phrases(range(3, most_words + 1)):
-                keys.append(phrase_hashes(hashes, ends, length))
-                times.append(n)
-        unique, place = np.unique(np.concatenate(keys), return_inverse=True)
-        return summed(unique, np.bincount(place, weights=np.concatenate(times), minlength=len(unique)))
-
-    return frequent_hashes(by_shards(docs, each(count), "hash long, n long", WORDS_AT_ONCE).select("hash", "n"), least)
+        yield own, np.concatenate(held)
 
 
 def counted_phrases(docs: DataFrame, sieves, most_words: int, shard_words: int) -> DataFrame:
-    """lang, phrase, size, n of all phrases of two words or more that come through the sieves."""
+    """lang, phrase, size, n of all phrases of two words or more whose words and pairs come through the sieves.
+
+    Rows are dealt by phrase before they are added up, as each task has added up its own.
+    """
 
     def task() -> Callable:
         totals: dict[str, dict[bytes, int]] = {}
@@ -315,13 +291,9 @@ def counted_phrases(docs: DataFrame, sieves, most_words: int, shard_words: int)
         def add(lang: str, words: Words | None, numbers: np.ndarray | None) -> pa.RecordBatch | None:
             if words is None:
                 return sent(lang)
-            word_sieve, pair_sieve, longer_sieve = sieves.value
             total, names = totals.setdefault(lang, {}), words.names
-            for own, every, hashes in automata(words, numbers, (word_sieve, pair_sieve), most_words, shard_words):
+            for own, every in automata(words, numbers, sieves.value, most_words, shard_words):
                 for length, ends, n in own.phrases(range(2, most_words + 1)):
-                    if length > 2:
-                        through = longer_sieve(phrase_hashes(hashes, ends, length))
-                        ends, n = ends[through], n[through]
                     found = zip(*(every[ends - back].tolist() for back in range(length - 1, -1, -1)), strict=True)
                     for phrase, times in zip(found, n.tolist(), strict=True):
                         name = b" ".join([names[w] for w in phrase])
@@ -330,7 +302,8 @@ def counted_phrases(docs: DataFrame, sieves, most_words: int, shard_words: int)
 
         return add
 
-    return by_shards(docs, task, "phrase string, size int, n long", WORDS_AT_ONCE).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
+    parts = by_shards(docs, task, "phrase string, size int, n long", WORDS_AT_ONCE)
+    return parts.repartition("lang", "phrase").groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
 
 
 def _words_of(k: Column | int, rest: bool = False) -> Column:
@@ -347,8 +320,7 @@ def counts(docs: DataFrame, least: int, most_words: int, shard_words: int = SHAR
     common = words.filter(F.col("n") >= least)
     word_sieve = sieve_of(common.select("hash"))
     pair_sieve = sieve_of(durable(frequent_pairs(docs, shared(word_sieve), least)))
-    longer_sieve = sieve_of(durable(frequent_longer(docs, shared(word_sieve, pair_sieve), most_words, least, shard_words)))
-    longer = durable(counted_phrases(docs, shared(word_sieve, pair_sieve, longer_sieve), most_words, shard_words).filter(F.col("n") >= least))
+    longer = durable(counted_phrases(docs, shared(word_sieve, pair_sieve), most_words, shard_words).filter(F.col("n") >= least))
     single = common.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "n")
     return single.unionByName(longer), words.groupBy("lang").agg(F.sum("n").alias("n"))
 
