@@ -55,8 +55,8 @@ class Linear:
         return self.intercept + (x - self.centre) / self.scale @ self.weights
 
 
-def scoped(df: DataFrame, market: str, horizon: str, day: str, least: int = LEAST_ROWS) -> DataFrame:
-    """Rows by scope ("market|all" and "market|short", mid or long) with `tenth`, the tenth of the scope's rows that the date begins in.
+def scoped(df: DataFrame, market: str, horizon: str, day: str, least: int = LEAST_ROWS, slices: int = SLICES) -> DataFrame:
+    """Rows by scope ("market|all" and "market|short", mid or long) with `tenth`, the tenth (or other slice) of the scope's rows that the date begins in.
 
     A date lies in one tenth as a whole. Scopes with fewer than `least` rows are left out.
     """
@@ -65,7 +65,7 @@ def scoped(df: DataFrame, market: str, horizon: str, day: str, least: int = LEAS
     dates = d.groupBy("scope", day).agg(F.count("*").alias("n_"))
     by = W.partitionBy("scope")  # one row a date
     dates = dates.withColumns({"total_": F.sum("n_").over(by), "before_": F.sum("n_").over(by.orderBy(day)) - F.col("n_")})
-    dates = dates.filter(F.col("total_") >= least).select("scope", day, F.floor(F.col("before_") * SLICES / F.col("total_")).cast("int").alias("tenth"))
+    dates = dates.filter(F.col("total_") >= least).select("scope", day, F.floor(F.col("before_") * slices / F.col("total_")).cast("int").alias("tenth"))
     return d.join(dates, ["scope", day])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import committee, metrics, panel, trainer
+from tidemark.operators import committee, method_weights, metrics, panel, trainer
 from tidemark.operators import selection as op
 from tidemark.plans.learner_queries import D, SCORES
 from tidemark.plans.panel_queries import PANEL_SQL
@@ -165,3 +165,20 @@ def committee_candidates(spark, sf_dir):
 def committee_scopes(spark, sf_dir):
     """What each committee gains on its stored forecast, its stability, and the rows its gate accepts; a test compares with a loop."""
     return _committee(spark, sf_dir).scopes
+
+
+def _method_weights(spark, sf_dir):
+    d = tables.predictions(spark, sf_dir).withColumns({"days": F.col("horizon") * 5, "trend": F.col("predicted_return"), "level": F.col("probability") * 2 - 1, "near": F.col("l_tax") * 100 - 4, "size": F.col("weight") / 25 - 1, "resolved": F.date_add("day", F.col("horizon").cast("int") * 5)})
+    return method_weights.calibrate(d, "model", "days", "day", "actual_return", ["trend", "level", "near", "size"], weight="weight", resolved="resolved")
+
+
+@query()
+def method_weights_learned(spark, sf_dir):
+    """Weights of four forecasting methods in every market and horizon; a test compares with a numpy run."""
+    return _method_weights(spark, sf_dir)[0]
+
+
+@query()
+def method_weights_stability(spark, sf_dir):
+    """What the learned weights gain on equal ones, on the holdout and over folds; a test compares with a numpy run."""
+    return _method_weights(spark, sf_dir)[1]
