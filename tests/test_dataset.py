@@ -84,3 +84,22 @@ def test_version_names_the_rows(panel):
     got = {r.market: (r.row_count, r.version) for r in other.collect()}
     assert got["CN"] == want["CN"] and got["US"][0] == want["US"][0] and got["US"][1] != want["US"][1]
     assert op.version(panel.filter("false")).count() == 0
+
+
+def test_correlations_of_rows_that_have_both(spark):
+    import pandas as pd
+
+    from tidemark.operators import panel as panels
+
+    rng = np.random.default_rng(8)
+    x = pd.DataFrame(rng.standard_normal((200, 3)) * [1, 50, 2] + [0, 900, 5], columns=["a", "b", "c"])
+    x["b"] += 30 * x.a
+    x["d"] = 7.0
+    x.loc[::7, "a"] = np.nan
+    x.loc[::5, "c"] = np.nan
+    df = spark.createDataFrame([tuple(None if v != v else float(v) for v in r) for r in x.to_numpy()], "a double, b double, c double, d double").repartition(3)
+    got = {(r.left, r.right): r.correlation for r in panels.correlations(df, ("a", "b", "c", "d")).collect()}
+    assert len(got) == 6
+    for (i, j), c in got.items():
+        assert np.isclose(c, 0.0 if j == "d" else x[i].corr(x[j]))
+    assert {r.correlation for r in panels.correlations(df.filter("false"), ("a", "b")).collect()} == {0.0}

@@ -10,6 +10,7 @@ from tidemark.functions.scalars import clamp, pct_from
 from tidemark.functions.series import average_rank, ordered, pearson
 from tidemark.operators.indicators import BY, ORDER, alpha_frame
 from tidemark.operators.labels import forward_returns
+from tidemark.operators.selection import totals
 
 W = Window
 FACTORS = ("momentum_5", "momentum_20", "trend_gap_20", "trend_gap_60", "vwap_gap", "volume_ratio_20", "volatility_10", "range_position_20", "macd_hist_pct", "atr_pct_14", "candle_body_pressure", "close_location", "overnight_gap", "intraday_return", "volume_price_impulse")
@@ -119,10 +120,25 @@ def quality_gate(long: DataFrame) -> DataFrame:
 
 
 def correlations(panel: DataFrame, factors: tuple[str, ...] = FACTORS) -> DataFrame:
-    """left, right, correlation of all pairs of factors, in one aggregate over the rows."""
-    pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1 :]]
-    one = panel.agg(*(pearson(F.col(a), F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
-    return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"c{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)))).alias("x")).select("x.*")
+    """left, right, correlation of all pairs of factors over the rows that have both, 0 where one of them does not vary.
+
+    One pass sums four small matrices (numbers of pairs, values, squares and products), from which all pairs follow. Sums are in doubles, so a
+    factor's mean should not exceed its deviation by more than a factor of about 10^5.
+    """
+    k = len(factors)
+
+    def sums(x):
+        known = np.isfinite(x)
+        m, v = known.astype(float), np.where(known, x, 0.0)
+        return np.stack([m.T @ m, v.T @ m, (v * v).T @ m, v.T @ v]).ravel()
+
+    nothing = F.lit(float("nan"))
+    rows = panel.select(F.array(*(F.coalesce(F.col(f).cast("double"), nothing) for f in factors)).alias("x"))
+    n, s, q, p = totals(rows, sums, 4 * k * k, ("x",)).reshape(4, k, k)
+    n = np.maximum(n, 1)
+    spread = (q / n - (s / n) ** 2) * (q.T / n - (s.T / n) ** 2)
+    c = np.where(spread > 1e-24, (p / n - s / n * (s.T / n)) / np.sqrt(np.maximum(spread, 1e-300)), 0.0)
+    return panel.sparkSession.createDataFrame([(factors[i], factors[j], float(c[i, j])) for i in range(k) for j in range(i + 1, k)], "left string, right string, correlation double")
 
 
 def clusters(correlated: DataFrame, factors: tuple[str, ...] = FACTORS, limit: float = 0.72) -> dict[str, int]:
