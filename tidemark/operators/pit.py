@@ -56,17 +56,41 @@ def as_of(signals: DataFrame, events: DataFrame, oldest: int = OLDEST) -> DataFr
 def capped(pairs: DataFrame, key: list[str]) -> DataFrame:
     """The newest records of each signal: two of a macro series first, then the dataset's limit."""
     newest = [F.desc("available_day"), F.desc("event_id")]
-    first = pairs.withColumn("k_", F.row_number().over(Window.partitionBy(*key, "dataset", "series").orderBy(*newest))).filter((F.col("dataset") != "macro") | (F.col("k_") <= SERIES_LIMIT))
+    first = pairs.withColumn("k_", F.row_number().over(Window.partitionBy(*key, "dataset", "series").orderBy(*newest))).filter(~F.col("dataset").eqNullSafe("macro") | (F.col("k_") <= SERIES_LIMIT))
     second = first.withColumn("k_", F.row_number().over(Window.partitionBy(*key, "dataset").orderBy(*newest)))
     return second.filter(F.col("k_") <= by_dataset(LIMITS, F.col("dataset"), 24)).drop("k_")
 
 
+def recent(signals: DataFrame, events: DataFrame, key: list[str], oldest: int = OLDEST) -> DataFrame:
+    """The pairs of capped(as_of(..)) for prepare()d records, without joining any that the limits leave out.
+
+    A symbol's records are numbered by availability in each stream (a dataset, or a series of macro). One sort of signals and records tells each
+    signal the last number it can know; it meets that one and as many before it as the stream's limit lets count, by number. Old ones go by
+    age, and of macro the dataset's limit is then taken over its series.
+    """
+    names, macro = signals.columns, F.col("dataset") == "macro"
+    dataset = F.coalesce("dataset", F.lit(""))
+    stream = F.concat_ws("|", dataset, F.when(macro, F.coalesce("series", F.lit(""))))
+    e = events.filter("available_day is not null and event_day is not null").withColumn("stream_", stream)
+    e = e.withColumn("m_", F.row_number().over(Window.partitionBy("symbol", "stream_").orderBy("available_day", "event_id")))
+    s = signals.join(e.select("symbol", "stream_", F.when(macro, F.lit(SERIES_LIMIT)).otherwise(by_dataset(LIMITS, dataset, 24)).alias("limit_")).distinct(), "symbol")
+    rows = s.withColumns({"at_": F.col("day"), "kind_": F.lit(1), "m_": F.lit(None).cast("int")}).unionByName(e.select("symbol", "stream_", F.col("available_day").alias("at_"), F.lit(0).alias("kind_"), "m_"), allowMissingColumns=True)
+    upto = Window.partitionBy("symbol", "stream_").orderBy("at_", "kind_").rowsBetween(Window.unboundedPreceding, 0)
+    last = rows.withColumn("last_", F.max("m_").over(upto)).filter("kind_ = 1 and last_ is not null")
+    wanted = last.select(*names, "stream_", F.explode(F.sequence(F.greatest(F.lit(1), F.col("last_") - F.col("limit_") + 1), F.col("last_"))).alias("m_"))
+    age = by_dataset({k: min(v, oldest) for k, v in MAX_AGE.items()}, F.col("dataset"), min(180, oldest)).cast("int")
+    pairs = wanted.join(e, ["symbol", "stream_", "m_"]).withColumn("age_days", F.date_diff("day", "available_day")).filter(F.col("age_days") <= age).drop("stream_", "m_")
+    newest = Window.partitionBy(*key).orderBy(F.desc("available_day"), F.desc("event_id"))
+    of_macro = pairs.filter(macro).withColumn("k_", F.row_number().over(newest)).filter(F.col("k_") <= LIMITS["macro"]).drop("k_")
+    return pairs.filter(~F.coalesce(macro, F.lit(False))).unionByName(of_macro)
+
+
 def event_features(signals: DataFrame, events: DataFrame, key: list[str]) -> DataFrame:
     """Decayed evidence of each signal: sentiment, intensity, saturating risk, freshness, coverage; zeros without records.
 
     latest_available and join_violations are computed from the joined rows, so a leak would show.
     """
-    chosen = capped(as_of(signals, events), key)
+    chosen = recent(signals, events, key)
     decay = half_life_decay(F.col("age_days"), by_dataset(HALF_LIFE, F.col("dataset"), 30.0))
     evidence = F.col("decay_") * clamp("relevance", 0.05, 1.0) * clamp("source_quality", 0.2, 1.0)
     d = chosen.withColumn("decay_", decay).withColumn("w_", evidence)
