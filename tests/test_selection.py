@@ -216,3 +216,21 @@ def test_crossover_blends_are_means_and_gates_keep_zero(spark):
     e = [("blend", ("col", "a"), ("col", "b")), ("gated", ("col", "a"), ("col", "b"))]
     out = alpha.with_expressions(d, e, ["symbol"], ["day"]).orderBy("day").select(*map(alpha.name_of, e)).collect()
     assert [tuple(r) for r in out] == [(1.5, 1.0), (1.0, -3.0), (-1.0, -2.0)]
+
+
+def test_blend_is_chosen_without_the_test_dates(spark):
+    from tidemark.operators import learners
+
+    rng = np.random.default_rng(12)
+    blends = {"rank-only": {"rank": 1.0}, "early": {"early": 1.0}, "late": {"late": 1.0}}
+    rows = []
+    for day in range(100):
+        for s in range(20):
+            y = rng.normal()
+            rows.append((DAY + dt.timedelta(days=day), f"S{s:02}", float(y), float(y > 0), float(rng.normal()), float(y if day < 80 else -y), float(-y if day < 80 else y)))
+    d = spark.createDataFrame(rows, "day date, symbol string, ret double, up double, pct_rank double, pct_early double, pct_late double").repartition(3)
+    got = {r.blend: r for r in learners.chosen_blend(d, "day", "ret", "up", ["symbol"], blends, top=3).collect()}
+    assert [b for b, r in got.items() if r.selected] == ["early"]  # the best one of the inner dates, though it fails later
+    assert got["early"].test_top_return < 0 < got["late"].test_top_return and not got["late"].admissible
+    parts = {r.part: (r.a, r.b) for r in learners.inner_block(d, "day").groupBy("part").agg(F.min("day").alias("a"), F.max("day").alias("b")).collect()}
+    assert parts == {"inner": (DAY + dt.timedelta(days=60), DAY + dt.timedelta(days=74)), "test": (DAY + dt.timedelta(days=80), DAY + dt.timedelta(days=99))}

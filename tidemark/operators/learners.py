@@ -182,6 +182,23 @@ def blend_metrics(df: DataFrame, date: str, y: str, direction: str, tie: list[st
     return g.withColumn("selected", best)
 
 
+def inner_block(df: DataFrame, date: str, first_test: float = 0.8, first_inner: float = 0.6, purge: int = 5) -> DataFrame:
+    """part: inner for the dates on which a choice is made, test for those on which it is judged; `purge` dates between them are left out."""
+    dates = df.select(date).distinct().withColumn("i_", F.row_number().over(W.orderBy(date)) - 1)  # one row a date
+    n = F.count("*").over(W.partitionBy())
+    a, b = F.floor(n * first_inner), F.floor(n * first_test)
+    part = F.when(F.col("i_") >= b, "test").when((F.col("i_") >= a) & (F.col("i_") < b - purge), "inner")
+    return df.join(dates.withColumn("part", part).filter("part is not null").select(date, "part"), date)
+
+
+def chosen_blend(df: DataFrame, date: str, y: str, direction: str, tie: list[str], blends: dict[str, dict[str, float]] = BLENDS, top: int = 10, purge: int = 5) -> DataFrame:
+    """blend_metrics() of the inner block with what the blends do on the test dates (test_<metric>), whose outcomes no choice has seen."""
+    parts = inner_block(df, date, purge=purge)
+    inner, test = (blend_metrics(parts.filter(F.col("part") == p), date, y, direction, tie, blends, top) for p in ("inner", "test"))
+    judged = test.select("blend", *(F.col(c).alias(f"test_{c}") for c in ("top_direction_pct", "top_return", "lift")))
+    return inner.join(judged, "blend", "left")
+
+
 def lower_by_risk(score: Column | str, risk: Column | str, base: float, strength: float = 0.5) -> Column:
     """A score less what a false positive's probability beyond its base rate takes off; it is never raised."""
     score, risk = (F.col(x) if isinstance(x, str) else x for x in (score, risk))

@@ -66,6 +66,21 @@ def ranking_blends(spark, sf_dir):
     return op.blend_metrics(d, "day", "actual_return", "actual", ID).select("blend", "admissible", "selected", *map(r6, ("top_direction_pct", "top_return", "lift", "objective")))
 
 
+def _chosen_sql() -> str:
+    days = f"WITH {D}, dd AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT day FROM d)), pt AS (SELECT day, CASE WHEN i >= floor(n * 0.8) THEN 'test' WHEN i >= floor(n * 0.6) AND i < floor(n * 0.8) - 5 THEN 'inner' END AS part FROM dd)"
+    side = lambda part: "(WITH " + _blend_sql().replace(D, f"dx AS (SELECT d.* FROM d JOIN pt ON pt.day = d.day WHERE part = '{part}')", 1).replace("FROM d)", "FROM dx)") + " SELECT * FROM a)"
+    return f"""{days} SELECT i.blend, i.ok AS admissible, row_number() OVER (ORDER BY i.ok DESC, round(i.ob, 9) DESC, i.blend) = 1 AS selected, {r(top_direction_pct='i.td', lift='i.li', objective='i.ob', test_top_direction_pct='t.td', test_top_return='t.tr', test_lift='t.li')}
+FROM {side('inner')} i LEFT JOIN {side('test')} t ON t.blend = i.blend"""
+
+
+@query(_chosen_sql())
+def ranking_choice(spark, sf_dir):
+    """The blend chosen on an inner block of dates, and what every blend does on the dates after a purge."""
+    parts = sorted({c for b in op.BLENDS.values() for c in b})
+    out = op.chosen_blend(op.percentiles(_rows(spark, sf_dir), "day", parts), "day", "actual_return", "actual", ID)
+    return out.select("blend", "admissible", "selected", *map(r6, ("top_direction_pct", "lift", "objective", "test_top_direction_pct", "test_top_return", "test_lift")))
+
+
 def _training(spark, sf_dir):
     factors = ("momentum_5", "momentum_20", "volume_ratio_20", "volatility_10", "range_position_20", "close_location")
     d = panel.factor_panel(tables.bars(spark, sf_dir), factors=factors)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import indicators, models, panel
+from tidemark.functions.scalars import clamp
+from tidemark.operators import indicators, models, panel, selection
 from tidemark.operators import portfolio as op
 from tidemark.plans.indicator_queries import ATR_SQL, SCORES_SQL
 from tidemark.plans.panel_queries import FACTORS
@@ -147,8 +148,9 @@ def stream_sessions(spark, sf_dir):
 @query()
 def platt_calibration(spark, sf_dir):
     """Intercept and slope of a logistic calibration by model; checked against a direct Newton in the tests."""
-    d = tables.predictions(spark, sf_dir)
-    return spark.createDataFrame([(m, *models.fit_platt(d.filter(F.col("model") == m), "probability", "actual")) for m in ("F", "O")], "model string, intercept double, slope double")
+    d = tables.predictions(spark, sf_dir).select(F.col("model").alias("group"), clamp("probability", 0.001, 0.999).alias("p"), F.col("actual").cast("double").alias("y")).filter("`group` is not null and y is not null")
+    sums = {r["group"]: (r.n, r.sy) for r in d.groupBy("group").agg(F.count("*").alias("n"), F.sum("y").alias("sy")).collect()}  # one row a model
+    return spark.createDataFrame([(m, *ab) for m, ab in sorted(selection.fit_platts(d, sums).items())], "model string, intercept double, slope double")
 
 
 @query()

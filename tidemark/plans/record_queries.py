@@ -113,11 +113,12 @@ def market_rows(spark, sf_dir):
     return rows.orderBy("ts", "event_id").select("event_id", "ts")
 
 
-@query("""WITH s AS (SELECT o_custkey % 700 AS k, min(o_orderkey) AS id FROM orders WHERE o_orderkey % 2 = 0 AND o_custkey % 3 > 0 GROUP BY 1), i AS (SELECT o_orderkey AS id, o_custkey % 700 AS k, min(o_orderkey) OVER (PARTITION BY o_custkey % 700) AS f FROM orders WHERE o_orderkey % 2 = 1)
+@query("""WITH s AS (SELECT o_custkey % 700 AS k, min(o_orderkey) AS id FROM orders WHERE o_orderkey % 2 = 0 AND o_custkey % 3 > 0 GROUP BY 1), i AS (SELECT o_orderkey AS id, o_custkey % 700 AS k, min(o_orderkey) OVER (PARTITION BY o_custkey % 700) AS f FROM orders WHERE NOT (o_orderkey % 2 = 0 AND o_custkey % 3 > 0))
 SELECT i.id, coalesce(s.id, i.f) AS kept_id, s.id IS NOT NULL OR i.id <> i.f AS duplicate FROM i LEFT JOIN s ON s.k = i.k""")
 def intent_inserts(spark, sf_dir):
     o = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 700).alias("idempotency_key"), "o_custkey")
-    return records.insert_intents(o.filter("id % 2 = 0 and o_custkey % 3 > 0").drop("o_custkey"), o.filter("id % 2 = 1").drop("o_custkey")).select("id", "kept_id", "duplicate")
+    stored = (F.col("id") % 2 == 0) & (F.col("o_custkey") % 3 > 0)
+    return records.insert_intents(o.filter(stored).drop("o_custkey"), o.filter(~stored).drop("o_custkey")).select("id", "kept_id", "duplicate")
 
 
 OOF = ["CASE WHEN l_linenumber = 7 THEN 'asx' ELSE 'US' END AS market", "CAST(l_partkey % 200 AS STRING) AS symbol", "CAST(l_shipdate AS DATE) AS day", "l_linenumber % 3 AS horizon", "CAST(l_shipdate AS DATE) AS signal_at", "CASE WHEN l_suppkey % 9 = 0 THEN DATE '2003-01-01' ELSE DATE '1990-01-01' END AS available_at", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
