@@ -10,6 +10,7 @@ from tidemark.functions.scalars import cost_pct
 from tidemark.plans.indicator_queries import ATR_SQL
 from tidemark.plans.registry import BARS_SQL, query, r, r6
 from tidemark.sources import tables
+from tidemark.streaming import paper
 
 HORIZONS = [3, 10, 20]
 W = "PARTITION BY symbol ORDER BY day"
@@ -94,3 +95,14 @@ def event_values(spark, sf_dir):
     d = tables.table(spark, sf_dir, "documents").selectExpr("*", *(f"{e} AS `{n}`" for n, e in RECORD.items()), f"{_pick(DATASETS, 'doc_id', 'array', 'element_at')} AS kind", f"{_pick(SOURCES, 'doc_id', 'array', 'element_at')} AS src").withColumn("title", title)
     out = events_op.event_values(d, "kind", "title", "src", {n: n for n in RECORD})
     return out.select("doc_id", *(r6(F.coalesce(F.col(c), F.lit(-9.0)), c) for c in (*events_op.EVENT, *events_op.MACRO)))
+
+
+@query()
+def paper_trades(spark, sf_dir):
+    """Trades of five agents over all bars, with money, limits and streaks as state; tests compare with a stream and by hand."""
+    agent = F.explode(F.array(*(F.struct(F.lit(f"agent-{i}").alias("agent"), F.lit(i).alias("style")) for i in range(5))))
+    d = tables.bars(spark, sf_dir).withColumn("a", agent).select("*", "a.*")
+    score = F.pmod(F.floor(F.col("volume") * 7) + F.col("style") * 13, F.lit(100)).cast("double")
+    return paper.trades(d.select(
+        "agent", F.col("day").cast("timestamp").alias("ts"), F.concat_ws("|", "agent", F.col("day").cast("string"), "symbol").alias("event_id"), "symbol", "sector", F.col("close").alias("price"), score.alias("score"),
+        (F.lit(60.0) + F.col("style")).alias("threshold"), (F.pmod("trade_count", F.lit(7)) > 0).alias("allowed"), F.lit(4.0).alias("stop"), F.lit(6.0).alias("take"), (F.lit(30.0) + F.col("style")).alias("exit_score"), F.lit(15.0).alias("hold_days"), cost_pct("market").alias("cost_pct")))
