@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import committee, method_weights, metrics, panel, trainer
+from tidemark.operators import boosting, committee, method_weights, metrics, panel, trainer
 from tidemark.operators import selection as op
 from tidemark.plans.learner_queries import D, SCORES
 from tidemark.plans.panel_queries import PANEL_SQL
@@ -182,3 +182,14 @@ def method_weights_learned(spark, sf_dir):
 def method_weights_stability(spark, sf_dir):
     """What the learned weights gain on equal ones, on the holdout and over folds; a test compares with a numpy run."""
     return _method_weights(spark, sf_dir)[1]
+
+
+@query()
+def boosted_scores(spark, sf_dir):
+    """Quantile trees and a ranker of all factors, fitted on the first part of the dates and applied to the last; tests compare with direct trees."""
+    d = panel.chronological_split(panel.factor_panel(tables.bars(spark, sf_dir)).withColumn("grade", F.when(F.col("label") > 20, 3).when(F.col("label") > 0, 2).when(F.col("label") > -20, 1).otherwise(0)), [], "day", gap=8)
+    with stored(d.filter("part = 'train'")) as kept:
+        made = {f"q{round(100 * a)}": boosting.boost(kept, FACTORS, "label", "quantile", alpha=a, trees=8) for a in (0.1, 0.5, 0.9)}
+        made["rank_score"] = boosting.boost(kept, FACTORS, "grade", "rank", date="day", trees=8)
+    test = d.filter("part = 'test'")
+    return test.select("market", "symbol", "day", "label", *(m.score().alias(n) for n, m in made.items()))
