@@ -66,3 +66,21 @@ def test_without_training_rows(spark):
     got = {r.doc_id: r for r in kn.score(docs, kn.train(docs.filter("false"))).collect()}
     assert got[1].n_tokens == 3 and got[1].n_known == 0 and got[1].score == 0 and got[1].base_score == 0
     assert kn.score(docs.filter("false"), kn.train(docs)).count() == 0
+
+
+def test_copies_from_a_store_leave_nothing_behind(tmp_path, monkeypatch):
+    import tempfile
+
+    import numpy as np
+
+    scratch = tmp_path / "scratch"
+    scratch.mkdir()
+    monkeypatch.setattr(tempfile, "tempdir", str(scratch))
+    store = kn.SharedFiles(f"file://{tmp_path}/model")
+    store.local = None  # as if it were not mounted
+    array = np.arange(100_000, dtype="<i8")
+    store.write("a", array)
+    store.write("none", array[:0])
+    got = store.map("a", "<i8")
+    assert list(scratch.iterdir()) == [] and (got == array).all() and (got[99_990:] == array[99_990:]).all()
+    assert len(store.map("none", "<i8")) == 0 and len(store.map_or_empty("missing", "<i8")) == 0

@@ -54,6 +54,8 @@ SHARD_BYTES = 24_000_000
 SHARDS_TO_WORD_SHARDS = 6
 #: Arrays that a worker maps at a time; the system allows a process some 65,000 maps.
 MAPS = 2048
+#: Copies of arrays that a worker holds at a time where the shared folder is a store that is not mounted; each has SHARD_BYTES or so.
+COPIES = 64
 _U = np.uint64
 WORD_SUMS = ("occurrences", "left_neighbours", "as_context", "once", "twice", "more")
 
@@ -117,19 +119,18 @@ class SharedFiles:
         system.move(part, f"{path}/{name}")
 
     def map(self, name: str, dtype: str) -> np.ndarray:
+        """The array as a map of its file. Of a file in a store that is not mounted, of a copy whose name is gone at once: its disk is freed with the map."""
         if self.local:
             path = f"{self.local}/{name}"
-        else:
-            from pyarrow import fs
-
-            system, source = fs.FileSystem.from_uri(self.uri)
-            path = f"{tempfile.gettempdir()}/{os.path.basename(source)}-{name}"
-            if not os.path.exists(path):
-                with system.open_input_stream(f"{source}/{name}") as f, open(part := f"{path}.{uuid.uuid4().hex}", "wb") as g:
-                    while chunk := f.read(1 << 24):
-                        g.write(chunk)
-                os.replace(part, path)
-        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
+            return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
+        from pyarrow import fs
+
+        system, source = fs.FileSystem.from_uri(self.uri)
+        with system.open_input_stream(f"{source}/{name}") as f, tempfile.NamedTemporaryFile() as g:
+            while chunk := f.read(1 << 24):
+                g.write(chunk)
+            g.flush()
+            return np.memmap(g.name, dtype, "r") if os.path.getsize(g.name) else np.empty(0, dtype)
 
     def map_or_empty(self, name: str, dtype: str) -> np.ndarray:
         """Shards into which no hash fell have no file."""
@@ -140,10 +141,19 @@ class SharedFiles:
 
 
 @lru_cache(maxsize=MAPS)
-def mapped(uri: str, name: str, dtype: str) -> np.ndarray:
+def _near(uri: str, name: str, dtype: str) -> np.ndarray:
     return SharedFiles(uri).map_or_empty(name, dtype)
 
 
+@lru_cache(maxsize=COPIES)
+def _far(uri: str, name: str, dtype: str) -> np.ndarray:
+    return SharedFiles(uri).map_or_empty(name, dtype)
+
+
+def mapped(uri: str, name: str, dtype: str) -> np.ndarray:
+    return (_near if SharedFiles(uri).local else _far)(uri, name, dtype)
+
+
 def runs(in_order: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(value, start, end) of each run of equal values."""
     cuts = [0, *(np.flatnonzero(in_order[1:] != in_order[:-1]) + 1).tolist(), len(in_order)] if len(in_order) else [0]
