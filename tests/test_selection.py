@@ -234,3 +234,9 @@ def test_blend_is_chosen_without_the_test_dates(spark):
     assert got["early"].test_top_return < 0 < got["late"].test_top_return and not got["late"].admissible
     parts = {r.part: (r.a, r.b) for r in learners.inner_block(d, "day").groupBy("part").agg(F.min("day").alias("a"), F.max("day").alias("b")).collect()}
     assert parts == {"inner": (DAY + dt.timedelta(days=60), DAY + dt.timedelta(days=74)), "test": (DAY + dt.timedelta(days=80), DAY + dt.timedelta(days=99))}
+
+
+def test_isotonic_keeps_what_lies_beyond_0_and_1(spark):
+    rows = [(-0.5, 0), (-0.1, 0), (0.2, 1), (0.2, 0), (0.7, 1), (1.0, 1), (1.5, 1), (None, 1)]
+    knots = models.isotonic(spark.createDataFrame(rows, "p double, y int"), "p", "y", bins=10)
+    assert knots == sorted(knots) and math.isclose(knots[0][0], -0.3) and math.isclose(knots[-1][0], 1.25) and [y for _, y in knots] == [0.0, 0.5, 1.0, 1.0]
