@@ -216,12 +216,14 @@ def downside_confidence(df: DataFrame, by: list[str], drawdown: str = "max_drawd
     projected: mean and 75 % quantile of the falls (nearest rank) in equal parts, shrunk, at most 1.22 times the stop. The probability
     rises with the share of paths that fell as far, with the stop risk and with the models' agreement.
     """
-    fall = F.greatest(F.lit(0.0), -F.col(drawdown))
-    g = df.groupBy(*by).agg(F.count(drawdown).alias("paths"), F.avg(fall).alias("mean_"), F.array_sort(F.collect_list(fall)).alias("falls_"), *(F.max(c).alias(c) for c in (stop, shrink, stop_risk, agreement)))
-    high = F.try_element_at("falls_", F.greatest(F.lit(1), F.ceil(F.size("falls_") * 0.75)).cast("int"))
-    g = g.withColumn("projected_downside", F.least((F.col("mean_") + high) / 2 * F.col(shrink), F.col(stop) * 1.22))
-    reached = F.size(F.filter("falls_", lambda x: x >= F.col("projected_downside"))) / F.greatest(F.lit(1), F.size("falls_"))
-    return g.withColumn("probability", clamp(30 + reached * 40 + F.col(stop_risk) * 0.2 + (F.col(agreement) - 50) * 0.1, 0.0, 92.0)).drop("mean_", "falls_")
+    given = (stop, shrink, stop_risk, agreement)
+    counted = df.groupBy(*by, F.greatest(F.lit(0.0), -F.col(drawdown)).alias("fall_")).agg(F.count("*").alias("c_"), F.count(drawdown).alias("known_"), *(F.max(c).alias(c) for c in given))
+    group = Window.partitionBy(*by)  # one row a distinct fall
+    d = counted.withColumns({"n_": F.sum("c_").over(group), "upto_": F.sum("c_").over(group.orderBy("fall_")), **{c: F.max(c).over(group) for c in given}})
+    d = d.withColumns({"high_": F.min(F.when(F.col("upto_") >= F.ceil(F.col("n_") * 0.75), F.col("fall_"))).over(group), "mean_": F.sum(F.col("fall_") * F.col("c_")).over(group) / F.col("n_")})
+    d = d.withColumn("projected_downside", F.least((F.col("mean_") + F.col("high_")) / 2 * F.col(shrink), F.col(stop) * 1.22))
+    g = d.groupBy(*by).agg(F.sum("known_").alias("paths"), (F.sum(F.when(F.col("fall_") >= F.col("projected_downside"), F.col("c_")).otherwise(0)) / F.max("n_")).alias("reached_"), *(F.max(c).alias(c) for c in (*given, "projected_downside")))
+    return g.withColumn("probability", clamp(30 + F.col("reached_") * 40 + F.col(stop_risk) * 0.2 + (F.col(agreement) - 50) * 0.1, 0.0, 92.0)).drop("reached_")
 
 
 def trajectory(df: DataFrame, by: list[str], at: str, values: list[str]) -> DataFrame:
