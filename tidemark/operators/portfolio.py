@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -190,9 +191,12 @@ def knn(df: DataFrame, queries: DataFrame, dims: int, k: int = 18) -> DataFrame:
 
 
 def news_scores(docs: DataFrame, terms: dict[str, list[str]], weights: dict[str, float], text: str = "text") -> DataFrame:
-    """Hits of each family of terms and a clamped sentiment; term lists are expressions, not a join."""
+    """Hits of each family of terms and a clamped sentiment; term lists are expressions, not a join.
+
+    Weighted hits are summed as decimals, so that a sentiment on the border of a stance lies on it.
+    """
     lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
     hits = {name: F.regexp_count(lowered, F.lit("|".join(words))) for name, words in terms.items()}
     out = docs.withColumns({f"{name}_hits": h for name, h in hits.items()})
-    score = sum((F.col(f"{name}_hits") * w for name, w in weights.items()), F.lit(0.0))
+    score = sum((F.col(f"{name}_hits").cast("decimal(10,0)") * F.lit(Decimal(str(w))) for name, w in weights.items()), F.lit(Decimal(0))).cast("double")
     return out.withColumn("sentiment", clamp(score / 2, -1.0, 1.0)).withColumn("stance", F.when(F.col("sentiment") >= 0.5, "positive").when(F.col("sentiment") <= -0.5, "negative").otherwise("neutral"))
