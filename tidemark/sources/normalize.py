@@ -39,11 +39,12 @@ def filings(df: DataFrame, by: list[str], concepts: tuple[str, str]) -> DataFram
     """
     revenue, income = concepts
     wide = df.groupBy(*by, "accession", "fiscal_year", "period", "event_day").pivot("concept", list(concepts)).agg(F.max("value"))
-    before_ = wide.select(*(F.col(c).alias(f"p_{c}") for c in by), (F.col("fiscal_year") + 1).alias("p_year"), F.col("period").alias("p_period"), F.struct("event_day", "accession").alias("p_at"), F.struct(revenue, income).alias("p_values"))
-    on = (F.col("fiscal_year") == F.col("p_year")) & (F.col("period") == F.col("p_period")) & (F.col("p_at") < F.struct("event_day", "accession"))
-    for c in by:
-        on = on & (F.col(c) == F.col(f"p_{c}"))
-    met = wide.join(before_, on, "left").groupBy(*wide.columns).agg(F.max_by("p_values", "p_at").alias("p"))
+    keys, at = [*by, "period", "fiscal_year"], ["event_day", "accession"]
+    # a filing also stands, as what came before, under its period of the next year; one sort of both finds the last of them, without a join
+    before_ = wide.dropna(subset=keys).withColumn("fiscal_year", F.col("fiscal_year") + 1)
+    rows = wide.withColumn("kind_", F.lit(0)).unionByName(before_.withColumn("kind_", F.lit(1)))
+    upto = Window.partitionBy(*keys).orderBy(*at, "kind_").rowsBetween(Window.unboundedPreceding, -1)
+    met = rows.withColumn("p", F.last(F.when(F.col("kind_") == 1, F.struct(revenue, income)), ignorenulls=True).over(upto)).filter("kind_ = 0")
     ratio = lambda x, base: clamp(x / F.greatest(F.lit(1.0), F.abs(base)), -1.0, 1.0)
     growth = lambda c: F.when(F.col("p")[c].isNotNull(), ratio(F.col(c) - F.col("p")[c], F.col("p")[c]))
     margin = F.when(F.col(revenue).isNotNull(), ratio(F.col(income), F.col(revenue)))
