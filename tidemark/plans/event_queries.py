@@ -34,13 +34,15 @@ def pit_excluded(spark, sf_dir):
 
 @query(f"WITH {SIGNAL_SQL} SELECT symbol, day, dataset, count(*) AS n, min(age) AS youngest, max(age) AS oldest FROM pairs GROUP BY ALL")
 def pit_as_of(spark, sf_dir):
-    pairs = pit.as_of(_signals(spark, sf_dir), _events(spark, sf_dir))
-    return pairs.groupBy("symbol", "day", "dataset").agg(F.count("*").alias("n"), F.min("age_days").cast("long").alias("youngest"), F.max("age_days").cast("long").alias("oldest"))
+    # usable records are never available before they happened, so those of a day count alike
+    days = _events(spark, sf_dir).groupBy("symbol", "dataset", "available_day").agg(F.max("event_day").alias("event_day"), F.count("*").alias("n"))
+    pairs = pit.as_of(_signals(spark, sf_dir), days)
+    return pairs.groupBy("symbol", "day", "dataset").agg(F.sum("n").alias("n"), F.min("age_days").cast("long").alias("youngest"), F.max("age_days").cast("long").alias("oldest"))
 
 
 @query(f"WITH {SIGNAL_SQL} SELECT symbol, day, dataset, event_id FROM chosen")
 def pit_capped(spark, sf_dir):
-    return pit.capped(pit.as_of(_signals(spark, sf_dir), _events(spark, sf_dir)), ["symbol", "day"]).select("symbol", "day", "dataset", "event_id")
+    return pit.recent(_signals(spark, sf_dir), _events(spark, sf_dir), ["symbol", "day"]).select("symbol", "day", "dataset", "event_id")
 
 
 @query(f"""WITH {SIGNAL_SQL}, d AS (SELECT *, exp(-ln(2) * age / CASE dataset WHEN 'news' THEN 24.0 WHEN 'social' THEN 7.0 WHEN 'macro' THEN 30.0 ELSE 45.0 END) AS decay FROM chosen), w AS (SELECT *, decay * 0.6 * 0.8 AS w, least(1, greatest(-1, sentiment)) AS s FROM d),
