@@ -89,3 +89,12 @@ def test_vectors_of_each_length_are_searched(spark):
     rows = [(i, [float(i + 1)] * (2 + i % 2)) for i in range(8)]
     got = result(rabitq.nearest(spark.createDataFrame(rows, "vec_id int, embedding array<double>"), F.col("vec_id") < 2, k=2))
     assert {q: [i for i, _ in v] for q, v in got.items()} == {0: [2, 4], 1: [3, 5]}
+
+
+@pytest.mark.parametrize(("wanted", "n"), [(1, 3000), (55, 3000), (2990, 3000), (4000, 3000), (55, 3_000_000), (55, 10)])
+def test_lowest_hashes_without_a_limit_of_every_partition(spark, wanted, n):
+    """n, the number of entries, only sets the first bound: a wrong one costs more tries or more rows."""
+    rows = spark.range(3000, numPartitions=40).select(F.xxhash64("id").alias("entry"), F.array(F.col("id").cast("double")).alias("embedding"))
+    want = [r.entry for r in rows.orderBy(F.xxhash64("entry"), "entry").limit(wanted).collect()]
+    assert [r.entry for r in rabitq.lowest(rows, wanted, n)] == want[:wanted]
+    assert [r.entry for r in rabitq.lowest(rows, 20, n, 3)] == [r.entry for r in rows.orderBy(F.xxhash64("entry", F.lit(3)), "entry").limit(20).collect()]

@@ -36,7 +36,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import durable, read
@@ -114,13 +114,29 @@ def distances(vectors: np.ndarray, pivots: np.ndarray) -> Iterator[tuple[int, np
         yield start, squares - 2 * vectors[start : start + step] @ pivots.T
 
 
+def lowest(entries: DataFrame, wanted: int, n: int, seed: int | None = None) -> list[Row]:
+    """The `wanted` of n entries with the smallest hashes, in that order.
+
+    Hashes are even, so those below a bound hold them but for a chance below 1e-9; only those come to the driver, where a limit
+    would bring as many from every partition. Where they hold too few, the bound rises until they do.
+    """
+    place = F.xxhash64("entry") if seed is None else F.xxhash64("entry", F.lit(seed))
+    expected = wanted + 8 * math.sqrt(wanted) + 40
+    while True:
+        bound = -(2**63) + math.ceil(2**64 * min(1.0, expected / max(1, n)))
+        found = (entries if bound >= 2**63 else entries.filter(place < F.lit(bound))).select(place.alias("place"), "entry", "embedding").collect()
+        if len(found) >= min(wanted, n) or bound >= 2**63:
+            return sorted(found, key=lambda r: (r.place, r.entry))[:wanted]
+        expected *= 4
+
+
 class Index:
     """Blocks of codes and vectors by pivot. Only pivots and their numbers of blocks are known outside."""
 
     def __init__(self, entries: DataFrame, d: int, epsilon: float, seed: int) -> None:
         self.d, self.epsilon, self.seed = d, epsilon, seed
-        n_pivots = math.isqrt(max(1, entries.count() - 1)) + 1
-        sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(n_pivots).select("embedding").collect()
+        n = entries.count()
+        sample = lowest(entries, math.isqrt(max(1, n - 1)) + 1, n)
         self.pivots = np.array([r.embedding for r in sample], float).reshape(-1, d)
         self.placed = durable(self.place(entries))
         found = {r.pivot: r.n for r in self.placed.groupBy("pivot").agg(F.count("*").alias("n")).collect()}  # one row a pivot
@@ -199,8 +215,9 @@ class Index:
 
     def needed_visits(self, queries: DataFrame, k: int, recall: float) -> int:
         """How many nearest pivots hold `recall` of the k nearest entries of at most CALIBRATION queries, chosen by hash."""
-        sample = durable(queries.orderBy(F.xxhash64("entry", F.lit(3)), "entry").limit(CALIBRATION).select("entry", "embedding"))
-        asked = {r.entry: np.array(r.embedding) for r in sample.collect()}
+        chosen = lowest(queries, CALIBRATION, queries.count(), 3)
+        asked = {r.entry: np.array(r.embedding) for r in chosen}
+        sample = queries.sparkSession.createDataFrame([(r.entry, r.embedding) for r in chosen], "entry long, embedding array<double>")
         near = _in_order(self.visit(sample, k, len(self.pivots)), k).filter(F.col("entry") != F.col("q"))
         homes: dict[int, list[int]] = {}
         for r in near.join(self.placed.select("entry", "pivot"), "entry").select("q", "pivot").collect():  # about k rows a query
