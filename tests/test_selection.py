@@ -240,3 +240,25 @@ def test_isotonic_keeps_what_lies_beyond_0_and_1(spark):
     rows = [(-0.5, 0), (-0.1, 0), (0.2, 1), (0.2, 0), (0.7, 1), (1.0, 1), (1.5, 1), (None, 1)]
     knots = models.isotonic(spark.createDataFrame(rows, "p double, y int"), "p", "y", bins=10)
     assert knots == sorted(knots) and math.isclose(knots[0][0], -0.3) and math.isclose(knots[-1][0], 1.25) and [y for _, y in knots] == [0.0, 0.5, 1.0, 1.0]
+
+
+def test_equal_rows_are_calibrated_once(spark, monkeypatch):
+    """Copies of rows change neither scores nor the number of rows that calibrators read."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for place in range(260):
+        for _ in range(8):
+            p = float(rng.integers(0, 11)) / 10
+            rows.append((DAY + dt.timedelta(days=place), float(rng.random() < 0.2 + 0.5 * p), 0.7, p, 1 - p))
+    d = spark.createDataFrame(rows, "day date, y double, weight double, a double, b double").repartition(3)
+    whole, read = op.choose_calibrators, []
+
+    def watched(rows, *args):
+        read.append(rows.count())
+        return whole(rows, *args)
+
+    monkeypatch.setattr(op, "choose_calibrators", watched)
+    scores = [sorted(tuple(r) for r in op.nested_scores(x, ["a", "b"], "y", "weight", "day").collect()) for x in (d, d.crossJoin(spark.range(5)))]
+    assert read[0] == read[1] < 2 * 2 * 260 * 8
+    for one, copied in zip(*scores, strict=True):
+        assert one[:2] == copied[:2] and one[2] in op.METHODS and abs(one[3] - copied[3]) < 1e-3

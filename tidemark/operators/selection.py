@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import clamp, logit, sigmoid
@@ -243,6 +243,11 @@ BINS = 2000
 ISOTONIC_ROWS, ISOTONIC_DATES = 5000, 120
 
 
+def _times(rows: DataFrame) -> Column:
+    """How many equal rows a row stands for: n, or 1 where there is none."""
+    return F.col("n") if "n" in rows.columns else F.lit(1)
+
+
 def _p(column: str | Column) -> Column:
     return clamp(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(0.5)), 0.001, 0.999)
 
@@ -278,8 +283,16 @@ def pooled(sums: list[tuple[float, float, float]]) -> tuple[list[float], list[fl
 
 
 def fit_platts(rows: DataFrame, sums: dict[str, tuple[int, float]], rounds: int = 30, ridge: float = 0.02) -> dict[str, tuple[float, float]]:
-    """(intercept, slope) of every group of rows (group, p, y) by Newton steps; one aggregate is a step of all groups."""
-    spark = rows.sparkSession
+    """(intercept, slope) of every group of rows (group, p, y, and n where a row stands for several) by Newton steps; one aggregate is a step of all groups.
+
+    The steps read each probability of a group once, with its rows and the sum of their outcomes.
+    """
+    spark, n = rows.sparkSession, _times(rows)
+    with stored(rows.groupBy("group", "p").agg(F.sum(n).cast("double").alias("n"), F.sum(n * F.col("y")).alias("y")).select("group", logit("p").alias("l"), "n", "y")) as counted:
+        return _newton_steps(spark, counted, sums, rounds, ridge)
+
+
+def _newton_steps(spark: SparkSession, rows: DataFrame, sums: dict[str, tuple[int, float]], rounds: int, ridge: float) -> dict[str, tuple[float, float]]:
     found, going = {}, {}
     for g, (n, sy) in sums.items():
         rate = min(max(sy / max(1, n), 0.001), 0.999)
@@ -288,9 +301,9 @@ def fit_platts(rows: DataFrame, sums: dict[str, tuple[int, float]], rounds: int
         if not going:
             break
         at = F.broadcast(spark.createDataFrame([(g, *ab) for g, ab in going.items()], "group string, a double, b double"))  # one row a group
-        d = rows.select("group", logit("p").alias("l"), "y").join(at, "group")
-        q = sigmoid(F.col("a") + F.col("b") * F.col("l"))
-        e, c, x = q - F.col("y"), F.greatest(F.lit(1e-8), q * (1 - q)), F.col("l")
+        d = rows.join(at, "group")
+        q, n = sigmoid(F.col("a") + F.col("b") * F.col("l")), F.col("n")
+        e, c, x = n * q - F.col("y"), n * F.greatest(F.lit(1e-8), q * (1 - q)), F.col("l")
         for r in d.groupBy("group").agg(F.sum(e), F.sum(e * x), F.sum(c), F.sum(c * x), F.sum(c * x * x)).collect():
             g, s = r[0], r[1:]
             a, b = going[g]
@@ -307,12 +320,12 @@ def fit_platts(rows: DataFrame, sums: dict[str, tuple[int, float]], rounds: int
 
 
 def fit_calibrators(rows: DataFrame, methods: tuple[str, ...] = METHODS) -> dict[str, dict]:
-    """For each group of rows (group, place, p, y) the parameters of each method, from shared passes.
+    """For each group of rows (group, place, p, y, and n where a row stands for several) the parameters of each method, from shared passes.
 
     Isotonic curves come from sums over BINS equal bins of p, for groups of ISOTONIC_ROWS rows and ISOTONIC_DATES dates.
     """
-    p, y = F.col("p"), F.col("y")
-    sums = {r["group"]: r for r in rows.groupBy("group").agg(F.count("*").alias("n"), F.sum(y).alias("sy"), F.sum(p).alias("sp"), F.sum(p * p).alias("spp"), F.sum(p * y).alias("spy"), F.sum(y * y).alias("syy"), F.count_distinct("place").alias("dates")).collect()}
+    p, y, n = F.col("p"), F.col("y"), _times(rows)
+    sums = {r["group"]: r for r in rows.groupBy("group").agg(F.sum(n).alias("n"), F.sum(n * y).alias("sy"), F.sum(n * p).alias("sp"), F.sum(n * p * p).alias("spp"), F.sum(n * p * y).alias("spy"), F.sum(n * y * y).alias("syy"), F.count_distinct("place").alias("dates")).collect()}
     out: dict[str, dict] = {g: {"identity": ()} if "identity" in methods else {} for g in sums}
     if "shrinkage" in methods:
         for g, r in sums.items():
@@ -323,7 +336,7 @@ def fit_calibrators(rows: DataFrame, methods: tuple[str, ...] = METHODS) -> dict
     wide = [g for g, r in sums.items() if r["n"] >= ISOTONIC_ROWS and r["dates"] >= ISOTONIC_DATES]
     if "isotonic" in methods and wide:
         bins: dict[str, list] = {g: [] for g in wide}
-        for r in rows.filter(F.col("group").isin(wide)).groupBy("group", F.least(F.lit(BINS - 1), F.floor(p * BINS)).alias("bin")).agg(F.sum(p).alias("sp"), F.sum(y).alias("sy"), F.count("*").alias("n")).orderBy("group", "bin").collect():
+        for r in rows.filter(F.col("group").isin(wide)).groupBy("group", F.least(F.lit(BINS - 1), F.floor(p * BINS)).alias("bin")).agg(F.sum(n * p).alias("sp"), F.sum(n * y).alias("sy"), F.sum(n).alias("n")).orderBy("group", "bin").collect():
             bins[r["group"]].append((r["sp"], r["sy"], r["n"]))
         for g, s in bins.items():
             out[g]["isotonic"] = pooled(s)
@@ -352,15 +365,15 @@ def calibrated(rows: DataFrame, parameters: DataFrame) -> DataFrame:
 
 
 def choose_calibrators(rows: DataFrame, n_dates: dict[str, int], methods: tuple[str, ...] = METHODS, least_rows: int = 500, least_dates: int = 40) -> dict[str, tuple[str, tuple]]:
-    """(method, parameters) for each group of rows (group, place, p, y), whose dates have the places 0 to n_dates[group] - 1.
+    """(method, parameters) for each group of rows (group, place, p, y, and n where a row stands for several), whose dates have the places 0 to n_dates[group] - 1.
 
     Methods are fitted on the first 80 % of a group's dates and compared by Brier score on the others; the best one (the earlier of equals) is
     fitted again on all. Groups with fewer rows or dates shrink.
     """
-    rows = rows.select("group", "place", _p("p").alias("p"), F.col("y").cast("double").alias("y"))
+    rows = rows.select("group", "place", _p("p").alias("p"), F.col("y").cast("double").alias("y"), _times(rows).alias("n"))
     split = {g: max(10, min(n - 10, int(n * 0.80))) for g, n in n_dates.items()}
     cut = F.element_at(F.create_map(*(F.lit(x) for g, s in split.items() for x in (g, s))), F.col("group"))
-    size = {r["group"]: r["n"] for r in rows.groupBy("group").agg(F.count("*").alias("n")).collect()}
+    size = {r["group"]: r["n"] for r in rows.groupBy("group").agg(F.sum("n").alias("n")).collect()}
     wide = [g for g in n_dates if size.get(g, 0) >= least_rows and n_dates[g] >= least_dates]
     parts = rows.withColumn("part", F.explode(F.when(F.col("group").isin(wide) & (F.col("place") < cut), F.array(F.lit("early"), F.lit("all"))).otherwise(F.array(F.lit("all")))))
     parts = parts.withColumn("group", F.concat("part", F.lit(":"), "group")).drop("part")
@@ -370,7 +383,7 @@ def choose_calibrators(rows: DataFrame, n_dates: dict[str, int], methods: tuple[
         late = rows.filter(F.col("group").isin(wide) & (F.col("place") >= cut))
         tried = parameter_table(rows.sparkSession, [(g, m, p) for g in wide for m, p in fitted.get(f"early:{g}", {}).items()])
         loss: dict[str, list] = {}
-        for r in calibrated(late, tried).groupBy("group", "method").agg(F.avg((F.col("q") - F.col("y")) ** 2).alias("loss")).collect():
+        for r in calibrated(late, tried).groupBy("group", "method").agg((F.sum(F.col("n") * (F.col("q") - F.col("y")) ** 2) / F.sum("n")).alias("loss")).collect():
             loss.setdefault(r["group"], []).append((r["loss"], methods.index(r["method"]), r["method"]))
         best |= {g: min(known)[2] for g, known in loss.items()}
     out = {}
@@ -390,7 +403,8 @@ def choose_calibrators(rows: DataFrame, n_dates: dict[str, int], methods: tuple[
 def nested_scores(df: DataFrame, names: list[str], y: str, weight: str, date: str, purge: int = 7, methods: tuple[str, ...] = METHODS, least_dates: int = 240, before: int = 120) -> DataFrame | None:
     """model, window, calibrator, brier, baseline, skill: each model is calibrated before each of three inner windows and judged on it.
 
-    None with fewer than `least_dates` dates or fewer than two windows.
+    None with fewer than `least_dates` dates or fewer than two windows. Rows of one date that a model gives the same probability and that
+    have the same outcome are one row with their number and weight before windows are made of them.
     """
     spark = df.sparkSession
     placed, n = with_places(df, date)
@@ -400,10 +414,11 @@ def nested_scores(df: DataFrame, names: list[str], y: str, weight: str, date: st
     long = placed.filter(F.col(y).isNotNull()).select(
         "place", F.col(y).cast("double").alias("y"), F.greatest(F.lit(LEAST_WEIGHT), F.coalesce(F.col(weight).cast("double"), F.lit(1.0))).alias("w"),
         F.explode(F.array(*(F.struct(F.lit(m).alias("model"), _p(m).alias("p")) for m in names))).alias("m")).select("place", "y", "w", "m.*")
+    long = long.groupBy("place", "model", "p", "y").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
     ranges = F.array(*(F.struct(F.lit(i).alias("window"), F.lit(t[0][1]).alias("until"), F.lit(t[1][0]).alias("first"), F.lit(t[1][1]).alias("last")) for i, t in enumerate(windows)))
     at = F.col("place")
     long = long.withColumn("r", F.explode(F.filter(ranges, lambda r: (at < r["until"]) | ((at >= r["first"]) & (at < r["last"])))))
-    long = long.select("place", "y", "w", "p", "model", F.col("r.window").alias("window"), (at < F.col("r.until")).alias("train"), F.concat_ws("|", F.col("r.window").cast("string"), "model").alias("group"))
+    long = long.select("place", "y", "n", "w", "p", "model", F.col("r.window").alias("window"), (at < F.col("r.until")).alias("train"), F.concat_ws("|", F.col("r.window").cast("string"), "model").alias("group"))
     with stored(long) as rows:
         train = rows.filter("train")
         counts = {i: t[0][1] for i, t in enumerate(windows)}
