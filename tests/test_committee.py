@@ -135,3 +135,19 @@ def test_edges(spark, samples):
     one_day = samples.withColumn("day", samples.day.cast("string").substr(1, 4))  # a single date: all rows in the first tenth
     out = op.train(one_day, "market", "horizon", "day", "y", "target", "stop", FEATURES, CANDIDATES)
     assert out.scopes.count() == 0
+
+
+def test_equal_rows_are_read_once_by_newton_steps(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(0, int(t), True, float(t % 3), float(rng.random() < 0.3 + 0.1 * a), [float(a), float(b), 1.0 * i]) for i, (t, a, b) in enumerate(zip(rng.integers(0, 10, 600), rng.integers(0, 4, 600), rng.integers(0, 3, 600)))]
+    d = spark.createDataFrame(rows, "at int, tenth int, learn boolean, y double, target double, x array<double>")
+    grams, read, whole = op.gram_matrices(d, 1, 3), [], op.totals
+    monkeypatch.setattr(op, "totals", lambda rows, *args: (read.append(rows.count()), whole(rows, *args))[1])
+    found = {}
+    for share in (-1.0, 1.0):
+        read.clear()
+        monkeypatch.setattr(op, "COUNTED", share)
+        found[share] = op.logistic_models(d, "target", grams, np.array([True, True, False]), 0.12), max(read)
+    assert found[-1.0][1] == 600 and found[1.0][1] <= 240
+    for key, m in found[-1.0][0].items():
+        assert np.allclose(m.weights, found[1.0][0][key].weights) and np.isclose(m.intercept, found[1.0][0][key].intercept)

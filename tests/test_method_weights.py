@@ -88,3 +88,13 @@ def test_planted_methods(learned):
 def test_empty(spark):
     none = spark.createDataFrame([], "day date, market string, horizon int, y double, good double, half double, noise double, weight double, resolved date")
     assert [t.count() for t in op.calibrate(none, "market", "horizon", "day", "y", METHODS)] == [0, 0]
+
+
+def test_equal_rows_are_read_once(spark, rows, monkeypatch):
+    df = spark.createDataFrame(rows, "day date, market string, horizon int, y double, good double, half double, noise double, weight double, resolved date").repartition(4)
+    read, whole = [], op.totals
+    monkeypatch.setattr(op, "STEPS", 2)
+    monkeypatch.setattr(op, "totals", lambda rows, *args: (read.append(rows.count()), whole(rows, *args))[1])
+    for copies in (1, 3):
+        op.calibrate(df.crossJoin(spark.range(copies)), "market", "horizon", "day", "y", METHODS, "weight", "resolved")
+    assert read[0] == read[2] and read[1] == read[3]

@@ -55,25 +55,41 @@ class Linear:
         return self.intercept + (x - self.centre) / self.scale @ self.weights
 
 
-def scoped(df: DataFrame, market: str, horizon: str, day: str, least: int = LEAST_ROWS, slices: int = SLICES) -> DataFrame:
-    """Rows by scope ("market|all" and "market|short", mid or long) with `tenth`, the tenth (or other slice) of the scope's rows that the date begins in.
-
-    A date lies in one tenth as a whole. Scopes with fewer than `least` rows are left out.
-    """
+def _by_scope(df: DataFrame, market: str, horizon: str, day: str, least: int, slices: int) -> tuple[DataFrame, DataFrame]:
+    """(rows by scope, dates: a row for each scope and date with its tenth)."""
     both = F.array(F.lit("all"), horizon_bucket(F.col(horizon)))
     d = df.filter(F.col(day).isNotNull()).withColumn("scope", F.explode(F.transform(both, lambda b: F.concat_ws("|", F.col(market), b))))
     dates = d.groupBy("scope", day).agg(F.count("*").alias("n_"))
     by = W.partitionBy("scope")  # one row a date
     dates = dates.withColumns({"total_": F.sum("n_").over(by), "before_": F.sum("n_").over(by.orderBy(day)) - F.col("n_")})
-    dates = dates.filter(F.col("total_") >= least).select("scope", day, F.floor(F.col("before_") * slices / F.col("total_")).cast("int").alias("tenth"))
-    return d.join(dates, ["scope", day])
+    return d, dates.filter(F.col("total_") >= least).select("scope", day, F.floor(F.col("before_") * slices / F.col("total_")).cast("int").alias("tenth"))
+
+
+def scoped(df: DataFrame, market: str, horizon: str, day: str, least: int = LEAST_ROWS, slices: int = SLICES) -> DataFrame:
+    """Rows by scope ("market|all" and "market|short", mid or long) with `tenth`, the tenth (or other slice) of the scope's rows that the date begins in.
+
+    A date lies in one tenth as a whole. Scopes with fewer than `least` rows are left out.
+    """
+    d, dates = _by_scope(df, market, horizon, day, least, slices)
+    return d.join(F.broadcast(dates), ["scope", day])  # one row a scope and date
+
+
+def learnable(df: DataFrame, market: str, horizon: str, day: str, resolved: str | None, least: int = LEAST_ROWS, slices: int = SLICES) -> DataFrame:
+    """scoped() rows with `learn`: false where the outcome (`resolved`) is not known before the next tenth begins, so that nothing learns from them.
+
+    The tenths' first dates come from the table of dates, so the rows themselves are neither shuffled nor read again for them.
+    """
+    if resolved is None:
+        return scoped(df, market, horizon, day, least, slices).withColumn("learn", F.lit(True))
+    d, dates = _by_scope(df, market, horizon, day, least, slices)
+    starts = dates.groupBy("scope", "tenth").agg(F.min(day).alias("next_")).withColumn("tenth", F.col("tenth") - 1)
+    rows = d.join(F.broadcast(dates.join(starts, ["scope", "tenth"], "left")), ["scope", day])  # one row a scope and date
+    return rows.withColumn("learn", F.coalesce(F.col(resolved) < F.col("next_"), F.lit(True))).drop("next_")
 
 
-def purged(df: DataFrame, day: str, resolved: str) -> DataFrame:
-    """Rows whose outcome is known before the next tenth begins, for learning; `learn` is false for the others."""
-    starts = df.groupBy("scope", "tenth").agg(F.min(day).alias("start_"))
-    nexts = starts.select("scope", (F.col("tenth") - 1).alias("tenth"), F.col("start_").alias("next_"))
-    return df.join(nexts, ["scope", "tenth"], "left").withColumn("learn", F.coalesce(F.col(resolved) < F.col("next_"), F.lit(True))).drop("next_")
+def places(scopes: list[str]) -> Column:
+    """The number of a row's scope."""
+    return (F.array_position(F.array(*map(F.lit, scopes)), F.col("scope")) - 1 if scopes else F.lit(0)).cast("int")
 
 
 def gram_matrices(rows: DataFrame, n_scopes: int, k: int) -> np.ndarray:
@@ -113,8 +129,25 @@ def ridge(gram: np.ndarray, used: np.ndarray, penalty: float) -> Linear:
     return Linear(weights, float(mean), centre, scale)
 
 
+#: Rows that are equal in all that a logistic model reads are one row with their number where that leaves at most this share of them.
+COUNTED = 0.25
+
+
 def logistic_models(rows: DataFrame, label: str, grams: np.ndarray, used: np.ndarray, penalty: float, rounds: int = 12) -> dict[tuple[int, int], Linear]:
-    """(scope, window) -> the minimum of mean logistic loss + penalty |weights|^2 over the tenths before the window, by Newton steps of all at once."""
+    """(scope, window) -> the minimum of mean logistic loss + penalty |weights|^2 over the tenths before the window, by Newton steps of all at once.
+
+    Steps read equal rows once, with their number, where many are equal.
+    """
+    own = F.array(*(F.col("x")[int(i)] for i in np.flatnonzero(used)))
+    own = rows.filter("learn").select("at", "tenth", F.col(label).cast("double").alias("label_"), own.alias("x"))
+    n, different = own.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*own.columns))).first()
+    if different > COUNTED * n:
+        return _newton(own.withColumn("n", F.lit(1.0)), grams, used, penalty, rounds)
+    with stored(own.groupBy(*own.columns).agg(F.count("*").cast("double").alias("n"))) as counted:
+        return _newton(counted, grams, used, penalty, rounds)
+
+
+def _newton(rows: DataFrame, grams: np.ndarray, used: np.ndarray, penalty: float, rounds: int) -> dict[tuple[int, int], Linear]:
     n_scopes, cols = len(grams), np.flatnonzero(used)
     k, keys = len(cols), [(s, w) for s in range(n_scopes) for w in WINDOWS]
     before = {(s, w): grams[s, :w].sum(0) for s, w in keys}
@@ -128,18 +161,18 @@ def logistic_models(rows: DataFrame, label: str, grams: np.ndarray, used: np.nda
             break
         asked, level = sorted(going), dict(now)
 
-        def sums(scope, tenth, learn, y, x):
+        def sums(scope, tenth, times, y, x):
             out = np.zeros((len(asked), size))
             for i, (s, w) in enumerate(asked):
-                here = (scope == s) & (tenth < w) & learn
+                here = (scope == s) & (tenth < w)
                 if here.any():
                     centre, scale = shape[s, w]
-                    z = np.column_stack([np.ones(here.sum()), (x[here][:, cols] - centre[cols]) / scale[cols]])
+                    z, u = np.column_stack([np.ones(here.sum()), (x[here] - centre[cols]) / scale[cols]]), times[here]
                     p = 1 / (1 + np.exp(-np.clip(z @ level[s, w], -30, 30)))
-                    out[i] = [*(z.T @ (p - y[here])), *((z * (p * (1 - p))[:, None]).T @ z).ravel()]
+                    out[i] = [*(z.T @ (u * (p - y[here]))), *((z * (u * p * (1 - p))[:, None]).T @ z).ravel()]
             return out.ravel()
 
-        found = totals(rows.withColumn("label_", F.col(label).cast("double")), sums, len(asked) * size, ("at", "tenth", "learn", "label_", "x")).reshape(len(asked), size)
+        found = totals(rows, sums, len(asked) * size, ("at", "tenth", "n", "label_", "x")).reshape(len(asked), size)
         ridge_ = 2 * penalty * np.diag([0.0] + [1.0] * k)
         for key, s in zip(asked, found, strict=True):
             slope, bend = s[: k + 1] / n[key] + ridge_ @ now[key], s[k + 1 :].reshape(k + 1, k + 1) / n[key] + ridge_ + 1e-9 * np.eye(k + 1)
@@ -266,14 +299,12 @@ def train(df: DataFrame, market: str, horizon: str, day: str, y: str, target: st
     """
     spark, names, k = df.sparkSession, [c.name for c in candidates], len(features)
     number = lambda c, default: F.coalesce(F.col(c).cast("double"), F.lit(default)) if c else F.lit(default)
-    rows = scoped(df.filter(F.col(y).isNotNull()), market, horizon, day, least)
-    rows = purged(rows, day, resolved) if resolved else rows.withColumn("learn", F.lit(True))
-    rows = rows.select(
+    rows = learnable(df.filter(F.col(y).isNotNull()), market, horizon, day, resolved, least).select(
         "scope", "tenth", "learn", clamp(F.col(y).cast("double"), -Y_LIMIT, Y_LIMIT).alias("y"), number(target, 0.0).alias("target"), number(stop, 0.0).alias("stop"), number(upside, 5.0).alias("upside"), number(loss, 4.0).alias("loss"),
         F.array(*(number(c, 0.0) for c in features)).alias("x"), F.array(*(number(c.columns[0], 0.0) if c.kind == "column" else F.lit(0.0) for c in candidates)).alias("given"))
-    scopes = [r.scope for r in rows.select("scope").distinct().orderBy("scope").collect()]  # a few a market
-    place = F.array_position(F.array(*map(F.lit, scopes)), F.col("scope")) - 1 if scopes else F.lit(0)
-    with stored(rows.withColumn("at", place.cast("int"))) as kept:
+    with stored(rows) as kept:
+        scopes = [r.scope for r in kept.select("scope").distinct().orderBy("scope").collect()]  # a few a market
+        kept = kept.withColumn("at", places(scopes))
         grams = gram_matrices(kept, len(scopes), k)
         used = {i: np.array([f in c.columns for f in features]) for i, c in enumerate(candidates)}
         linear = {(i, s, w): ridge(grams[s, :w].sum(0), used[i], c.penalty) for i, c in enumerate(candidates) if c.kind == "ridge" for s in range(len(scopes)) for w in WINDOWS}
@@ -284,8 +315,10 @@ def train(df: DataFrame, market: str, horizon: str, day: str, y: str, target: st
 
 def _judged(spark, scored: DataFrame, scopes: list[str], names: list[str], candidates: list[Candidate]) -> Committee:
     k = len(names)
-    stable = {(r.scope, r.candidate): r for r in stability(scored, names).collect()}
-    whole = {r.scope: r for r in stability_score(stability(scored, names)).collect()}
+    found = stability(scored, names)
+    known = found.collect()  # a row a scope and candidate
+    stable = {(r.scope, r.candidate): r for r in known}
+    whole = {r.scope: r for r in stability_score(spark.createDataFrame(known, found.schema)).collect()}
     valid, test = scored.filter(F.col("tenth").isin(*VALID)), scored.filter(F.col("tenth").isin(*TEST))
     shown = {(r.scope, r.candidate): r for r in by_candidate(test, "main", names).collect()}
     hits = {(r.scope, r.candidate): r.hit_rate for r in by_candidate(valid, "main", names).collect()}
@@ -298,8 +331,7 @@ def _judged(spark, scored: DataFrame, scopes: list[str], names: list[str], candi
             out[s] = np.column_stack([z.T @ z, np.full(k + 1, len(z))])
         return out.ravel()
 
-    at = (F.array_position(F.array(*map(F.lit, scopes)), F.col("scope")) - 1).cast("int") if scopes else F.lit(0)
-    sums = totals(valid.withColumn("at", at), products, len(scopes) * (k + 1) * (k + 2), ("at", "y", "main")).reshape(len(scopes), k + 1, k + 2)
+    sums = totals(valid.withColumn("at", places(scopes)), products, len(scopes) * (k + 1) * (k + 2), ("at", "y", "main")).reshape(len(scopes), k + 1, k + 2)
     tried, priors, choice = [], {}, {}
     for s in scopes:
         g, n = sums[place[s]], max(1.0, sums[place[s], 0, -1])

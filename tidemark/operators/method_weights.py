@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.committee import purged, scoped
+from tidemark.operators.committee import learnable, places
 from tidemark.operators.models import simplex_projection
 from tidemark.operators.selection import LEAST_WEIGHT, totals
 from tidemark.sources.stored import stored
@@ -48,14 +48,13 @@ def calibrate(df: DataFrame, market: str, horizon: str, day: str, y: str, method
     LEAST_ROWS rows, or a window without rows, are left out.
     """
     spark, k = df.sparkSession, len(methods)
-    rows = scoped(df.filter(F.col(y).isNotNull()), market, horizon, day, LEAST_ROWS, SLICES)
-    rows = purged(rows, day, resolved) if resolved else rows.withColumn("learn", F.lit(True))
+    rows = learnable(df.filter(F.col(y).isNotNull()), market, horizon, day, resolved, LEAST_ROWS, SLICES)
     w = F.greatest(F.lit(LEAST_WEIGHT), F.coalesce(F.col(weight).cast("double"), F.lit(1.0))) if weight else F.lit(1.0)
     rows = rows.select("scope", "tenth", "learn", F.col(y).cast("double").alias("y"), w.alias("w"), F.array(*(F.coalesce(F.col(m).cast("double"), F.lit(0.0)) for m in methods)).alias("x"))
-    scopes = [r.scope for r in rows.select("scope").distinct().orderBy("scope").collect()]  # a few a market
-    place = F.array_position(F.array(*map(F.lit, scopes)), F.col("scope")) - 1 if scopes else F.lit(0)
-    n = len(scopes)
-    with stored(rows.withColumn("at", place.cast("int"))) as kept:
+    # weights only add up, so rows that are equal in all else are one row with their weight
+    with stored(rows.groupBy("scope", "tenth", "learn", "y", "x").agg(F.sum("w").alias("w"))) as kept:
+        scopes = [r.scope for r in kept.select("scope").distinct().orderBy("scope").collect()]  # a few a market
+        n, kept = len(scopes), kept.withColumn("at", places(scopes))
 
         def grams(at, tenth, learn, y, w, x):
             out = np.zeros((2, n * SLICES, k + 2, k + 2))
