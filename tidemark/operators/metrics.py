@@ -75,11 +75,19 @@ def auc_ap(df: DataFrame, by: list[str], p: str = "probability", y: str = "actua
 
 
 def top_share(df: DataFrame, by: list[str], score: str, order: list[str], y: str = "actual", share: float = 0.1) -> DataFrame:
-    """Hit rate of the ceil(share n) rows with the highest score, at least one."""
-    nth = F.row_number().over(W.partitionBy(*by).orderBy(F.desc(score), *order))
-    n = F.count("*").over(W.partitionBy(*by))
-    top = df.withColumns({"nth_": nth, "n_": n}).filter(F.col("nth_") <= F.greatest(F.lit(1), F.ceil(F.col("n_") * share - 1e-9)))
-    return top.groupBy(*by).agg(F.count("*").alias("selected"), F.avg(F.col(y).cast("double")).alias("hit_rate"))
+    """Hit rate of the ceil(share n) rows with the highest score, at least one.
+
+    Scores that count as a whole are summed; only the rows of the score on the border are sorted.
+    """
+    hit, w = F.col(y).cast("double"), W.partitionBy(*by)
+    g = df.groupBy(*by, score).agg(F.count("*").alias("c_"), F.sum(hit).alias("sum_"), F.count(y).alias("known_"))
+    g = g.withColumns({"n_": F.sum("c_").over(w), "upto_": F.sum("c_").over(w.orderBy(F.desc(score)))})
+    g = g.withColumn("left_", F.greatest(F.lit(1), F.ceil(F.col("n_") * share - 1e-9)) - F.col("upto_") + F.col("c_"))
+    border = g.filter("left_ > 0 and left_ < c_").select(*(F.col(c).alias(f"{c}_at_") for c in [*by, score]), "left_")
+    ties = df.join(F.broadcast(border), [F.col(c).eqNullSafe(F.col(f"{c}_at_")) for c in [*by, score]])  # one row a group
+    ties = ties.withColumn("nth_", F.row_number().over(w.orderBy(*order))).filter(F.col("nth_") <= F.col("left_"))
+    parts = g.filter("left_ >= c_").select(*by, "c_", "sum_", "known_").unionByName(ties.select(*by, F.lit(1).cast("long").alias("c_"), hit.alias("sum_"), hit.isNotNull().cast("long").alias("known_")))
+    return parts.groupBy(*by).agg(F.sum("c_").alias("selected"), F.try_divide(F.sum("sum_"), F.sum("known_")).alias("hit_rate"))
 
 
 def regression(df: DataFrame, by: list[str], p: str = "predicted_return", y: str = "actual_return") -> DataFrame:
