@@ -6,6 +6,7 @@ the size of the model reach the driver.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -151,6 +152,19 @@ BLENDS = {
 }
 
 
+#: Rows of a task that ranks the rows of dates.
+DATE_ROWS = 100_000
+
+
+def by_dates(df: DataFrame, date: str) -> DataFrame:
+    """The rows dealt by ranges of dates, about DATE_ROWS a task (a date is never parted).
+
+    A task that ranks several columns holds a sort for each; left to shuffle partitions or their size in
+    bytes, its rows and so its memory grow with the table.
+    """
+    return df.repartitionByRange(max(1, math.ceil(df.count() / DATE_ROWS)), date)
+
+
 def percentiles(df: DataFrame, date: str, components: list[str]) -> DataFrame:
     """pct_<component>: its place in [0, 1] among the rows of the date, ties at their mean; 0.5 for a single row."""
     n = F.count("*").over(W.partitionBy(date))
@@ -159,21 +173,27 @@ def percentiles(df: DataFrame, date: str, components: list[str]) -> DataFrame:
         ties = F.count("*").over(W.partitionBy(date, c))
         return F.when(n > 1, (F.rank().over(W.partitionBy(date).orderBy(c)) - 1 + (ties - 1) / 2.0) / (n - 1)).otherwise(F.lit(0.5))
 
-    return df.withColumns({f"pct_{c}": place(c) for c in components})
-
+    return by_dates(df, date).withColumns({f"pct_{c}": place(c) for c in components})
 
-def blend_metrics(df: DataFrame, date: str, y: str, direction: str, tie: list[str], blends: dict[str, dict[str, float]] = BLENDS, top: int = 10) -> DataFrame:
-    """One row for each blend of percentiles: how its daily top rows do.
 
-    top_direction_pct over the `top` rows of each date, top_decile return and its lift over all rows; admissible blends gain on rank-only in
-    direction or in return without losing much of the other; the selected one has the best objective among them.
-    """
-    scored = df.select(date, y, direction, *tie, F.explode(F.array(*(F.struct(F.lit(name).alias("blend"), sum((F.col(f"pct_{c}") * (v / sum(parts.values())) for c, v in parts.items()), F.lit(0.0)).alias("score")) for name, parts in blends.items()))).alias("x")).select(date, y, direction, *tie, "x.*")
+def _placed(df: DataFrame, date: str, columns: list[str], tie: list[str], blends: dict[str, dict[str, float]]) -> DataFrame:
+    """columns and blend for every row and blend of percentiles, with its place at_ among the n_ rows of the date."""
+    rows = list(dict.fromkeys([date, *columns, *tie]))
+    scored = df.select(*rows, F.explode(F.array(*(F.struct(F.lit(name).alias("blend"), sum((F.col(f"pct_{c}") * (v / sum(parts.values())) for c, v in parts.items()), F.lit(0.0)).alias("score")) for name, parts in blends.items()))).alias("x")).select(*rows, "x.*")
     by = W.partitionBy("blend", date)
-    placed = scored.withColumns({"at_": F.row_number().over(by.orderBy(F.desc(F.round("score", 9)), *tie)), "n_": F.count("*").over(by)})
-    tenth = F.col("at_") <= F.ceil(F.col("n_") * 0.1)
-    g = placed.groupBy("blend").agg((100 * F.avg(F.when(F.col("at_") <= top, F.col(direction).cast("double")))).alias("top_direction_pct"), F.avg(F.when(tenth, F.col(y))).alias("top_return"), F.avg(y).alias("mean_"))
-    g = g.withColumn("lift", F.col("top_return") - F.col("mean_")).drop("mean_")
+    return scored.withColumns({"at_": F.row_number().over(by.orderBy(F.desc(F.round("score", 9)), *tie)), "n_": F.count("*").over(by)})
+
+
+def _measures(y: str, direction: str, top: int, counts: Column) -> dict[str, Column]:
+    """Aggregates over the placed rows that count."""
+    tenth = counts & (F.col("at_") <= F.ceil(F.col("n_") * 0.1))
+    first = counts & (F.col("at_") <= top)
+    top_return = F.avg(F.when(tenth, F.col(y)))
+    return {"top_direction_pct": 100 * F.avg(F.when(first, F.col(direction).cast("double"))), "top_return": top_return, "lift": top_return - F.avg(F.when(counts, F.col(y)))}
+
+
+def _judged(g: DataFrame) -> DataFrame:
+    """One row a blend with objective, admissible and selected."""
     base = lambda c: F.max(F.when(F.col("blend") == "rank-only", F.col(c))).over(W.partitionBy())  # noqa: E731, one row a blend
     d_gain, r_gain, l_gain = (F.col(c) - base(c) for c in ("top_direction_pct", "top_return", "lift"))
     admissible = (F.col("blend") == "rank-only") | ((d_gain >= 0.5) & (r_gain >= -0.02) & (l_gain >= -0.02)) | ((r_gain >= 0.05) & (d_gain >= 0) & (l_gain >= 0.03))
@@ -182,8 +202,21 @@ def blend_metrics(df: DataFrame, date: str, y: str, direction: str, tie: list[st
     return g.withColumn("selected", best)
 
 
+def blend_metrics(df: DataFrame, date: str, y: str, direction: str, tie: list[str], blends: dict[str, dict[str, float]] = BLENDS, top: int = 10) -> DataFrame:
+    """One row for each blend of percentiles: how its daily top rows do.
+
+    top_direction_pct over the `top` rows of each date, top_decile return and its lift over all rows; admissible blends gain on rank-only in
+    direction or in return without losing much of the other; the selected one has the best objective among them.
+    """
+    found = _measures(y, direction, top, F.lit(True))
+    return _judged(_placed(df, date, [y, direction], tie, blends).groupBy("blend").agg(*(v.alias(c) for c, v in found.items())))
+
+
 def inner_block(df: DataFrame, date: str, first_test: float = 0.8, first_inner: float = 0.6, purge: int = 5) -> DataFrame:
-    """part: inner for the dates on which a choice is made, test for those on which it is judged; `purge` dates between them are left out."""
+    """part: inner for the dates on which a choice is made, test for those on which it is judged; `purge` dates between them are left out.
+
+    A date's rows stay together, so what is ranked by date may be ranked after this, over fewer rows.
+    """
     dates = df.select(date).distinct().withColumn("i_", F.row_number().over(W.orderBy(date)) - 1)  # one row a date
     n = F.count("*").over(W.partitionBy())
     a, b = F.floor(n * first_inner), F.floor(n * first_test)
@@ -193,10 +226,14 @@ def inner_block(df: DataFrame, date: str, first_test: float = 0.8, first_inner:
 
 def chosen_blend(df: DataFrame, date: str, y: str, direction: str, tie: list[str], blends: dict[str, dict[str, float]] = BLENDS, top: int = 10, purge: int = 5) -> DataFrame:
     """blend_metrics() of the inner block with what the blends do on the test dates (test_<metric>), whose outcomes no choice has seen."""
-    parts = inner_block(df, date, purge=purge)
-    inner, test = (blend_metrics(parts.filter(F.col("part") == p), date, y, direction, tie, blends, top) for p in ("inner", "test"))
-    judged = test.select("blend", *(F.col(c).alias(f"test_{c}") for c in ("top_direction_pct", "top_return", "lift")))
-    return inner.join(judged, "blend", "left")
+    return blends_of_parts(inner_block(df, date, purge=purge), date, y, direction, tie, blends, top)
+
+
+def blends_of_parts(parts: DataFrame, date: str, y: str, direction: str, tie: list[str], blends: dict[str, dict[str, float]] = BLENDS, top: int = 10) -> DataFrame:
+    """As chosen_blend(), of rows that have their part; both parts are ranked in one pass."""
+    inner, test = (_measures(y, direction, top, F.col("part") == p) for p in ("inner", "test"))
+    both = _placed(parts, date, [y, direction, "part"], tie, blends).groupBy("blend").agg(F.count(F.when(F.col("part") == "inner", 1)).alias("rows_"), *(v.alias(c) for c, v in inner.items()), *(v.alias(f"test_{c}") for c, v in test.items()))
+    return _judged(both.filter("rows_ > 0").drop("rows_"))
 
 
 def lower_by_risk(score: Column | str, risk: Column | str, base: float, strength: float = 0.5) -> Column:
