@@ -77,7 +77,8 @@ FROM {side('inner')} i LEFT JOIN {side('test')} t ON t.blend = i.blend"""
 def ranking_choice(spark, sf_dir):
     """The blend chosen on an inner block of dates, and what every blend does on the dates after a purge."""
     parts = sorted({c for b in op.BLENDS.values() for c in b})
-    out = op.chosen_blend(op.percentiles(_rows(spark, sf_dir), "day", parts), "day", "actual_return", "actual", ID)
+    rows = op.inner_block(_rows(spark, sf_dir), "day")
+    out = op.blends_of_parts(op.percentiles(rows, "day", parts), "day", "actual_return", "actual", ID)
     return out.select("blend", "admissible", "selected", *map(r6, ("top_direction_pct", "lift", "objective", "test_top_direction_pct", "test_top_return", "test_lift")))
 
 
