@@ -77,6 +77,25 @@ def scores(model: PipelineModel, rows: DataFrame, learner: Learner, name: str) -
     return out.select(*rows.columns, *(c for c in out.columns if c == name or c.startswith(f"{name}_")))
 
 
+#: Rows of a task that a fit reads.
+FIT_ROWS = 250_000
+
+
+def for_fits(df: DataFrame, key: list[str]) -> DataFrame:
+    """The rows, kept (they spill to disk) in a part for each FIT_ROWS of them, at least one a core; key tells rows apart.
+
+    Boosting runs hundreds of stages, and each task of each stage sends its report to the driver; left to shuffle
+    partitions, few rows are read by many tasks. Trees draw their candidate splits by part and place, so rows stand in
+    order: reruns agree, whatever the shuffle partitions.
+    """
+    whole = df.persist()
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-whole.count() // FIT_ROWS))
+    out = whole.repartition(parts, *key).sortWithinPartitions(*key).persist()
+    out.count()
+    whole.unpersist()
+    return out
+
+
 def out_of_fold(df: DataFrame, features: list[str], learners: dict[str, Learner], fold: str = "fold", part: str = "part", weight: str | None = None) -> DataFrame:
     """Test rows of every fold (rows with fold and part: train or test) with the scores of models that saw only the fold's training rows."""
     out = None

@@ -93,7 +93,7 @@ def _training(spark, sf_dir):
 def oof_scores(spark, sf_dir):
     """Purged out-of-fold scores of all base learners; a test holds them against planted signals."""
     d, factors = _training(spark, sf_dir)
-    folds = panel.walk_forward(d, "day", folds=2, purge=8).persist()  # every fit reads it; spills to disk
+    folds = op.for_fits(panel.walk_forward(d, "day", folds=2, purge=8), ["symbol", "day", "fold"])  # every fit reads it
     return op.out_of_fold(folds, factors, op.BASE).select("symbol", "day", "fold", "label", *(c for n in op.BASE for c in ([f"{n}_{i}" for i in range(3)] if n == "outcome" else [n])))
 
 
