@@ -75,6 +75,35 @@ def test_automaton_counts_all_phrases():
         assert found == want
 
 
+def test_windows_hold_each_position_once():
+    rng = random.Random(2)
+    for letters in (1, 2, 3, 9):
+        for most in (2, 3, 5):
+            runs = [[rng.randrange(letters) for _ in range(rng.randrange(2, 30))] for _ in range(20)]
+            own, every = phrases.Automaton(), [w for r in runs for w in r]
+            for r in runs:
+                own.add(r, heads=most - 1)
+            found = {tuple(every[e - k + 1 : e + 1]): n for k, ends, times in own.windows(most) for e, n in zip(ends.tolist(), times.tolist())}
+            assert found == Counter(tuple(r[max(0, i - most) : i]) for r in runs for i in range(2, len(r) + 1))
+
+
+def test_a_word_sends_one_row_at_most(spark, monkeypatch):
+    by_shards, sent = phrases.by_shards, []
+
+    def seen(docs, task, schema, at_once):
+        out = by_shards(docs, task, schema, at_once)
+        if schema.startswith("phrase"):
+            sent.append(tuple(out.selectExpr("count(*)", "sum(n)").first()))
+        return out
+
+    monkeypatch.setattr(phrases, "by_shards", seen)
+    rng = random.Random(4)
+    rows = [(" ".join(rng.choice("abcdefghijkl") for _ in range(50)), "en") for _ in range(40)]
+    assert got(spark, rows, least=5) == brute(rows, 5, 5, 2000)
+    ((n, times),) = sent
+    assert n <= times <= 40 * 50
+
+
 def test_edges(spark):
     assert got(spark, []) == set()
     assert got(spark, [(None, None), ("a b", "en")]) == set()

@@ -8,8 +8,10 @@ counts words exactly, then sieves:
 2. Pairs: of words that the first sieve lets through, by 64-bit hashes of language and words.
 3. Phrases: runs in which every pair comes through the second sieve go into a generalised suffix
    automaton for each shard of SHARD_WORDS words. Each state has the number of its end positions; a
-   state stands for all phrases longer than its suffix link's and up to its own length. Phrases of two
-   to `most_words` words are enumerated from the states, and Spark sums their counts by their words.
+   state stands for all phrases longer than its suffix link's and up to its own length. A task sends
+   windows only: the last `most_words` words up to each position, fewer at the start of a run. Spark
+   deals them by their ends and sums each phrase over the windows that end with it, so a word sends
+   one row at most, where it stands in up to `most_words` - 1 phrases that end there.
 
 A sieve is a bitmap of the hashes that are frequent, of at most MOST_BITS bits. Sums by hash are
 never too small, so a sieve loses nothing, however full it is; it only spares shuffles, and all counts
@@ -189,6 +191,7 @@ class Automaton:
     def __init__(self) -> None:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length, self.times, self.end = [-1], [0], [0], [-1]
+        self.heads: dict[int, int] = {}
         self.n = 0
 
     def _state(self, follow: dict[int, int], link: int, length: int, end: int) -> int:
@@ -209,8 +212,11 @@ class Automaton:
             p = link[p]
         return apart
 
-    def add(self, run: list[int], uncounted: int = 0) -> None:
-        """Adds a run; its first `uncounted` positions are known already as the end of the run before."""
+    def add(self, run: list[int], uncounted: int = 0, heads: int = 0) -> None:
+        """Adds a run; its first `uncounted` positions are known already as the end of the run before.
+
+        Of its first `heads` positions, the whole start of the run up to there is counted in `heads` too.
+        """
         nexts, link, length = self.next, self.link, self.length
         last = 0
         for i, word in enumerate(run):
@@ -229,6 +235,8 @@ class Automaton:
                 last = new
             if i >= uncounted:
                 self.times[last] += 1
+            if i < heads:
+                self.heads[last] = self.heads.get(last, 0) + 1
         self.n += len(run)
 
     def phrases(self, lengths: range) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -243,6 +251,18 @@ class Automaton:
             here = (shorter < words) & (length >= words) & (n > 0)
             yield words, end[here], n[here]
 
+    def windows(self, most_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """As phrases(), of windows: the last `most_words` words up to a position, or two words or more from the start of a run.
+
+        A start is the longest phrase of its state, and stays so when states are split.
+        """
+        yield from self.phrases(range(most_words, most_words + 1))
+        states, n = np.array(list(self.heads), np.int64), np.array(list(self.heads.values()), np.int64)
+        length, end = np.array(self.length)[states], np.array(self.end)[states]
+        for words in range(2, most_words):
+            here = length == words
+            yield words, end[here], n[here]
+
 
 def runs_of(numbers: np.ndarray, hashes: np.ndarray, words_through: np.ndarray, pairs) -> list[tuple[int, int]]:
     """(start, end) of the longest runs of two words or more whose pairs all come through."""
@@ -264,7 +284,7 @@ def automata(words: Words, numbers: np.ndarray, sieves, most_words: int, shard_w
     for start, end in runs_of(numbers, hashes, through, pair_sieve):
         for at in range(start, max(start + 1, end - overlap), shard_words):
             part = numbers[at : min(end, at + shard_words + overlap)]
-            own.add(part.tolist(), 0 if at == start else overlap)
+            own.add(part.tolist(), *((0, overlap) if at == start else (overlap, 0)))
             held.append(part)
             if own.n >= shard_words:
                 yield own, np.concatenate(held)
@@ -273,11 +293,8 @@ def automata(words: Words, numbers: np.ndarray, sieves, most_words: int, shard_w
         yield own, np.concatenate(held)
 
 
-def counted_phrases(docs: DataFrame, sieves, most_words: int, shard_words: int) -> DataFrame:
-    """lang, phrase, size, n of all phrases of two words or more whose words and pairs come through the sieves.
-
-    Rows are dealt by phrase before they are added up, as each task has added up its own.
-    """
+def counted_windows(docs: DataFrame, sieves, most_words: int, shard_words: int) -> DataFrame:
+    """lang, phrase, size, n of all windows whose words and pairs come through the sieves; a row for each task that has one, or more."""
 
     def task() -> Callable:
         totals: dict[str, dict[bytes, int]] = {}
@@ -293,7 +310,7 @@ def counted_phrases(docs: DataFrame, sieves, most_words: int, shard_words: int)
                 return sent(lang)
             total, names = totals.setdefault(lang, {}), words.names
             for own, every in automata(words, numbers, sieves.value, most_words, shard_words):
-                for length, ends, n in own.phrases(range(2, most_words + 1)):
+                for length, ends, n in own.windows(most_words):
                     found = zip(*(every[ends - back].tolist() for back in range(length - 1, -1, -1)), strict=True)
                     for phrase, times in zip(found, n.tolist(), strict=True):
                         name = b" ".join([names[w] for w in phrase])
@@ -302,8 +319,23 @@ def counted_phrases(docs: DataFrame, sieves, most_words: int, shard_words: int)
 
         return add
 
-    parts = by_shards(docs, task, "phrase string, size int, n long", WORDS_AT_ONCE)
-    return parts.repartition("lang", "phrase").groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
+    return by_shards(docs, task, "phrase string, size int, n long", WORDS_AT_ONCE)
+
+
+def counted_phrases(windows: DataFrame, least: int) -> DataFrame:
+    """lang, phrase, size, n of all phrases of two words or more found `least` times, from windows that may come in several rows.
+
+    A phrase is found once for each window that ends with it. Windows are dealt by their last three words,
+    so all that end with a phrase of three words or more are together, and a task counts it wholly. Pairs are
+    summed over the phrases of three words that end with them, as one common pair may end a large share of all windows.
+    """
+    by = ["lang", "last", "phrase", "size"]
+    cut = lambda df: df.withColumn("phrase", F.expr("substring_index(phrase, ' ', -k)")).withColumn("size", F.col("k")).drop("k")
+    dealt = windows.withColumn("last", F.substring_index("phrase", " ", -3)).repartition("lang", "last").groupBy(by).agg(F.sum("n").alias("n"))
+    ends = cut(dealt.withColumn("k", F.explode(F.sequence(F.least(F.lit(3), "size"), "size"))))
+    whole = ends.groupBy(by).agg(F.sum("n").alias("n")).drop("last").withColumn("k", F.explode(F.expr("if(size = 3, array(3, 2), array(size))")))
+    parts = cut(whole.filter((F.col("k") == 2) | (F.col("n") >= least)))
+    return parts.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
 def _words_of(k: Column | int, rest: bool = False) -> Column:
@@ -320,7 +352,8 @@ def counts(docs: DataFrame, least: int, most_words: int, shard_words: int = SHAR
     common = words.filter(F.col("n") >= least)
     word_sieve = sieve_of(common.select("hash"))
     pair_sieve = sieve_of(durable(frequent_pairs(docs, shared(word_sieve), least)))
-    longer = durable(counted_phrases(docs, shared(word_sieve, pair_sieve), most_words, shard_words).filter(F.col("n") >= least))
+    windows = counted_windows(docs, shared(word_sieve, pair_sieve), most_words, shard_words)
+    longer = durable(counted_phrases(windows, least))
     single = common.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "n")
     return single.unionByName(longer), words.groupBy("lang").agg(F.sum("n").alias("n"))
 
