@@ -98,3 +98,30 @@ def test_lowest_hashes_without_a_limit_of_every_partition(spark, wanted, n):
     want = [r.entry for r in rows.orderBy(F.xxhash64("entry"), "entry").limit(wanted).collect()]
     assert [r.entry for r in rabitq.lowest(rows, wanted, n)] == want[:wanted]
     assert [r.entry for r in rabitq.lowest(rows, 20, n, 3)] == [r.entry for r in rows.orderBy(F.xxhash64("entry", F.lit(3)), "entry").limit(20).collect()]
+
+
+def broadcasts(node):
+    """Bytes of each broadcast of a plan that has run."""
+    name = node.nodeName()
+    if name == "BroadcastExchange":
+        yield node.metrics().apply("dataSize").value()
+    inner = [node.executedPlan()] if name.startswith("AdaptiveSparkPlan") else [node.plan()] if "QueryStage" in name else []
+    for x in inner or [node.children().apply(i) for i in range(node.children().size())]:
+        yield from broadcasts(x)
+
+
+def test_what_queries_send_to_blocks_is_not_broadcast(spark, monkeypatch):
+    """Files of rows that repeat a vector for each block are small, the rows are not: Spark took them for a small table."""
+    monkeypatch.setattr(rabitq, "CODES_AT_ONCE", 10)
+    x = np.random.default_rng(5).standard_normal((6000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "entry long, embedding array<double>")
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "1200k")
+    try:
+        index = rabitq.Index(df, 64, rabitq.EPSILON, rabitq.SEED)
+        found = index.visit(df.filter("entry % 20 = 0"), 10, len(index.pivots))
+        assert {r.q for r in found.collect()} == set(range(0, 6000, 20))
+    finally:
+        spark.conf.set(threshold, before)
+    assert max(broadcasts(found._jdf.queryExecution().executedPlan()), default=0) < 10e6

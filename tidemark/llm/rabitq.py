@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, read
+from tidemark.llm.common import durable, pieces, read
 
 EPSILON = 2.5
 RECALL = 0.97
@@ -175,14 +175,12 @@ class Index:
         d, pivots, first, epsilon, seed = self.d, self.pivots, self.first, self.epsilon, self.seed
         visits = min(visits, len(pivots))
 
-        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                vectors, asked = _matrix(batch.column("embedding")), batch.column("entry").to_numpy()
-                for start, part in distances(vectors, pivots):
-                    near = np.argpartition(part, visits - 1, axis=1)[:, :visits]
-                    for i, own in enumerate(near, start):
-                        blocks = np.concatenate([np.arange(first[p], first[p + 1]) for p in own])
-                        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(np.full(len(blocks), asked[i]), pa.int64()), pa.array([_to_bytes(vectors[i : i + 1])] * len(blocks), pa.binary())], names=["block", "q", "vector"])
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches):
+                vectors = _matrix(batch.column("embedding"))
+                near = [row for _, part in distances(vectors, pivots) for row in np.argpartition(part, visits - 1, axis=1)[:, :visits]]
+                values = [batch.column("entry"), pa.array([_to_bytes(v[None]) for v in vectors], pa.binary()), pa.array(near, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(values, names=["q", "vector", "near"])
 
         def pack(table: pa.Table) -> pa.Table:
             vectors = np.concatenate([_from_bytes(v.as_py(), 1, d) for v in table.column("vector")])
@@ -207,11 +205,21 @@ class Index:
                 q, e, s = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(e, pa.int64()), pa.array(s, pa.float64())], names=["q", "entry", "score"])
 
-        dealt = durable(queries.select("entry", "embedding").mapInArrow(deal, "block long, q long, vector binary"))
-        parts = dealt.groupBy("block").agg(F.ceil(F.count("*") / QUERIES_AT_ONCE).alias("packets"))
-        packets = dealt.join(parts, "block").withColumn("packet", F.pmod(F.xxhash64("q", F.lit(2)), F.col("packets")))
-        packets = packets.groupBy("block", "packet").applyInArrow(pack, "block long, asked binary, asked_vectors binary")
-        return self.blocks.join(packets, "block").mapInArrow(rerank, "q long, entry long, score double")
+        chosen = durable(queries.select("entry", "embedding").mapInArrow(choose, "q long, vector binary, near array<int>"))
+        asking = {r.pivot: r.n for r in chosen.select(F.explode("near").alias("pivot")).groupBy("pivot").agg(F.count("*").alias("n")).collect()}  # one row a pivot
+        packets = np.array([-(-asking.get(p, 0) // QUERIES_AT_ONCE) for p in range(len(pivots))])
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in _rows(batches):
+                own = np.array(row["near"])
+                blocks, parts = (np.concatenate(x) for x in zip(*((np.arange(first[p], first[p + 1]), np.full(first[p + 1] - first[p], packets[p])) for p in own), strict=True))
+                values = [pa.array(blocks, pa.int64()), pa.array(parts, pa.int64()), pa.array(np.full(len(blocks), row["q"]), pa.int64()), pa.array([row["vector"]] * len(blocks), pa.binary())]
+                yield pa.RecordBatch.from_arrays(values, names=["block", "packets", "q", "vector"])
+
+        # Spark does not see how much Python makes of a row: by the size of the files it would broadcast what queries send
+        dealt = chosen.mapInArrow(deal, "block long, packets long, q long, vector binary").withColumn("packet", F.pmod(F.xxhash64("q", F.lit(2)), F.col("packets")))
+        packed = dealt.groupBy("block", "packet").applyInArrow(pack, "block long, asked binary, asked_vectors binary")
+        return self.blocks.join(packed.hint("merge"), "block").mapInArrow(rerank, "q long, entry long, score double")
 
     def needed_visits(self, queries: DataFrame, k: int, recall: float) -> int:
         """How many nearest pivots hold `recall` of the k nearest entries of at most CALIBRATION queries, chosen by hash."""
