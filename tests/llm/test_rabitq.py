@@ -125,3 +125,13 @@ def test_what_queries_send_to_blocks_is_not_broadcast(spark, monkeypatch):
     finally:
         spark.conf.set(threshold, before)
     assert max(broadcasts(found._jdf.queryExecution().executedPlan()), default=0) < 10e6
+
+
+def test_lots_packets_and_element_type_change_nothing(spark, monkeypatch):
+    x = np.random.default_rng(6).standard_normal((600, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    want = result(rabitq.nearest(df, F.col("vec_id") % 10 == 0, visits=5))
+    assert len(want) == 60 and {len(v) for v in want.values()} == {10}
+    for name, value in (("LOTS", 3), ("QUERIES_A_PACKET", 20), ("QUERIES_AT_ONCE", 3)):
+        monkeypatch.setattr(rabitq, name, value)
+    assert result(rabitq.nearest(df.withColumn("embedding", F.col("embedding").cast("array<double>")), F.col("vec_id") % 10 == 0, visits=5)) == want

@@ -8,12 +8,12 @@ third of all vectors is many blocks.
 
 Search. A query visits its nearest pivots, as many as it takes for RECALL of the true neighbours of a
 bounded sample of CALIBRATION queries to lie with them; those are searched in all blocks to find this
-out. The queries that visit a block travel to it in packed rows, so its vectors move once, and again
-only for every QUERIES_AT_ONCE queries more. There, for a query's unit direction q, <x, q> / f estimates
-<o, q>; the error lies within epsilon * sqrt((1 - f^2) / (f^2 (d - 1))) but for a probability that falls
-exponentially with epsilon^2. This gives bounds on every distance: vectors whose lower bound is under the
-k-th smallest upper bound are reranked by their exact distance, and each visit sends on k + 1 results.
-With `visits` as large as the number of pivots every block is searched.
+out. Queries travel in packed rows to lots of blocks, so that what they send grows with their number
+alone, and a block's vectors move once; a block meets each packet of its lot, and the queries in it that
+visit the block. There, for a query's unit direction q, <x, q> / f estimates <o, q>; the error lies
+within epsilon * sqrt((1 - f^2) / (f^2 (d - 1))) but for a probability that falls exponentially with
+epsilon^2. This gives bounds on every distance: vectors whose lower bound is under the k-th smallest upper
+bound are reranked by their exact distance, and each visit sends on k + 1 results. With `visits` as large as the number of pivots every block is searched.
 
 Where vectors form no groups, neighbours lie with many pivots, and the number of visits, which follows
 the data, grows with the number of pivots; where they do, it hardly grows, and the work is about
@@ -39,13 +39,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, pieces, read
+from tidemark.llm.common import discard, durable, pieces, read
 
 EPSILON = 2.5
 RECALL = 0.97
 CALIBRATION = 64
 CODES_AT_ONCE = 4096
 QUERIES_AT_ONCE = 256
+#: A packet of so many queries is about as large as a block of codes and vectors.
+QUERIES_A_PACKET = 4096
+#: Blocks are searched in so many lots at most; a query travels once to each lot that holds a block it visits.
+LOTS = 128
 #: Distances from vectors to pivots that a task holds at once.
 DISTANCES_AT_ONCE = 4_000_000
 SEED = 20
@@ -80,10 +84,11 @@ def bounds(queries: np.ndarray, codes: np.ndarray, norm: np.ndarray, f: np.ndarr
 
 
 def valid(df: DataFrame) -> DataFrame:
-    """vec_id and embedding (array of double) of the vectors that take part."""
+    """vec_id and embedding (an array of float where the table has one, else of double) of the vectors that take part."""
     v = F.col("embedding")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = "array<float>" if df.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     return rows.filter(F.col("vec_id").isNotNull() & v.isNotNull()).filter(fine)
 
 
@@ -94,7 +99,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.stack(column.to_numpy(zero_copy_only=False)) if len(column) else np.empty((0, 0))
+    """Of vectors of one length without nulls."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(float) if len(column) else np.empty((0, 0))
 
 
 def _to_bytes(vectors: np.ndarray) -> bytes:
@@ -152,7 +158,7 @@ class Index:
                 near = [part.argmin(1) for _, part in distances(_matrix(batch.column("embedding")), pivots)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(near) if near else [], pa.int64())], names=["entry", "embedding", "pivot"])
 
-        return entries.select("entry", "embedding").mapInArrow(run, "entry long, embedding array<double>, pivot long")
+        return entries.select("entry", "embedding").mapInArrow(run, f"entry long, embedding {entries.schema['embedding'].dataType.simpleString()}, pivot long")
 
     def _packed(self) -> DataFrame:
         """A pivot's vectors over its blocks: codes, norm and f beside the vectors themselves."""
@@ -172,54 +178,55 @@ class Index:
 
     def visit(self, queries: DataFrame, k: int, visits: int) -> DataFrame:
         """q, entry, score: the k + 1 nearest (with ties) that queries (entry, embedding) find in each block of their `visits` nearest pivots."""
-        d, pivots, first, epsilon, seed = self.d, self.pivots, self.first, self.epsilon, self.seed
-        visits = min(visits, len(pivots))
-
-        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in pieces(batches):
-                vectors = _matrix(batch.column("embedding"))
-                near = [row for _, part in distances(vectors, pivots) for row in np.argpartition(part, visits - 1, axis=1)[:, :visits]]
-                values = [batch.column("entry"), pa.array([_to_bytes(v[None]) for v in vectors], pa.binary()), pa.array(near, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(values, names=["q", "vector", "near"])
-
-        def pack(table: pa.Table) -> pa.Table:
-            vectors = np.concatenate([_from_bytes(v.as_py(), 1, d) for v in table.column("vector")])
-            values = {"asked": table.column("q").to_numpy().astype("<i8").tobytes(), "asked_vectors": _to_bytes(vectors)}
-            return pa.table({"block": table.column("block").slice(0, 1)} | {n: pa.array([v], pa.binary()) for n, v in values.items()})
+        d, pivots, epsilon, seed = self.d, self.pivots, self.epsilon, self.seed
+        visits, blocks_of = min(visits, len(pivots)), np.diff(self.first)
+        together = max(1, -(-int(self.first[-1]) // LOTS))  # blocks a lot
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches, QUERIES_A_PACKET):
+                vectors, asked = _matrix(batch.column("embedding")), batch.column("entry").to_numpy().astype("<i8")
+                near = np.zeros((len(asked), len(pivots)), bool)
+                for start, part in distances(vectors, pivots):
+                    np.put_along_axis(near[start : start + len(part)], np.argpartition(part, visits - 1, axis=1)[:, :visits], True, axis=1)
+                blocks = np.repeat(near, blocks_of, axis=1)
+                for lot in range(-(-blocks.shape[1] // together)):
+                    own = blocks[:, lot * together : (lot + 1) * together]
+                    if len(here := np.flatnonzero(own.any(1))):
+                        values = [asked[here].tobytes(), _to_bytes(vectors[here]), np.packbits(own[here], axis=1).tobytes()]
+                        yield pa.RecordBatch.from_arrays([pa.array([lot], pa.int64()), *(pa.array([v], pa.binary()) for v in values)], names=["lot", "asked", "asked_vectors", "stops"])
 
         def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in _rows(batches):
-                asked, entry = np.frombuffer(row["asked"], "<i8"), np.frombuffer(row["entries"], "<i8")
-                vectors, own = _from_bytes(row["asked_vectors"], len(asked), d), _from_bytes(row["vectors"], len(entry), d)
-                norm = np.frombuffer(row["norm"])
-                low, high = bounds((vectors - pivots[row["pivot"]]) @ rotation(d, seed), np.frombuffer(row["codes"], np.uint8).reshape(len(norm), -1), norm, np.frombuffer(row["f"]), d, epsilon)
-                limit = np.partition(high, k, axis=1)[:, k] if len(entry) > k else np.full(len(asked), np.inf)
-                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for i in range(len(asked)):
-                    at = np.flatnonzero(low[i] <= limit[i])
-                    score = np.sqrt(((own[at] - vectors[i]) ** 2).sum(1))
-                    if len(at) > k + 1:  # all that tie with the k + 1-st stay: which of them counts is decided by id
-                        near = score <= np.partition(score, k)[k]
-                        at, score = at[near], score[near]
-                    out.append((np.full(len(at), asked[i]), entry[at], score))
-                q, e, s = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(e, pa.int64()), pa.array(s, pa.float64())], names=["q", "entry", "score"])
-
-        chosen = durable(queries.select("entry", "embedding").mapInArrow(choose, "q long, vector binary, near array<int>"))
-        asking = {r.pivot: r.n for r in chosen.select(F.explode("near").alias("pivot")).groupBy("pivot").agg(F.count("*").alias("n")).collect()}  # one row a pivot
-        packets = np.array([-(-asking.get(p, 0) // QUERIES_AT_ONCE) for p in range(len(pivots))])
-
-        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for row in _rows(batches):
-                own = np.array(row["near"])
-                blocks, parts = (np.concatenate(x) for x in zip(*((np.arange(first[p], first[p + 1]), np.full(first[p + 1] - first[p], packets[p])) for p in own), strict=True))
-                values = [pa.array(blocks, pa.int64()), pa.array(parts, pa.int64()), pa.array(np.full(len(blocks), row["q"]), pa.int64()), pa.array([row["vector"]] * len(blocks), pa.binary())]
-                yield pa.RecordBatch.from_arrays(values, names=["block", "packets", "q", "vector"])
-
-        # Spark does not see how much Python makes of a row: by the size of the files it would broadcast what queries send
-        dealt = chosen.mapInArrow(deal, "block long, packets long, q long, vector binary").withColumn("packet", F.pmod(F.xxhash64("q", F.lit(2)), F.col("packets")))
-        packed = dealt.groupBy("block", "packet").applyInArrow(pack, "block long, asked binary, asked_vectors binary")
-        return self.blocks.join(packed.hint("merge"), "block").mapInArrow(rerank, "q long, entry long, score double")
+                everyone, (byte, bit) = np.frombuffer(row["asked"], "<i8"), divmod(row["block"] % together, 8)
+                here = np.flatnonzero(np.frombuffer(row["stops"], np.uint8).reshape(len(everyone), -1)[:, byte] >> (7 - bit) & 1)
+                if not len(here):
+                    continue
+                entry, norm, f = np.frombuffer(row["entries"], "<i8"), np.frombuffer(row["norm"]), np.frombuffer(row["f"])
+                own, codes = _from_bytes(row["vectors"], len(entry), d), np.frombuffer(row["codes"], np.uint8).reshape(len(norm), -1)
+                everyones = _from_bytes(row["asked_vectors"], len(everyone), d)
+                for some in np.split(here, range(QUERIES_AT_ONCE, len(here), QUERIES_AT_ONCE)):
+                    asked, vectors = everyone[some], everyones[some]
+                    low, high = bounds((vectors - pivots[row["pivot"]]) @ rotation(d, seed), codes, norm, f, d, epsilon)
+                    limit = np.partition(high, k, axis=1)[:, k] if len(entry) > k else np.full(len(asked), np.inf)
+                    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                    for i in range(len(asked)):
+                        at = np.flatnonzero(low[i] <= limit[i])
+                        score = np.sqrt(((own[at] - vectors[i]) ** 2).sum(1))
+                        if len(at) > k + 1:  # all that tie with the k + 1-st stay: which of them counts is decided by id
+                            near = score <= np.partition(score, k)[k]
+                            at, score = at[near], score[near]
+                        out.append((np.full(len(at), asked[i]), entry[at], score))
+                    q, e, s = (np.concatenate(x) for x in zip(*out, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(e, pa.int64()), pa.array(s, pa.float64())], names=["q", "entry", "score"])
+
+        dealt = queries.select("entry", "embedding").repartition(max(1, -(-queries.count() // QUERIES_A_PACKET)))
+        packets = dealt.mapInArrow(pack, "lot long, asked binary, asked_vectors binary, stops binary")
+        lots = self.blocks.withColumn("lot", F.floor(F.col("block") / together))
+        # By bytes, Spark would leave this a few tasks, though it is most of the work. Without the hint it judges
+        # by the small table of queries, and broadcasts all that is sent from it.
+        tasks = -(-int(self.first[-1]) // (2 * together))
+        joined = lots.repartition(tasks, "lot").join(packets.repartition(tasks, "lot").hint("merge"), "lot")
+        return joined.mapInArrow(rerank, "q long, entry long, score double")
 
     def needed_visits(self, queries: DataFrame, k: int, recall: float) -> int:
         """How many nearest pivots hold `recall` of the k nearest entries of at most CALIBRATION queries, chosen by hash."""
@@ -244,17 +251,23 @@ def _in_order(near: DataFrame, k: int) -> DataFrame:
     return near.withColumn("nth", F.rank().over(Window.partitionBy("q").orderBy("score"))).filter(F.col("nth") <= k + 1)
 
 
-def _nearest_of_length(points: DataFrame, d: int, k: int, epsilon: float, seed: int, visits: int | None) -> DataFrame:
-    """query_id, vec_id, score of points (vec_id, embedding, asked) of one length; k or more a query."""
+def _nearest_of_length(points: DataFrame, d: int, k: int, epsilon: float, seed: int, visits: int | None, spent: list[DataFrame]) -> DataFrame:
+    """query_id, vec_id, score of points (vec_id, embedding, asked) of one length; k or more a query. Tables in `spent` go when the points are read."""
     # the rank filter prunes groups of copies before the shuffle
     copies = points.withColumn("nth", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).filter(F.col("nth") <= k + 1)
     entries = copies.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    entries = durable(entries.withColumn("entry", F.xxhash64(F.col("ids")[0], "embedding")))
-    query_of = durable(points.filter("asked").join(entries.select("embedding", "entry"), "embedding").select(F.col("vec_id").alias("query_id"), F.col("entry").alias("q")))
+    entries = durable(entries.withColumn("entry", F.xxhash64(F.col("ids")[0], F.col("embedding").cast("array<double>"))))
+    # merge joins: the files of both tables are a fraction of what they take in memory, and Spark goes by files
+    query_of = durable(points.filter("asked").join(entries.select("embedding", "entry").hint("merge"), "embedding").select(F.col("vec_id").alias("query_id"), F.col("entry").alias("q")))
+    discard(*spent)
+    ids_of = durable(entries.select("entry", "ids"))
     index = Index(entries, d, epsilon, seed)
+    discard(entries)
     wanted = durable(index.placed.join(query_of, F.col("entry") == F.col("q"), "left_semi"))
-    near = _in_order(index.visit(wanted, k, visits or index.needed_visits(wanted, k, RECALL)), k)
-    ids = near.join(entries.select("entry", "ids"), "entry").select("q", "score", F.explode("ids").alias("vec_id"))
+    visits = visits or index.needed_visits(wanted, k, RECALL)
+    discard(index.placed)
+    near = _in_order(index.visit(wanted, k, visits), k)
+    ids = near.join(ids_of.hint("merge"), "entry").select("q", "score", F.explode("ids").alias("vec_id"))
     ids = ids.groupBy("q", "vec_id").agg(F.min("score").alias("score"))
     ids = ids.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).filter(F.col("nth") <= k + 1)
     return query_of.join(ids, "q").filter("vec_id <> query_id").select("query_id", "vec_id", "score")
@@ -266,8 +279,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, epsilon: float = EPSIL
     visits: how many nearest pivots a query visits; by default what RECALL takes on a sample of queries.
     """
     points = durable(valid(df).distinct().withColumn("asked", F.coalesce(is_query, F.lit(False))))
-    lengths = [r.d for r in points.groupBy(F.size("embedding").alias("d")).agg(F.count("*")).collect()]
-    parts = [_nearest_of_length(points.filter(F.size("embedding") == d), d, k, epsilon, seed, visits) for d in sorted(lengths)]
+    lengths = sorted(r.d for r in points.groupBy(F.size("embedding").alias("d")).agg(F.count("*")).collect())
+    parts = [_nearest_of_length(points.filter(F.size("embedding") == d), d, k, epsilon, seed, visits, [points] if d == lengths[-1] else []) for d in lengths]
     found = df.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
     for part in parts:
         found = found.unionByName(part)
