@@ -132,6 +132,7 @@ def test_lots_packets_and_element_type_change_nothing(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     want = result(rabitq.nearest(df, F.col("vec_id") % 10 == 0, visits=5))
     assert len(want) == 60 and {len(v) for v in want.values()} == {10}
+    assert [rabitq.valid(df.withColumnRenamed("embedding", n)).schema["embedding"].dataType.simpleString() for n in ("embedding", "Embedding")] == ["array<float>"] * 2
     for name, value in (("LOTS", 3), ("QUERIES_A_PACKET", 20), ("QUERIES_AT_ONCE", 3)):
         monkeypatch.setattr(rabitq, name, value)
     assert result(rabitq.nearest(df.withColumn("embedding", F.col("embedding").cast("array<double>")), F.col("vec_id") % 10 == 0, visits=5)) == want

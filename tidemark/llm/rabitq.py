@@ -87,7 +87,7 @@ def valid(df: DataFrame) -> DataFrame:
     """vec_id and embedding (an array of float where the table has one, else of double) of the vectors that take part."""
     v = F.col("embedding")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    kind = "array<float>" if df.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    kind = "array<float>" if df.select("embedding").schema[0].dataType.simpleString() == "array<float>" else "array<double>"
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     return rows.filter(F.col("vec_id").isNotNull() & v.isNotNull()).filter(fine)
 
